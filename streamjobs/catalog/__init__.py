@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from streamjobs.catalog import ports, rides, text, vessels  # noqa: F401
+from streamjobs.catalog import latencies, logs, ports, rides, text, vessels  # noqa: F401
 from streamjobs.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -111,7 +111,8 @@ def parse_aggregates(lines: DataFrame) -> DataFrame:
     rows = lines.filter(F.col("value").rlike(pattern)).select(
         log_time(t).alias("consumed_ts"),
         *[c.try_cast("long").alias(n) for c, n in zip(fields[:5], names[:5])], fields[5])
-    packets = rows.withColumn("pkt_id", F.explode(F.split("ids", ",")).try_cast("long"))
+    packets = (rows.withColumn("_id", F.explode(F.split("ids", ",")))
+                   .withColumn("pkt_id", F.col("_id").try_cast("long")))
     return (packets.filter(F.col("pkt_id").isNotNull())
                    .groupBy("node_id", "instance_id", "flow_id", "port_id", "pkt_id")
                    .agg(F.min("consumed_ts").alias("consumed_ts")))
