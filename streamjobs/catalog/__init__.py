@@ -1,6 +1,7 @@
 """Registered queries over the given tables."""
 
-from streamjobs.catalog import latencies, logs, ports, rides, text, vessels  # noqa: F401
+from streamjobs.catalog import (experiments, generated, latencies, learning, logs, network, ports,  # noqa: F401
+                                rides, streams, text, vessels)
 from streamjobs.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -78,6 +78,12 @@ def port_spec(text: Column) -> tuple[Column, Column]:
             F.regexp_extract(text, r"S(\d+)-P(\d+)", 2).try_cast("int"))
 
 
+def round_half_even(value: Column, digits: int = 2) -> Column:
+    """Round the way numeric Python libraries do: scale, round half to even, scale back."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(value * scale) / scale
+
+
 def rescale_knob(u: Column, high: Column, low: Column | None = None) -> Column:
     """Unit value to an integer knob: ``ceil(u * max)``, or from ``low`` upwards when given."""
     if low is None:

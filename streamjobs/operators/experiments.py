@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamjobs.functions.scalar import option_code
+from streamjobs.functions.scalar import option_code, round_half_even
 from streamjobs.operators.sets import keep_last, union_by_name
 
 
@@ -43,14 +43,13 @@ def mean_by_run(frames: Sequence[DataFrame], index: str = "run_index", skip: Seq
     """Mean over the hosts of every numeric column, rounded half-even to 2, columns in alphabetical order."""
     together = union_by_name([f.drop(*skip) for f in frames])
     names = sorted(numeric_columns(together, [index]))
-    return together.groupBy(index).agg(*[F.bround(F.avg(n), 2).alias(n) for n in names])
+    return together.groupBy(index).agg(*[round_half_even(F.avg(n)).alias(n) for n in names])
 
 
 def merge_metrics(frames: Sequence[DataFrame], results: DataFrame, index: str = "run_index") -> DataFrame:
     """Mean metrics with each run's throughput and latency beside them; every metric row is kept."""
     means = mean_by_run(frames, index)
-    outcome = results.select(index, F.bround("Throughput", 2).alias("Throughput"),
-                             F.bround("Latency", 2).alias("Latency"))
+    outcome = results.select(index, *[round_half_even(F.col(c)).alias(c) for c in ("Throughput", "Latency")])
     joined = means.join(outcome, index, "left")
     return joined.select(index, *sorted(c for c in joined.columns if c != index))
 
