@@ -9,21 +9,22 @@ from streamjobs.catalog.logs import aggregate_lines, packet_lines
 from streamjobs.catalog.registry import plain, query, rounded, table
 from streamjobs.operators import delivery, latency, statistics
 from streamjobs.plans import reports
-from streamjobs.session import fresh_path
+from streamjobs.session import fresh_path, written
 from streamjobs.streaming.sinks import write_partitioned
 
 
 def _parts(spark, sf):
-    events = table(spark, sf, "events")
+    events = table(spark, sf, "events", heavy=True)
     return (reports.producer_entries(producer_lines(events)), reports.consumer_entries(consumer_lines(events)))
 
 
 def _latency(spark, sf):
-    return latency.message_latency(*_parts(spark, sf))
+    """The latency table, written once and then read by each report."""
+    return written(latency.message_latency(*_parts(spark, sf)), "latency")
 
 
 def _states(spark, sf, confirmed: bool = True):
-    events = table(spark, sf, "events")
+    events = table(spark, sf, "events", heavy=True)
     prod, cons = _parts(spark, sf)
     return delivery.delivery_states(prod, cons, CONSUMERS,
                                     reports.confirmation_entries(producer_lines(events)) if confirmed else None)
@@ -32,7 +33,7 @@ def _states(spark, sf, confirmed: bool = True):
 @query(f"""WITH {FACTS} SELECT prod_id, msg_id, topic_id, consumer_id, produced_ts, consumed_ts, CAST(1 AS BIGINT) AS copies,
              latency_s FROM lat""")
 def message_latency(spark, sf):
-    return plain(_latency(spark, sf))
+    return plain(latency.message_latency(*_parts(spark, sf)))
 
 
 _SUMMARY = """count(*) AS n_messages, CAST(sum(epoch_us(consumed_ts) - epoch_us(produced_ts)) AS DOUBLE) / count(*) / 1e6
@@ -117,12 +118,12 @@ def latency_box(spark, sf):
           count(*) FILTER (NOT value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
    FROM events JOIN q USING (event_type) GROUP BY ALL""")
 def value_box(spark, sf):
-    return rounded(statistics.box_stats(table(spark, sf, "events"), "value", ["event_type"]), 6, "q1", "median", "q3")
+    return rounded(statistics.box_stats(table(spark, sf, "events", heavy=True), "value", ["event_type"]), 6, "q1", "median", "q3")
 
 
 @query("""SELECT count(*) AS n_pairs, CAST(sum(700 + event_id % 700) AS DOUBLE) / count(*) AS mean_latency_ms FROM events""")
 def packet_latency(spark, sf):
-    events = table(spark, sf, "events")
+    events = table(spark, sf, "events", heavy=True)
     mean = reports.packet_latency(packet_lines(events, "produced"), packet_lines(events, "received", 700))
     return rounded(mean, 9, "mean_latency_ms").withColumn("n_pairs", F.col("n_pairs").cast("long"))
 
@@ -135,7 +136,7 @@ def packet_latency(spark, sf):
    SELECT count(*) AS n_pairs, round(CAST(sum(epoch_us(g.t) - epoch_us(p.t)) AS DOUBLE) / (count(*) * 1000.0), 6) AS mean_latency_ms
    FROM p JOIN g USING (a, b, c, e)""")
 def packet_latency_aggregated(spark, sf):
-    events = table(spark, sf, "events")
+    events = table(spark, sf, "events", heavy=True)
     mean = reports.packet_latency(packet_lines(events, "produced"), aggregate_lines(events), aggregated=True)
     return rounded(mean, 6, "mean_latency_ms").withColumn("n_pairs", F.col("n_pairs").cast("long"))
 

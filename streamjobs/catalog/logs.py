@@ -18,14 +18,14 @@ from streamjobs.sources import logs
 
 @query(f"WITH {FACTS} SELECT prod_id, msg_id, topic_id, produced_ts FROM prod")
 def log_producer(spark, sf):
-    return plain(reports.producer_entries(producer_lines(table(spark, sf, "events"))))
+    return plain(reports.producer_entries(producer_lines(table(spark, sf, "events", heavy=True))))
 
 
 @query(f"WITH {FACTS} SELECT prod_id, msg_id, topic_id, produced_ts FROM prod")
 def log_producer_files(spark, sf):
     """The same through text files whose names carry node and instance."""
     path = fresh_path(spark, "logs")
-    lines = producer_lines(table(spark, sf, "events"))
+    lines = producer_lines(table(spark, sf, "events", heavy=True))
     named = lines.select(F.concat(F.lit("prod-node"), "node_id", F.lit("-instance1")).alias("log"), "value")
     named.write.partitionBy("log").text(path)
     return plain(reports.producer_entries(logs.read_lines(spark, path)))
@@ -34,13 +34,13 @@ def log_producer_files(spark, sf):
 @query(f"""WITH {FACTS} SELECT prod_id, msg_id, CAST(CASE WHEN event_id % 20 = 3 THEN 0 ELSE 1 END AS INTEGER) AS confirmed
            FROM prod""")
 def log_confirmations(spark, sf):
-    return reports.confirmation_entries(producer_lines(table(spark, sf, "events")))
+    return reports.confirmation_entries(producer_lines(table(spark, sf, "events", heavy=True)))
 
 
 @query(f"""WITH {FACTS} SELECT CAST(consumer_id AS INTEGER) AS consumer_id, consumed_ts, prod_id, msg_id, topic_id,
                   event_id AS "offset" FROM recv""")
 def log_consumer(spark, sf):
-    return plain(reports.consumer_entries(consumer_lines(table(spark, sf, "events"))))
+    return plain(reports.consumer_entries(consumer_lines(table(spark, sf, "events", heavy=True))))
 
 
 _TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S,%g')"
@@ -49,7 +49,7 @@ _TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S,%g')"
 @query("""SELECT user_id, 'h' || max_by(event_id, event_id) AS coordinator_id FROM events
           WHERE event_type = 'error' GROUP BY user_id""")
 def log_coordinators(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_id", F.concat(
+    events = table(spark, sf, "events", heavy=True).select("user_id", "event_id", F.concat(
         format_log_time(F.col("ts")), F.when(F.col("event_type") == "error", F.concat(
             F.lit(" INFO:Group coordinator for group-1 is BrokerMetadata(nodeId='coordinator-h"), "event_id",
             F.lit("', host='x')"))).otherwise(" INFO:Fetch")).alias("value"))
@@ -58,7 +58,7 @@ def log_coordinators(spark, sf):
 
 @query("""SELECT user_id, 'h' || min(event_id) || ':2181' AS leader FROM events WHERE event_type = 'view' GROUP BY user_id""")
 def log_leaders(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_id", F.concat(
+    events = table(spark, sf, "events", heavy=True).select("user_id", "event_id", F.concat(
         F.lit("<h"), "event_id", F.lit(":2181> "), F.when(F.col("event_type") == "view",
                                                           "LEADING - LEADER ELECTION TOOK 20 ms")
         .otherwise("FOLLOWING")).alias("value"))
@@ -81,7 +81,7 @@ _PACKET = f"""SELECT user_id % 3 + 1 AS node_id, user_id AS instance_id, CAST(da
 
 @query(f"{_PACKET}, date_trunc('milliseconds', ts) AS produced_ts FROM events")
 def log_packets(spark, sf):
-    return plain(logs.parse_packets(packet_lines(table(spark, sf, "events"), "produced"), "produced"))
+    return plain(logs.parse_packets(packet_lines(table(spark, sf, "events", heavy=True), "produced"), "produced"))
 
 
 def aggregate_lines(events):
@@ -97,7 +97,7 @@ def aggregate_lines(events):
                  CAST(443 AS BIGINT) AS port_id, event_id + d AS pkt_id, min(date_trunc('milliseconds', ts)) AS consumed_ts
           FROM events, (SELECT unnest([0, 1, 2]) AS d) GROUP BY ALL""")
 def log_aggregates(spark, sf):
-    return plain(logs.parse_aggregates(aggregate_lines(table(spark, sf, "events"))))
+    return plain(logs.parse_aggregates(aggregate_lines(table(spark, sf, "events", heavy=True))))
 
 
 def progress_lines(events):
@@ -118,7 +118,7 @@ _PROGRESS = f"""p AS (SELECT user_id AS query, event_id AS batch_id, CAST({K} *
 
 @query(f"WITH {_PROGRESS} SELECT * FROM p")
 def log_progress(spark, sf):
-    return logs.parse_progress(progress_lines(table(spark, sf, "events")), ["query", "batch_id"])
+    return logs.parse_progress(progress_lines(table(spark, sf, "events", heavy=True)), ["query", "batch_id"])
 
 
 @query(f"""WITH {_PROGRESS} SELECT query, count(*) AS n_triggers,
@@ -127,7 +127,7 @@ def log_progress(spark, sf):
                   / (count(*) - 1) END AS steady_ms
            FROM p GROUP BY query""")
 def trigger_stats(spark, sf):
-    return reports.trigger_report(progress_lines(table(spark, sf, "events")), ["query"], "batch_id")
+    return reports.trigger_report(progress_lines(table(spark, sf, "events", heavy=True)), ["query"], "batch_id")
 
 
 @query(f"""WITH {_PROGRESS}, e AS (SELECT *, trigger_execution - wal_commit AS x,
@@ -137,7 +137,7 @@ def trigger_stats(spark, sf):
              CASE WHEN count(*) > 1 THEN CAST(sum(x) - min_by(x, batch_id) AS DOUBLE) / (count(*) - 1) END AS steady_exec_ms,
              CAST(sum(total) AS BIGINT) AS phases_ms FROM e GROUP BY query""")
 def planning_stats(spark, sf):
-    records = logs.parse_progress(progress_lines(table(spark, sf, "events")), ["query", "batch_id"])
+    records = logs.parse_progress(progress_lines(table(spark, sf, "events", heavy=True)), ["query", "batch_id"])
     return progress.planning_stats(records, ["query"])
 
 
@@ -155,7 +155,7 @@ def counter_records(events):
                   event_id * 2 AS rx_pkts, event_id * 100 + {K} AS rx_bytes, event_id * 3 AS tx_pkts,
                   event_id * 50 + {K} AS tx_bytes FROM events""")
 def log_port_counters(spark, sf):
-    return logs.parse_port_counters(counter_records(table(spark, sf, "events")), ["event_id", "switch"])
+    return logs.parse_port_counters(counter_records(table(spark, sf, "events", heavy=True)), ["event_id", "switch"])
 
 
 @query(f"""SELECT CAST(user_id % 4 + 1 AS INTEGER) AS switch, CAST(user_id % 3 + 1 AS INTEGER) AS port,
@@ -164,7 +164,7 @@ def log_port_counters(spark, sf):
 def log_port_counter_files(spark, sf):
     """Through dump files named after the switch."""
     path = fresh_path(spark, "dumps")
-    records = counter_records(table(spark, sf, "events"))
+    records = counter_records(table(spark, sf, "events", heavy=True))
     named = records.select(F.concat(F.lit("bandwidth-log"), "switch").alias("dump"), "value")
     named.write.partitionBy("dump").text(path)
     return logs.read_port_counters(spark, path).drop("line_key")
@@ -172,7 +172,7 @@ def log_port_counter_files(spark, sf):
 
 @query("""SELECT event_id, ts, value AS cpu, CAST(user_id AS DOUBLE) + 0.5 AS mem FROM events""")
 def log_process_metrics(spark, sf):
-    lines = table(spark, sf, "events").select("event_id", F.concat(
+    lines = table(spark, sf, "events", heavy=True).select("event_id", F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(", CPU: "), "value", F.lit("%, Memory: "),
         F.col("user_id") + F.lit(0.5), F.lit(" MB")).alias("value"))
     return plain(logs.parse_process_metrics(lines, ["event_id"]))
@@ -181,7 +181,7 @@ def log_process_metrics(spark, sf):
 @query("""SELECT user_id, round(avg(value), 6) AS avg_cpu, avg(CAST(user_id AS DOUBLE)) + 0.5 AS avg_mem
           FROM events GROUP BY user_id""")
 def resource_usage(spark, sf):
-    lines = table(spark, sf, "events").select("user_id", F.concat(
+    lines = table(spark, sf, "events", heavy=True).select("user_id", F.concat(
         F.lit("2024-01-01 00:00:00, CPU: "), "value", F.lit("%, Memory: "), F.col("user_id") + F.lit(0.5),
         F.lit(" MB")).alias("value"))
     means = network.mean_resources(logs.parse_process_metrics(lines, ["user_id"]), ["user_id"])
@@ -191,7 +191,7 @@ def resource_usage(spark, sf):
 @query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id)) * CAST(0.5 AS DOUBLE) AS time_s, value AS reading
           FROM events""")
 def resource_series(spark, sf):
-    lines = table(spark, sf, "events").select("user_id", "event_id", F.concat("value", F.lit(" us")).alias("value"))
+    lines = table(spark, sf, "events", heavy=True).select("user_id", "event_id", F.concat("value", F.lit(" us")).alias("value"))
     numbered = network.sample_numbers(lines, ["user_id"], ["event_id"], 0.5, start=1)
     return logs.parse_series(numbered, ["user_id", "time_s"])
 
@@ -200,7 +200,7 @@ def resource_series(spark, sf):
                   consumed_ts, latency_s FROM lat""")
 def log_latency(spark, sf):
     """Latency report written as text lines and read back."""
-    events = table(spark, sf, "events")
+    events = table(spark, sf, "events", heavy=True)
     rows = message_latency(reports.producer_entries(producer_lines(events)),
                            reports.consumer_entries(consumer_lines(events)))
     return plain(logs.parse_latency(reports.latency_lines(rows)))
@@ -213,13 +213,13 @@ def duration_text(spark, sf):
     text = F.concat(F.when(seconds >= 86400, "1 day, ").otherwise(""), F.floor(seconds % 86400 / 3600), F.lit(":"),
                     F.lpad(F.floor(seconds % 3600 / 60), 2, "0"), F.lit(":"), F.lpad(seconds % 60, 2, "0"), F.lit("."),
                     F.lpad(prop_k(), 2, "0"))
-    return table(spark, sf, "events").select("event_id", duration_seconds(text).alias("exact_s"),
+    return table(spark, sf, "events", heavy=True).select("event_id", duration_seconds(text).alias("exact_s"),
                                              duration_seconds(text, trunc=True).alias("whole_s"))
 
 
 @query("""SELECT CAST(user_id % 12 AS INTEGER) AS broker, count(*) AS frequency FROM events GROUP BY 1""")
 def leader_frequency(spark, sf):
-    lines = table(spark, sf, "events").select((F.col("user_id") % 12).cast("string").alias("value"))
+    lines = table(spark, sf, "events", heavy=True).select((F.col("user_id") % 12).cast("string").alias("value"))
     return frequency(logs.parse_integers(lines), "broker")
 
 
@@ -227,14 +227,14 @@ def leader_frequency(spark, sf):
 def port_specs(spark, sf):
     spec = F.concat(F.lit("S"), F.col("user_id") % 4, F.lit("-P"), F.col("user_id") % 15)
     switch, port = port_spec(spec)
-    return table(spark, sf, "events").select("event_id", switch.alias("switch"), port.alias("port"))
+    return table(spark, sf, "events", heavy=True).select("event_id", switch.alias("switch"), port.alias("port"))
 
 
 @query(f"""WITH {FACTS} SELECT CAST(consumer_id AS INTEGER) AS consumer_id, msg_id, consumed_ts,
              row_number() OVER (PARTITION BY consumer_id ORDER BY consumed_ts, msg_id) - 1 AS line_no FROM recv""")
 def log_message_ids(spark, sf):
     """Message ids of each consumer with their place in its log."""
-    lines = consumer_lines(table(spark, sf, "events"))
+    lines = consumer_lines(table(spark, sf, "events", heavy=True))
     short = lines.select(F.col("node_id").alias("consumer_id"), F.concat(
         F.regexp_extract("value", r"^(\S+ \S+) ", 1), F.lit(" INFO:Message ID: "),
         F.regexp_extract("value", r"Message ID: (\d+)", 1)).alias("value"))

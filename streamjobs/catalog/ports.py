@@ -29,7 +29,7 @@ def packet_messages(events):
 
 @query(f"{_PACKETS} {_STATS}")
 def port_statistics(spark, sf):
-    return ports.statistics(ports.packets(packet_messages(table(spark, sf, "events"))))
+    return ports.statistics(ports.packets(packet_messages(table(spark, sf, "events", heavy=True))))
 
 
 @query(f"""{_PACKETS}, s AS ({_STATS})
@@ -37,7 +37,7 @@ def port_statistics(spark, sf):
          || ' destination Port: ' || dstPort || ' total packets: ' || totalPkts || ' packet IDs: ' || pktIDs AS value
   FROM s""")
 def port_statistics_lines(spark, sf):
-    return ports.lines(ports.statistics(ports.packets(packet_messages(table(spark, sf, "events")))))
+    return ports.lines(ports.statistics(ports.packets(packet_messages(table(spark, sf, "events", heavy=True)))))
 
 
 @query(f"""{_PACKETS} SELECT nodeID, prodInstanceID, flowCount, dstPort, CAST(pktCount // 10000 AS BIGINT) AS segment,
@@ -53,7 +53,7 @@ def port_statistics_stream(spark, sf):
                   event_type AS payload, ts
            FROM events""")
 def from_csv_parse(spark, sf):
-    events = table(spark, sf, "events")
+    events = table(spark, sf, "events", heavy=True)
     messages = events.select("ts", *[c.alias("value") for c in [_message(events)]])
     parsed = ports.packets(messages, keep=["ts"])
     return plain(parsed.select("nodeID", "pktCount", "srcPort", "payloadLength", "payload", "ts"))
@@ -72,7 +72,7 @@ TYPED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ki
 @query("""SELECT event_id, event_type AS kind, value AS amount, CAST(day(ts) AS SMALLINT) AS day,
                  CAST(NULL AS INTEGER) AS bad, CAST(NULL AS VARCHAR) AS absent FROM events""")
 def csv_parse(spark, sf):
-    messages = table(spark, sf, "events").select(
+    messages = table(spark, sf, "events", heavy=True).select(
         F.concat_ws(",", "event_id", "event_type", "value", F.dayofmonth("ts"), "event_type").alias("value"))
     return parsing.parse_delimited(messages, TYPED)
 
@@ -108,6 +108,6 @@ def file_tag_decode(spark, sf):
                   CAST(10 + length(props) AS INTEGER) FROM events WHERE user_id > 999""")
 def fixed_width_decode(spark, sf):
     from streamjobs.functions.scalar import zero_pad
-    events = table(spark, sf, "events").select("event_id", F.concat(
+    events = table(spark, sf, "events", heavy=True).select("event_id", F.concat(
         zero_pad(F.col("user_id"), 2), zero_pad(F.col("event_id"), 6), "props").alias("value"))
     return parsing.decode_fixed_width(events).drop("value")

@@ -77,20 +77,24 @@ _PAID = f"""WITH {_RIDES} SELECT rideId, startTime, totalFare, CAST(tip AS FLOAT
      CAST(endLat AS FLOAT) AS endLat FROM paid"""
 
 
+def _heavy(spark, sf, name):
+    return table(spark, sf, name, heavy=True)
+
+
 def _both(read, spark, sf):
     return rides.fares(fare_messages(read(spark, sf, "orders"))), \
         rides.finished_rides(ride_messages(read(spark, sf, "lineitem")))
 
 
 def _with_places(spark, sf):
-    fares, ends = _both(table, spark, sf)
+    fares, ends = _both(_heavy, spark, sf)
     paid = rides.paid_rides(fares, ends, UPPER, watermark=None)
     return rides.with_neighbourhoods(paid, neighbourhoods(table(spark, sf, "nation")))
 
 
 @query(_PAID)
 def rides_interval_join(spark, sf):
-    fares, ends = _both(table, spark, sf)
+    fares, ends = _both(_heavy, spark, sf)
     return plain(rides.paid_rides(fares, ends, UPPER, watermark=None))
 
 
@@ -131,7 +135,7 @@ _POINTS = f"""WITH {_RIDES.split(',' + chr(10) + '  paid AS')[0]},
 
 
 def _points(spark, sf):
-    lineitem = table(spark, sf, "lineitem")
+    lineitem = table(spark, sf, "lineitem", heavy=True)
     lon = F.lit(-74.0625) + (F.col("l_suppkey") % 97) / 256
     lat = F.lit(40.4375) + ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % 150) / 256
     return lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", lon.alias("lon"), lat.alias("lat"))

@@ -30,7 +30,7 @@ def messages(df):
 @query("""SELECT word, count(*) AS count
           FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word""")
 def word_count(spark, sf):
-    return count_words(table(spark, sf, "documents"), "text")
+    return count_words(table(spark, sf, "documents", heavy=True), "text")
 
 
 @query("""SELECT word, count(*) AS count
@@ -44,7 +44,7 @@ def word_count_stream(spark, sf):
           FROM (SELECT source, doc_id, unnest(string_split(text, ' ')) AS word FROM documents)
           GROUP BY source, doc_id, word""")
 def doc_term_tags(spark, sf):
-    return docs.document_terms(messages(table(spark, sf, "documents")))
+    return docs.document_terms(messages(table(spark, sf, "documents", heavy=True)))
 
 
 _MEAN = """WITH w AS (SELECT DISTINCT source, doc_id, rtrim(word, ' ') AS word FROM
@@ -54,12 +54,12 @@ _MEAN = """WITH w AS (SELECT DISTINCT source, doc_id, rtrim(word, ' ') AS word F
 
 @query(_MEAN)
 def doc_avg_distinct_words(spark, sf):
-    return docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents")))))
+    return docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents", heavy=True)))))
 
 
 @query()
 def doc_avg_distinct_words_approx(spark, sf):
-    terms = docs.document_terms(messages(table(spark, sf, "documents")))
+    terms = docs.document_terms(messages(table(spark, sf, "documents", heavy=True)))
     return docs.mean_terms(docs.tagged_terms(terms), approx=True)
 
 
@@ -76,13 +76,13 @@ _CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 @query(f"""SELECT conv_id, turn, {_CLEANED} AS post
            FROM (SELECT conv_id, turn, unnest(string_split(text, 't_end')) AS p FROM conversations) WHERE p <> ''""")
 def tweet_clean(spark, sf):
-    return clean_posts(table(spark, sf, "conversations"), ["conv_id", "turn"], "text")
+    return clean_posts(table(spark, sf, "conversations", heavy=True), ["conv_id", "turn"], "text")
 
 
 @query(f"""SELECT page_id, {_CLEANED} AS post
            FROM (SELECT page_id, unnest(string_split(html, 't_end')) AS p FROM pages) WHERE p <> ''""")
 def page_clean(spark, sf):
-    return clean_posts(table(spark, sf, "pages"), ["page_id"], "html")
+    return clean_posts(table(spark, sf, "pages", heavy=True), ["page_id"], "html")
 
 
 def _score_sql(key: str, posts: str, text: str) -> str:
@@ -101,7 +101,7 @@ _POST_SQL = _score_sql("conv_id, turn", "SELECT conv_id, turn, " + _CLEANED + ""
 
 @query(_POST_SQL)
 def lexicon_sentiment(spark, sf):
-    posts = table(spark, sf, "conversations").withColumnRenamed("text", "value")
+    posts = table(spark, sf, "conversations", heavy=True).withColumnRenamed("text", "value")
     return sentiment(posts, lexicon(spark), ["conv_id", "turn"])
 
 
@@ -115,12 +115,12 @@ def lexicon_sentiment_stream(spark, sf):
       SELECT doc_id, coalesce(pol, 0.0) AS polarity, coalesce(sub, 0.0) AS subjectivity
       FROM documents LEFT JOIN s USING (doc_id)""")
 def document_sentiment(spark, sf):
-    return scores_by_join(table(spark, sf, "documents"), lexicon(spark), "doc_id", "text")
+    return scores_by_join(table(spark, sf, "documents", heavy=True), lexicon(spark), "doc_id", "text")
 
 
 @query(_score_sql("doc_id", "SELECT doc_id, text FROM documents", "text") + """
       SELECT doc_id, coalesce(pol, 0.0) AS polarity, coalesce(sub, 0.0) AS subjectivity
       FROM documents LEFT JOIN s USING (doc_id)""")
 def document_sentiment_rowwise(spark, sf):
-    scored = score_sentiment(table(spark, sf, "documents"), lexicon(spark), "text")
+    scored = score_sentiment(table(spark, sf, "documents", heavy=True), lexicon(spark), "text")
     return plain(scored.select("doc_id", "polarity", "subjectivity"))

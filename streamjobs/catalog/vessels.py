@@ -35,7 +35,7 @@ _VOYAGES = f"""WITH v AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '
                   CAST({K} AS VARCHAR) AS maneuver, CAST(NULL AS VARCHAR) AS callsign
            FROM events""")
 def json_fields(spark, sf):
-    fields = extract_json(reports(table(spark, sf, "events")), vessels.FIELDS, keep=["event_id"])
+    fields = extract_json(reports(table(spark, sf, "events", heavy=True)), vessels.FIELDS, keep=["event_id"])
     return fields.select("event_id", "class", "type", "mmsi", "destination", "shiptype", "shiptype_text", "accuracy",
                          "maneuver", "callsign")
 
@@ -45,13 +45,13 @@ def json_fields(spark, sf):
                  string_agg(DISTINCT mmsi, ',' ORDER BY mmsi) AS ships
           FROM v GROUP BY ALL""")
 def traffic_tumbling(spark, sf):
-    ships = vessels.ships(vessels.voyage_reports(reports(table(spark, sf, "events")), "sent"), SIZE)
+    ships = vessels.ships(vessels.voyage_reports(reports(table(spark, sf, "events", heavy=True)), "sent"), SIZE)
     return plain(ships.withColumn("ships", F.concat_ws(",", "items")).drop("items"))
 
 
 @query()
 def traffic_tumbling_approx(spark, sf):
-    ships = vessels.ships_approx(vessels.voyage_reports(reports(table(spark, sf, "events")), "sent"), SIZE)
+    ships = vessels.ships_approx(vessels.voyage_reports(reports(table(spark, sf, "events", heavy=True)), "sent"), SIZE)
     return plain(ships.select("window.start", "window.end", "destination", "shiptype", "n_items",
                               F.concat_ws(",", "items").alias("ships")))
 
@@ -73,5 +73,5 @@ def traffic_tumbling_stream(spark, sf):
               || count(DISTINCT mmsi) || '}}' AS value
           FROM v GROUP BY window_start, destination, shiptype""")
 def traffic_envelope(spark, sf):
-    ships = vessels.ships(vessels.voyage_reports(reports(table(spark, sf, "events")), "sent"), SIZE)
+    ships = vessels.ships(vessels.voyage_reports(reports(table(spark, sf, "events", heavy=True)), "sent"), SIZE)
     return schema_envelope(ships.select("destination", "shiptype", F.col("n_items").alias("numberOfShips")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,38 @@ def _split(text: Column, separator: str) -> Column:
     return F.split(text, re.escape(separator))
 
 
+_MARK = "\u0001"
+
+
+def unpack(df: DataFrame, parts: Column, fields: Callable[[Column], Sequence[Column]], keep: Sequence[str] = (),
+           when: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Compute ``parts`` once per row and make columns of it; rows that fail ``when`` are dropped.
+
+    Plain columns would be copied by the optimizer into every later filter, and
+    the text parsed again for each of them. A generator keeps the parsing in
+    one place.
+    """
+    row = F.array(F.struct(*fields(F.col("_parts"))))
+    if when is not None:
+        row = F.when(when(F.col("_parts")), row)
+    return df.select(*keep, parts.alias("_parts")).select(*keep, F.inline(row))
+
+
+def match_groups(text: Column, pattern: str, n: int) -> Column:
+    """All ``n`` groups of a pattern from a single match, as an array after an empty first element.
+
+    Text that does not match gives an array of another size (see ``matched``).
+    """
+    whole = f"(?s)\\A.*?{pattern}.*\\z" if not pattern.startswith("^") else f"(?s){pattern}.*\\z"
+    marked = F.regexp_replace(text, whole, "".join(f"{_MARK}${i}" for i in range(1, n + 1)))
+    return F.split(marked, _MARK)
+
+
+def matched(n: int) -> Callable[[Column], Column]:
+    """Whether ``match_groups`` with ``n`` groups found the pattern."""
+    return lambda parts: (F.size(parts) == n + 1) & (F.get(parts, F.lit(0)) == "")
+
+
 def split_tags(df: DataFrame, tags: Sequence[tuple[str, str]], col: str = "value",
                rest: str | None = None, strip: bool = False) -> DataFrame:
     """Peel trailing ``<separator><content>`` tags off a text column.
@@ -22,34 +54,37 @@ def split_tags(df: DataFrame, tags: Sequence[tuple[str, str]], col: str = "value
     (separator, new column). What stands before the first tag remains in
     ``rest`` (``col`` when not given). A missing tag gives null.
     """
-    body, found = F.col(col), []
-    for separator, name in tags:
-        parts = _split(body, separator)
-        content = F.get(parts, F.lit(1))
-        found.append((F.trim(content) if strip else content).alias(name))
-        body = F.get(parts, F.lit(0))
     others = [c for c in df.columns if c != col]
-    return df.select(*others, body.alias(rest or col), *found)
+    body = rest or col
+    peeled = df.select(*others, F.col(col).alias(body))
+    for separator, name in tags:
+        def pair(parts: Column, name: str = name) -> list[Column]:
+            content = F.get(parts, F.lit(1))
+            return [F.get(parts, F.lit(0)).alias(body), (F.trim(content) if strip else content).alias(name)]
+
+        kept = [c for c in peeled.columns if c != body]
+        peeled = unpack(peeled, _split(F.col(body), separator), pair, kept)
+    return peeled.select(*others, body, *[name for _, name in tags])
 
 
 def split_positions(df: DataFrame, names: Sequence[str], col: str = "value", sep: str = ",") -> DataFrame:
     """Positional split into string columns; absent positions are null."""
-    parts = _split(F.col(col), sep)
-    return df.select(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(names)])
+    return unpack(df, _split(F.col(col), sep),
+                  lambda parts: [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(names)])
 
 
 def parse_delimited(df: DataFrame, schema: T.StructType, col: str = "value", sep: str = ",",
                     keep: Sequence[str] = ()) -> DataFrame:
     """Split by position and cast each part to its field's type; bad text is null."""
-    parts = _split(F.col(col), sep)
-    fields = [F.get(parts, F.lit(i)).try_cast(f.dataType).alias(f.name)
-              for i, f in enumerate(schema.fields)]
-    return df.select(*keep, *fields)
+    return unpack(df, _split(F.col(col), sep),
+                  lambda parts: [F.get(parts, F.lit(i)).try_cast(f.dataType).alias(f.name)
+                                 for i, f in enumerate(schema.fields)], keep)
 
 
 def parse_csv_ddl(df: DataFrame, ddl: str, col: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Parse CSV text by a DDL schema; a field that does not fit is null."""
-    return df.select(F.from_csv(F.col(col), ddl).alias("_row"), *keep).select("_row.*", *keep)
+    names = T.StructType.fromDDL(ddl).names
+    return unpack(df, F.from_csv(F.col(col), ddl), lambda row: [row[n].alias(n) for n in names], keep)
 
 
 def extract_json(df: DataFrame, fields: Sequence[str], col: str = "value", keep: Sequence[str] = ()) -> DataFrame:

@@ -17,9 +17,8 @@ def histogram(df: DataFrame, col: str, bins: int = 28) -> DataFrame:
     ``share`` (cumulative). Empty bins are listed.
     """
     values = df.filter(F.col(col).isNotNull())
-    low, high = values.agg(F.min(col)).scalar(), values.agg(F.max(col)).scalar()
-    ranged = values.select(F.col(col).cast("double").alias("_v"), low.cast("double").alias("_low"),
-                           high.cast("double").alias("_high"))
+    ends = values.agg(F.struct(F.min(col).cast("double").alias("low"), F.max(col).cast("double").alias("high"))).scalar()
+    ranged = values.select(F.col(col).cast("double").alias("_v"), ends["low"].alias("_low"), ends["high"].alias("_high"))
     # A single distinct value gets a range of one around it.
     single = F.col("_low") == F.col("_high")
     ranged = ranged.withColumns({"_low": F.when(single, F.col("_low") - 0.5).otherwise(F.col("_low")),

@@ -2,7 +2,7 @@
 
 The ``parse_*`` functions take a table of lines in ``value``, so they work on
 files, on a topic and on lines made by Spark; ``read_lines`` adds where a line
-stands. All parsing is one pattern per line inside the scan's stage.
+stands. All parsing is one pattern match per line inside the scan's stage.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamjobs.functions.parsing import match_groups, matched, unpack
 from streamjobs.functions.scalar import duration_seconds, log_time
 
 # Texts that mark the lines of interest.
 TIME = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) "
 PRODUCED = TIME + r"INFO:Topic-name: topic-([^;]*); Message ID: ([^;]*);"
 RECEIVED = TIME + r"INFO:Prod ID: ([^;]*); Message ID: ([^;]*);.*?Topic: topic-([^;]*); Offset: ([^;]*);"
-NOT_CONFIRMED = r"INFO:Message not produced\. ID: ([^;]*);"
-CONFIRMED = r"INFO:Produced message ID: ([^;]*);"
+STORED = "Produced message"
+ANSWER = r"INFO:(Produced message|Message not produced\.) ID: ([^;]*);"
 COORDINATOR = r"INFO:Group coordinator for group.*nodeId='coordinator-([^']*)'"
 NODE = r"node(\d+)-instance(\d+)"
 LEADING = "LEADING - LEADER ELECTION TOOK "
@@ -27,7 +28,7 @@ PACKET_FIELDS = r" (-?\d+),(-?\d+),(-?\d+),(-?\d+)"
 AGGREGATE = (r" Producer Node: (\d+) user: (\d+) flow ID: (\d+) destination Port: (\d+)"
              r" total packets: (\d+) packet IDs: ([\d,]+)")
 LATENCY = (r"^Producer ID: (\S+) Message ID: (\S+) Topic ID: (\S+) Consumer ID: (\S+) "
-           r"Production time: (\S+ \S+) Consumtion time: (\S+ \S+) Latency of this message: (.+)$")
+           r"Production time: (\S+ \S+) Consumtion time: (\S+ \S+) Latency of this message: ([^\n]+)")
 PHASES = {"add_batch": "addBatch", "get_batch": "getBatch", "latest_offset": "latestOffset",
           "query_planning": "queryPlanning", "trigger_execution": "triggerExecution", "wal_commit": "walCommit"}
 
@@ -52,39 +53,41 @@ def with_node(lines: DataFrame, name: str) -> DataFrame:
                               "instance_id": F.regexp_extract(name, NODE, 2).try_cast("int")})
 
 
-def _groups(pattern: str, names: Sequence[str | None], col: str = "value") -> list[Column]:
-    return [F.regexp_extract(col, pattern, i).alias(n) for i, n in enumerate(names, 1) if n]
+def _rows(lines: DataFrame, pattern: str, names: Sequence[str], keep: Sequence[str] = (), **convert) -> DataFrame:
+    """Rows of the lines that match, one text column per group; ``convert`` changes some of them."""
+    def fields(parts: Column) -> list[Column]:
+        found = [F.get(parts, F.lit(i)) for i in range(1, len(names) + 1)]
+        return [convert.get(n, lambda c: c)(c).alias(n) for n, c in zip(names, found)]
+
+    n = len(names)
+    return unpack(lines, match_groups(F.col("value"), pattern, n), fields, keep, matched(n))
+
+
+def _long(c: Column) -> Column:
+    return c.try_cast("long")
 
 
 def parse_producer(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Sent messages: time, topic and message id."""
-    t, topic, msg = _groups(PRODUCED, ["t", "topic_id", "msg_id"])
-    return lines.filter(F.col("value").rlike(PRODUCED)).select(*keep, log_time(t).alias("produced_ts"), topic, msg)
+    return _rows(lines, PRODUCED, ["produced_ts", "topic_id", "msg_id"], keep, produced_ts=log_time)
 
 
 def parse_confirmations(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Broker answers: 1 for a message that was stored, 0 for one that was not."""
-    bad = F.regexp_extract("value", NOT_CONFIRMED, 1)
-    good = F.regexp_extract("value", CONFIRMED, 1)
-    failed, stored = F.col("value").rlike(NOT_CONFIRMED), F.col("value").rlike(CONFIRMED)
-    return (lines.filter(failed | stored)
-                 .select(*keep, F.when(failed, bad).otherwise(good).alias("msg_id"),
-                         F.when(failed, F.lit(0)).otherwise(F.lit(1)).alias("confirmed")))
+    rows = _rows(lines, ANSWER, ["_answer", "msg_id"], keep)
+    return rows.select(*keep, "msg_id", (F.col("_answer") == STORED).cast("int").alias("confirmed"))
 
 
 def parse_consumer(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Received messages: time, producer, message, topic and offset."""
-    t, prod, msg, topic, offset = _groups(RECEIVED, ["t", "prod_id", "msg_id", "topic_id", "o"])
-    return lines.filter(F.col("value").rlike(RECEIVED)).select(
-        *keep, log_time(t).alias("consumed_ts"), prod, msg, topic, offset.try_cast("long").alias("offset"))
+    return _rows(lines, RECEIVED, ["consumed_ts", "prod_id", "msg_id", "topic_id", "offset"], keep,
+                 consumed_ts=log_time, offset=_long)
 
 
 def parse_message_ids(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Time and the text after ``Message ID: `` of each line that has one."""
-    pattern = TIME + r"INFO.*?Message ID: (.*)$"
-    t, msg = _groups(pattern, ["t", "m"])
-    return lines.filter(F.col("value").rlike(pattern)).select(
-        *keep, log_time(t).alias("consumed_ts"), F.trim(msg).alias("msg_id"))
+    return _rows(lines, TIME + r"INFO.*?Message ID: ([^\n]*)", ["consumed_ts", "msg_id"], keep,
+                 consumed_ts=log_time, msg_id=F.trim)
 
 
 def parse_coordinators(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -96,34 +99,29 @@ def parse_coordinators(lines: DataFrame, by: Sequence[str], order: str) -> DataF
 def parse_packets(lines: DataFrame, kind: str, keep: Sequence[str] = ()) -> DataFrame:
     """Packets out of ``Message produced: `` or ``Message received: `` lines, by ``kind``."""
     ts = {"produced": "produced_ts", "received": "consumed_ts"}[kind]
-    pattern = TIME + f"INFO:Message {kind}:" + PACKET_FIELDS
-    t, *ids = _groups(pattern, ["t", "node_id", "instance_id", "flow_id", "pkt_id"])
-    names = ["node_id", "instance_id", "flow_id", "pkt_id"]
-    return lines.filter(F.col("value").rlike(pattern)).select(
-        *keep, *[c.try_cast("long").alias(n) for c, n in zip(ids, names)], log_time(t).alias(ts))
+    ids = ["node_id", "instance_id", "flow_id", "pkt_id"]
+    return _rows(lines, TIME + f"INFO:Message {kind}:" + PACKET_FIELDS, [ts, *ids], keep,
+                 **{ts: log_time, **dict.fromkeys(ids, _long)})
 
 
 def parse_aggregates(lines: DataFrame) -> DataFrame:
     """Packets out of result lines with a list of packet ids; the earliest line of each packet counts."""
-    pattern = TIME + "INFO:.*?" + AGGREGATE
-    names = ["node_id", "instance_id", "flow_id", "port_id", "total_pkts", "ids"]
-    t, *fields = _groups(pattern, ["t", *names])
-    rows = lines.filter(F.col("value").rlike(pattern)).select(
-        log_time(t).alias("consumed_ts"),
-        *[c.try_cast("long").alias(n) for c, n in zip(fields[:5], names[:5])], fields[5])
+    flow = ["node_id", "instance_id", "flow_id", "port_id"]
+    rows = _rows(lines, TIME + "INFO:.*?" + AGGREGATE, ["consumed_ts", *flow, "total_pkts", "ids"],
+                 consumed_ts=log_time, **dict.fromkeys(flow, _long))
     packets = (rows.withColumn("_id", F.explode(F.split("ids", ",")))
                    .withColumn("pkt_id", F.col("_id").try_cast("long")))
     return (packets.filter(F.col("pkt_id").isNotNull())
-                   .groupBy("node_id", "instance_id", "flow_id", "port_id", "pkt_id")
-                   .agg(F.min("consumed_ts").alias("consumed_ts")))
+                   .groupBy(*flow, "pkt_id").agg(F.min("consumed_ts").alias("consumed_ts")))
 
 
 def parse_progress(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Phase times in ms out of logged progress; a phase that is not named is null."""
     durations = F.regexp_extract("value", r"'durationMs': \{([^}]*)\}", 1)
-    rows = lines.filter(F.col("value").contains("'durationMs': ")).withColumn("_d", durations)
-    return rows.select(*keep, *[F.regexp_extract("_d", f"'{key}': (\\d+)", 1).try_cast("long").alias(n)
-                                for n, key in PHASES.items()])
+    phases = F.str_to_map(F.translate(durations, "' ", ""), F.lit(","), F.lit(":"))
+    rows = lines.filter(F.col("value").contains("'durationMs': "))
+    return unpack(rows, phases, lambda m: [_long(F.try_element_at(m, F.lit(key))).alias(n)
+                                           for n, key in PHASES.items()], keep)
 
 
 def parse_leaders(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -135,11 +133,9 @@ def parse_leaders(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 
 def parse_latency(lines: DataFrame, trunc: bool = False) -> DataFrame:
     """Reported latencies back out of a latency log."""
-    names = ["prod_id", "msg_id", "topic_id", "consumer_id", "p", "c", "d"]
-    *ids, p, c, d = _groups(LATENCY, names)
-    return lines.filter(F.col("value").rlike(LATENCY)).select(
-        *ids, log_time(p).alias("produced_ts"), log_time(c).alias("consumed_ts"),
-        duration_seconds(d, trunc).alias("latency_s"))
+    names = ["prod_id", "msg_id", "topic_id", "consumer_id", "produced_ts", "consumed_ts", "latency_s"]
+    return _rows(lines, LATENCY, names, produced_ts=log_time, consumed_ts=log_time,
+                 latency_s=lambda c: duration_seconds(c, trunc))
 
 
 COUNTERS = r"(\d+):\s*rx pkts=(\d+), bytes=(\d+)[\s\S]*?tx pkts=(\d+), bytes=(\d+)"
@@ -147,11 +143,9 @@ COUNTERS = r"(\d+):\s*rx pkts=(\d+), bytes=(\d+)[\s\S]*?tx pkts=(\d+), bytes=(\d
 
 def parse_port_counters(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Port number and the four counters out of two-line records (receive line, then send line)."""
-    names = ["port", "rx_pkts", "rx_bytes", "tx_pkts", "tx_bytes"]
-    fields = [F.regexp_extract("value", COUNTERS, i) for i in range(1, 6)]
-    return records.filter(F.col("value").rlike(COUNTERS)).select(
-        *keep, fields[0].try_cast("int").alias("port"),
-        *[f.try_cast("long").alias(n) for f, n in zip(fields[1:], names[1:])])
+    counters = ["rx_pkts", "rx_bytes", "tx_pkts", "tx_bytes"]
+    return _rows(records, COUNTERS, ["port", *counters], keep, port=lambda c: c.try_cast("int"),
+                 **dict.fromkeys(counters, _long))
 
 
 def read_port_counters(spark: SparkSession, path: str) -> DataFrame:
@@ -175,11 +169,9 @@ def parse_series(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def parse_process_metrics(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``<time>, CPU: x%, Memory: y MB`` lines."""
-    pattern = r"^([^,]*), CPU: ([\d.]+)%, Memory: ([\d.]+) MB"
-    return lines.filter(F.col("value").rlike(pattern)).select(
-        *keep, F.regexp_extract("value", pattern, 1).try_cast("timestamp").alias("ts"),
-        F.regexp_extract("value", pattern, 2).try_cast("double").alias("cpu"),
-        F.regexp_extract("value", pattern, 3).try_cast("double").alias("mem"))
+    return _rows(lines, r"^([^,]*), CPU: ([\d.]+)%, Memory: ([\d.]+) MB", ["ts", "cpu", "mem"], keep,
+                 ts=lambda c: c.try_cast("timestamp"), cpu=lambda c: c.try_cast("double"),
+                 mem=lambda c: c.try_cast("double"))
 
 
 def parse_integers(lines: DataFrame, name: str = "broker") -> DataFrame:
