@@ -59,22 +59,54 @@ def assign_region(points: DataFrame, lon: str, lat: str, regions: DataFrame, nam
     becomes one array value, and the test is row-local: no shuffle, and it works
     on a stream. For a larger set use ``assign_region_by_cell``.
     """
-    bounded = _with_bounds(regions)
+    bounded = _with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL")
     rows, corners = bounded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("coord")), F.lit(0))).first()
     if rows > max_regions or corners > max_corners:
         raise ValueError(f"{rows} regions with {corners} corners; use assign_region_by_cell")
-    listed = bounded.agg(F.sort_array(F.collect_list(
-        F.struct("ordinal", "name", "west", "east", "south", "north", "coord")))).first()[0]
+    if rows == 0:
+        return points.withColumn(name, F.lit(default))
+    listed = bounded.orderBy("ordinal").collect()
+    grid = _Grid(listed)
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    tests = F.when(F.lit(False), F.lit(default))
-    for r in listed:
-        inside = in_box(x, y, r["west"], r["east"], r["south"], r["north"]) & \
-            point_in_polygon(x, y, F.from_json(F.lit(json.dumps(r["coord"])), "array<array<double>>"))
-        tests = tests.when(inside, F.lit(r["name"]))
+    shapes = F.from_json(F.lit(json.dumps([{"n": r["name"], "c": r["coord"]} for r in listed])),
+                         "array<struct<n:string,c:array<array<double>>>>")
+    inside = F.filter(grid.candidates(x, y), lambda i: point_in_polygon(x, y, F.get(shapes, i)["c"]))
+    found = F.get(shapes, F.get(inside, F.lit(0)))["n"]
     if box is not None:
         west, east, south, north = box
-        tests = F.when((x >= west) & (x < east) & (y >= south) & (y < north), tests)
-    return points.withColumn(name, F.coalesce(tests, F.lit(default)))
+        found = F.when((x >= west) & (x < east) & (y >= south) & (y < north), found)
+    return points.withColumn(name, F.coalesce(found, F.lit(default)))
+
+
+class _Grid:
+    """Which regions' bounding boxes touch a cell of an even grid over all of them."""
+
+    def __init__(self, listed, side: int = 32):
+        self.side = side
+        self.x = min(r["west"] for r in listed), max(r["east"] for r in listed)
+        self.y = min(r["south"] for r in listed), max(r["north"] for r in listed)
+        self.cells: list[list[int]] = [[] for _ in range(side * side)]
+        for i, r in enumerate(listed):
+            for cy in range(self._cell(r["south"], self.y), self._cell(r["north"], self.y) + 1):
+                for cx in range(self._cell(r["west"], self.x), self._cell(r["east"], self.x) + 1):
+                    self.cells[cy * side + cx].append(i)
+
+    def _cell(self, value: float, ends: tuple[float, float]) -> int:
+        low, high = ends
+        return min(int((value - low) / (high - low) * self.side), self.side - 1) if high > low else 0
+
+    def _cell_column(self, value: Column, ends: tuple[float, float]) -> Column:
+        low, high = ends
+        if high <= low:
+            return F.lit(0)
+        place = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(float(self.side)))
+        return F.least(place, F.lit(self.side - 1)).cast("int")
+
+    def candidates(self, x: Column, y: Column) -> Column:
+        """Positions of the regions that may contain the point, in order; null outside all of them."""
+        cells = F.from_json(F.lit(json.dumps(self.cells)), "array<array<int>>")
+        at = self._cell_column(y, self.y) * self.side + self._cell_column(x, self.x)
+        return F.when(x.between(*self.x) & y.between(*self.y), F.get(cells, at))
 
 
 def assign_region_by_cell(points: DataFrame, key: str, lon: str, lat: str, regions: DataFrame, cell: float,
