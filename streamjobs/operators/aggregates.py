@@ -53,8 +53,10 @@ def segmented_sets(df: DataFrame, keys: Sequence[str], item: str, target: int =
     placed = (counted.join(large, same, "left")
               .withColumn("segment", F.when(F.col("_segments").isNull(), F.lit(0).cast("long"))
                           .otherwise(F.pmod(F.xxhash64(item), F.col("_segments")).cast("long"))))
-    sets = (placed.groupBy(*keys, "segment")
-                  .agg(F.sort_array(F.collect_list(item)).alias("items")).alias("s"))
+    # The counts stay with the items so that both uses of ``counted`` read the same columns,
+    # and its shuffle runs once.
+    pairs = F.sort_array(F.collect_list(F.struct(item, "_n")))
+    sets = (placed.groupBy(*keys, "segment").agg(F.transform(pairs, lambda p: p[item]).alias("items")).alias("s"))
     totals = totals.alias("t")
     on = F.lit(True)
     for k in keys:

@@ -6,7 +6,7 @@ the consumers of a run are few. Cells are written out only where asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.scalar import topic_colour
@@ -23,30 +23,56 @@ def consumer_list(consumers: DataFrame, max_consumers: int = 10_000) -> list:
     return sorted(ids)
 
 
+_BITS = 62
+
+
+def _masks(consumers: list) -> list[Column]:
+    """The set of ``_consumer`` values as bits of a few whole numbers."""
+    place = F.array_position(F.lit([int(c) for c in consumers]), F.col("_consumer")).cast("int") - 1
+    masks = []
+    for word in range((len(consumers) + _BITS - 1) // _BITS):
+        bit = F.when(F.floor(place / _BITS) == word, F.call_function("shiftleft", F.lit(1).cast("long"), place % _BITS))
+        masks.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias(f"_mask{word}"))
+    return masks
+
+
+def _bit_test(mask: Column, present: bool):
+    wanted = 1 if present else 0
+    return lambda _, i: F.call_function("shiftright", mask, i) % 2 == wanted
+
+
+def _members(consumers: list, present: bool) -> Column:
+    """The consumers whose bit is set, or is not."""
+    parts = []
+    for word in range((len(consumers) + _BITS - 1) // _BITS):
+        chunk = [int(c) for c in consumers[word * _BITS:(word + 1) * _BITS]]
+        parts.append(F.filter(F.lit(chunk), _bit_test(F.col(f"_mask{word}"), present)))
+    return F.concat(*parts) if parts else F.array().cast("array<int>")
+
+
 def delivery_states(prod: DataFrame, cons: DataFrame, consumers: list,
                     confirmations: DataFrame | None = None) -> DataFrame:
     """One row per message: ``received`` and ``missing`` consumers, and ``unconfirmed``.
 
     Producer lines, receipts and confirmations are brought together by one
-    grouping on the message, whose set of consumers cannot exceed the consumer list.
+    grouping on the message. Its state is a few whole numbers (the topic's
+    number, one bit per consumer), so repeats of a message are merged in a hash
+    table before the shuffle.
     """
-    nothing = F.lit(None)
-    rows = prod.select(*MESSAGE[:2], "topic_id", F.lit(True).alias("_sent"), nothing.cast("int").alias("_consumer"),
-                       F.lit(False).alias("_unconfirmed"))
-    known = F.col("consumer_id").isin(consumers)
-    rows = rows.unionByName(cons.filter(known).select(
-        *MESSAGE[:2], nothing.cast("string").alias("topic_id"), F.lit(False).alias("_sent"),
-        F.col("consumer_id").cast("int").alias("_consumer"), F.lit(False).alias("_unconfirmed")))
+    def rows(df: DataFrame, sent: bool, topic: Column | None = None, consumer: Column | None = None) -> DataFrame:
+        return df.select(*MESSAGE[:2], (F.lit(None) if topic is None else topic).try_cast("long").alias("topic_id"),
+                         F.lit(sent).alias("_sent"),
+                         (F.lit(None).cast("int") if consumer is None else consumer.cast("int")).alias("_consumer"),
+                         F.lit(not sent and consumer is None).alias("_unconfirmed"))
+
+    together = rows(prod, True, topic=F.col("topic_id")).unionByName(rows(cons, False, consumer=F.col("consumer_id")))
     if confirmations is not None:
-        rows = rows.unionByName(confirmations.filter(F.col("confirmed") == 0).select(
-            *MESSAGE[:2], nothing.cast("string").alias("topic_id"), F.lit(False).alias("_sent"),
-            nothing.cast("int").alias("_consumer"), F.lit(True).alias("_unconfirmed")))
-    grouped = rows.groupBy(*MESSAGE[:2]).agg(
-        F.max("_sent").alias("_sent"), F.min("topic_id").alias("topic_id"),
-        F.max("_unconfirmed").alias("unconfirmed"), F.sort_array(F.collect_set("_consumer")).alias("received"))
-    everyone = F.lit([int(c) for c in consumers])
-    return (grouped.filter("_sent")
-                   .select(*MESSAGE, "unconfirmed", "received", F.array_except(everyone, "received").alias("missing")))
+        together = together.unionByName(rows(confirmations.filter(F.col("confirmed") == 0), False))
+    grouped = together.groupBy(*MESSAGE[:2]).agg(
+        F.bool_or("_sent").alias("_sent"), F.min("topic_id").alias("topic_id"),
+        F.bool_or("_unconfirmed").alias("unconfirmed"), *_masks(consumers))
+    return grouped.filter("_sent").select(*MESSAGE[:2], F.col("topic_id").cast("string").alias("topic_id"), "unconfirmed", _members(consumers, True).alias("received"),
+                                          _members(consumers, False).alias("missing"))
 
 
 def delivery_matrix(states: DataFrame, consumers: list, n_topics: int) -> DataFrame:

@@ -43,6 +43,11 @@ def _sum_before(col: str, window) -> Column:
     return F.coalesce(F.sum(col).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def _sums(col: str, window) -> Column:
+    everything = F.sum(col).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.struct(_sum_before(col, window).alias("before"), everything.alias("whole"))
+
+
 def _last_before(col: str, window) -> Column:
     return F.lag(col).over(window)
 
@@ -68,21 +73,25 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     return joined.select(*df.columns, previous.alias(name))
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Sum of ``value`` up to and including each row within its key."""
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
+                   whole: str | None = None) -> DataFrame:
+    """Sum of ``value`` up to and including each row within its key; ``whole`` names a column for the key's sum."""
     parts = range_parts(df, [*keys, *order])
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumn("_running", F.sum(value).over(inside))
-    joined = _with_preceding(parts, local, keys, F.sum(value), _sum_before, "_before")
-    return joined.select(*df.columns, (F.col("_running") + F.col("_before")).alias(name))
+    joined = _with_preceding(parts, local, keys, F.sum(value), _sums, "_sums")
+    columns = [(F.col("_running") + F.col("_sums.before")).alias(name)]
+    if whole:
+        columns.append(F.col("_sums.whole").alias(whole))
+    return joined.select(*df.columns, *columns)
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Per distinct value (and key): how often it occurs and how many rows are at or below it.
+    """Per distinct value (and key): ``n_rows`` with it, ``n_cumulative`` at or below it, ``n_total`` of the key.
 
     The rows are counted per value first, so a value that fills a third of the
     table is one row when the sorting begins. Null values are left out.
     """
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                 .agg(F.count(F.lit(1)).alias("n_rows")))
-    return running_totals(counts, keys, [value], "n_rows", "n_cumulative")
+    return running_totals(counts, keys, [value], "n_rows", "n_cumulative", whole="n_total")

@@ -42,12 +42,7 @@ def histogram(df: DataFrame, col: str, bins: int = 28) -> DataFrame:
 def cdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows at or below each distinct value."""
     cumulative = cumulative_counts(df, col, by)
-    if not by:
-        total = cumulative.agg(F.max("n_cumulative")).scalar()
-        return cumulative.select(col, "n_rows", (F.col("n_cumulative") / total).alias("share"))
-    totals = cumulative.groupBy(*by).agg(F.max("n_cumulative").alias("_total"))
-    return (cumulative.join(totals, list(by))
-                      .select(*by, col, "n_rows", (F.col("n_cumulative") / F.col("_total")).alias("share")))
+    return cumulative.select(*by, col, "n_rows", (F.col("n_cumulative") / F.col("n_total")).alias("share"))
 
 
 def kde(df: DataFrame, col: str, points: int = 200, cumulative: bool = False) -> DataFrame:
@@ -88,39 +83,37 @@ def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: Sequence[str
     Built on running counts per distinct value: the value at a rank is the
     smallest one whose running count exceeds it, a plain minimum.
     """
-    running = cumulative_counts(df, col, by)
-    if by:
-        totals = running.groupBy(*by).agg(F.max("n_cumulative").alias("_total"))
-        running = running.join(totals, list(by))
-    else:
-        running = running.withColumn("_total", running.agg(F.max("n_cumulative")).scalar())
+    return _quantiles(cumulative_counts(df, col, by), col, probs, by)
+
+
+def _quantiles(running: DataFrame, col: str, probs: dict[str, float], by: Sequence[str]) -> DataFrame:
     picks = []
     for name, p in probs.items():
-        rank = (F.col("_total") - 1) * F.lit(float(p))
+        rank = (F.col("n_total") - 1) * F.lit(float(p))
         for end, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             picks.append(F.min(F.when(F.col("n_cumulative") > at, F.col(col))).alias(f"_{name}_{end}"))
-    picked = running.groupBy(*by).agg(F.max("_total").alias("n_rows"), *picks)
+    picked = running.groupBy(*by).agg(F.max("n_total").alias("_total"), *picks)
 
     def between(name: str, p: float) -> Column:
-        rank = (F.col("n_rows") - 1) * F.lit(float(p))
+        rank = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         return (low + (high - low) * (rank - F.floor(rank))).alias(name)
 
-    return picked.select(*by, "n_rows", *[between(name, p) for name, p in probs.items()])
+    return picked.select(*by, F.col("_total").alias("n_rows"), *[between(name, p) for name, p in probs.items()])
 
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and number of outliers."""
-    quartiles = quantiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    counted = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    counted = cumulative_counts(df, col, by)
+    quartiles = _quantiles(counted, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by).drop("n_rows")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(col).between(F.col("q1") - reach, F.col("q3") + reach)
     return (counted.join(quartiles, list(by))
-                   .groupBy(*by).agg(F.max("n_rows").alias("n_rows"), F.max("q1").alias("q1"),
+                   .groupBy(*by).agg(F.max("n_total").alias("n_rows"), F.max("q1").alias("q1"),
                                      F.max("median").alias("median"), F.max("q3").alias("q3"),
                                      F.min(F.when(inside, F.col(col))).alias("whisker_low"),
                                      F.max(F.when(inside, F.col(col))).alias("whisker_high"),
-                                     F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers")))
+                                     F.sum(F.when(inside, 0).otherwise(F.col("n_rows"))).alias("n_outliers")))
 
 
 def cross_corr(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
