@@ -24,6 +24,28 @@ HEADLINE = [
 ]
 
 
+def trigger_ms(spark, sf_dir: str, files: int = 12) -> dict:
+    """Mean time of a trigger of the port statistics stream, one input file per trigger, without the first."""
+    from streamjobs.catalog.ports import packet_messages
+    from streamjobs.catalog.registry import table
+    from streamjobs.operators.progress import trigger_stats
+    from streamjobs.plans import port_statistics as ports
+    from streamjobs.session import fresh_path
+    from streamjobs.sources.topics import file_source, read_topic
+    from streamjobs.streaming import sinks
+    from streamjobs.streaming.progress import progress_table
+
+    topic, out = fresh_path(spark, "bench-topic"), fresh_path(spark, "bench-out")
+    packet_messages(table(spark, sf_dir, "events")).repartition(files).write.text(topic)
+    stream = read_topic(spark, file_source(topic, "text", maxFilesPerTrigger="1"))
+    stats = ports.running_statistics(ports.packets(stream))
+    query = sinks.start_foreach_batch(
+        stats, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/b={n}"), "update", available_now=True)
+    query.awaitTermination()
+    row = trigger_stats(progress_table(spark, query)).first()
+    return {"triggers": row["n_triggers"], "mean_ms": round(row["steady_ms"], 1)}
+
+
 def main() -> None:
     from streamjobs.catalog import QUERIES
     from streamjobs.session import build_session
@@ -47,6 +69,7 @@ def main() -> None:
     copied = times.get("topic_copy")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": Path(sf_dir).name.removeprefix("sf"),
+                      "port_statistics_trigger": None if sys.argv[1:] else trigger_ms(spark, sf_dir),
                       "topic_copy_messages_per_s": round(rows / copied) if copied else None}))
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streamjobs.catalog.registry import query, rounded, table
-from streamjobs.functions.randoms import hash_uniform
+from streamjobs.functions.randoms import hash_uniform, poisson_law
 from streamjobs.operators.sampling import balance, latin_hypercube, split_by_key, unit_hypercube
+from streamjobs.session import spread
 from streamjobs.sources import files, generators
 
 # The knobs of a run as (name, min, max), and the options of the named one.
@@ -102,12 +103,32 @@ def packet_flows(spark, sf):
     return packets.select("node_id", "instance_id", "flow_id", "pkt_id", "src_port", "dst_port", "payload_length")
 
 
-@query()
+_LETTERS = " || ".join(
+    f"""substr('{generators.ALPHABET}', CAST(floor(CAST(CAST('0x' || substr(d, {i * 5 + 1}, 5) AS BIGINT) AS DOUBLE) / 1048576.0 * 62)
+        AS BIGINT) + 1, 1)""" for i in range(12))
+
+
+@query(f"""WITH f AS (SELECT s_nationkey, s_suppkey, {int_sql(0, 200, '11n', *_WHO)} AS n FROM supplier),
+     p AS (SELECT s_nationkey, s_suppkey, unnest(range(1, n + 1)) AS pkt_id FROM f),
+     q AS (SELECT *, {int_sql(1, 1500, '11l', *_WHO, 'pkt_id')} AS len FROM p),
+     b AS (SELECT *, unnest(range(0, (len - 1) // 12 + 1)) AS block FROM q),
+     d AS (SELECT *, sha256('11p|' || s_nationkey || '|1|' || s_suppkey || '|' || pkt_id || '|' || block) AS d FROM b),
+     t AS (SELECT s_nationkey, s_suppkey, pkt_id, len, substr(string_agg({_LETTERS}, '' ORDER BY block), 1, len) AS payload
+           FROM d GROUP BY s_nationkey, s_suppkey, pkt_id, len)
+   SELECT s_suppkey AS flow_id, pkt_id, s_nationkey || ',1,' || s_suppkey || ',' || pkt_id || ',192.168.1.11,20.198.162.76,6,'
+          || {int_sql(49152, 65535, '11s', *_WHO, 'pkt_id')} || ','
+          || ['20', '443', '25', '53'][{int_sql(0, 3, '11d', *_WHO, 'pkt_id')} + 1] || ',' || len || ',' || payload AS value FROM t""")
 def packet_flow_messages(spark, sf):
-    return generators.packet_flows(_flows(spark, sf), 11).select("flow_id", "pkt_id", "value")
+    return generators.packet_flows(spread(_flows(spark, sf)), 11).select("flow_id", "pkt_id", "value")
+
+
+_CUMULATIVE = ", ".join(repr(c) for c in poisson_law(generators.FLOW_GAP_SECONDS))
 
 
-@query()
+@query(f"""WITH g AS (SELECT s_nationkey AS node_id, s_suppkey AS flow_id,
+             len(list_filter([{_CUMULATIVE}], lambda c: c <= {uniform_sql('11g', *_WHO)})) AS gap_s FROM supplier)
+   SELECT node_id, CAST(1 AS INTEGER) AS instance_id, flow_id, gap_s,
+          CAST(sum(gap_s) OVER (PARTITION BY node_id ORDER BY flow_id) AS BIGINT) - gap_s AS start_s FROM g""")
 def flow_starts(spark, sf):
     return generators.flow_starts(_flows(spark, sf), 11)
 
@@ -117,9 +138,9 @@ def _u_sql(dim: str) -> str:
                 + {uniform_sql('7i', f"'{dim}'", 'p_partkey')}) / (SELECT count(*) FROM part)"""
 
 
-@query(f"""SELECT p_partkey, round({_u_sql('a')}, 12) AS a, round({_u_sql('b')}, 12) AS b FROM part""")
+@query(f"""SELECT p_partkey, round({_u_sql('a')}, 9) AS a, round({_u_sql('b')}, 9) AS b FROM part""")
 def unit_samples(spark, sf):
-    return rounded(unit_hypercube(table(spark, sf, "part"), "p_partkey", ["a", "b"], 7), 12, "a", "b")
+    return rounded(unit_hypercube(table(spark, sf, "part"), "p_partkey", ["a", "b"], 7), 9, "a", "b")
 
 
 @query("SELECT p_partkey, " + ", ".join(

@@ -178,14 +178,14 @@ def log_process_metrics(spark, sf):
     return plain(logs.parse_process_metrics(lines, ["event_id"]))
 
 
-@query("""SELECT user_id, round(avg(value), 6) AS avg_cpu, avg(CAST(user_id AS DOUBLE)) + 0.5 AS avg_mem
+@query("""SELECT user_id, round(avg(value), 9) AS avg_cpu, avg(CAST(user_id AS DOUBLE)) + 0.5 AS avg_mem
           FROM events GROUP BY user_id""")
 def resource_usage(spark, sf):
     lines = table(spark, sf, "events", heavy=True).select("user_id", F.concat(
         F.lit("2024-01-01 00:00:00, CPU: "), "value", F.lit("%, Memory: "), F.col("user_id") + F.lit(0.5),
         F.lit(" MB")).alias("value"))
     means = network.mean_resources(logs.parse_process_metrics(lines, ["user_id"]), ["user_id"])
-    return means.withColumn("avg_cpu", F.round("avg_cpu", 6))
+    return means.withColumn("avg_cpu", F.round("avg_cpu", 9))
 
 
 @query("""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id)) * CAST(0.5 AS DOUBLE) AS time_s, value AS reading

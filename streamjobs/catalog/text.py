@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamjobs.catalog.registry import plain, query, stream, table
 from streamjobs.functions.text import clean_posts, score_sentiment, scores_by_join
 from streamjobs.operators.aggregates import word_count as count_words
 from streamjobs.plans import document_analytics as docs
 from streamjobs.plans.text_sentiment import sentiment
+from streamjobs.session import fresh_path
+from streamjobs.sources.topics import file_source, read_topic
 from streamjobs.streaming.runs import collect_append, collect_complete
+from streamjobs.streaming.sinks import file_sink, start
 
 # A small lexicon of words that occur in the texts: word, polarity, subjectivity.
 LEXICON = [("the", 0.25, 0.5), ("and", 0.5, 0.25), ("of", -0.25, 0.75), ("is", 0.75, 1.0), ("with", -0.5, 0.5),
@@ -63,10 +67,31 @@ def doc_avg_distinct_words_approx(spark, sf):
     return docs.mean_terms(docs.tagged_terms(terms), approx=True)
 
 
+def _term_topic(spark, sf) -> str:
+    """First stage: a stream of documents to a topic of tagged words, as text files."""
+    path = fresh_path(spark, "terms")
+    lines = docs.tagged_terms(docs.document_terms_once(messages(stream(spark, sf, "documents"))))
+    start(lines.filter(F.col("value").isNotNull()), file_sink(path), "append", available_now=True).awaitTermination()
+    return path
+
+
+@query("""SELECT DISTINCT 'Topic: ' || source || ' File: ' || doc_id || '  Word: ' || word || '  Frequency: 1' AS value
+          FROM (SELECT source, doc_id, unnest(string_split(text, ' ')) AS word FROM documents)""")
+def doc_term_topic_stream(spark, sf):
+    return spark.read.schema("value string").parquet(_term_topic(spark, sf))
+
+
 @query(_MEAN)
 def doc_avg_distinct_words_stream(spark, sf):
-    first = collect_complete(docs.tagged_terms(docs.document_terms(messages(stream(spark, sf, "documents")))))
-    return docs.mean_terms(first)
+    """The tagged words of the stream, averaged exactly by a batch."""
+    return docs.mean_terms(spark.read.schema("value string").parquet(_term_topic(spark, sf)))
+
+
+@query()
+def doc_avg_chained_streams(spark, sf):
+    """Both stages as streams, the second reading what the first has written."""
+    source = file_source(_term_topic(spark, sf), schema=T.StructType([T.StructField("value", T.StringType())]))
+    return collect_complete(docs.running_mean_terms(read_topic(spark, source)))
 
 
 _CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p,

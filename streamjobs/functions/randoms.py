@@ -36,23 +36,37 @@ def hash_normal(mean: float, sd: float, seed: int | str, *keys: Column) -> Colum
     return F.lit(mean) + F.lit(sd) * F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0) * F.pi() * v)
 
 
-def hash_poisson(mean: float, seed: int | str, *keys: Column) -> Column:
-    """Poisson count, by looking the uniform value up in the cumulative law."""
+def poisson_law(mean: float) -> list[float]:
+    """Probabilities of at most 0, 1, 2, ... events, up to one that is 1 but for rounding."""
     cumulative, total, k = [], 0.0, 0
     while k <= mean or total < 1.0 - 1e-12:
         total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
         cumulative.append(total)
         k += 1
+    return cumulative
+
+
+def hash_poisson(mean: float, seed: int | str, *keys: Column) -> Column:
+    """Poisson count, by looking the uniform value up in the cumulative law."""
     u = hash_uniform(seed, *keys)
-    return F.size(F.filter(F.lit(cumulative), lambda c: c <= u)).cast("long")
+    return F.size(F.filter(F.lit(poisson_law(mean)), lambda c: c <= u)).cast("long")
 
 
-def hash_text(length: Column, alphabet: str, seed: int | str, *keys: Column) -> Column:
-    """Random text of ``length`` characters of ``alphabet``."""
-    letters = F.lit(alphabet)
+# Letters per SHA-256 digest, and hexadecimal digits per letter.
+_LETTERS, _LETTER_DIGITS = 12, 5
 
-    def letter(i: Column) -> Column:
-        return F.substring(letters, (F.floor(hash_uniform(seed, *keys, i) * len(alphabet)) + 1).cast("int"), F.lit(1))
 
-    numbers = F.when(length > 0, F.sequence(F.lit(1), length.cast("int")))
-    return F.coalesce(F.array_join(F.transform(numbers, letter), ""), F.lit(""))
+def hash_text(length: Column, alphabet: str, seed: int | str, *keys: Column) -> Column:
+    """Random text of ``length`` characters of ``alphabet``; each digest gives twelve of them."""
+    letters, n = F.lit(alphabet), length.cast("int")
+    key = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+
+    def letter(digest: Column, i: int) -> Column:
+        part = F.conv(F.substring(digest, i * _LETTER_DIGITS + 1, _LETTER_DIGITS), 16, 10).cast("double")
+        place = F.floor(part / float(16 ** _LETTER_DIGITS) * len(alphabet)) + 1
+        return F.substring(letters, place.cast("int"), F.lit(1))
+
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _LETTERS).cast("int")))
+    digests = F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", key, b.cast("string")), 256))
+    texts = F.transform(digests, lambda d: F.concat(*[letter(d, i) for i in range(_LETTERS)]))
+    return F.coalesce(F.substring(F.array_join(texts, ""), F.lit(1), n), F.lit(""))

@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamjobs.functions.geo import in_box, point_in_polygon
-from streamjobs.functions.randoms import hash_int
+from streamjobs.functions.geo import point_in_polygon
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
@@ -109,27 +108,33 @@ class _Grid:
         return F.when(x.between(*self.x) & y.between(*self.y), F.get(cells, at))
 
 
-def assign_region_by_cell(points: DataFrame, key: str, lon: str, lat: str, regions: DataFrame, cell: float,
-                          name: str = "region", default: str = "Other", salts: int = 1) -> DataFrame:
-    """The same assignment for any number of regions, as an equi-join on grid cells.
+def assign_region_by_cell(points: DataFrame, lon: str, lat: str, regions: DataFrame, cell: float,
+                          name: str = "region", default: str = "Other", salts: int = 1,
+                          max_per_cell: int = 1000) -> DataFrame:
+    """The same assignment for any number of regions, as one equi-join on grid cells.
 
-    Each region is listed in the cells its bounding box touches. ``salts`` copies
-    the regions so that a crowded cell is met by several tasks. ``key`` must be
-    unique among the points.
+    Each region is listed in the cells its bounding box touches, and each cell
+    is one row with its regions in order, so a point meets one row and the first
+    match is found inside it. The number of regions per cell is checked: a
+    smaller ``cell`` makes it smaller. ``salts`` copies the cells so that a
+    crowded one is met by several tasks.
     """
     def cell_of(c: Column) -> Column:
         return F.floor(c / F.lit(cell))
 
-    r = _with_bounds(regions)
-    cells = (r.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("west")), cell_of(F.col("east")))))
-              .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("south")), cell_of(F.col("north")))))
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-              .withColumnRenamed("name", "_region"))
+    listed = (_with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL")
+              .withColumn("_cx", F.explode(F.sequence(cell_of(F.col("west")), cell_of(F.col("east")))))
+              .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("south")), cell_of(F.col("north"))))))
+    fullest = listed.groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] or 0
+    if fullest > max_per_cell:
+        raise ValueError(f"{fullest} regions in one cell; use a smaller cell than {cell}")
+    cells = (listed.groupBy("_cx", "_cy")
+                   .agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "coord"))).alias("_regions"))
+                   .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    located = (points.withColumn("_cx", cell_of(x)).withColumn("_cy", cell_of(y))
-                     .withColumn("_salt", hash_int(0, salts - 1, "salt", F.col(key))))
-    inside = in_box(x, y, F.col("west"), F.col("east"), F.col("south"), F.col("north")) & \
-        point_in_polygon(x, y, F.col("coord"))
-    hits = (located.join(cells, ["_cx", "_cy", "_salt"]).filter(inside)
-                   .groupBy(key).agg(F.min_by("_region", "ordinal").alias(name)))
-    return points.join(hits, key, "left").fillna(default, subset=[name])
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    located = points.withColumns({"_cx": cell_of(x), "_cy": cell_of(y), "_salt": salt})
+    inside = F.filter("_regions", lambda r: point_in_polygon(x, y, r["coord"]))
+    joined = located.join(cells, ["_cx", "_cy", "_salt"], "left")
+    return (joined.withColumn(name, F.coalesce(F.get(inside, F.lit(0))["name"], F.lit(default)))
+                  .select(*points.columns, name))

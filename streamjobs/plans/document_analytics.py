@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.parsing import split_tags
+from streamjobs.functions.text import words
 from streamjobs.operators.aggregates import avg_distinct_terms, distinct_terms
 
 FIRST_STAGE = [(" File: ", "file"), (" Topic: ", "topic")]
@@ -17,6 +18,21 @@ def document_terms(messages: DataFrame) -> DataFrame:
     return distinct_terms(split_tags(messages, FIRST_STAGE), ["topic", "file"])
 
 
+def document_terms_once(messages: DataFrame) -> DataFrame:
+    """The first stage for an append stream: each word of a document is emitted when it first occurs.
+
+    Its frequency is 1 from then on, so nothing is ever emitted again and the
+    second stage may simply add up.
+    """
+    found = words(split_tags(messages, FIRST_STAGE), ["topic", "file"])
+    return found.dropDuplicates(["topic", "file", "word"]).withColumn("frequency", F.lit(1).cast("long"))
+
+
+def running_mean_terms(tagged: DataFrame) -> DataFrame:
+    """The second stage as one stateful aggregation over lines that are emitted once."""
+    return avg_distinct_terms(parse_terms(tagged), approx=True)
+
+
 def tagged_terms(terms: DataFrame) -> DataFrame:
     """The text form in which the first stage hands its rows to the second."""
     return terms.select(F.concat(F.lit("Topic: "), "topic", F.lit(" File: "), "file", F.lit("  Word: "), "word",

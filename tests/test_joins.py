@@ -66,7 +66,7 @@ def test_assign_region_by_cell(points, regions):
     data, df = points
     for cell, salts in ((0.7, 1), (3.0, 5)):
         got = {r["id"]: r["region"]
-               for r in assign_region_by_cell(df, "id", "x", "y", regions, cell, salts=salts).collect()}
+               for r in assign_region_by_cell(df, "x", "y", regions, cell, salts=salts).collect()}
         assert got == expected(data)
 
 
@@ -75,6 +75,8 @@ def test_no_regions_and_too_many(points, regions):
     assert {r["region"] for r in assign_region(df, "x", "y", regions.limit(0)).collect()} == {"Other"}
     with pytest.raises(ValueError):
         assign_region(df, "x", "y", regions, max_regions=2)
+    with pytest.raises(ValueError):
+        assign_region_by_cell(df, "x", "y", regions, 5.0, max_per_cell=1)
 
 
 def sides(spark):
