@@ -78,18 +78,24 @@ def windowed_distinct(df: DataFrame, ts: str, size: str, by: Sequence[str], item
     return sets.select("window_start", "window_end", *by, "segment", "n_items", "items")
 
 
-def windowed_distinct_approx(df: DataFrame, ts: str | Column, size: str, by: Sequence[str], item: str,
-                             block: Column | None = None) -> DataFrame:
-    """One stateful aggregation, fit for a stream: approximate distinct count and the set.
+def windowed_distinct_approx(df: DataFrame, ts: str | Column, size: str, by: Sequence[str], item: str) -> DataFrame:
+    """Tumbling windows: approximate number of distinct items, with a state of fixed size per group."""
+    counted = df.groupBy(F.window(ts, size).alias("window"), *by).agg(F.approx_count_distinct(item).alias("n_items"))
+    return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n_items")
 
-    ``block`` splits the set of a large group into several rows, for instance by
-    a range of ids; the count is then that of the block.
+
+def windowed_sets(df: DataFrame, ts: str | Column, size: str, by: Sequence[str], item: str,
+                  segments: int = 64) -> DataFrame:
+    """Tumbling windows: the items themselves, as one stateful aggregation for a stream.
+
+    A group is spread over ``segments`` rows by the hash of the item; together
+    they hold every item once, and their ``n_items`` add up to the exact count.
     """
-    keys = [F.window(ts, size).alias("window"), *by]
-    if block is not None:
-        keys.append(block.alias("block"))
-    return df.groupBy(*keys).agg(F.approx_count_distinct(item).alias("n_items"),
-                                 F.sort_array(F.collect_set(item)).alias("items"))
+    segment = F.pmod(F.xxhash64(item), F.lit(segments)).cast("int").alias("segment")
+    grouped = df.groupBy(F.window(ts, size).alias("window"), *by, segment).agg(
+        F.sort_array(F.collect_set(item)).alias("items"))
+    return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by,
+                          "segment", F.size("items").alias("n_items"), "items")
 
 
 def sliding_avg(df: DataFrame, ts: str | Column, value: str, by: Sequence[str], size: str = "30 minutes",

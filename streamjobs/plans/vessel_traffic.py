@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.parsing import extract_json
-from streamjobs.operators.aggregates import windowed_distinct, windowed_distinct_approx
+from streamjobs.operators.aggregates import windowed_distinct, windowed_distinct_approx, windowed_sets
 
 # The fields of a report.
 FIELDS = [
@@ -37,6 +37,11 @@ def ships(reports: DataFrame, size: str = "1 minute") -> DataFrame:
     return windowed_distinct(reports, "timestamp", size, GROUP, "mmsi")
 
 
-def ships_approx(reports: DataFrame, size: str = "1 minute", block: Column | None = None) -> DataFrame:
-    """Approximate counts and ship lists in one stateful aggregation."""
-    return windowed_distinct_approx(reports, "timestamp", size, GROUP, "mmsi", block)
+def ships_approx(reports: DataFrame, size: str = "1 minute") -> DataFrame:
+    """Approximate counts, from a state of fixed size per group."""
+    return windowed_distinct_approx(reports, "timestamp", size, GROUP, "mmsi")
+
+
+def running_ships(reports: DataFrame, size: str = "1 minute", segments: int = 64) -> DataFrame:
+    """Ship lists of a stream, each group in segments whose counts add up."""
+    return windowed_sets(reports, "timestamp", size, GROUP, "mmsi", segments)

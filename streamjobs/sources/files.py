@@ -38,8 +38,13 @@ def lines_to_messages(spark: SparkSession, path: str, times: int = 1) -> DataFra
 
 
 def tag_messages(files: DataFrame, order: str, topic: str = "topic", text: str = "value") -> DataFrame:
-    """Append `` Topic: t File: i`` to each file's text, i counting the files of a topic from 1 by ``order``."""
-    numbered = row_numbers(files, [topic], [order], "file_no", start=1)
+    """Append `` Topic: t File: i`` to each file's text, i counting the files of a topic from 1 by ``order``.
+
+    Only the names are sorted and numbered; the texts move once, to meet their
+    numbers. ``order`` must be unique within a topic.
+    """
+    numbers = row_numbers(files.select(topic, order), [topic], [order], "file_no", start=1)
+    numbered = files.join(numbers, [topic, order])
     tagged = F.concat(F.col(text), F.lit(" Topic: "), F.col(topic), F.lit(" File: "),
                       F.col("file_no").cast("string"))
     return numbered.select(topic, "file_no", tagged.alias("value"))

@@ -102,6 +102,10 @@ def test_vessel_reports(spark):
     df = spark.createDataFrame([(m, 0) for m in messages], "value string, s long").withColumn("t", F.timestamp_seconds("s"))
     got = vessels.ships(vessels.voyage_reports(df, "t"))
     assert rows(got.select("destination", "shiptype", "n_items", "items")) == [("X", "60", 2, ["7", "8"])]
+    lists = vessels.running_ships(vessels.voyage_reports(df, "t"), segments=2)
+    assert sorted(m for r in lists.collect() for m in r["items"]) == ["7", "8"]
+    assert lists.agg(F.sum("n_items")).first()[0] == 2
+    assert vessels.ships_approx(vessels.voyage_reports(df, "t")).first()["n_items"] == 2
     now = vessels.voyage_reports(df)
     assert now.count() == 3 and dict(now.dtypes)["timestamp"] == "timestamp"
     assert len(vessels.FIELDS) == 47
