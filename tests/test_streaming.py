@@ -1,6 +1,7 @@
 """Streams give what the batch gives; sinks, progress and late rows."""
 
 import json
+import os
 
 import pytest
 from conftest import rows
@@ -63,8 +64,11 @@ def test_restart_goes_on_from_the_checkpoint(spark, topic, tmp_path):
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     path = tmp_path / "in"
     path.mkdir()
-    for i, (key, second) in enumerate([("a", 100_000), ("b", 200_000), ("late", 100_000), ("c", 300_000)]):
-        (path / f"{i}.json").write_text(json.dumps({"key": key, "s": second}))
+    # A row is late against the watermark that the batch before the last one has left behind.
+    for i, (key, second) in enumerate([("a", 100_000), ("b", 200_000), ("b", 200_000), ("late", 100_000), ("c", 300_000)]):
+        file = path / f"{i}.json"
+        file.write_text(json.dumps({"key": key, "s": second}))
+        os.utime(file, (1_700_000_000 + 60 * i,) * 2)  # files are read in the order of their times
     source = file_source(str(path), "json", spark.createDataFrame([], "key string, s long").schema, maxFilesPerTrigger="1")
     events = read_source(spark, source).withColumn("ts", F.timestamp_seconds("s")).withWatermark("ts", "10 minutes")
     averaged = sliding_avg(events, "ts", "s", ["key"], "30 minutes", "10 minutes")
