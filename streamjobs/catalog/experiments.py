@@ -10,6 +10,7 @@ from streamjobs.functions.rules import config_violations
 from streamjobs.functions.scalar import after_last, option_code, option_name, rescale_knob, topic_colour
 from streamjobs.operators import experiments as exp
 from streamjobs.operators import sets, statistics
+from streamjobs.plans import runs
 from streamjobs.session import fresh_path
 from streamjobs.sources.files import explode_catalogue, read_box_settings, read_experiments
 from streamjobs.streaming.sinks import append_result, write_csv
@@ -291,3 +292,40 @@ def scalar_functions(spark, sf):
     return events.select("event_id", topic_colour(F.col("event_id") % 5, 5).alias("colour"),
                          after_last(F.concat(F.lit("a:b:"), "event_type")).alias("tail"),
                          rescale_knob(F.col("event_id") % 100 / 100, F.lit(262145)).alias("knob"))
+
+
+@query("""SELECT c_custkey AS run_index, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def knob_rows(spark, sf):
+    """The settings of those runs that have a result."""
+    return runs.rows_of(_schedule(spark, sf).select("run_index", "c_mktsegment"), _done(spark, sf))
+
+
+@query("""SELECT 'missing' AS kind, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+          UNION ALL SELECT 'unplanned', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+          UNION ALL SELECT 'pending', count(*) FROM customer WHERE c_custkey > (SELECT max(o_custkey) FROM orders)
+          UNION ALL SELECT 'repeated', (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders))
+                                       - (SELECT count(*) FROM (SELECT DISTINCT n FROM (SELECT o_custkey, count(*) AS n
+                                                                                        FROM orders GROUP BY 1)))""")
+def experiment_audit(spark, sf):
+    """How many runs each part of the audit lists."""
+    results = _done(spark, sf).groupBy("run_index").agg(F.count(F.lit(1)).alias("n"))
+    tables = runs.audit(_schedule(spark, sf), results)
+    tables["unplanned"] = sets.missing_runs(_done(spark, sf), _schedule(spark, sf))
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, t in tables.items()]
+    return sets.union_by_name(counts)
+
+
+@query("""SELECT p_partkey, CAST(1 AS BIGINT) AS in_range FROM part""")
+def knob_schedule(spark, sf):
+    """Settings per part, with one knob per line status and its range from the items; all lie in the range."""
+    items = table(spark, sf, "lineitem")
+    knobs = items.groupBy(F.concat(F.lit("knob_"), "l_linestatus").alias("knob")).agg(
+        F.min(F.col("l_quantity").cast("int")).alias("min"), F.max(F.col("l_quantity").cast("int")).alias("max"))
+    schedule = runs.knob_schedule(table(spark, sf, "part"), knobs, 5, use_min=True, index="p_partkey")
+    names = [c for c in schedule.columns if c != "p_partkey"]
+    ends = items.agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
+    inside = F.lit(True)
+    for n in names:
+        inside = inside & F.col(n).between(low, high)
+    return schedule.select("p_partkey", inside.cast("long").alias("in_range"))

@@ -10,6 +10,7 @@ from streamjobs.catalog.registry import plain, query, rounded, table
 from streamjobs.operators import delivery, latency, statistics
 from streamjobs.plans import reports
 from streamjobs.session import fresh_path, written
+from streamjobs.sources import logs
 from streamjobs.streaming.sinks import write_partitioned
 
 
@@ -213,6 +214,15 @@ def failed_delivery_report(spark, sf):
     return spark.read.schema(schema).parquet(path)
 
 
+@query(f"""WITH {FACTS} SELECT prod_id, msg_id, topic_id, CAST(consumer_id AS VARCHAR) AS consumer_id, latency_s FROM lat""")
+def latency_report(spark, sf):
+    """The latency log with a folder per consumer, read back."""
+    path = fresh_path(spark, "latency-log")
+    write_partitioned(reports.latency_lines(latency.message_latency(*_parts(spark, sf))), path, ["consumer_id"])
+    lines = spark.read.schema("value string, consumer_id int").parquet(path)
+    return logs.parse_latency(lines).select("prod_id", "msg_id", "topic_id", "consumer_id", "latency_s")
+
+
 @query(f"""WITH {FACTS} SELECT prod_id, msg_id, topic_id, produced_ts FROM prod
            WHERE event_id IN (SELECT o_custkey FROM orders)""")
 def message_lookup(spark, sf):

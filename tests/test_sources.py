@@ -126,6 +126,31 @@ def test_experiment_files(spark, tmp_path):
     assert rows(files.read_box_settings(box)) == [("100ms", 1.5), ("500ms", 2.0)]
 
 
+def test_plain_scans(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("1,T,2.5,a,1,1,b,1,1,0,0\nx,T,bad,a,1,1,b,1,1,0,0\n")
+    got = files.read_csv(spark, str(tmp_path / "p.csv"), fraud.PAYMENT)
+    assert rows(got.select("step", "amount")) == [(1, 2.5), (None, None)]
+    (tmp_path / "n.jsonl").write_text('{"name":"a","coord":[[1,2.5],[3,4]]}\n')
+    got = files.read_json_lines(spark, str(tmp_path / "n.jsonl"))
+    assert got.first()["coord"] == [[1.0, 2.5], [3.0, 4.0]]
+
+
+def test_runs(spark):
+    from streamjobs.plans import runs
+
+    knobs = spark.createDataFrame([("a", 1, 10), (runs.COMPRESSION_KNOB, 1, 4)], "knob string, min int, max int")
+    schedule = runs.knob_schedule(spark.range(20).withColumnRenamed("id", "run_index"), knobs, 3)
+    assert schedule.count() == 20 and schedule.agg(F.min("a"), F.max("a")).first() == (1, 10)
+    results = spark.createDataFrame([(0, 1.0), (1, 1.0), (25, 2.0)], "run_index long, v double")
+    audit = {k: [r["run_index"] for r in t.collect()] for k, t in runs.audit(schedule, results).items()}
+    assert audit == {"missing": list(range(2, 20)), "unplanned": [25], "repeated": [1], "pending": []}
+    states = spark.createDataFrame([(0, 1, 5, 1.0), (0, 2, 5, 2.0), (1, 1, 5, 3.0)], "run_index long, t int, same int, v double")
+    coded, last = runs.prepare(schedule, states, ["t"])
+    assert {r[0] for r in coded.select(f"`{runs.COMPRESSION_KNOB}`").distinct().collect()} == {0, 1, 2, 3}
+    assert rows(last) == [(0, 2, 2.0), (1, 1, 3.0)]
+    assert runs.rows_of(schedule, results).count() == 2
+
+
 def test_generators(spark):
     xml = spark.createDataFrame([(i, "<a>12</a>\n<b>3 45</b>") for i in range(50)], "id int, value string")
     whole = [r["value"] for r in generators.xml_messages(xml, "id", 1).collect()]
