@@ -29,14 +29,21 @@ def range_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def _with_preceding(parts: DataFrame, local: DataFrame, keys: Sequence[str], summary: Column,
                     combine, name: str) -> DataFrame:
-    """Join to ``local`` what ``combine`` makes of the summaries of a key's earlier parts."""
+    """Join to ``local`` what ``combine`` makes of the summaries of a key's other parts.
+
+    Only keys that lie in more than one part need it; ``name`` is null for the
+    others. The parts are consecutive ranges, so two neighbours share at most one
+    key, and the broadcast table has at most two rows per part.
+    """
     by_part = parts.groupBy("_part", *keys).agg(summary.alias("_summary"))
-    earlier = Window.partitionBy(*keys).orderBy("_part")
-    before = by_part.select("_part", *keys, combine("_summary", earlier).alias(name))
-    on = F.lit(True)
-    for c in ["_part", *keys]:
+    of_key = Window.partitionBy(*keys)
+    before = (by_part.withColumn("_parts", F.count(F.lit(1)).over(of_key))
+                     .withColumn(name, combine("_summary", of_key.orderBy("_part")))
+                     .filter("_parts > 1").select("_part", *keys, name))
+    on = local["_part"] == before["_part"]
+    for c in keys:
         on = on & local[c].eqNullSafe(before[c])
-    return local.join(before, on, "left").select(*[local[c] for c in local.columns], before[name])
+    return local.join(F.broadcast(before), on, "left").select(*[local[c] for c in local.columns], before[name])
 
 
 def _sum_before(col: str, window) -> Column:
@@ -58,7 +65,8 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
     local = parts.withColumn("_rn", F.row_number().over(inside))
     numbered = _with_preceding(parts, local, keys, F.count(F.lit(1)), _sum_before, "_before")
-    return numbered.select(*df.columns, (F.col("_rn") + F.col("_before") - 1 + start).cast("long").alias(name))
+    number = F.col("_rn") + F.coalesce("_before", F.lit(0)) - 1 + start
+    return numbered.select(*df.columns, number.cast("long").alias(name))
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
@@ -77,12 +85,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
                    whole: str | None = None) -> DataFrame:
     """Sum of ``value`` up to and including each row within its key; ``whole`` names a column for the key's sum."""
     parts = range_parts(df, [*keys, *order])
-    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("_running", F.sum(value).over(inside))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    local = parts.withColumn("_running", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    if whole:
+        everything = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        local = local.withColumn("_all", F.sum(value).over(everything))
     joined = _with_preceding(parts, local, keys, F.sum(value), _sums, "_sums")
-    columns = [(F.col("_running") + F.col("_sums.before")).alias(name)]
+    columns = [(F.col("_running") + F.coalesce("_sums.before", F.lit(0))).alias(name)]
     if whole:
-        columns.append(F.col("_sums.whole").alias(whole))
+        columns.append(F.coalesce("_sums.whole", "_all").alias(whole))
     return joined.select(*df.columns, *columns)
 
 
