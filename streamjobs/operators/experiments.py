@@ -19,19 +19,19 @@ def metrics_rollup(samples: DataFrame, names: Sequence[str], drop_zero: bool = T
     a metric with a key is named ``metric_key``. Missing samples, and with
     ``drop_zero`` zero ones, do not count.
     """
-    used = samples.filter(F.col("value").isNotNull())
+    counts = F.col("value").isNotNull()
     if drop_zero:
-        used = used.filter(F.col("value") != 0)
-    name = F.concat_ws("_", F.col("metric"), F.col("attribute_key"))
-    per_metric = (used.withColumn("name", name).filter(F.col("name").isin(list(names)))
-                      .groupBy("run_index", "host", "name")
-                      .agg(F.avg(F.when(F.col("kind") == "gauge", F.col("value"))).alias("_mean"),
-                           F.max_by(F.when(F.col("kind") == "counter", F.col("value")),
-                                    F.when(F.col("kind") == "counter", F.col("ts"))).alias("_last")))
+        counts = counts & (F.col("value") != 0)
+    # Samples that do not count stay in the grouping, so that every host has its row without a join.
+    full_name = F.concat_ws("_", F.col("metric"), F.col("attribute_key"))
+    gauge, counter = (counts & (F.col("kind") == kind) for kind in ("gauge", "counter"))
+    per_metric = (samples.withColumn("_name", F.when(full_name.isin(list(names)), full_name))
+                         .groupBy("run_index", "host", "_name")
+                         .agg(F.avg(F.when(gauge, F.col("value"))).alias("_mean"),
+                              F.max_by(F.when(counter, F.col("value")), F.when(counter, F.col("ts"))).alias("_last")))
     value = F.coalesce("_mean", "_last")
-    wide = [F.max(F.when(F.col("name") == n, value)).alias(n) for n in names]
-    hosts = samples.select("run_index", "host").distinct()
-    return hosts.join(per_metric.groupBy("run_index", "host").agg(*wide), ["run_index", "host"], "left")
+    return per_metric.groupBy("run_index", "host").agg(
+        *[F.max(F.when(F.col("_name") == n, value)).alias(n) for n in names])
 
 
 def numeric_columns(df: DataFrame, without: Sequence[str] = ()) -> list[str]:
