@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamjobs.llm import fast_sketch
+from streamjobs.llm import fast_sketch, relative_lz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +29,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op7_minhash_near_dedup(spark, sf_dir):
     return fast_sketch.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query()
+def op8_substring_dedup(spark, sf_dir):
+    return relative_lz.repeat_report(read(spark, sf_dir, "documents"))
