@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from streamjobs.llm import fast_sketch, relative_lz
+from streamjobs.llm import byte_bpe, fast_sketch, relative_lz
+from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,3 +38,17 @@ def op7_minhash_near_dedup(spark, sf_dir):
 @query()
 def op8_substring_dedup(spark, sf_dir):
     return relative_lz.repeat_report(read(spark, sf_dir, "documents"))
+
+
+def encoded_report(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of what the encoder made."""
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op10_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encoded_report(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
