@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, relative_lz
+from streamjobs.llm import byte_bpe, fast_sketch, relative_lz, token_files
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def encoded_report(encoded: DataFrame) -> DataFrame:
 def op10_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encoded_report(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+@query()
+def op6_token_files(spark, sf_dir):
+    return token_files.token_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
