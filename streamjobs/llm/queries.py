@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, relative_lz, token_files
+from streamjobs.llm import byte_bpe, fast_sketch, relative_lz, token_files, toxicity
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op10_byte_bpe(spark, sf_dir):
 @query()
 def op6_token_files(spark, sf_dir):
     return token_files.token_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
