@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, relative_lz, token_files, toxicity
+from streamjobs.llm import byte_bpe, fast_sketch, language_codes, relative_lz, token_files, toxicity
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op6_token_files(spark, sf_dir):
 @query()
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_language_id(spark, sf_dir):
+    return language_codes.language_report(read(spark, sf_dir, "documents"))
