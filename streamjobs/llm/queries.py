@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, language_codes, relative_lz, token_files, toxicity
+from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, relative_lz, token_files, toxicity
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op9_toxicity(spark, sf_dir):
 @query()
 def op4_language_id(spark, sf_dir):
     return language_codes.language_report(read(spark, sf_dir, "documents"))
+
+
+@query(histogram_shards.SHARD_SQL)
+def op3_sharding(spark, sf_dir):
+    return histogram_shards.shard(read(spark, sf_dir, "documents"), shards=8)
