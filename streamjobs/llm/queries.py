@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, relative_lz, token_files, toxicity
+from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, licenses, relative_lz, token_files, toxicity
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op4_language_id(spark, sf_dir):
 @query(histogram_shards.SHARD_SQL)
 def op3_sharding(spark, sf_dir):
     return histogram_shards.shard(read(spark, sf_dir, "documents"), shards=8)
+
+
+@query(licenses.LICENSE_SQL)
+def op2_license_scan(spark, sf_dir):
+    return licenses.license_report(read(spark, sf_dir, "documents"), licenses.default_templates(spark))
