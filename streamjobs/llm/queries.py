@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, licenses, relative_lz, token_files, toxicity
+from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, licenses, relative_lz, simhash_windows, token_files, toxicity
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op3_sharding(spark, sf_dir):
 @query(licenses.LICENSE_SQL)
 def op2_license_scan(spark, sf_dir):
     return licenses.license_report(read(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
+@query()
+def op5_benchmark_decontamination(spark, sf_dir):
+    return simhash_windows.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
