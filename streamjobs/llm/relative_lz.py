@@ -94,7 +94,7 @@ def _reference_blocks(wanted: DataFrame, window: int, anchor: int) -> DataFrame:
         def each():
             nonlocal last, words, runs
             for doc_id, anchors, many, text in rows_of(batches, "doc_id", "anchors", "many", "text"):
-                if text is not last:
+                if text != last:
                     last, words = text, words_of(text)
                     runs = signed(grams(hashes.of(words), anchor))
                 at = np.flatnonzero(np.isin(runs, np.array(anchors, np.int64)))
@@ -157,7 +157,7 @@ def _parsed(asked: DataFrame, window: int, anchor: int) -> DataFrame:
         def each():
             nonlocal last, words, digest, own, keys, runs, places
             for doc_id, many, block, text in rows_of(batches, "doc_id", "many", "block", "text"):
-                if text is not last:
+                if text != last:
                     last, words = text, words_of(text)
                     own, digest = hashes.of(words), _digest(words)
                     keys = grams(own, window)
