@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, licenses, relative_lz, simhash_windows, token_files, toxicity
+from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, licenses, metric_tree, relative_lz, simhash_windows, token_files, toxicity
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(metric_tree.TOP_SQL)
+def op1_exact_top_k(spark, sf_dir):
+    return metric_tree.top_inner_products(read(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op7_minhash_near_dedup(spark, sf_dir):
     return fast_sketch.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
