@@ -254,3 +254,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.cast("long").alias("component_id"),
                          F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, unchanged, that :func:`near_duplicates` keeps.
+
+    Rows that repeat a doc_id stay or go together; rows without doc_id stay.
+    """
+    found = near_duplicates(docs, words, percent)
+    gone = written(found.groupBy("doc_id").agg(F.max("kept").alias("_kept")).filter("not _kept")
+                        .select(F.col("doc_id").alias("_gone")), "gone")
+    names, places = docs.columns, [f"_{i}" for i in range(len(docs.columns))]
+    doc_id = F.col(places[names.index("doc_id")]).cast("long")
+    return docs.toDF(*places).join(gone, doc_id == F.col("_gone"), "left_anti").toDF(*names)

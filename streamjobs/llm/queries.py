@@ -45,12 +45,12 @@ def op8_substring_dedup(spark, sf_dir):
     return relative_lz.repeat_report(read(spark, sf_dir, "documents"))
 
 
-def encoded_report(encoded: DataFrame) -> DataFrame:
-    """Counts and digests of what the encoder made."""
+def encoded_report(encoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of what the encoder made, and its columns ``more``."""
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 
 @query()
