@@ -191,7 +191,8 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, scale:
     all rows but the query's own; equal scores go to the smaller vec_id, and a query with fewer
     than ``k`` candidates gets them all. Rows without vec_id, and vectors that are null or hold null or
     non-finite components take no part; of rows that repeat a vec_id the smallest vector counts.
-    Vectors of other lengths are filled up with zeros. An empty table gives no rows.
+    Vectors of other lengths are filled up with zeros. Scores beyond
+    64 bits are cut to the nearest that fits. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     valid = vectors.select(F.col("vec_id").cast("long"), whole_components(F.col("embedding"), scale).alias("v"))
