@@ -1,11 +1,12 @@
 """Byte-level BPE over a table: every distinct pre-token of the corpus is encoded once.
 
 Documents come in blocks of neighbouring rows. A block explodes into its distinct
-pre-tokens, one row each with a place number, and every document of the block
-becomes the sequence of its places. The pre-tokens are shuffled by their text, so
-that equal ones of all blocks meet and are encoded once; their ids go back to the
-blocks, where the documents are put together again by position. Decoding looks the
-ids up in the table of token bytes, whose size is that of the vocabulary.
+pre-tokens, each with a place number, and every document of the block becomes the
+sequence of its places. The pre-tokens are shuffled by the hash of their text, those
+of a block with the same hash bucket in one row, so that equal ones of all blocks
+meet and are encoded once; their ids go back to the blocks, where the documents are
+put together again by position. Decoding looks the ids up in the table of token
+bytes, whose size is that of the vocabulary.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from streamjobs.llm.words import in_batches, rows_of
 #: A block ends with the document that brings it to so many distinct pre-tokens or pre-tokens.
 DISTINCT, TOKENS = 400_000, 4_000_000
 
-_WORDS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string())])
+#: Buckets of pre-tokens for each shuffle partition.
+BUCKETS = 4
+
+_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
 _DOCS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("places", pa.binary())])
-_IDS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("ids", pa.binary())])
+_IDS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
 
@@ -43,9 +47,20 @@ class _Places(dict):
         return place
 
 
-def _packed(places: np.ndarray, squeeze) -> bytes:
-    """Place numbers by byte planes, compressed: frequent pre-tokens have small numbers."""
-    return squeeze.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+class _Encoded(dict):
+    """Ids of pre-tokens as little-endian 32-bit numbers, each encoded when it is first met."""
+
+    def __init__(self, encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = np.array(self.encoder._encode_single_piece(word), "<u4").tobytes()
+        return ids
+
+
+def _packed(numbers: np.ndarray, squeeze) -> bytes:
+    """Numbers by byte planes, compressed: frequent pre-tokens have small place numbers."""
+    return squeeze.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpacked(raw: bytes, open_up) -> np.ndarray:
@@ -53,6 +68,19 @@ def _unpacked(raw: bytes, open_up) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _strings(pieces: list[bytes], squeeze) -> bytes:
+    """Byte strings as one: their number, their lengths, and what they hold."""
+    lengths = _packed(np.fromiter(map(len, pieces), np.uint32, len(pieces)), squeeze)
+    return len(lengths).to_bytes(8, "little") + lengths + squeeze.compress(b"".join(pieces))
+
+
+def _pieces(raw: bytes, open_up) -> list[bytes]:
+    cut = 8 + int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(_unpacked(raw[8:cut], open_up)).tolist()
+    held = open_up.decompress(raw[cut:])
+    return [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _blocks(batches, pattern):
     """Blocks of documents as (number, pre-tokens by falling frequency, [(doc_id, places)]).
 
@@ -85,12 +113,23 @@ def _blocks(batches, pattern):
         yield ended()
 
 
-def _words(docs: DataFrame, pattern: str) -> DataFrame:
+def _words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     def run(batches):
-        rows = ((b, i, w) for b, words, _ in _blocks(batches, pattern) for i, w in enumerate(words))
-        return in_batches(rows, _WORDS, size=20_000)
+        squeeze = zstandard.ZstdCompressor(level=3)
 
-    return docs.mapInArrow(run, "block long, place int, word string")
+        def each():
+            for block, held, _ in _blocks(batches, pattern):
+                raw = [w.encode("utf-8", "surrogatepass") for w in held]
+                bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")  # places rise within a bucket
+                for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    if len(places):
+                        gaps = np.diff(places, prepend=0)
+                        yield int(bucket[places[0]]), block, _packed(gaps, squeeze), _strings([raw[i] for i in places.tolist()], squeeze)
+
+        return in_batches(each(), _WORDS, weight=lambda r: len(r[3]))
+
+    return docs.mapInArrow(run, "bucket int, block long, places binary, words binary")
 
 
 def _sequences(docs: DataFrame, pattern: str) -> DataFrame:
@@ -120,39 +159,45 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def encoded(batches):
         encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(raw.value), special_tokens={})
-        last, ids = None, b""
+        squeeze, open_up = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        current, known = None, _Encoded(encoder)
 
         def each():
-            nonlocal last, ids
-            for block, place, word in rows_of(batches, "block", "place", "word"):
-                if word != last:  # equal pre-tokens stand together
-                    last, ids = word, np.array(encoder._encode_single_piece(word.encode()), "<u4").tobytes()
-                yield block, place, ids
+            nonlocal current, known
+            for bucket, block, places, words in rows_of(batches, "bucket", "block", "places", "words"):
+                if bucket != current:  # equal pre-tokens are in one bucket
+                    current, known = bucket, _Encoded(encoder)
+                yield block, places, _strings([known[w] for w in _pieces(words, open_up)], squeeze)
 
-        return in_batches(each(), _IDS, size=20_000)
+        return in_batches(each(), _IDS, weight=lambda r: len(r[2]))
 
     def together(batches):
         table = {rank: token for token, rank in read_ranks(raw.value).items()}
         token_bytes = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
         open_up = zstandard.ZstdDecompressor()
-        current, known = None, {}
+        current, known = None, []
 
         def each():
             nonlocal current, known
-            for block, place, ids, doc_id, places in rows_of(batches, "block", "place", "ids", "doc_id", "places"):
+            for block, ids, doc_id, places in rows_of(batches, "block", "ids", "doc_id", "places"):
                 if block != current:
-                    current, known = block, {}
-                if place is not None:
-                    known[place] = ids
+                    current, known = block, []
+                at = _unpacked(places, open_up)
+                if ids is not None:
+                    at = np.cumsum(at).tolist()
+                    known += [None] * (at[-1] + 1 - len(known))
+                    for i, piece in zip(at, _pieces(ids, open_up), strict=True):
+                        known[i] = piece
                     continue
-                found = np.frombuffer(b"".join(map(known.__getitem__, _unpacked(places, open_up).tolist())), "<u4")
+                found = np.frombuffer(b"".join(map(known.__getitem__, at.tolist())), "<u4")
                 yield doc_id, found.view(np.int32), b"".join(map(token_bytes.__getitem__, found.tolist()))
 
         return in_batches(each(), _OUT, weight=lambda r: 4 * len(r[1]) + len(r[2]))
 
-    words = (_words(slim, pattern).repartition("word").sortWithinPartitions("word")
-             .mapInArrow(encoded, "block long, place int, ids binary"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = (_words(slim, pattern, buckets).repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(encoded, "block long, places binary, ids binary"))
     rows = words.unionByName(_sequences(slim, pattern), allowMissingColumns=True)
-    # The ids of a block (place set) come before its documents (place null).
-    return (rows.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_last())
+    # The ids of a block come before its documents.
+    return (rows.repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
                 .mapInArrow(together, "doc_id long, ids array<int>, decoded binary"))
