@@ -8,15 +8,16 @@ from pyspark.sql import types as T
 from streamjobs.catalog.registry import K, plain, prop_k, query, stream, table
 from streamjobs.functions import parsing
 from streamjobs.plans import port_statistics as ports
-from streamjobs.streaming.runs import collect_update
+from streamjobs.streaming.runs import collect_append, collect_update
 
 _PORT = """CASE event_type WHEN 'click' THEN '20' WHEN 'view' THEN '443' WHEN 'purchase' THEN '25' ELSE '53' END"""
 _PACKETS = f"""WITH p AS (SELECT CAST(user_id % 3 + 1 AS INTEGER) AS nodeID, CAST(user_id % 20 AS INTEGER) AS prodInstanceID,
                   CAST(day(ts) AS INTEGER) AS flowCount, CAST(event_id AS INTEGER) AS pktCount, {_PORT} AS dstPort
              FROM events)"""
-_STATS = """SELECT nodeID, prodInstanceID, flowCount, dstPort, CAST(0 AS BIGINT) AS segment, count(*) AS totalPkts,
-                   string_agg(DISTINCT pktCount, ',' ORDER BY pktCount) AS pktIDs
-            FROM p GROUP BY nodeID, prodInstanceID, flowCount, dstPort"""
+_STATS = """SELECT nodeID, prodInstanceID, flowCount, dstPort, count(*) AS totalPkts FROM p GROUP BY ALL"""
+_IDS = """SELECT DISTINCT nodeID, prodInstanceID, flowCount, dstPort, pktCount FROM p"""
+_FLOW = """' Producer Node: ' || nodeID || ' user: ' || prodInstanceID || ' flow ID: ' || flowCount
+         || ' destination Port: ' || dstPort"""
 
 
 def packet_messages(events):
@@ -27,25 +28,33 @@ def packet_messages(events):
         F.lit("20.198.162.76"), F.lit("6"), F.lit(50000) + prop_k(), port, prop_k(), "event_type").alias("value"))
 
 
+def _packets(events):
+    return ports.packets(packet_messages(events))
+
+
 @query(f"{_PACKETS} {_STATS}")
 def port_statistics(spark, sf):
-    return ports.statistics(ports.packets(packet_messages(table(spark, sf, "events", heavy=True))))
+    return ports.statistics(_packets(table(spark, sf, "events")))
+
+
+@query(f"{_PACKETS} {_IDS}")
+def port_packet_ids(spark, sf):
+    return ports.packet_ids(_packets(table(spark, sf, "events")))
 
 
-@query(f"""{_PACKETS}, s AS ({_STATS})
-  SELECT ' Producer Node: ' || nodeID || ' user: ' || prodInstanceID || ' flow ID: ' || flowCount
-         || ' destination Port: ' || dstPort || ' total packets: ' || totalPkts || ' packet IDs: ' || pktIDs AS value
-  FROM s""")
+@query(f"{_PACKETS}, s AS ({_STATS}) SELECT {_FLOW} || ' total packets: ' || totalPkts AS value FROM s")
 def port_statistics_lines(spark, sf):
-    return ports.lines(ports.statistics(ports.packets(packet_messages(table(spark, sf, "events", heavy=True)))))
+    return ports.lines(ports.statistics(_packets(table(spark, sf, "events"))))
 
 
-@query(f"""{_PACKETS} SELECT nodeID, prodInstanceID, flowCount, dstPort, CAST(pktCount // 10000 AS BIGINT) AS segment,
-             count(*) AS totalPkts, string_agg(DISTINCT pktCount, ',' ORDER BY pktCount) AS pktIDs
-  FROM p GROUP BY ALL""")
+@query(f"{_PACKETS}, s AS ({_IDS}) SELECT {_FLOW} || ' packet ID: ' || pktCount AS value FROM s")
+def port_packet_lines_stream(spark, sf):
+    return collect_append(ports.id_lines(ports.packet_ids(_packets(stream(spark, sf, "events")))))
+
+
+@query(f"{_PACKETS} {_STATS}")
 def port_statistics_stream(spark, sf):
-    running = ports.running_statistics(ports.packets(packet_messages(stream(spark, sf, "events"))))
-    return collect_update(running, [*ports.KEYS, "segment"])
+    return collect_update(ports.running_statistics(_packets(stream(spark, sf, "events"))), ports.KEYS)
 
 
 @query(f"""SELECT CAST(user_id % 3 + 1 AS INTEGER) AS "nodeID", CAST(event_id AS INTEGER) AS "pktCount",
@@ -53,7 +62,7 @@ def port_statistics_stream(spark, sf):
                   event_type AS payload, ts
            FROM events""")
 def from_csv_parse(spark, sf):
-    events = table(spark, sf, "events", heavy=True)
+    events = table(spark, sf, "events")
     messages = events.select("ts", *[c.alias("value") for c in [_message(events)]])
     parsed = ports.packets(messages, keep=["ts"])
     return plain(parsed.select("nodeID", "pktCount", "srcPort", "payloadLength", "payload", "ts"))
@@ -72,7 +81,7 @@ TYPED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ki
 @query("""SELECT event_id, event_type AS kind, value AS amount, CAST(day(ts) AS SMALLINT) AS day,
                  CAST(NULL AS INTEGER) AS bad, CAST(NULL AS VARCHAR) AS absent FROM events""")
 def csv_parse(spark, sf):
-    messages = table(spark, sf, "events", heavy=True).select(
+    messages = table(spark, sf, "events").select(
         F.concat_ws(",", "event_id", "event_type", "value", F.dayofmonth("ts"), "event_type").alias("value"))
     return parsing.parse_delimited(messages, TYPED)
 
@@ -108,6 +117,6 @@ def file_tag_decode(spark, sf):
                   CAST(10 + length(props) AS INTEGER) FROM events WHERE user_id > 999""")
 def fixed_width_decode(spark, sf):
     from streamjobs.functions.scalar import zero_pad
-    events = table(spark, sf, "events", heavy=True).select("event_id", F.concat(
+    events = table(spark, sf, "events").select("event_id", F.concat(
         zero_pad(F.col("user_id"), 2), zero_pad(F.col("event_id"), 6), "props").alias("value"))
     return parsing.decode_fixed_width(events).drop("value")

@@ -8,7 +8,9 @@ from streamjobs.catalog.registry import K, plain, prop_k, query, stream, table
 from streamjobs.functions.envelope import schema_envelope
 from streamjobs.functions.parsing import extract_json
 from streamjobs.plans import vessel_traffic as vessels
-from streamjobs.streaming.runs import collect_complete
+from streamjobs.session import fresh_path
+from streamjobs.streaming.runs import collect_append, collect_complete, collect_update
+from streamjobs.streaming.sinks import enveloped, file_sink, start, start_foreach_batch
 
 SIZE = "6 hours"
 
@@ -35,45 +37,103 @@ _VOYAGES = f"""WITH v AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '
                   CAST({K} AS VARCHAR) AS maneuver, CAST(NULL AS VARCHAR) AS callsign
            FROM events""")
 def json_fields(spark, sf):
-    fields = extract_json(reports(table(spark, sf, "events", heavy=True)), vessels.FIELDS, keep=["event_id"])
+    fields = extract_json(reports(table(spark, sf, "events")), vessels.FIELDS, keep=["event_id"])
     return fields.select("event_id", "class", "type", "mmsi", "destination", "shiptype", "shiptype_text", "accuracy",
                          "maneuver", "callsign")
 
 
-@query(_VOYAGES + """ SELECT window_start, window_start + INTERVAL '6 hours' AS window_end, destination, shiptype,
-                 CAST(0 AS BIGINT) AS segment, count(DISTINCT mmsi) AS n_items,
-                 string_agg(DISTINCT mmsi, ',' ORDER BY mmsi) AS ships
-          FROM v GROUP BY ALL""")
+_SHIPS = """ SELECT window_start, window_start + INTERVAL '6 hours' AS window_end, destination, shiptype,
+                 count(DISTINCT mmsi) AS "numberOfShips" FROM v GROUP BY ALL"""
+_SHIP_IDS = """ SELECT DISTINCT window_start, window_start + INTERVAL '6 hours' AS window_end, destination, shiptype, mmsi FROM v"""
+
+
+def _voyages(df):
+    return vessels.voyage_reports(reports(df), "sent")
+
+
+@query(_VOYAGES + _SHIPS)
 def traffic_tumbling(spark, sf):
-    ships = vessels.ships(vessels.voyage_reports(reports(table(spark, sf, "events", heavy=True)), "sent"), SIZE)
-    return plain(ships.withColumn("ships", F.concat_ws(",", "items")).drop("items"))
+    return plain(vessels.ships(_voyages(table(spark, sf, "events")), SIZE))
+
+
+@query(_VOYAGES + _SHIP_IDS)
+def traffic_ships(spark, sf):
+    return plain(vessels.ship_ids(_voyages(table(spark, sf, "events")), SIZE))
 
 
-@query()
+def _approximate(counts, spark, sf):
+    """Groups whose approximate number lies more than 10 percent, or 1, beside the exact one."""
+    exact = vessels.ships(_voyages(table(spark, sf, "events")), SIZE)
+    keys = ["window_start", "window_end", *vessels.GROUP]
+    far = F.abs(F.col("n_items") - F.col("numberOfShips")) > F.greatest(F.lit(1.0), F.col("numberOfShips") * 0.1)
+    both = counts.join(exact, keys, "full")
+    return plain(both.select(*keys, F.coalesce(~far, F.lit(False)).alias("close")))
+
+
+_CLOSE = """ SELECT DISTINCT window_start, window_start + INTERVAL '6 hours' AS window_end, destination, shiptype,
+                 true AS close FROM v"""
+
+
+@query(_VOYAGES + _CLOSE)
 def traffic_tumbling_approx(spark, sf):
-    return plain(vessels.ships_approx(vessels.voyage_reports(reports(table(spark, sf, "events", heavy=True)), "sent"), SIZE))
+    """Every group has an approximate number close to the exact one."""
+    return _approximate(vessels.ships_approx(_voyages(table(spark, sf, "events")), SIZE), spark, sf)
 
 
-@query()
+@query(_VOYAGES + _CLOSE)
 def traffic_tumbling_approx_stream(spark, sf):
-    running = vessels.ships_approx(vessels.voyage_reports(reports(stream(spark, sf, "events")), "sent"), SIZE)
-    return plain(collect_complete(running))
+    running = vessels.ships_approx(_voyages(stream(spark, sf, "events")), SIZE)
+    return _approximate(collect_complete(running), spark, sf)
+
 
+def _running_ids(spark, sf):
+    """The stream's ships as files, from which a second stream counts."""
+    path = fresh_path(spark, "ships")
+    ids = vessels.running_ship_ids(_voyages(stream(spark, sf, "events")), SIZE)
+    start(ids, file_sink(path), "append", available_now=True).awaitTermination()
+    return spark.readStream.schema(ids.schema).parquet(path)
 
-@query(_VOYAGES + """ SELECT DISTINCT window_start, destination, shiptype, mmsi FROM v""")
+
+@query(_VOYAGES + _SHIPS)
 def traffic_tumbling_stream(spark, sf):
-    """Ship lists of the stream, one row per ship."""
-    done = collect_complete(vessels.running_ships(vessels.voyage_reports(reports(stream(spark, sf, "events")), "sent"), SIZE))
-    return plain(done.select("window_start", "destination", "shiptype", F.explode("items").alias("mmsi")))
-
-
-@query(_VOYAGES + """ SELECT '{"schema":{"type":"struct","optional":false,"version":1,"fields":['
-              || '{"field":"destination","type":"string","optional":true},'
-              || '{"field":"shiptype","type":"string","optional":true},'
-              || '{"field":"numberOfShips","type":"string","optional":true}]},"payload":'
-              || '{"destination":"' || destination || '","shiptype":"' || shiptype || '","numberOfShips":'
-              || count(DISTINCT mmsi) || '}}' AS value
-          FROM v GROUP BY window_start, destination, shiptype""")
+    """Exact numbers on a stream: distinct ships first, counted by a second query."""
+    counts = vessels.ship_counts(_running_ids(spark, sf))
+    return plain(collect_update(counts, ["window_start", "window_end", *vessels.GROUP]))
+
+
+@query(_VOYAGES + _SHIP_IDS)
+def traffic_ships_stream(spark, sf):
+    return plain(collect_append(vessels.running_ship_ids(_voyages(stream(spark, sf, "events")), SIZE)))
+
+
+def _field(name):
+    return '{"field":"' + name + '","type":"string","optional":true}'
+
+
+def _head(*names):
+    return '{"schema":{"type":"struct","optional":false,"version":1,"fields":[' + ",".join(map(_field, names)) + ']},"payload":'
+
+
+_GROUP_FIELDS = ["window_start", "window_end", "destination", "shiptype"]
+_PAYLOAD = """ || '{"window_start":"' || strftime(window_start, '%Y-%m-%dT%H:%M:%S.000Z') || '","window_end":"'
+               || strftime(window_end, '%Y-%m-%dT%H:%M:%S.000Z') || '","destination":"' || destination
+               || '","shiptype":"' || shiptype || '",'"""
+
+
+@query(_VOYAGES + f", s AS ({_SHIPS}) SELECT '{_head(*_GROUP_FIELDS, 'numberOfShips')}'" + _PAYLOAD
+       + """ || '"numberOfShips":' || "numberOfShips" || '}}' AS value FROM s""")
 def traffic_envelope(spark, sf):
-    ships = vessels.ships(vessels.voyage_reports(reports(table(spark, sf, "events", heavy=True)), "sent"), SIZE)
-    return schema_envelope(ships.select("destination", "shiptype", F.col("n_items").alias("numberOfShips")))
+    """Window, group and number of ships, one message per group."""
+    return schema_envelope(vessels.ships(_voyages(table(spark, sf, "events")), SIZE)
+                           .select(*_GROUP_FIELDS, "numberOfShips"))
+
+
+@query(_VOYAGES + f", s AS ({_SHIP_IDS}) SELECT '{_head(*_GROUP_FIELDS, 'mmsi')}'" + _PAYLOAD
+       + """ || '"mmsi":"' || mmsi || '"}}' AS value FROM s""")
+def traffic_envelope_stream(spark, sf):
+    """Window, group and ship into the envelope sink, one message per ship."""
+    path = fresh_path(spark, "envelope")
+    ids = vessels.running_ship_ids(_voyages(stream(spark, sf, "events")), SIZE).select(*_GROUP_FIELDS, "mmsi")
+    handle = enveloped(lambda batch, batch_id: batch.write.mode("overwrite").text(f"{path}/b={batch_id}"))
+    start_foreach_batch(ids, handle, "append", available_now=True).awaitTermination()
+    return spark.read.schema("value string").text(f"{path}/*")

@@ -33,35 +33,9 @@ def avg_distinct_terms(df: DataFrame, topic: str = "topic", file: str = "file",
     return per_file.groupBy(topic).agg((F.sum("_total") / F.count(file)).alias("avg_words"))
 
 
-def segmented_sets(df: DataFrame, keys: Sequence[str], item: str, target: int = 10_000) -> DataFrame:
-    """Distinct items per key as sorted arrays of about ``target`` items at most.
-
-    Columns: the keys, ``segment``, ``items``, ``n_items`` (distinct items of the
-    whole key) and ``n_rows`` (its rows with an item). A key with up to
-    ``target`` items is one row with segment 0. A larger one is spread over
-    several rows by the hash of the item, so no task holds a whole large group;
-    together the rows hold every item once.
-    """
-    counted = (df.filter(F.col(item).isNotNull()).groupBy(*keys, item)
-                 .agg(F.count(F.lit(1)).alias("_n")))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_items"))
-    large = totals.filter(F.col("n_items") > target).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("n_items") / target).alias("_segments"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & counted[k].eqNullSafe(large[f"_k_{k}"])
-    placed = (counted.join(large, same, "left")
-              .withColumn("segment", F.when(F.col("_segments").isNull(), F.lit(0).cast("long"))
-                          .otherwise(F.pmod(F.xxhash64(item), F.col("_segments")).cast("long"))))
-    # The counts stay with the items so that both uses of ``counted`` read the same columns,
-    # and its shuffle runs once.
-    pairs = F.sort_array(F.collect_list(F.struct(item, "_n")))
-    sets = (placed.groupBy(*keys, "segment").agg(F.transform(pairs, lambda p: p[item]).alias("items")).alias("s"))
-    totals = totals.alias("t")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}"))
-    return sets.join(totals, on).select(*[F.col(f"s.{k}") for k in keys], "segment", "items", "n_items", "n_rows")
+def distinct_items(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """Every distinct item of every key as a row of its own, so that a group of any size spreads over many tasks."""
+    return df.filter(F.col(item).isNotNull()).select(*keys, item).distinct()
 
 
 def with_window(df: DataFrame, ts: str, size: str, slide: str | None = None) -> DataFrame:
@@ -71,11 +45,14 @@ def with_window(df: DataFrame, ts: str, size: str, slide: str | None = None) ->
               .withColumn("window_end", F.col("_w.end")).drop("_w"))
 
 
-def windowed_distinct(df: DataFrame, ts: str, size: str, by: Sequence[str], item: str,
-                      target: int = 10_000) -> DataFrame:
-    """Tumbling windows: exact number of distinct items and the items themselves (see ``segmented_sets``)."""
-    sets = segmented_sets(with_window(df, ts, size), ["window_start", "window_end", *by], item, target)
-    return sets.select("window_start", "window_end", *by, "segment", "n_items", "items")
+def windowed_items(df: DataFrame, ts: str, size: str, by: Sequence[str], item: str) -> DataFrame:
+    """Tumbling windows: the distinct items of each group, one row each."""
+    return distinct_items(with_window(df, ts, size), ["window_start", "window_end", *by], item)
+
+
+def items_per_window(items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Exact number of items per window and group, from one row per distinct item; the same on a stream of such rows."""
+    return items.groupBy("window_start", "window_end", *by).agg(F.count(F.lit(1)).alias("n_items"))
 
 
 def windowed_distinct_approx(df: DataFrame, ts: str | Column, size: str, by: Sequence[str], item: str) -> DataFrame:
@@ -84,18 +61,17 @@ def windowed_distinct_approx(df: DataFrame, ts: str | Column, size: str, by: Seq
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n_items")
 
 
-def windowed_sets(df: DataFrame, ts: str | Column, size: str, by: Sequence[str], item: str,
-                  segments: int = 64) -> DataFrame:
-    """Tumbling windows: the items themselves, as one stateful aggregation for a stream.
+def running_items(df: DataFrame, ts: str, size: str, by: Sequence[str], item: str, late: str | None = None) -> DataFrame:
+    """The rows of ``windowed_items`` on a stream, each sent on when its item is first met.
 
-    A group is spread over ``segments`` rows by the hash of the item; together
-    they hold every item once, and their ``n_items`` add up to the exact count.
+    With ``late`` a window is forgotten that long after its end; without it the state holds
+    every item of every window.
     """
-    segment = F.pmod(F.xxhash64(item), F.lit(segments)).cast("int").alias("segment")
-    grouped = df.groupBy(F.window(ts, size).alias("window"), *by, segment).agg(
-        F.sort_array(F.collect_set(item)).alias("items"))
-    return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by,
-                          "segment", F.size("items").alias("n_items"), "items")
+    if late:
+        df = df.withWatermark(ts, late)
+    window = F.window(ts, size).alias("window")
+    found = df.filter(F.col(item).isNotNull()).select(window, *by, item).dropDuplicates(["window", *by, item])
+    return found.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, item)
 
 
 def sliding_avg(df: DataFrame, ts: str | Column, value: str, by: Sequence[str], size: str = "30 minutes",

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.parsing import parse_csv_ddl
-from streamjobs.operators.aggregates import segmented_sets
 
 PACKET = ("nodeID INT, prodInstanceID INT, flowCount INT, pktCount INT, srcIP STRING, dstIP STRING, proto INT, "
           "srcPort STRING, dstPort STRING, payloadLength INT, payload STRING")
@@ -17,33 +16,38 @@ def packets(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return parse_csv_ddl(messages, PACKET, keep=keep or [])
 
 
-def statistics(pkts: DataFrame, target: int = 10_000) -> DataFrame:
-    """Packet count and id list of each flow and port, long lists in segments."""
-    sets = segmented_sets(pkts, KEYS, "pktCount", target)
-    return sets.select(*KEYS, "segment", F.col("n_rows").alias("totalPkts"),
-                       F.concat_ws(",", F.col("items").cast("array<string>")).alias("pktIDs"))
+def statistics(pkts: DataFrame) -> DataFrame:
+    """Packets of each flow and port; one row per flow, in a batch as on a stream."""
+    return pkts.groupBy(*KEYS).agg(F.count("pktCount").alias("totalPkts"))
 
 
-def running_statistics(pkts: DataFrame, block: int = 10_000) -> DataFrame:
-    """The same as one stateful aggregation.
+def running_statistics(pkts: DataFrame, ts: str | None = None, late: str | None = None, size: str = "1 day") -> DataFrame:
+    """The same on a stream. With ``ts`` and ``late`` flows count per window of ``size``, and the state of a window goes."""
+    if not (ts and late):
+        return statistics(pkts)
+    window = F.window(ts, size).alias("window")
+    return (pkts.withWatermark(ts, late).groupBy(window, *KEYS).agg(F.count("pktCount").alias("totalPkts"))
+                .select(F.col("window.start").alias("window_start"), *KEYS, "totalPkts"))
 
-    Packet numbers are cut into blocks, so that no state row holds more than
-    ``block`` ids; the count is that of the block.
-    """
-    numbered = pkts.withColumn("segment", F.floor(F.col("pktCount") / F.lit(block)))
-    return (numbered.groupBy(*KEYS, "segment")
-                    .agg(F.count("pktCount").alias("totalPkts"),
-                         F.sort_array(F.collect_set("pktCount")).alias("_ids"))
-                    .select(*KEYS, "segment", "totalPkts",
-                            F.concat_ws(",", F.col("_ids").cast("array<string>")).alias("pktIDs")))
 
+def packet_ids(pkts: DataFrame) -> DataFrame:
+    """The packets of each flow and port, one row per distinct id; on a stream the state holds all ids."""
+    return pkts.filter(F.col("pktCount").isNotNull()).select(*KEYS, "pktCount").dropDuplicates([*KEYS, "pktCount"])
 
-def lines(stats: DataFrame) -> DataFrame:
-    """The result as text messages."""
+
+def _flow(*more: Column) -> Column:
     def text(c: str) -> Column:
         return F.col(c).cast("string")
 
-    return stats.select(F.concat(
-        F.lit(" Producer Node: "), text("nodeID"), F.lit(" user: "), text("prodInstanceID"),
-        F.lit(" flow ID: "), text("flowCount"), F.lit(" destination Port: "), text("dstPort"),
-        F.lit(" total packets: "), text("totalPkts"), F.lit(" packet IDs: "), text("pktIDs")).alias("value"))
+    return F.concat(F.lit(" Producer Node: "), text("nodeID"), F.lit(" user: "), text("prodInstanceID"),
+                    F.lit(" flow ID: "), text("flowCount"), F.lit(" destination Port: "), text("dstPort"), *more)
+
+
+def lines(stats: DataFrame) -> DataFrame:
+    """The totals as text messages, one per flow."""
+    return stats.select(_flow(F.lit(" total packets: "), F.col("totalPkts").cast("string")).alias("value"))
+
+
+def id_lines(ids: DataFrame) -> DataFrame:
+    """The packets as text messages, one per packet."""
+    return ids.select(_flow(F.lit(" packet ID: "), F.col("pktCount").cast("string")).alias("value"))

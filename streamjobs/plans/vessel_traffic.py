@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.parsing import extract_json
-from streamjobs.operators.aggregates import windowed_distinct, windowed_distinct_approx, windowed_sets
+from streamjobs.operators.aggregates import items_per_window, running_items, windowed_distinct_approx, windowed_items
 
 # The fields of a report.
 FIELDS = [
@@ -32,9 +32,19 @@ def voyage_reports(messages: DataFrame, ts: str | None = None) -> DataFrame:
     return voyages.select(when.alias("timestamp"), "destination", "shiptype", "shiptype_text", "mmsi")
 
 
+def ship_ids(reports: DataFrame, size: str = "1 minute") -> DataFrame:
+    """The ships of each group, one row each."""
+    return windowed_items(reports, "timestamp", size, GROUP, "mmsi")
+
+
+def ship_counts(ids: DataFrame) -> DataFrame:
+    """Exact number of ships per group, from ``ship_ids`` or a stream of ``running_ship_ids``."""
+    return items_per_window(ids, GROUP).withColumnRenamed("n_items", "numberOfShips")
+
+
 def ships(reports: DataFrame, size: str = "1 minute") -> DataFrame:
-    """Exact counts and ship lists; the list of a crowded group comes in segments."""
-    return windowed_distinct(reports, "timestamp", size, GROUP, "mmsi")
+    """Exact number of ships per window and group, one row each."""
+    return ship_counts(ship_ids(reports, size))
 
 
 def ships_approx(reports: DataFrame, size: str = "1 minute") -> DataFrame:
@@ -42,6 +52,6 @@ def ships_approx(reports: DataFrame, size: str = "1 minute") -> DataFrame:
     return windowed_distinct_approx(reports, "timestamp", size, GROUP, "mmsi")
 
 
-def running_ships(reports: DataFrame, size: str = "1 minute", segments: int = 64) -> DataFrame:
-    """Ship lists of a stream, each group in segments whose counts add up."""
-    return windowed_sets(reports, "timestamp", size, GROUP, "mmsi", segments)
+def running_ship_ids(reports: DataFrame, size: str = "1 minute", late: str | None = None) -> DataFrame:
+    """``ship_ids`` of a stream; ``late`` bounds the state (see ``running_items``)."""
+    return running_items(reports, "timestamp", size, GROUP, "mmsi", late)

@@ -5,16 +5,12 @@ from streamjobs.operators import aggregates, delivery, experiments, latency, net
 from streamjobs.operators.sampling import balance, latin_hypercube, unit_hypercube
 
 
-def test_segments_hold_every_item_once(spark):
+def test_every_item_once(spark):
     data = [("hot", i % 700) for i in range(3000)] + [("small", 1), ("small", 1), ("small", None), (None, 4)]
     df = spark.createDataFrame(data, "k string, i int")
-    got = aggregates.segmented_sets(df, ["k"], "i", target=100).collect()
-    hot = [r for r in got if r["k"] == "hot"]
-    assert len(hot) == 7 and all(r["n_items"] == 700 and r["n_rows"] == 3000 for r in hot)
-    assert sorted(i for r in hot for i in r["items"]) == list(range(700))
-    assert max(len(r["items"]) for r in hot) < 160
-    rest = {r["k"]: (r["segment"], r["items"], r["n_rows"]) for r in got if r["k"] != "hot"}
-    assert rest == {"small": (0, [1], 2), None: (0, [4], 1)}
+    got = aggregates.distinct_items(df, ["k"], "i").collect()
+    assert sorted(r["i"] for r in got if r["k"] == "hot") == list(range(700))
+    assert sorted(map(repr, ((r["k"], r["i"]) for r in got if r["k"] != "hot"))) == sorted(map(repr, [("small", 1), (None, 4)]))
 
 
 def test_sets(spark):
@@ -40,13 +36,13 @@ def test_message_latency(spark):
                                  "prod_id string, msg_id string, topic_id string, s double").select(
         "prod_id", "msg_id", "topic_id", F.timestamp_seconds("s").alias("produced_ts"))
     cons = spark.createDataFrame([(1, "01", "1", "0", 10.5), (1, "01", "1", "0", 13.0), (2, "01", "1", "0", 10.25),
-                                  (1, "01", "2", "9", 99.0), (1, "02", "3", "0", 99.0)],
-                                 "consumer_id int, prod_id string, msg_id string, topic_id string, s double").select(
-        "consumer_id", "prod_id", "msg_id", "topic_id", F.timestamp_seconds("s").alias("consumed_ts"))
+                                  (1, "01", "1", "0", 10.75), (1, "01", "2", "9", 99.0), (1, "02", "3", "0", 99.0)],
+                                 "consumer_id int, prod_id string, msg_id string, topic_id string, s double").coalesce(1).select(
+        F.monotonically_increasing_id().alias("line_key"), "consumer_id", "prod_id", "msg_id", "topic_id", F.timestamp_seconds("s").alias("consumed_ts"))
     got = latency.message_latency(prod, cons)
-    assert rows(got.select("consumer_id", "copies", "latency_s")) == [(1, 2, 3.0), (2, 2, 0.25)]
+    assert rows(got.select("consumer_id", "copies", "latency_s")) == [(1, 2, 0.75), (2, 2, 0.25)]
     summary = latency.latency_summary(got).first()
-    assert tuple(summary) == (4, 1.625, 50.0)
+    assert tuple(summary) == (4, 0.5, 0.0)
     assert latency.latency_summary(got.limit(0)).first()["mean_latency_s"] is None
 
 
