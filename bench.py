@@ -33,16 +33,17 @@ def trigger_ms(spark, sf_dir: str, files: int = 12) -> dict:
     from streamjobs.session import fresh_path
     from streamjobs.sources.topics import file_source, read_topic
     from streamjobs.streaming import sinks
-    from streamjobs.streaming.progress import progress_table
+    from streamjobs.streaming.progress import ProgressRecorder, progress_table
 
     topic, out = fresh_path(spark, "bench-topic"), fresh_path(spark, "bench-out")
     packet_messages(table(spark, sf_dir, "events")).repartition(files).write.text(topic)
     stream = read_topic(spark, file_source(topic, "text", maxFilesPerTrigger="1"))
     stats = ports.running_statistics(ports.packets(stream))
-    query = sinks.start_foreach_batch(
-        stats, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/b={n}"), "update", available_now=True)
-    query.awaitTermination()
-    row = trigger_stats(progress_table(spark, query)).first()
+    with ProgressRecorder.on(spark) as recorder:
+        query = sinks.start_foreach_batch(
+            stats, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/b={n}"), "update", available_now=True)
+        query.awaitTermination()
+        row = trigger_stats(progress_table(recorder, query)).first()
     return {"triggers": row["n_triggers"], "mean_ms": round(row["steady_ms"], 1)}
 
 

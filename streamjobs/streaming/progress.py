@@ -3,49 +3,86 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
-from collections import deque
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from streamjobs.session import fresh_path
 from streamjobs.sources.logs import PHASES
 
 SCHEMA = T.StructType([T.StructField("query", T.StringType()), T.StructField("batch_id", T.LongType()),
-                       T.StructField("input_rows", T.LongType()), T.StructField("late_rows", T.LongType()),
+                       T.StructField("input_rows", T.LongType()), T.StructField("late_rows", T.LongType()), T.StructField("state_rows", T.LongType()),
                        *[T.StructField(n, T.LongType()) for n in PHASES]])
 
 
 def _row(progress: dict) -> tuple:
     durations = progress.get("durationMs", {})
     late = sum(s.get("numRowsDroppedByWatermark", 0) for s in progress.get("stateOperators", []))
-    return (progress.get("name") or progress["id"], progress["batchId"], progress.get("numInputRows"), late,
+    state = sum(s.get("numRowsTotal", 0) for s in progress.get("stateOperators", []))
+    return (progress.get("name") or progress["id"], progress["batchId"], progress.get("numInputRows"), late, state,
             *[durations.get(key) for key in PHASES.values()])
 
 
 class ProgressRecorder(StreamingQueryListener):
-    """Keeps the latest progress records of all queries, a limited number of them."""
-
-    def __init__(self, keep: int = 10_000):
-        self._records: deque = deque(maxlen=keep)
+    """Appends the progress records of all queries to a table in the shared folder, ``every`` so many at once."""
+
+    def __init__(self, spark: SparkSession, every: int = 50):
+        self._spark, self._every, self._path = spark, every, fresh_path(spark, "progress-records")
+        self._held: list[tuple] = []
+        self._lock = threading.Lock()
+
+    @classmethod
+    @contextmanager
+    def on(cls, spark: SparkSession, every: int = 50) -> Iterator[ProgressRecorder]:
+        """A recorder that listens inside the block."""
+        recorder = cls(spark, every)
+        spark.streams.addListener(recorder)
+        try:
+            yield recorder
+        finally:
+            spark.streams.removeListener(recorder)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        self._records.append(_row(json.loads(event.progress.json)))
+        with self._lock:
+            self._held.append(_row(json.loads(event.progress.json)))
+            if len(self._held) >= self._every:
+                self._flush()
 
-    def onQueryTerminated(self, event):
+    def onQueryIdle(self, event):
         pass
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self._records), SCHEMA)
-
+    def onQueryTerminated(self, event):
+        pass
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The progress records Spark still holds for a query."""
-    return spark.createDataFrame([_row(json.loads(p.json)) for p in query.recentProgress], SCHEMA)
+    def _flush(self) -> None:
+        if self._held:
+            self._spark.createDataFrame(self._held, SCHEMA).coalesce(1).write.mode("append").parquet(self._path)
+            self._held = []
+
+    def table(self) -> DataFrame:
+        """All records of triggers that have ended."""
+        self._spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        with self._lock:
+            self._flush()
+        if not self._spark._jvm.org.apache.hadoop.fs.Path(self._path).getFileSystem(
+                self._spark._jsc.hadoopConfiguration()).exists(self._spark._jvm.org.apache.hadoop.fs.Path(self._path)):
+            return self._spark.createDataFrame([], SCHEMA)
+        return self._spark.read.schema(SCHEMA).parquet(self._path)
+
+
+def progress_table(recorder: ProgressRecorder, query: StreamingQuery | str) -> DataFrame:
+    """All progress records of a query, given as such or by its name."""
+    name = query if isinstance(query, str) else query.name or str(query.id)
+    return recorder.table().filter(F.col("query") == name)
 
 
 def watch(query: StreamingQuery, report, seconds: float = 1.0) -> None:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamjobs.operators.ordered import row_numbers
 from streamjobs.operators.sets import keep_last
 from streamjobs.session import fresh_path
 from streamjobs.streaming.sinks import file_sink, start, start_foreach_batch
@@ -41,7 +42,24 @@ def collect_update(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def collect_complete(df: DataFrame) -> DataFrame:
-    """Result of a complete-mode query: what its last batch emitted."""
-    emitted = _batches(df, "complete")
-    last = emitted.agg(F.max("_batch").alias("_batch")).scalar()
-    return emitted.filter(F.col("_batch") == last).drop("_batch")
+    """Result of a complete-mode query: what its last batch emitted. Only that is kept."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "complete")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)  # each batch holds the whole result
+
+    start_foreach_batch(df, handle, "complete", available_now=True).awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def collect_ordered(df: DataFrame, place: str) -> DataFrame:
+    """The last batch of a sorted complete-mode query, with every row's place in it, from 1."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "ordered")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        # Sorted output comes in range partitions: the id rises with the order.
+        batch.withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+
+    start_foreach_batch(df, handle, "complete", available_now=True).awaitTermination()
+    schema = df.withColumn("_at", F.lit(0).cast("long")).schema
+    return row_numbers(spark.read.schema(schema).parquet(path), [], ["_at"], place, 1).drop("_at")

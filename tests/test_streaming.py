@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from streamjobs.operators.aggregates import sliding_avg, word_count
+from streamjobs.operators.progress import trigger_stats
 from streamjobs.plans import port_statistics as ports
 from streamjobs.plans import vessel_traffic as vessels
 from streamjobs.sources.topics import file_source, kafka_source, read_source, read_topic
@@ -36,19 +37,30 @@ def test_word_count_over_batches(spark, topic):
 
 
 def test_append_and_progress(spark, topic, tmp_path):
-    recorder = progress.ProgressRecorder()
-    spark.streams.addListener(recorder)
-    try:
+    with progress.ProgressRecorder.on(spark, every=1) as recorder:
         out = str(tmp_path / "out")
         query = sinks.start(read_topic(spark, one_by_one(topic)), sinks.file_sink(out, "text"), name="copy", available_now=True,
                             checkpoint=str(tmp_path / "check"))
         sinks.run_for(query, 60)
         assert sorted(r[0] for r in spark.read.text(out).collect()) == ["a", "a", "a b", "b c"]
-        table = progress.progress_table(spark, query)
+        table = progress.progress_table(recorder, query)
         assert table.agg(F.sum("input_rows")).first()[0] == 4
         assert table.filter("trigger_execution IS NOT NULL").count() == table.count() >= 3
-    finally:
-        spark.streams.removeListener(recorder)
+
+
+def test_no_progress_record_is_lost(spark, tmp_path):
+    """More triggers than Spark itself keeps, in the order of the batches, without the first one in the mean."""
+    for i in range(130):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i:03d}.txt").write_text(f"line {i}\n")
+    with progress.ProgressRecorder.on(spark) as recorder:
+        query = sinks.start(read_topic(spark, one_by_one(str(tmp_path / "in"))), sinks.file_sink(str(tmp_path / "out"), "text"),
+                            available_now=True)
+        query.awaitTermination()
+        table = progress.progress_table(recorder, query).cache()
+        assert rows(table.filter("input_rows > 0").select("batch_id")) == sorted([(i,) for i in range(130)], key=repr)
+        stats, spans = trigger_stats(table).first(), [r[0] for r in table.orderBy("batch_id").select("trigger_execution").collect()]
+        assert stats["n_triggers"] == len(spans) and abs(stats["steady_ms"] - sum(spans[1:]) / (len(spans) - 1)) < 1e-6
 
 
 def test_restart_goes_on_from_the_checkpoint(spark, topic, tmp_path):
@@ -72,9 +84,10 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     source = file_source(str(path), "json", spark.createDataFrame([], "key string, s long").schema, maxFilesPerTrigger="1")
     events = read_source(spark, source).withColumn("ts", F.timestamp_seconds("s")).withWatermark("ts", "10 minutes")
     averaged = sliding_avg(events, "ts", "s", ["key"], "30 minutes", "10 minutes")
-    query = sinks.start(averaged, sinks.file_sink(str(tmp_path / "out")), checkpoint=str(tmp_path / "c"), available_now=True)
-    query.awaitTermination()
-    assert progress.progress_table(spark, query).agg(F.sum("late_rows")).first()[0] > 0
+    with progress.ProgressRecorder.on(spark) as recorder:
+        query = sinks.start(averaged, sinks.file_sink(str(tmp_path / "out")), checkpoint=str(tmp_path / "c"), available_now=True)
+        query.awaitTermination()
+        assert progress.progress_table(recorder, query).agg(F.sum("late_rows")).first()[0] > 0
     keys = {r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert keys == {"a", "b"}
 
@@ -89,15 +102,29 @@ def test_distinct_messages(spark, tmp_path):
     assert rows(got) == [("01", "1"), ("01", "2"), ("02", "1")]
 
 
-def test_port_statistics_blocks(spark):
-    lines = [f"1,1,1,{i},a,b,6,1,443,1,x" for i in (3, 1, 2, 2, 25)] + ["bad"]
+def test_port_statistics_of_a_large_flow(spark):
+    lines = [f"1,1,1,{i % 25_000},a,b,6,1,443,1,x" for i in range(30_000)] + ["bad"]
     pkts = ports.packets(spark.createDataFrame([(v,) for v in lines], "value string"))
-    one = ports.statistics(pkts).filter("nodeID = 1")
-    assert rows(one.select("segment", "totalPkts", "pktIDs")) == [(0, 5, "1,2,3,25")]
-    blocks = ports.running_statistics(pkts, block=10).filter("nodeID = 1")
-    assert rows(blocks.select("segment", "totalPkts", "pktIDs")) == [(0, 4, "1,2,3"), (2, 1, "25")]
-    assert ports.lines(one).first()["value"] == (
-        " Producer Node: 1 user: 1 flow ID: 1 destination Port: 443 total packets: 5 packet IDs: 1,2,3,25")
+    for stats in (ports.statistics(pkts), ports.running_statistics(pkts)):
+        assert rows(ports.lines(stats.filter("nodeID = 1"))) == [
+            (" Producer Node: 1 user: 1 flow ID: 1 destination Port: 443 total packets: 30000",)]
+    ids = ports.packet_ids(pkts)
+    assert ids.count() == 25_000
+    assert ports.id_lines(ids.filter("pktCount = 7")).first()["value"].endswith(" destination Port: 443 packet ID: 7")
+
+
+def test_state_of_old_windows_goes(spark, tmp_path):
+    """Flows of past days leave the state of a stream with a watermark, and one total comes per flow."""
+    for day in range(1, 6):
+        lines = [(f"1,{u},1,{i},a,b,6,1,443,1,x", f"2024-01-{day:02d} 10:00:00") for u in range(20) for i in range(3)]
+        df = spark.createDataFrame(lines, "value string, t string").withColumn("t", F.to_timestamp("t"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = ports.running_statistics(ports.packets(stream, ["t"]), "t", "1 hour")
+    with progress.ProgressRecorder.on(spark) as recorder:
+        sinks.start(counts, sinks.file_sink(str(tmp_path / "out")), "append", name="flows", available_now=True).awaitTermination()
+        state = [r["state_rows"] for r in progress.progress_table(recorder, "flows").orderBy("batch_id").collect()]
+    assert max(state) <= 40 and spark.read.parquet(str(tmp_path / "out")).filter("totalPkts <> 3").isEmpty()
 
 
 def test_vessel_reports(spark):
@@ -105,10 +132,9 @@ def test_vessel_reports(spark):
                 '{"type":"5","mmsi":8,"destination":"X","shiptype":60}', '{"type":1,"mmsi":9}', '{"type":"text"}', "broken"]
     df = spark.createDataFrame([(m, 0) for m in messages], "value string, s long").withColumn("t", F.timestamp_seconds("s"))
     got = vessels.ships(vessels.voyage_reports(df, "t"))
-    assert rows(got.select("destination", "shiptype", "n_items", "items")) == [("X", "60", 2, ["7", "8"])]
-    lists = vessels.running_ships(vessels.voyage_reports(df, "t"), segments=2)
-    assert sorted(m for r in lists.collect() for m in r["items"]) == ["7", "8"]
-    assert lists.agg(F.sum("n_items")).first()[0] == 2
+    assert rows(got.select("destination", "shiptype", "numberOfShips")) == [("X", "60", 2)]
+    ids = vessels.running_ship_ids(vessels.voyage_reports(df, "t"))
+    assert sorted(r["mmsi"] for r in ids.collect()) == ["7", "8"]
     assert vessels.ships_approx(vessels.voyage_reports(df, "t")).first()["n_items"] == 2
     now = vessels.voyage_reports(df)
     assert now.count() == 3 and dict(now.dtypes)["timestamp"] == "timestamp"
