@@ -15,17 +15,22 @@ from streamjobs.streaming.sinks import write_partitioned
 
 
 def _parts(spark, sf):
-    events = table(spark, sf, "events", heavy=True)
+    events = table(spark, sf, "events")
     return (reports.producer_entries(producer_lines(events)), reports.consumer_entries(consumer_lines(events)))
 
 
+def _once(spark, sf):
+    """The latency table, for a report that reads it once."""
+    return latency.message_latency(*_parts(spark, sf))
+
+
 def _latency(spark, sf):
-    """The latency table, written once and then read by each report."""
-    return written(latency.message_latency(*_parts(spark, sf)), "latency")
+    """The latency table, written for a report that reads it several times."""
+    return written(_once(spark, sf), "latency")
 
 
 def _states(spark, sf, confirmed: bool = True):
-    events = table(spark, sf, "events", heavy=True)
+    events = table(spark, sf, "events")
     prod, cons = _parts(spark, sf)
     return delivery.delivery_states(prod, cons, CONSUMERS,
                                     reports.confirmation_entries(producer_lines(events)) if confirmed else None)
@@ -43,25 +48,25 @@ _SUMMARY = """count(*) AS n_messages, CAST(sum(epoch_us(consumed_ts) - epoch_us(
 
 @query(f"WITH {FACTS} SELECT consumer_id, {_SUMMARY} FROM lat GROUP BY consumer_id")
 def latency_summary(spark, sf):
-    return latency.latency_summary(_latency(spark, sf), ["consumer_id"])
+    return latency.latency_summary(_once(spark, sf), ["consumer_id"])
 
 
 @query(f"WITH {FACTS} SELECT {_SUMMARY} FROM lat")
 def slow_share(spark, sf):
-    return latency.latency_summary(_latency(spark, sf))
+    return latency.latency_summary(_once(spark, sf))
 
 
 @query(f"""WITH {FACTS} SELECT consumer_id, msg_id, latency_s, row_number() OVER (PARTITION BY consumer_id
              ORDER BY produced_ts, prod_id, msg_id, topic_id) - 1 AS sequence FROM lat""")
 def latency_sequence(spark, sf):
-    return latency.latency_sequence(_latency(spark, sf)).select("consumer_id", "msg_id", "latency_s", "sequence")
+    return latency.latency_sequence(_once(spark, sf)).select("consumer_id", "msg_id", "latency_s", "sequence")
 
 
 @query(f"""WITH {FACTS} SELECT topic_id, msg_id, consumer_id, row_number() OVER (PARTITION BY topic_id
              ORDER BY produced_ts, prod_id, msg_id, consumer_id) - 1 AS sequence FROM lat""")
 def latency_sequence_by_topic(spark, sf):
     from streamjobs.operators.ordered import row_numbers
-    numbered = row_numbers(_latency(spark, sf), ["topic_id"], ["produced_ts", "prod_id", "msg_id", "consumer_id"], "sequence")
+    numbered = row_numbers(_once(spark, sf), ["topic_id"], ["produced_ts", "prod_id", "msg_id", "consumer_id"], "sequence")
     return numbered.select("topic_id", "msg_id", "consumer_id", "sequence")
 
 
@@ -78,14 +83,14 @@ def latency_hist(spark, sf):
 @query(f"""WITH {FACTS}, c AS (SELECT latency_s, count(*) AS n_rows FROM lat GROUP BY 1)
    SELECT latency_s, n_rows, CAST(sum(n_rows) OVER (ORDER BY latency_s) AS DOUBLE) / sum(n_rows) OVER () AS share FROM c""")
 def latency_cdf(spark, sf):
-    return statistics.cdf(_latency(spark, sf), "latency_s")
+    return statistics.cdf(_once(spark, sf), "latency_s")
 
 
 @query(f"""WITH {FACTS}, c AS (SELECT consumer_id, latency_s, count(*) AS n_rows FROM lat GROUP BY 1, 2)
    SELECT consumer_id, latency_s, n_rows, CAST(sum(n_rows) OVER (PARTITION BY consumer_id ORDER BY latency_s) AS DOUBLE)
           / sum(n_rows) OVER (PARTITION BY consumer_id) AS share FROM c""")
 def latency_cdf_by_consumer(spark, sf):
-    return statistics.cdf(_latency(spark, sf), "latency_s", ["consumer_id"])
+    return statistics.cdf(_once(spark, sf), "latency_s", ["consumer_id"])
 
 
 @query(f"""WITH {FACTS}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, min(latency_s) AS lo, max(latency_s) AS hi,
@@ -119,12 +124,12 @@ def latency_box(spark, sf):
           count(*) FILTER (NOT value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
    FROM events JOIN q USING (event_type) GROUP BY ALL""")
 def value_box(spark, sf):
-    return rounded(statistics.box_stats(table(spark, sf, "events", heavy=True), "value", ["event_type"]), 6, "q1", "median", "q3")
+    return rounded(statistics.box_stats(table(spark, sf, "events"), "value", ["event_type"]), 6, "q1", "median", "q3")
 
 
 @query("""SELECT count(*) AS n_pairs, CAST(sum(700 + event_id % 700) AS DOUBLE) / count(*) AS mean_latency_ms FROM events""")
 def packet_latency(spark, sf):
-    events = table(spark, sf, "events", heavy=True)
+    events = table(spark, sf, "events")
     mean = reports.packet_latency(packet_lines(events, "produced"), packet_lines(events, "received", 700))
     return rounded(mean, 9, "mean_latency_ms").withColumn("n_pairs", F.col("n_pairs").cast("long"))
 
@@ -137,7 +142,7 @@ def packet_latency(spark, sf):
    SELECT count(*) AS n_pairs, round(CAST(sum(epoch_us(g.t) - epoch_us(p.t)) AS DOUBLE) / (count(*) * 1000.0), 6) AS mean_latency_ms
    FROM p JOIN g USING (a, b, c, e)""")
 def packet_latency_aggregated(spark, sf):
-    events = table(spark, sf, "events", heavy=True)
+    events = table(spark, sf, "events")
     mean = reports.packet_latency(packet_lines(events, "produced"), aggregate_lines(events), aggregated=True)
     return rounded(mean, 6, "mean_latency_ms").withColumn("n_pairs", F.col("n_pairs").cast("long"))
 

@@ -14,20 +14,22 @@ MESSAGE = ["prod_id", "msg_id", "topic_id"]
 PACKET = ["node_id", "instance_id", "flow_id", "pkt_id"]
 
 
-def last_receipts(cons: DataFrame) -> DataFrame:
-    """One receipt per consumer and message: the one logged last."""
-    return cons.groupBy("consumer_id", *MESSAGE).agg(F.max("consumed_ts").alias("consumed_ts"))
+def last_receipts(cons: DataFrame, order: str = "line_key") -> DataFrame:
+    """One receipt per consumer and message: the one logged last, whatever its time."""
+    return cons.groupBy("consumer_id", *MESSAGE).agg(F.max_by("consumed_ts", order).alias("consumed_ts"))
 
 
-def message_latency(prod: DataFrame, cons: DataFrame) -> DataFrame:
+def message_latency(prod: DataFrame, cons: DataFrame, order: str = "line_key") -> DataFrame:
     """One row per produced message, send time and consumer that got it.
 
+    ``order`` is the column of ``cons`` that rises with the lines of a log.
+
     ``copies`` counts equal producer lines (same message and time). They are
     merged before the join, so repeated lines do not multiply the result;
     summaries weight by ``copies``.
     """
     sent = prod.groupBy(*MESSAGE, "produced_ts").agg(F.count(F.lit(1)).alias("copies"))
-    joined = sent.join(last_receipts(cons), MESSAGE)
+    joined = sent.join(last_receipts(cons, order), MESSAGE)
     return joined.select(*MESSAGE, "consumer_id", "produced_ts", "consumed_ts", "copies",
                          seconds_between(F.col("produced_ts"), F.col("consumed_ts")).alias("latency_s"))
 

@@ -18,8 +18,9 @@ def producer_entries(lines: DataFrame) -> DataFrame:
 
 
 def consumer_entries(lines: DataFrame) -> DataFrame:
-    """Receipts of all consumers; consumers count from 1."""
-    return logs.parse_consumer(lines, ["node_id"]).withColumnRenamed("node_id", "consumer_id")
+    """Receipts of all consumers, with ``line_key`` where the lines have it; consumers count from 1."""
+    keep = [c for c in ("node_id", "line_key") if c in lines.columns]
+    return logs.parse_consumer(lines, keep).withColumnRenamed("node_id", "consumer_id")
 
 
 def confirmation_entries(lines: DataFrame) -> DataFrame:
