@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from streamjobs.catalog.registry import query, rounded, table
 from streamjobs.functions.randoms import hash_uniform, poisson_law
 from streamjobs.operators.sampling import balance, latin_hypercube, split_by_key, unit_hypercube
-from streamjobs.session import spread
 from streamjobs.sources import files, generators
 
-# The knobs of a run as (name, min, max), and the options of the named one.
-KNOBS = [("producer->batch_size", 1, 262145), ("producer->linger_ms", 0, 100), ("producer->buffer_memory", 1, 33554432),
-         ("producer->compression_type", 1, 4), ("producer->topics", 1, 10), ("broker->num.network.threads", 1, 20),
-         ("broker->num.io.threads", 1, 24), ("broker->queued.max.requests", 1, 500), ("consumer->fetch_wait_max_ms", 0, 500)]
+# Knobs as (name, min, max), from a single value to a wide range, and the options of the named one.
+KNOBS = [(f"knob_{i}", i % 2, 7 ** i + 1) for i in range(8)] + [("producer->compression_type", 1, 4)]
 COMPRESSIONS = ["None", "gzip", "snappy", "lz4"]
 
 
@@ -119,7 +116,7 @@ _LETTERS = " || ".join(
           || {int_sql(49152, 65535, '11s', *_WHO, 'pkt_id')} || ','
           || ['20', '443', '25', '53'][{int_sql(0, 3, '11d', *_WHO, 'pkt_id')} + 1] || ',' || len || ',' || payload AS value FROM t""")
 def packet_flow_messages(spark, sf):
-    return generators.packet_flows(spread(_flows(spark, sf)), 11).select("flow_id", "pkt_id", "value")
+    return generators.packet_flows(_flows(spark, sf), 11).select("flow_id", "pkt_id", "value")
 
 
 _CUMULATIVE = ", ".join(repr(c) for c in poisson_law(generators.FLOW_GAP_SECONDS))
@@ -153,10 +150,10 @@ def knob_sampling(spark, sf):
 
 
 @query("SELECT p_partkey, " + ", ".join(
-    f"""greatest({low}, CAST(ceil({low} + {_u_sql(k)} * {high - low}) AS BIGINT)) AS "{k}" """ for k, low, high in KNOBS[:3])
+    f"""greatest({low}, CAST(ceil({low} + {_u_sql(k)} * {high - low}) AS BIGINT)) AS "{k}" """ for k, low, high in KNOBS)
     + " FROM part")
 def knob_sampling_from_min(spark, sf):
-    return latin_hypercube(table(spark, sf, "part"), "p_partkey", KNOBS[:3], 7, use_min=True)
+    return latin_hypercube(table(spark, sf, "part"), "p_partkey", KNOBS, 7, use_min=True)
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem

@@ -50,13 +50,13 @@ def topic_copy(spark, sf):
     return spark.read.text(second)
 
 
-@query("""SELECT event_id, event_type, ts FROM events WHERE event_type = 'purchase'""")
+@query("""SELECT event_id, event_type, ts FROM events""")
 def csv_sink_stream(spark, sf):
     """Appended to CSV files by a named query, and read back by schema."""
     path = fresh_path(spark, "csv")
-    rows = stream(spark, sf, "events").filter(F.col("event_type") == "purchase").select("event_id", "event_type", "ts")
+    rows = stream(spark, sf, "events").select("event_id", "event_type", "ts")
     sink = file_sink(path, "csv", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
-    start(rows, sink, "append", name="purchases", available_now=True).awaitTermination()
+    start(rows, sink, "append", name="events", available_now=True).awaitTermination()
     back = spark.read.schema("event_id long, event_type string, ts timestamp")
     return plain(back.option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
 

@@ -12,7 +12,7 @@ from streamjobs.plans import document_analytics as docs
 from streamjobs.plans.text_sentiment import sentiment
 from streamjobs.session import fresh_path
 from streamjobs.sources.topics import file_source, read_topic
-from streamjobs.streaming.runs import collect_append, collect_complete
+from streamjobs.streaming.runs import collect_append, collect_complete, collect_ordered
 from streamjobs.streaming.sinks import file_sink, start
 
 # A small lexicon of words that occur in the texts: word, polarity, subjectivity.
@@ -34,7 +34,7 @@ def messages(df):
 @query("""SELECT word, count(*) AS count
           FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word""")
 def word_count(spark, sf):
-    return count_words(table(spark, sf, "documents", heavy=True), "text")
+    return count_words(table(spark, sf, "documents"), "text")
 
 
 @query("""SELECT word, count(*) AS count
@@ -48,7 +48,7 @@ def word_count_stream(spark, sf):
           FROM (SELECT source, doc_id, unnest(string_split(text, ' ')) AS word FROM documents)
           GROUP BY source, doc_id, word""")
 def doc_term_tags(spark, sf):
-    return docs.document_terms(messages(table(spark, sf, "documents", heavy=True)))
+    return docs.document_terms(messages(table(spark, sf, "documents")))
 
 
 _MEAN = """WITH w AS (SELECT DISTINCT source, doc_id, rtrim(word, ' ') AS word FROM
@@ -58,20 +58,31 @@ _MEAN = """WITH w AS (SELECT DISTINCT source, doc_id, rtrim(word, ' ') AS word F
 
 @query(_MEAN)
 def doc_avg_distinct_words(spark, sf):
-    return docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents", heavy=True)))))
+    return docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents")))))
 
 
-@query()
+_CLOSE = "SELECT DISTINCT source AS topic, true AS close FROM documents"
+
+
+def _close(spark, sf, approximate):
+    """Whether each topic's approximate mean lies within 10 percent of the exact one."""
+    exact = docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents")))))
+    both = approximate.withColumnRenamed("avg_words", "_approx").join(exact, "topic", "full")
+    close = F.abs(F.col("_approx") - F.col("avg_words")) <= F.col("avg_words") * 0.1
+    return both.select("topic", F.coalesce(close, F.lit(False)).alias("close"))
+
+
+@query(_CLOSE)
 def doc_avg_distinct_words_approx(spark, sf):
-    terms = docs.document_terms(messages(table(spark, sf, "documents", heavy=True)))
-    return docs.mean_terms(docs.tagged_terms(terms), approx=True)
+    terms = docs.document_terms(messages(table(spark, sf, "documents")))
+    return _close(spark, sf, docs.mean_terms(docs.tagged_terms(terms), approx=True))
 
 
 def _term_topic(spark, sf) -> str:
     """First stage: a stream of documents to a topic of tagged words, as text files."""
     path = fresh_path(spark, "terms")
     lines = docs.tagged_terms(docs.document_terms_once(messages(stream(spark, sf, "documents"))))
-    start(lines.filter(F.col("value").isNotNull()), file_sink(path), "append", available_now=True).awaitTermination()
+    start(lines, file_sink(path), "append", available_now=True).awaitTermination()
     return path
 
 
@@ -87,11 +98,31 @@ def doc_avg_distinct_words_stream(spark, sf):
     return docs.mean_terms(spark.read.schema("value string").parquet(_term_topic(spark, sf)))
 
 
-@query()
+@query(_CLOSE)
 def doc_avg_chained_streams(spark, sf):
     """Both stages as streams, the second reading what the first has written."""
     source = file_source(_term_topic(spark, sf), schema=T.StructType([T.StructField("value", T.StringType())]))
-    return collect_complete(docs.running_mean_terms(read_topic(spark, source)))
+    return _close(spark, sf, collect_complete(docs.running_mean_terms(read_topic(spark, source))))
+
+
+@query(f"""WITH m AS ({_MEAN}) SELECT topic, 'Topic: ' || topic || ' Avg number of words for this topic: ' AS head,
+             round(avg_words, 9) AS avg_words FROM m""")
+def doc_avg_text(spark, sf):
+    """The text output of the second stage, taken apart again."""
+    lines = docs.mean_terms_text(docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents"))))))
+    parts = F.regexp_extract("value", "^(Topic: (.*) Avg number of words for this topic: )(.*)$", 1)
+    return lines.select(F.regexp_extract("value", "^Topic: (.*) Avg number", 1).alias("topic"), parts.alias("head"),
+                        F.round(F.regexp_extract("value", ": ([^:]*)$", 1).cast("double"), 9).alias("avg_words"))
+
+
+@query("""WITH w AS (SELECT source AS topic, CAST(doc_id AS VARCHAR) AS file, count(DISTINCT word) AS n_words FROM
+            (SELECT source, doc_id, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY ALL)
+          SELECT topic, file, n_words, row_number() OVER (ORDER BY topic, file) AS place FROM w""")
+def doc_terms_ordered_stream(spark, sf):
+    """Words per document in complete mode, each batch in the order of topic and file; the place is that in the output."""
+    found = docs.document_terms_once(messages(stream(spark, sf, "documents")))
+    counts = found.groupBy("topic", "file").agg(F.count(F.lit(1)).alias("n_words")).orderBy("topic", "file")
+    return collect_ordered(counts, "place")
 
 
 _CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p,
@@ -101,13 +132,13 @@ _CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 @query(f"""SELECT conv_id, turn, {_CLEANED} AS post
            FROM (SELECT conv_id, turn, unnest(string_split(text, 't_end')) AS p FROM conversations) WHERE p <> ''""")
 def tweet_clean(spark, sf):
-    return clean_posts(table(spark, sf, "conversations", heavy=True), ["conv_id", "turn"], "text")
+    return clean_posts(table(spark, sf, "conversations"), ["conv_id", "turn"], "text")
 
 
 @query(f"""SELECT page_id, {_CLEANED} AS post
            FROM (SELECT page_id, unnest(string_split(html, 't_end')) AS p FROM pages) WHERE p <> ''""")
 def page_clean(spark, sf):
-    return clean_posts(table(spark, sf, "pages", heavy=True), ["page_id"], "html")
+    return clean_posts(table(spark, sf, "pages"), ["page_id"], "html")
 
 
 def _score_sql(key: str, posts: str, text: str) -> str:
@@ -126,7 +157,7 @@ _POST_SQL = _score_sql("conv_id, turn", "SELECT conv_id, turn, " + _CLEANED + ""
 
 @query(_POST_SQL)
 def lexicon_sentiment(spark, sf):
-    posts = table(spark, sf, "conversations", heavy=True).withColumnRenamed("text", "value")
+    posts = table(spark, sf, "conversations").withColumnRenamed("text", "value")
     return sentiment(posts, lexicon(spark), ["conv_id", "turn"])
 
 
@@ -140,12 +171,12 @@ def lexicon_sentiment_stream(spark, sf):
       SELECT doc_id, coalesce(pol, 0.0) AS polarity, coalesce(sub, 0.0) AS subjectivity
       FROM documents LEFT JOIN s USING (doc_id)""")
 def document_sentiment(spark, sf):
-    return scores_by_join(table(spark, sf, "documents", heavy=True), lexicon(spark), "doc_id", "text")
+    return scores_by_join(table(spark, sf, "documents"), lexicon(spark), "doc_id", "text")
 
 
 @query(_score_sql("doc_id", "SELECT doc_id, text FROM documents", "text") + """
       SELECT doc_id, coalesce(pol, 0.0) AS polarity, coalesce(sub, 0.0) AS subjectivity
       FROM documents LEFT JOIN s USING (doc_id)""")
 def document_sentiment_rowwise(spark, sf):
-    scored = score_sentiment(table(spark, sf, "documents", heavy=True), lexicon(spark), "text")
+    scored = score_sentiment(table(spark, sf, "documents"), lexicon(spark), "text")
     return plain(scored.select("doc_id", "polarity", "subjectivity"))

@@ -12,10 +12,10 @@ from streamjobs.functions.geo import point_in_polygon
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
-                  upper_seconds: int = 7200, watermark: str | None = None, spread: bool = True) -> DataFrame:
+                  upper_seconds: int = 7200, watermark: str | None = None, spread: bool = False) -> DataFrame:
     """Inner join on ``keys`` where right comes after left, by at most ``upper_seconds``.
 
-    ``spread`` also joins on the time slot of the left row, with each right row
+    ``spread``, for keys that repeat very often, also joins on the time slot of the left row, with each right row
     offered to its own and the preceding slot. A pair is still found exactly
     once, and a key that holds much of the data is spread over its time slots.
     With ``watermark`` both sides get one, so that a stream can drop old state.

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamjobs.functions.randoms import hash_uniform
 from streamjobs.operators.experiments import nonzero_columns
 from streamjobs.operators.sampling import split_by_key
 
@@ -63,30 +65,41 @@ def state_regressors(seed: int, trees: int = 100, tree_depth: int = 10, rounds:
             "forest": RandomForestRegressor(numTrees=trees, maxDepth=tree_depth, seed=seed)}
 
 
-def _cv_scores(model, train: DataFrame, folds: int, repeats: int, seed: int, parallelism: int):
-    """Mean and deviation of R² over all folds of all repetitions."""
-    measure = RegressionEvaluator(metricName="r2", labelCol="label")
-    means, variances = [], []
-    for r in range(repeats):
-        cv = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=measure,
-                            numFolds=folds, seed=seed + r, parallelism=parallelism)
-        fitted = cv.fit(train)
-        means.append(fitted.avgMetrics[0])
-        variances.append(fitted.stdMetrics[0] ** 2)
-    mean = sum(means) / repeats
-    # All folds together: mean variance inside a repetition plus variance between repetitions.
-    spread = sum(v + (m - mean) ** 2 for m, v in zip(means, variances)) / repeats
-    return mean, spread ** 0.5
+def _fold_score(model, train: DataFrame, index: str, fold: int, folds: int, seed: str) -> float:
+    """R² of one fold; the fold of a row is a function of its index."""
+    of = F.floor(hash_uniform(seed, F.col(index)) * folds)
+    fitted = model.fit(train.filter(of != fold))
+    return RegressionEvaluator(metricName="r2", labelCol="label").evaluate(fitted.transform(train.filter(of == fold)))
+
+
+def valid_mean(scores: Sequence[float]) -> tuple[float, float] | None:
+    """Mean and deviation of the scores that are numbers; None without one."""
+    valid = [s for s in scores if not math.isnan(s)]
+    if not valid:
+        return None
+    mean = sum(valid) / len(valid)
+    return mean, (sum((s - mean) ** 2 for s in valid) / len(valid)) ** 0.5
+
+
+def _cv_scores(candidates: dict, train: DataFrame, index: str, folds: int, repeats: int, seed: int, pool) -> dict:
+    """Per candidate the mean and deviation over all folds of all repetitions; those without a valid score are left out."""
+    jobs = {name: [pool.submit(_fold_score, model, train, index, k, folds, f"{seed}-{r}")
+                   for r in range(repeats) for k in range(folds)] for name, model in candidates.items()}
+    scored = {name: valid_mean([j.result() for j in of]) for name, of in jobs.items()}
+    return {name: s for name, s in scored.items() if s is not None}
 
 
 def fit_state_models(df: DataFrame, index: str, features: Sequence[str], targets: Sequence[str], repeats: int = 10,
-                     folds: int = 5, seed: int = 1000, train_share: float = 0.8, parallelism: int = 4,
-                     **sizes: int):
+                     folds: int = 5, seed: int = 1000, train_share: float = 0.8, parallelism: int = 8,
+                     save_to: str | None = None, **sizes: int):
     """One regression per metric on the knobs.
 
     Missing values count as 0, metrics that are 0 throughout are skipped,
     features and target are scaled on the training part, and the candidate with
     the better cross-validated R² is fitted again on the whole training part.
+    Folds without a score are left out, as is a metric for which no candidate has
+    one. ``parallelism`` folds are fitted at a time. With ``save_to`` each model is
+    saved there under the name of its metric and loaded again for the test runs.
     Returns the models by metric, and a table of the test runs with columns
     ``target, model, run, observed, predicted, cv_r2, cv_std``.
     """
@@ -101,11 +114,17 @@ def fit_state_models(df: DataFrame, index: str, features: Sequence[str], targets
                        for d in (train, test))
         train = train.persist()
         try:
-            scored = {name: (*_cv_scores(m, train, folds, repeats, seed, parallelism), m)
-                      for name, m in state_regressors(seed, **sizes).items()}
-            name = max(scored, key=lambda k: scored[k][0])
-            mean, std, estimator = scored[name]
-            models[target] = estimator.fit(train)
+            candidates = state_regressors(seed, **sizes)
+            with ThreadPoolExecutor(parallelism) as pool:
+                scored = _cv_scores(candidates, train, index, folds, repeats, seed, pool)
+            if not scored:
+                continue
+            name = max(sorted(scored), key=lambda k: scored[k][0])
+            mean, std = scored[name]
+            models[target] = candidates[name].fit(train)
+            if save_to:
+                models[target].write().overwrite().save(f"{save_to}/{target}")
+                models[target] = type(models[target]).load(f"{save_to}/{target}")
         finally:
             train.unpersist()
         tables.append(models[target].transform(test).select(
@@ -113,7 +132,7 @@ def fit_state_models(df: DataFrame, index: str, features: Sequence[str], targets
             F.col("label").alias("observed"), F.col("prediction").alias("predicted"),
             F.lit(mean).alias("cv_r2"), F.lit(std).alias("cv_std")))
     if not tables:
-        raise ValueError("every target is zero throughout")
+        raise ValueError("no target has a model: all are zero throughout or have no valid score")
     result = tables[0]
     for table in tables[1:]:
         result = result.unionByName(table)

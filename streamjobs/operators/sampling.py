@@ -48,8 +48,7 @@ def balance(df: DataFrame, label: str, fraction: float, seed: int, row_key: Sequ
     The choice is a function of the row's key, so a recomputed task makes the same one.
     """
     drawn = hash_uniform(seed, *[F.col(c) for c in row_key]) < fraction
-    negative = df.filter((F.col(label) == 0) & drawn)
-    return negative.unionAll(df.filter(F.col(label) == 1))
+    return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & drawn))
 
 
 def split_by_key(df: DataFrame, fraction: float, seed: int, row_key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -48,9 +48,8 @@ def cdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def kde(df: DataFrame, col: str, points: int = 200, cumulative: bool = False) -> DataFrame:
     """Gaussian kernel density (or its cumulative sum) on an even grid from minimum to maximum.
 
-    The bandwidth follows Scott's rule. Equal values are counted first; each
-    distinct value then adds to every grid point inside its own task, and only
-    one partial sum per grid point and task is shuffled.
+    The bandwidth follows Scott's rule. Equal values are counted first; then one
+    aggregate has a sum for every grid point.
     """
     counted = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v"))
                  .agg(F.count(F.lit(1)).alias("_n")))
@@ -60,15 +59,23 @@ def kde(df: DataFrame, col: str, points: int = 200, cumulative: bool = False) ->
     centre = stats.select("mean").scalar()
     spread = counted.agg(F.sqrt(F.sum(F.col("_n") * F.pow(F.col("_v") - centre, F.lit(2))) / (F.sum("_n") - 1)))
     shape = stats.select(F.struct("n", "low", "high")).scalar()
-    total, low, high = shape["n"], shape["low"], shape["high"]
-    bandwidth = spread.scalar() * F.pow(total.cast("double"), F.lit(-0.2))
-    placed = counted.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    placed = placed.withColumns({"_h": bandwidth, "x": low + (high - low) * F.col("point") / (points - 1),
-                                 "_total": total})
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    kernel = F.exp(z * z * -0.5) / (F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
-    density = (placed.groupBy("point", "x").agg(
-        (F.sum(F.col("_n") * kernel) / F.max("_total")).alias("density")))
+    low, high = shape["low"], shape["high"]
+    bandwidth = spread.scalar() * F.pow(shape["n"].cast("double"), F.lit(-0.2))
+    placed = counted.withColumns({"_h": bandwidth, "_low": low, "_step": (high - low) / (points - 1)})
+
+    def at(point: int) -> Column:
+        return F.col("_low") + F.col("_step") * point
+
+    def kernel(point: int) -> Column:
+        z = (at(point) - F.col("_v")) / F.col("_h")
+        return F.exp(z * z * -0.5) / (F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
+
+    # One row with a sum for each grid point; no row is multiplied.
+    sums = placed.agg(F.sum("_n").alias("_total"), F.min("_low").alias("_low"), F.min("_step").alias("_step"),
+                      F.array(*[F.sum(F.col("_n") * kernel(p)) for p in range(points)]).alias("_sums"))
+    density = (sums.filter(F.col("_total") > 0).select("_total", "_low", "_step", F.posexplode("_sums").alias("point", "_sum"))
+                   .select("point", (F.col("_low") + F.col("_step") * F.col("point")).alias("x"),
+                           (F.col("_sum") / F.col("_total")).alias("density")))
     if not cumulative:
         return density
     # The grid has a fixed number of points, so the running sum is small.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.parsing import split_tags
@@ -34,8 +34,11 @@ def running_mean_terms(tagged: DataFrame) -> DataFrame:
 
 
 def tagged_terms(terms: DataFrame) -> DataFrame:
-    """The text form in which the first stage hands its rows to the second."""
-    return terms.select(F.concat(F.lit("Topic: "), "topic", F.lit(" File: "), "file", F.lit("  Word: "), "word",
+    """The text form in which the first stage hands its rows to the second; null is empty text."""
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(""))
+
+    return terms.select(F.concat(F.lit("Topic: "), text("topic"), F.lit(" File: "), text("file"), F.lit("  Word: "), text("word"),
                                  F.lit("  Frequency: "), F.col("frequency").cast("string")).alias("value"))
 
 

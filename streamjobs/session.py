@@ -63,13 +63,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """A stored table with fewer splits than there are cores, dealt out over all cores.
-
-    For per-row work that costs more than moving the row. A table with enough
-    splits, as any large one has, is left as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
