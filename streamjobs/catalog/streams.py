@@ -8,11 +8,12 @@ from streamjobs.catalog.ports import packet_messages
 from streamjobs.catalog.registry import plain, query, stream, table
 from streamjobs.functions.envelope import schema_envelope
 from streamjobs.session import fresh_path
+from streamjobs.sources.files import read_csv, read_json_lines
 from streamjobs.sources.topics import file_source
 from streamjobs.plans.word_count import topic_copy as copy
 from streamjobs.streaming.dedup import distinct_messages
 from streamjobs.streaming.runs import collect_append
-from streamjobs.streaming.sinks import enveloped, file_sink, start, start_foreach_batch
+from streamjobs.streaming.sinks import enveloped, file_sink, run_for, single_file, start, start_foreach_batch
 
 _IDS = """SELECT DISTINCT user_id % 10 AS prod_id, day(ts) * 10 + user_id % 7 AS msg_id, event_type AS topic FROM events"""
 
@@ -78,3 +79,39 @@ def envelope_sink_stream(spark, sf):
                  || '","n_regionkey":' || n_regionkey || '}}' AS value FROM nation""")
 def envelope(spark, sf):
     return schema_envelope(table(spark, sf, "nation").select("n_name", "n_regionkey"))
+
+
+@query("""SELECT event_id, event_type, value FROM events""")
+def csv_scan(spark, sf):
+    """CSV files without a header, written and read by schema."""
+    path, rows = fresh_path(spark, "csv"), table(spark, sf, "events").select("event_id", "event_type", "value")
+    rows.write.csv(path)
+    return read_csv(spark, path, rows.schema)
+
+
+@query("""SELECT event_id, event_type FROM events""")
+def json_lines_scan(spark, sf):
+    path = fresh_path(spark, "json")
+    table(spark, sf, "events").select("event_id", "event_type").write.json(path)
+    return read_json_lines(spark, path)
+
+
+@query("""SELECT event_id, event_type FROM events""")
+def timed_trigger_stream(spark, sf):
+    """A query with a processing-time trigger, stopped when it has taken all its input."""
+    path, rows = fresh_path(spark, "timed"), stream(spark, sf, "events").select("event_id", "event_type")
+    query_ = start(rows, file_sink(path), "append", every="1 second")
+    query_.processAllAvailable()
+    run_for(query_, 0.1)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(1 AS BIGINT) AS n_files FROM events GROUP BY event_type""")
+def single_file_report(spark, sf):
+    """A small report in one file."""
+    path = fresh_path(spark, "single")
+    report = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    single_file(report).write.parquet(path)
+    back = spark.read.parquet(path).select("event_type", "n", F.col("_metadata.file_path").alias("_file"))
+    files = back.agg(F.countDistinct("_file")).scalar()
+    return back.select("event_type", "n", files.alias("n_files"))

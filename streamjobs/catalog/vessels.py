@@ -137,3 +137,10 @@ def traffic_envelope_stream(spark, sf):
     handle = enveloped(lambda batch, batch_id: batch.write.mode("overwrite").text(f"{path}/b={batch_id}"))
     start_foreach_batch(ids, handle, "append", available_now=True).awaitTermination()
     return spark.read.schema("value string").text(f"{path}/*")
+
+
+@query(_VOYAGES + """ SELECT destination, shiptype, count(DISTINCT mmsi) AS "numberOfShips" FROM v GROUP BY ALL""")
+def traffic_on_arrival(spark, sf):
+    """Windows on the time of arrival, so long that all reports arrive in one."""
+    arrived = vessels.voyage_reports(reports(table(spark, sf, "events")))
+    return vessels.ships(arrived, "36500 days").select("destination", "shiptype", "numberOfShips")

@@ -27,11 +27,10 @@ _BITS = 62
 
 
 def _masks(consumers: list) -> list[Column]:
-    """The set of ``_consumer`` values as bits of a few whole numbers."""
-    place = F.array_position(F.lit([int(c) for c in consumers]), F.col("_consumer")).cast("int") - 1
+    """The set of consumers, each given by ``_word`` and ``_bit``, as bits of a few whole numbers."""
     masks = []
     for word in range((len(consumers) + _BITS - 1) // _BITS):
-        bit = F.when(F.floor(place / _BITS) == word, F.call_function("shiftleft", F.lit(1).cast("long"), place % _BITS))
+        bit = F.when(F.col("_word") == word, F.col("_bit"))
         masks.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias(f"_mask{word}"))
     return masks
 
@@ -68,6 +67,11 @@ def delivery_states(prod: DataFrame, cons: DataFrame, consumers: list,
     together = rows(prod, True, topic=F.col("topic_id")).unionByName(rows(cons, False, consumer=F.col("consumer_id")))
     if confirmations is not None:
         together = together.unionByName(rows(confirmations.filter(F.col("confirmed") == 0), False))
+    # Word and bit of a consumer are looked up once per row.
+    place = F.array_position(F.lit([int(c) for c in consumers]).cast("array<int>"), F.col("_consumer")).cast("int") - 1
+    together = together.withColumn("_place", place).withColumns({
+        "_word": F.floor(F.col("_place") / _BITS).cast("int"),
+        "_bit": F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_place") % _BITS)})
     grouped = together.groupBy(*MESSAGE[:2]).agg(
         F.bool_or("_sent").alias("_sent"), F.min("topic_id").alias("topic_id"),
         F.bool_or("_unconfirmed").alias("unconfirmed"), *_masks(consumers))

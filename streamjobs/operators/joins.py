@@ -56,25 +56,42 @@ def assign_region(points: DataFrame, lon: str, lat: str, regions: DataFrame, nam
     (west, east, south, north) limit, its east and north ends excluded as for a
     polygon. A set of regions within the checked limits
     becomes one array value, and the test is row-local: no shuffle, and it works
-    on a stream. For a larger set use ``assign_region_by_cell``.
+    on a stream. A larger set goes to ``assign_region_by_cell``, with cells of the
+    regions' mean size.
     """
-    bounded = _with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL")
-    rows, corners = bounded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("coord")), F.lit(0))).first()
-    if rows > max_regions or corners > max_corners:
-        raise ValueError(f"{rows} regions with {corners} corners; use assign_region_by_cell")
-    if rows == 0:
-        return points.withColumn(name, F.lit(default))
-    listed = bounded.orderBy("ordinal").collect()
-    grid = _Grid(listed)
-    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    shapes = F.from_json(F.lit(json.dumps([{"n": r["name"], "c": r["coord"]} for r in listed])),
-                         "array<struct<n:string,c:array<array<double>>>>")
-    inside = F.filter(grid.candidates(x, y), lambda i: point_in_polygon(x, y, F.get(shapes, i)["c"]))
-    found = F.get(shapes, F.get(inside, F.lit(0)))["n"]
-    if box is not None:
+    return Regions(regions, max_regions, max_corners).assign(points, lon, lat, name, default, box)
+
+
+class Regions:
+    """Regions made ready once, to assign any number of points to them (see ``assign_region``)."""
+
+    def __init__(self, regions: DataFrame, max_regions: int = 1000, max_corners: int = 200_000):
+        self.regions = regions
+        bounded = _with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL")
+        size = F.avg(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")))
+        self.rows, corners, self.cell = bounded.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.size("coord")), F.lit(0)), size).first()
+        self.few = self.rows <= max_regions and corners <= max_corners
+        self.listed = bounded.orderBy("ordinal").collect() if self.few else []
+
+    def assign(self, points: DataFrame, lon: str, lat: str, name: str = "region", default: str = "Other",
+               box: tuple[float, float, float, float] | None = None) -> DataFrame:
+        if self.rows == 0:
+            return points.withColumn(name, F.lit(default))
+        x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+        if self.few:
+            grid = _Grid(self.listed)
+            shapes = F.from_json(F.lit(json.dumps([{"n": r["name"], "c": r["coord"]} for r in self.listed])),
+                                 "array<struct<n:string,c:array<array<double>>>>")
+            inside = F.filter(grid.candidates(x, y), lambda i: point_in_polygon(x, y, F.get(shapes, i)["c"]))
+            found = points.withColumn(name, F.coalesce(F.get(shapes, F.get(inside, F.lit(0)))["n"], F.lit(default)))
+        else:
+            found = assign_region_by_cell(points, lon, lat, self.regions, float(self.cell) or 1.0, name, default)
+        if box is None:
+            return found
         west, east, south, north = box
-        found = F.when((x >= west) & (x < east) & (y >= south) & (y < north), found)
-    return points.withColumn(name, F.coalesce(found, F.lit(default)))
+        outside = ~((x >= west) & (x < east) & (y >= south) & (y < north))
+        return found.withColumn(name, F.when(outside, F.lit(default)).otherwise(F.col(name)))
 
 
 class _Grid:
@@ -109,7 +126,7 @@ class _Grid:
 
 
 def assign_region_by_cell(points: DataFrame, lon: str, lat: str, regions: DataFrame, cell: float,
-                          name: str = "region", default: str = "Other", salts: int = 1,
+                          name: str = "region", default: str = "Other", salts: int = 8,
                           max_per_cell: int = 1000) -> DataFrame:
     """The same assignment for any number of regions, as one equi-join on grid cells.
 

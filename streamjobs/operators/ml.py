@@ -20,6 +20,9 @@ from streamjobs.operators.experiments import nonzero_columns
 from streamjobs.operators.sampling import split_by_key
 
 
+ROWS_PER_TASK = 5000
+
+
 def train_svm(df: DataFrame, features: Sequence[str], label: str, max_iter: int = 100) -> PipelineModel:
     """Linear support vector machine on the assembled features."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
@@ -112,7 +115,8 @@ def fit_state_models(df: DataFrame, index: str, features: Sequence[str], targets
         assemble = VectorAssembler(inputCols=list(features), outputCol="features")
         train, test = (assemble.transform(d).select(index, "features", F.col(target).alias("label"))
                        for d in (train, test))
-        train = train.persist()
+        # Boosting runs hundreds of short jobs; tasks of a few thousand rows keep them short.
+        train = train.repartition(max(1, math.ceil(train.count() / ROWS_PER_TASK)), index).persist()
         try:
             candidates = state_regressors(seed, **sizes)
             with ThreadPoolExecutor(parallelism) as pool:

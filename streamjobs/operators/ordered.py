@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 from streamjobs.session import written
 
 
-def range_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``df`` with ``_part``, the number of its range partition, rising with ``order``."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+def range_parts(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_part``, the number of its range partition, rising with ``order``.
+
+    ``parts`` is the number of partitions; without it Spark's setting holds, which has to
+    be made for the size of the data.
+    """
+    columns = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
     return written(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
 
 
@@ -59,9 +64,10 @@ def _last_before(col: str, window) -> Column:
     return F.lag(col).over(window)
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, start: int = 0,
+                n_parts: int | None = None) -> DataFrame:
     """Position of each row within its key."""
-    parts = range_parts(df, [*keys, *order])
+    parts = range_parts(df, [*keys, *order], n_parts)
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
     local = parts.withColumn("_rn", F.row_number().over(inside))
     numbered = _with_preceding(parts, local, keys, F.count(F.lit(1)), _sum_before, "_before")
@@ -69,9 +75,10 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return numbered.select(*df.columns, number.cast("long").alias(name))
 
 
-def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
+                    n_parts: int | None = None) -> DataFrame:
     """The value of the row before within the key; null on a key's first row."""
-    parts = range_parts(df, [*keys, *order])
+    parts = range_parts(df, [*keys, *order], n_parts)
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
     local = (parts.withColumn("_rn", F.row_number().over(inside))
                   .withColumn("_lag", F.lag(value).over(inside)))

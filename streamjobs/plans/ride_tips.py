@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from streamjobs.functions.geo import in_box
 from streamjobs.functions.parsing import parse_delimited
 from streamjobs.operators.aggregates import sliding_avg
-from streamjobs.operators.joins import assign_region, interval_join
+from streamjobs.operators.joins import Regions, interval_join
 
 FARES = T.StructType([
     T.StructField("rideId", T.LongType()), T.StructField("taxiId", T.LongType()),
@@ -59,8 +59,9 @@ def paid_rides(fare_rows: DataFrame, ride_rows: DataFrame, upper_seconds: int =
 
 def with_neighbourhoods(rides: DataFrame, regions: DataFrame,
                         box: tuple[float, float, float, float] | None = DISTRICT) -> DataFrame:
-    stop = assign_region(rides, "endLon", "endLat", regions, "stopNbhd", box=box)
-    return assign_region(stop, "startLon", "startLat", regions, "startNbhd", box=box)
+    ready = Regions(regions)
+    stop = ready.assign(rides, "endLon", "endLat", "stopNbhd", box=box)
+    return ready.assign(stop, "startLon", "startLat", "startNbhd", box=box)
 
 
 def tips(rides: DataFrame, size: str = "30 minutes", slide: str = "10 minutes") -> DataFrame:

@@ -53,6 +53,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/streamjobs/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_written(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once the results that read them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/streamjobs/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -69,9 +69,14 @@ def replay_file(spark: SparkSession, path: str, times: int) -> DataFrame:
     return number_copies(spark.read.text(path, wholetext=True), times)
 
 
-def read_experiment(spark: SparkSession, path: str, index: str | None = "run_index") -> DataFrame:
-    """CSV with a header; the first column becomes the index, whatever its name."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+def read_experiment(spark: SparkSession, path: str, index: str | None = "run_index",
+                    schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV with a header; the first column becomes the index, whatever its name.
+
+    Without ``schema`` the types are found by reading the file once more.
+    """
+    reader = spark.read.option("header", True)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return df.withColumnRenamed(df.columns[0], index) if index else df
 
 

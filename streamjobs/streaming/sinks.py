@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +84,12 @@ def append_result(row: DataFrame, path: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file: int = 5_000_000) -> None:
-    """One folder per value of ``by``; a large group becomes several files, written by several tasks."""
-    spread = df.repartition(*[F.col(c) for c in by], F.pmod(F.xxhash64(*df.columns), F.lit(16)))
-    spread.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
+    """One folder per value of ``by``; a group of more than ``rows_per_file`` rows goes to as many tasks and files as that makes."""
+    files = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    same = reduce(and_, [df[c].eqNullSafe(files[f"_by_{c}"]) for c in by])
+    dealt = df.join(files, same).withColumn("_file", F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_files")))
+    dealt = dealt.repartition(*[df[c] for c in by], "_file").select(*[df[c] for c in df.columns])
+    dealt.write.partitionBy(*by).parquet(path)
 
 
 def single_file(df: DataFrame) -> DataFrame:
