@@ -58,7 +58,8 @@ _MEAN = """WITH w AS (SELECT DISTINCT source, doc_id, rtrim(word, ' ') AS word F
 
 @query(_MEAN)
 def doc_avg_distinct_words(spark, sf):
-    return docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents")))))
+    """Both stages in one batch, without the text form between them."""
+    return docs.mean_typed_terms(docs.document_terms(messages(table(spark, sf, "documents"))))
 
 
 _CLOSE = "SELECT DISTINCT source AS topic, true AS close FROM documents"
@@ -66,7 +67,7 @@ _CLOSE = "SELECT DISTINCT source AS topic, true AS close FROM documents"
 
 def _close(spark, sf, approximate):
     """Whether each topic's approximate mean lies within 10 percent of the exact one."""
-    exact = docs.mean_terms(docs.tagged_terms(docs.document_terms(messages(table(spark, sf, "documents")))))
+    exact = doc_avg_distinct_words(spark, sf)
     both = approximate.withColumnRenamed("avg_words", "_approx").join(exact, "topic", "full")
     close = F.abs(F.col("_approx") - F.col("avg_words")) <= F.col("avg_words") * 0.1
     return both.select("topic", F.coalesce(close, F.lit(False)).alias("close"))

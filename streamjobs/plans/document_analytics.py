@@ -59,6 +59,11 @@ def mean_terms(tagged: DataFrame, approx: bool = False) -> DataFrame:
     return avg_distinct_terms(latest, approx=approx)
 
 
+def mean_typed_terms(terms: DataFrame) -> DataFrame:
+    """``mean_terms`` of the first stage's rows themselves, which hold each word of a document once."""
+    return avg_distinct_terms(terms)
+
+
 def mean_terms_text(means: DataFrame) -> DataFrame:
     return means.select(F.concat(F.lit("Topic: "), "topic", F.lit(" Avg number of words for this topic: "),
                                  F.col("avg_words").cast("string")).alias("value"))

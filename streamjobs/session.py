@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 _local_folders: dict[str, str] = {}
 
 
@@ -44,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="streamjobs-")
+        log.warning("spark.checkpoint.dir is not set: intermediate tables go to %s", _local_folders[app])
     return _local_folders[app]
 
 
