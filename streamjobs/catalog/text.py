@@ -66,10 +66,12 @@ _CLOSE = "SELECT DISTINCT source AS topic, true AS close FROM documents"
 
 
 def _close(spark, sf, approximate):
-    """Whether each topic's approximate mean lies within 10 percent of the exact one."""
-    exact = doc_avg_distinct_words(spark, sf)
-    both = approximate.withColumnRenamed("avg_words", "_approx").join(exact, "topic", "full")
-    close = F.abs(F.col("_approx") - F.col("avg_words")) <= F.col("avg_words") * 0.1
+    """Whether the number of files that each topic's approximate mean stands for is within 10 percent, or 1, of the exact one."""
+    files = table(spark, sf, "documents").groupBy(F.col("source").alias("topic")).agg(F.countDistinct("doc_id").alias("_n"))
+    both = (approximate.withColumnRenamed("avg_words", "_approx").join(doc_avg_distinct_words(spark, sf), "topic", "full")
+                       .join(files, "topic", "full"))
+    implied = F.col("_n") * F.col("avg_words") / F.col("_approx")
+    close = F.abs(implied - F.col("_n")) <= F.greatest(F.lit(1.0), F.col("_n") * 0.1) + 1e-6
     return both.select("topic", F.coalesce(close, F.lit(False)).alias("close"))
 
 
