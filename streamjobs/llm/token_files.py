@@ -15,8 +15,10 @@ there, so that the index needs about 2 bits and the low bits per document.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -120,27 +122,77 @@ def _folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-class _Chunks(dict):
-    """Ids of pieces of text between white space, as bytes; the library encodes each once while it is held."""
+_TAIL = ".,;:!?#$%&*|"
+#: Letters whose lower case is not that of each sign for itself go the long way.
+_ODD = re.compile("[\u0130\u03a3]")
 
-    LIMIT = 300_000
 
-    def __init__(self, tokenizer, width: int):
-        self.tokenizer, self.kind = tokenizer, f"<u{width}"
+def _byte_signs() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for signs from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of runs of letters, and of runs of signs, as the model merges them; each is encoded once while it is held."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.model, self.kind, self.signs = tokenizer.model, kind, _byte_signs()
+
+    def __missing__(self, word: str) -> bytes:
+        folded = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.signs)
+        value = self[word] = np.array([t.id for t in self.model.tokenize(folded)], self.kind).tobytes()
+        return value
+
+
+class _Pieces(dict):
+    """Ids of pieces of text between white space, as bytes; each is encoded once while it is held.
+
+    Letters with signs after them, if any, are merged by the library's model as the two words
+    they are; the library encodes all other pieces in full.
+    """
+
+    LIMIT = 250_000
+
+    def __init__(self, tokenizer, width: int, plain: bool):
+        self.tokenizer, self.kind, self.plain = tokenizer, f"<u{width}", plain
+        self.words = _Words(tokenizer, self.kind)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        value = self[piece] = np.array(ids, self.kind).tobytes()
+        word = piece.rstrip(_TAIL)
+        if self.plain and word.isalpha() and not _ODD.search(word):
+            value = self.words[word]
+            if len(word) < len(piece):
+                value += self.words[piece[len(word):]]
+        else:
+            value = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        self[piece] = value
         return value
 
     def encode(self, text: str) -> bytes:
         if len(self) > self.LIMIT:
             self.clear()
+            self.words.clear()
         # str.split also takes these four for white space, the tokenizer does not
         pieces = re.split("[ \t\n\x0b\x0c\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
         return b"".join(map(self.__getitem__, pieces))
 
 
+#: The parts of a tokenizer file under which letters and the signs after them are two words of its model.
+_PLAIN = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"],
+          "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def is_plain(definition: str) -> bool:
+    """Whether a tokenizer file folds, splits and maps its words as :class:`_Words` does."""
+    held = json.loads(definition)
+    normal = (held.get("normalizer") or {}).get("normalizers", [])
+    split = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return ([n["type"] for n in normal] == _PLAIN["normalizer"] and [p["type"] for p in split] == _PLAIN["pre_tokenizer"]
+            and split[0]["pattern"] == {"Regex": _PLAIN["pattern"]} and not split[1]["add_prefix_space"])
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of all documents to ``folder``, in ascending doc_id order over and within the files.
 
@@ -160,13 +212,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     if both != loaded.encode("a", add_special_tokens=False).ids + loaded.encode(" b\n", add_special_tokens=False).ids:
         raise ValueError("the tokenizer keeps white space")
     width = 2 if max(loaded.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+    plain = is_plain(definition)
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # as large as the vocabulary
 
     def run(batches):
         store, root = _folder(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        pieces = _Chunks(Tokenizer.from_str(shared.value), width)
+        pieces = _Pieces(Tokenizer.from_str(shared.value), width, plain)
         last = np.array([end_id], f"<u{width}").tobytes()
         name, path = f"{root}/.{uuid.uuid4().hex}", f"{root}/part-{part:06d}.tok"
         doc_ids, ends, total, out = [], [], 0, None
