@@ -40,7 +40,7 @@ def log_confirmations(spark, sf):
 @query(f"""WITH {FACTS} SELECT CAST(consumer_id AS INTEGER) AS consumer_id, consumed_ts, prod_id, msg_id, topic_id,
                   event_id AS "offset" FROM recv""")
 def log_consumer(spark, sf):
-    return plain(reports.consumer_entries(consumer_lines(table(spark, sf, "events"))))
+    return plain(reports.consumer_entries(consumer_lines(table(spark, sf, "events"))).drop("line_key"))
 
 
 _TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S,%g')"
