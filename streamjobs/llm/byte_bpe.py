@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from streamjobs.llm.words import in_batches, rows_of
 
 #: A block ends with the document that brings it to so many distinct pre-tokens or pre-tokens.
-DISTINCT, TOKENS = 400_000, 4_000_000
+DISTINCT, TOKENS = 200_000, 2_000_000
 
 #: Buckets of pre-tokens for each shuffle partition.
 BUCKETS = 4

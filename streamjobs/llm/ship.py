@@ -9,10 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of the Arrow batches in which rows go to Python: whole texts are large rows.
+BATCH = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand the package's sources to the workers, once per application, as ``--py-files`` would."""
+    """Hand the package's sources to the workers, once per application, as ``--py-files`` would.
+
+    Also sets the session's Arrow batches to at most about ``BATCH`` bytes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
