@@ -21,6 +21,8 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,6 @@ SAMPLE = 256
 END_ID = 2
 _TRAILER = "<8s7Q"  # magic, bytes per id, low bits, documents, ids, words of low, high, samples
 _FILES = pa.schema([("path", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-_DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 class EliasFano:
@@ -111,11 +112,13 @@ class TokenFile:
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends[i - 1] if i else 0), self.ends[i]
 
-    def ids(self, i: int) -> np.ndarray:
-        """The ids of the i-th document, its end id last."""
-        start, end = self.bounds(i)
+    def ids(self, i: int, start: int | None = None) -> tuple[np.ndarray, int]:
+        """The ids of the i-th document, its end id last, and where they end; ``start`` if it is known."""
+        end = self.ends[i]
+        if start is None:
+            start = self.bounds(i)[0]
         self.source.seek(start * self.width)
-        return np.frombuffer(self.source.read((end - start) * self.width), f"<u{self.width}").astype("<u4")
+        return np.frombuffer(self.source.read((end - start) * self.width), f"<u{self.width}").astype("<u4"), end
 
 
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -141,8 +144,10 @@ class _Words(dict):
         self.model, self.kind, self.signs = tokenizer.model, kind, _byte_signs()
 
     def __missing__(self, word: str) -> bytes:
-        folded = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.signs)
-        value = self[word] = np.array([t.id for t in self.model.tokenize(folded)], self.kind).tobytes()
+        folded = word.lower()
+        if not folded.isascii():
+            folded = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.signs)
+        value = self[word] = array(self.kind, [t.id for t in self.model.tokenize(folded)]).tobytes()
         return value
 
 
@@ -153,10 +158,10 @@ class _Pieces(dict):
     they are; the library encodes all other pieces in full.
     """
 
-    LIMIT = 250_000
+    LIMIT = 350_000
 
     def __init__(self, tokenizer, width: int, plain: bool):
-        self.tokenizer, self.kind, self.plain = tokenizer, f"<u{width}", plain
+        self.tokenizer, self.kind, self.plain = tokenizer, {2: "H", 4: "I"}[width], plain
         self.words = _Words(tokenizer, self.kind)
 
     def __missing__(self, piece: str) -> bytes:
@@ -166,7 +171,7 @@ class _Pieces(dict):
             if len(word) < len(piece):
                 value += self.words[piece[len(word):]]
         else:
-            value = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+            value = array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = value
         return value
 
@@ -248,12 +253,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
                 .mapInArrow(run, "path string, part int, n_docs long, n_ids long"))
 
 
-def read_tokens(files: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, start, ids`` of every document in the files that :func:`write_tokens` names.
-
-    ``start`` counts the ids of all documents before it. The file list, one row per file, is
-    brought to the driver for the running sum over the files.
-    """
+def _from_files(files: DataFrame, folder: str, ddl: str, schema: pa.Schema, row: Callable[..., tuple], weight=None) -> DataFrame:
+    """``row(doc_id, start, ids)`` of every document; one task reads one file at a time."""
     spark = files.sparkSession
     listed = sorted(files.select("part", "path", "n_ids").collect())
     starts, total = [], 0
@@ -261,39 +262,41 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
         starts.append((path, total))
         total += n_ids
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]):
         store, _ = _folder(folder)
 
         def each():
             for path, before in rows_of(batches, "path", "before"):
                 with store.open_input_file(path) as source:
                     held = TokenFile(source)
+                    start = 0
                     for i, doc_id in enumerate(held.doc_ids):
-                        yield doc_id, before + held.bounds(i)[0], held.ids(i).view(np.int32)
+                        ids, end = held.ids(i, start)
+                        yield row(doc_id, before + start, ids)
+                        start = end
 
-        return in_batches(each(), _DOCS, weight=lambda r: 4 * len(r[2]))
+        return in_batches(each(), schema, weight=weight)
 
     table = spark.createDataFrame(starts, "path string, before long")
-    return (table.repartition(max(1, len(starts)), "path")
-                 .mapInArrow(run, "doc_id long, start long, ids array<int>"))
+    return table.repartition(max(1, len(starts)), "path").mapInArrow(run, ddl)
 
 
-def digests(files: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` from the files; the checksum is of 32-bit ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+def read_tokens(files: DataFrame, folder: str) -> DataFrame:
+    """``doc_id, start, ids`` of every document in the files that :func:`write_tokens` names.
 
-    def run(batches):
-        def each(batch):
-            ids = batch.column("ids")
-            flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            for doc_id, start, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(),
-                                           offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                yield doc_id, start, b - a, zlib.crc32(flat[a:b].astype("<i4").tobytes())
+    ``start`` counts the ids of all documents before it. The file list, one row per file, is
+    brought to the driver for the running sum over the files.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _from_files(files, folder, "doc_id long, start long, ids array<int>", schema,
+                       lambda doc_id, start, ids: (doc_id, start, ids.view(np.int32)), lambda r: 4 * len(r[2]))
 
-        for batch in batches:
-            yield from in_batches(each(batch), schema, size=20_000)
 
-    return read_tokens(files, folder).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digests(files: DataFrame, folder: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` from the files; the checksum is of 32-bit ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    return _from_files(files, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", schema,
+                       lambda doc_id, start, ids: (doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
 
 
 def token_report(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
