@@ -125,13 +125,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on about ``sample`` documents of each language, drawn by the hash of doc_id.
 
     Held-out documents, null languages and texts without letters are left out. The sample's
-    vectors are made by the tasks, ``RUNS`` + 1 per document, and are all that comes to the driver.
+    vectors are made by the tasks, ``RUNS`` + 1 per document, and are all that comes to the driver:
+    about 10 MB for each language.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     share = (F.lit(float(1 << 20)) * sample / F.col("n")).cast("long")
-    drawn = known.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    drawn = known.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
 
     @F.pandas_udf("array<binary>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
