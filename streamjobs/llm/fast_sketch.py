@@ -227,11 +227,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = components(near)
     named = groups.join(labels.withColumnRenamed("component", "label"), "node", "left").select(
         F.col("component").alias("group"), "node", F.coalesce("label", "node").alias("label"))
+    # Written, so that a large group meets its one row in a join that Spark can broadcast or split.
+    named = written(named, "named")
     open_groups = (named.groupBy("group").agg(F.min("label").alias("_least"), F.max("label").alias("_most"),
                                               F.count(F.lit(1)).alias("_n"))
                         .filter("_least < _most")
                         .select("group", F.ceil(F.col("_n") / BLOCK).cast("int").alias("n_blocks")))
-    members = (named.join(open_groups, "group")
+    members = (named.join(written(open_groups, "open-groups"), "group")
                     .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
                     .join(sets.withColumnRenamed("doc_id", "node"), "node")
                     .select("group", F.col("node").alias("doc_id"), "label", "elements", "n_blocks", "block"))
