@@ -74,17 +74,21 @@ def license_report(docs: DataFrame, templates: DataFrame, threshold: float = THR
     low, high = of_templates.agg(F.min("n_template"), F.max("n_template")).first()
     low, high = (low or 1) * least, (high or 0) * most
 
-    lines = F.split(F.col("_text"), "\n")
-    units = (docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("_row"),
-                         normal(F.col("text")).alias("_text")).filter("_text is not null")
-                 .select("doc_id", "_row", F.posexplode(F.concat(
-                     F.array(F.when(F.size(lines) > 1, F.col("_text"))), lines)).alias("unit", "_line"))
-                 .filter("_line is not null")
-                 .select("doc_id", "_row", "unit", words(F.col("_line")).alias("_words"))
-                 # n words have at most n - 1 distinct bigrams, k distinct words at least k - 1.
-                 .filter((F.size("_words") - 1 >= low) & (F.size(F.array_distinct("_words")) - 1 <= high))
-                 .withColumn("_grams", bigrams(F.col("_words")))
-                 .withColumn("n_bigrams", F.size("_grams")).filter(F.col("n_bigrams").between(low, high)))
+    def once(expression: Column, name: str) -> Column:
+        """As a generator, so that no later filter or column computes the expression again."""
+        return F.explode(F.array(expression)).alias(name)
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string"))
+    texts = texts.filter("text is not null").select("doc_id", "_row", once(normal(F.col("text")), "_text"))
+    lines = texts.select("doc_id", "_row", "_text", once(F.split("_text", "\n"), "_lines"))
+    units = (lines.select("doc_id", "_row", F.posexplode(F.concat(
+                      F.array(F.when(F.size("_lines") > 1, F.col("_text"))), F.col("_lines"))).alias("unit", "_line"))
+                  .filter("_line is not null")
+                  .select("doc_id", "_row", "unit", once(words(F.col("_line")), "_words"))
+                  # n words have at most n - 1 distinct bigrams, k distinct words at least k - 1.
+                  .filter((F.size("_words") - 1 >= low) & (F.size(F.array_distinct("_words")) - 1 <= high))
+                  .select("doc_id", "_row", "unit", once(bigrams(F.col("_words")), "_grams"))
+                  .withColumn("n_bigrams", F.size("_grams")).filter(F.col("n_bigrams").between(low, high)))
     grams = units.select("doc_id", "_row", "unit", "n_bigrams", F.explode("_grams").alias("_gram"))
     wanted = of_templates.select("license", "n_template", F.explode("_grams").alias("_gram"))
     in_bounds = F.col("n_template").between(F.col("n_bigrams") * least, F.col("n_bigrams") * most)
