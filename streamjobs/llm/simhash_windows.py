@@ -1,16 +1,16 @@
-"""Benchmark decontamination: SimHash fingerprints of windows as long as the items.
+"""Benchmark decontamination: windows as long as the items, found through shared shingles.
 
 For every item length in the benchmark, the windows of that many words of every
-document are compared with the items of that length. A window's fingerprint is the
-SimHash of its five-word shingles, weighted by how often they stand in it. The 64 bits
-are cut into one block more than the Hamming radius, so that two fingerprints within
-the radius agree in a block at least; fingerprints meet by (length, block). What lies
-within the radius is verified by the exact weighted Jaccard similarity of the shingles.
+document are compared with the items of that length by the exact weighted Jaccard
+similarity of their five-word shingles.
 
 A window can only reach the similarity if most of its shingles are shingles of items of
 its length. A bitmap of fixed size over shingle hashes finds the windows for which that
-may be so, and only these get fingerprints; a full bitmap would let more windows pass,
-but never miss one.
+may be so; a full bitmap would let more windows pass, but never miss one. Of n shingles
+that have to share k, each numbered as often as it stands there and sorted by hash, one
+of the first n - k + 1 is shared among the first of the other side, too: windows and
+items meet by these, so that no pair is missed. Windows that follow each other travel as
+one row. SimHash fingerprints tell how far a found window lies from its item.
 """
 
 from __future__ import annotations
@@ -20,23 +20,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.llm.words import WordHashes, grams, in_batches, mix, rows_of
 from streamjobs.session import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Largest Hamming distance of fingerprints that are verified; one block of bits more than that.
-RADIUS = 11
 #: Bits of the map of benchmark shingles, whatever the size of the benchmark.
 MAP_BITS = 1 << 26
 _PAGE = 32768  # bits of one row of the map, as Spark's bitmap functions have it
-_RUN = 20_000  # windows fingerprinted at a time
+_RUN = 64  # at least so many windows that follow each other are one row
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _WINDOW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()),
-                     ("fingerprint", pa.int64()), ("words", pa.string())])
-_WINDOW_DDL = "doc_id long, text_hash long, start int, n_words int, fingerprint long, words string"
+                     ("need", pa.int32()), ("tokens", pa.list_(pa.int64())), ("words", pa.string())])
+_WINDOW_DDL = "doc_id long, text_hash long, start int, n_words int, need int, tokens array<long>, words string"
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -70,18 +68,24 @@ def fingerprints(shingle_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def block_values(fingerprint: Column, blocks: int) -> Column:
-    """``blocks`` pairs (number, bits) that share the fingerprint's 64 bits out as evenly as can be."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"),
-                              F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
-                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+def common(n: int, m: int, similarity: float) -> int:
+    """Least number of shingles that sets of ``n`` and ``m`` share if they are so similar."""
+    return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """Items with words: id, length, fingerprint, words and shingle hashes."""
-    schema = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("fingerprint", pa.int64()), ("words", pa.string()),
-                        ("bits", pa.list_(pa.int64()))])
+def first_tokens(shingle_hashes: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` smallest of the numbered shingles: equal ones differ by how many came before."""
+    held = np.sort(shingle_hashes)
+    at = np.arange(len(held))
+    new = np.concatenate([[True], held[1:] != held[:-1]])
+    number = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return np.sort(mix(held + number * np.uint64(0x9E3779B97F4A7C15)))[:count]
+
+
+def _items(benchmark: DataFrame, similarity: float) -> DataFrame:
+    """Items with words: id, length, words, bits of the map and first tokens."""
+    schema = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("words", pa.string()),
+                        ("bits", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
@@ -92,13 +96,14 @@ def _items(benchmark: DataFrame) -> DataFrame:
                 if words:
                     found = window_shingles(_hashes(words, cache), len(words))
                     both = np.concatenate([found, _of_length(found, len(words))]) % np.uint64(MAP_BITS)
-                    yield (item_id, len(words), int(fingerprints(found, len(found)).view(np.int64)[0]), " ".join(words),
-                           np.unique(both).astype(np.int64))
+                    least = math.ceil(similarity * len(found) - 1e-9)  # in common with any window, however short
+                    yield (item_id, len(words), " ".join(words), np.unique(both).astype(np.int64),
+                           first_tokens(found, len(found) - least + 1).view(np.int64))
 
-        return in_batches(each(), schema, weight=lambda r: 8 * len(r[4]))
+        return in_batches(each(), schema, weight=lambda r: 8 * len(r[3]))
 
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "item_id long, n_words int, fingerprint long, words string, bits array<long>")
+        run, "item_id long, n_words int, words string, bits array<long>, tokens array<long>")
 
 
 def _map_of(items: DataFrame) -> np.ndarray:
@@ -115,10 +120,9 @@ def _map_of(items: DataFrame) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity: float) -> DataFrame:
-    """Windows that may be similar to an item, with fingerprint and words."""
+    """Runs of windows that may be similar to an item: start of the first, least shared shingles, first tokens of all, words."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
-    # Equal numbers n of shingles: min / max >= s leaves at least 2 s / (1 + s) of n in common.
-    needs = [(n, per_window(n), math.ceil(2 * similarity / (1 + similarity) * per_window(n) - 1e-9)) for n in lengths]
+    needs = [(n, per_window(n), common(per_window(n), per_window(n), similarity)) for n in lengths]
 
     def has(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         at = hashes % np.uint64(MAP_BITS)
@@ -149,13 +153,15 @@ def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity
                     at = np.flatnonzero(hits)
                     own[at] = has(held, _of_length(found[at], n_words))
                     starts = enough(own, n, need)
-                    for run_ in np.split(starts, np.flatnonzero((np.diff(starts) > 1) | (np.arange(1, len(starts)) % _RUN == 0)) + 1):
-                        if len(run_):
-                            a, b = int(run_[0]), int(run_[-1])
-                            for k, f in enumerate(fingerprints(found[a:b + n], n).view(np.int64).tolist()):
-                                yield doc_id, text_hash, a + k, n_words, f, " ".join(words[a + k:a + k + n_words])
+                    breaks = np.flatnonzero(np.diff(starts) > 1) + 1
+                    most_starts = max(_RUN, n_words)
+                    for whole in np.split(starts, breaks):
+                        for low in range(0, len(whole), most_starts):
+                            a, b = int(whole[low]), int(whole[min(low + most_starts, len(whole)) - 1])
+                            tokens = np.unique(np.concatenate([first_tokens(found[k:k + n], n - need + 1) for k in range(a, b + 1)]))
+                            yield doc_id, text_hash, a, n_words, need, tokens.view(np.int64), " ".join(words[a:b + n_words])
 
-        return in_batches(each(), _WINDOW)
+        return in_batches(each(), _WINDOW, weight=lambda r: 8 * len(r[5]) + len(r[6]))
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
     return texts.filter("text is not null").mapInArrow(run, _WINDOW_DDL)
@@ -167,43 +173,68 @@ def weighted_similarity(left: list[str], right: list[str]) -> float:
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def best_window(words: list[str], size: int, item: list[str]) -> tuple[float, int]:
+    """The first of the most similar windows of ``size`` words: :func:`weighted_similarity` with ``item``, and start."""
+    wanted = Counter(tuple(item[i:i + SHINGLE]) for i in range(max(1, len(item) - SHINGLE + 1)))
+    n, n_item, shared, best = per_window(size), wanted.total(), 0, (-1.0, 0)
+    width, held = min(SHINGLE, size), Counter()
+    every = [tuple(words[i:i + width]) for i in range(len(words) - width + 1)]
+    for i, shingle in enumerate(every):
+        held[shingle] += 1
+        shared += held[shingle] <= wanted[shingle]
+        if i >= n:
+            gone = every[i - n]
+            shared -= held[gone] <= wanted[gone]
+            held[gone] -= 1
+        if i >= n - 1 and (found := shared / max(1, n + n_item - shared)) > best[0]:
+            best = found, i - n + 1
+    return best
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_hash, item_id, similarity, start, n_words, distance``: items found in documents, best window each.
 
-    ``benchmark`` has ``item_id`` and ``text``. A pair of window and item counts if their
-    fingerprints lie within ``radius`` and their weighted similarity is at least ``similarity``;
-    of equally good windows the first counts. Words are folded and lose signs at their ends;
+    ``benchmark`` has ``item_id`` and ``text``. A pair of window and item counts if their weighted
+    similarity is at least ``similarity``; ``distance`` is that of their fingerprints. Of equally
+    good windows the first counts. Words are folded and lose signs at their ends;
     texts and items without words match nothing. Rows of one doc_id and text are reported as one;
     a row without doc_id is reported with null. Empty tables give no rows.
     """
-    items = written(_items(benchmark), "items")
+    items = written(_items(benchmark, similarity).withColumn("_item", F.monotonically_increasing_id()), "items")
     lengths = sorted(r["n_words"] for r in items.select("n_words").distinct().collect())
-    windows = written(_windows(docs, lengths, _map_of(items), similarity), "windows")
-
-    def exploded(rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.select(*columns, "n_words", "fingerprint", "words",
-                           F.explode(block_values(F.col("fingerprint"), radius + 1)).alias("_block"))
-
-    on = ["n_words", "_block"]
-    other = exploded(items, "item_id").withColumnsRenamed({"fingerprint": "_fingerprint", "words": "_words"})
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("_fingerprint")))
-    near = (exploded(windows, "doc_id", "text_hash", "start").join(other, on)
-            .withColumn("distance", distance).filter(F.col("distance") <= radius)
-            .dropDuplicates(["doc_id", "text_hash", "start", "n_words", "item_id"]))
+    windows = written(_windows(docs, lengths, _map_of(items), similarity).withColumn("_run", F.monotonically_increasing_id()), "windows")
+
+    wanted = items.select("_item", "n_words", F.posexplode("tokens").alias("_rank", "_token"))
+    # The item's own first tokens are fewer, the more the two have to share.
+    size = F.col("n_words") - F.least(F.lit(SHINGLE), "n_words") + 1
+    met = (windows.select("_run", "n_words", "need", F.explode("tokens").alias("_token")).join(wanted, ["n_words", "_token"])
+                  .filter(F.col("_rank") <= size - F.col("need")).select("_run", "_item").distinct())
+    near = (met.join(windows.select("_run", "doc_id", "text_hash", "start", "n_words", "words"), "_run")
+               .join(items.select("_item", "item_id", F.col("words").alias("_words")), "_item"))
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
                         ("start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())])
 
     def verify(batches):
+        cache = WordHashes()
+
+        def fingerprint(words: list[str]) -> int:
+            found = window_shingles(_hashes(words, cache), len(words))
+            return int(fingerprints(found, len(found))[0])
+
         def each():
-            for *key, start, n_words, d, left, right in rows_of(
-                    batches, "doc_id", "text_hash", "item_id", "start", "n_words", "distance", "words", "_words"):
-                yield *key, weighted_similarity(left.split(" "), right.split(" ")), start, n_words, d
+            for *key, start, n_words, left, right in rows_of(
+                    batches, "doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words"):
+                left, right = left.split(" "), right.split(" ")
+                found, at = best_window(left, n_words, right)
+                if found >= similarity:
+                    apart = fingerprint(left[at:at + n_words]) ^ fingerprint(right)
+                    yield *key, found, start + at, n_words, apart.bit_count()
 
         return in_batches(each(), schema)
 
-    verified = near.select("doc_id", "text_hash", "item_id", "start", "n_words", "distance", "words", "_words").mapInArrow(
+    verified = near.select("doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words").mapInArrow(
         verify, "doc_id long, text_hash long, item_id long, similarity double, start int, n_words int, distance int")
-    return (verified.filter(F.col("similarity") >= similarity).groupBy("doc_id", "text_hash", "item_id")
+    return (verified.groupBy("doc_id", "text_hash", "item_id")
                     .agg(F.min(F.struct((-F.col("similarity")).alias("_far"), "start", "similarity", "n_words", "distance"))
                           .alias("_best"))
                     .select("doc_id", "text_hash", "item_id", "_best.similarity", "_best.start", "_best.n_words", "_best.distance"))

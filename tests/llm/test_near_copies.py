@@ -157,3 +157,23 @@ def test_benchmark_items_are_found(spark):
     assert clean.columns == docs.columns and set(EXTRA) <= set(clean.columns)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(
         map(repr, ((d, t) for d, t, *_ in rows if d not in {a for a, _ in want if a} and not (d is None and t == items[5][1]))))
+
+
+def test_items_are_found_beyond_any_radius_of_fingerprints(spark):
+    """One changed word inside 50 leaves a similarity of 0.804; some of the fingerprints lie more than 11 bits apart."""
+    items = [(i, prose(2000 + i, 50)) for i in range(60)] + [(60, "do re " * 25), (61, prose(2061, 200))]
+    rows = [(i, prose(3000 + i, i % 7) + " " + " ".join([*words[:25], "changed", *words[26:]]) + " " + prose(4000 + i, i % 5), "aa")
+            for i, text in items[:60] for words in [text.split()]]
+    rows += [(60, "do re " * 300, "aa"), (61, changed(items[61][1], 1, 4), "aa"), (62, items[0][1], "aa"), (62, items[1][1], "aa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in simhash_windows.contamination_report(table(spark, rows), bench).collect()}
+    want = {}
+    for doc_id, text, *_ in rows:
+        words = simhash_windows.plain_words(text)
+        for item, of in items:
+            held = simhash_windows.plain_words(of)
+            found = [(-simhash_windows.weighted_similarity(words[i:i + len(held)], held), i) for i in range(len(words) - len(held) + 1)]
+            if found and -min(found)[0] >= 0.8:
+                want[doc_id, item] = min(found)
+    assert {k: (-r.similarity, r.start) for k, r in got.items()} == want
+    assert {(i, i) for i in range(62)} <= set(got) and max(r.distance for r in got.values()) > 11
