@@ -2,7 +2,7 @@
 
 For every item length in the benchmark, the windows of that many words of every
 document are compared with the items of that length by the exact weighted Jaccard
-similarity of their five-word shingles.
+similarity of their five-word shingles. A shorter text is one window as a whole.
 
 A window can only reach the similarity if most of its shingles are shingles of items of
 its length. A bitmap of fixed size over shingle hashes finds the windows for which that
@@ -130,7 +130,7 @@ def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity
 
     def enough(hits: np.ndarray, n: int, need: int) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(hits)])
-        return np.flatnonzero(total[n:] - total[:-n] >= need) if len(hits) >= n else np.empty(0, np.int64)
+        return np.flatnonzero(total[n:] - total[:-n] >= need)
 
     def run(batches):
         held, cache = shared.value, WordHashes()
@@ -147,7 +147,9 @@ def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity
                         hits = has(held, found)
                         by_size[size] = found, hits, int(hits.sum())
                     found, hits, most = by_size[size]
-                    if most < need or not len(enough(hits, n, need)):
+                    if len(found) < n:  # a text shorter than the item
+                        n, need = len(found), common(len(found), n, similarity)
+                    if not n or most < need or not len(enough(hits, n, need)):
                         continue
                     own = np.zeros(len(found), bool)
                     at = np.flatnonzero(hits)
@@ -195,8 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """``doc_id, text_hash, item_id, similarity, start, n_words, distance``: items found in documents, best window each.
 
     ``benchmark`` has ``item_id`` and ``text``. A pair of window and item counts if their weighted
-    similarity is at least ``similarity``; ``distance`` is that of their fingerprints. Of equally
-    good windows the first counts. Words are folded and lose signs at their ends;
+    similarity is at least ``similarity``; ``distance`` is that of their fingerprints. A text shorter
+    than the item is its one window, with its own ``n_words``. Of equally good windows the first counts. Words are folded and lose signs at their ends;
     texts and items without words match nothing. Rows of one doc_id and text are reported as one;
     a row without doc_id is reported with null. Empty tables give no rows.
     """
@@ -225,6 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             for *key, start, n_words, left, right in rows_of(
                     batches, "doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words"):
                 left, right = left.split(" "), right.split(" ")
+                n_words = min(n_words, len(left))
                 found, at = best_window(left, n_words, right)
                 if found >= similarity:
                     apart = fingerprint(left[at:at + n_words]) ^ fingerprint(right)

@@ -177,3 +177,25 @@ def test_items_are_found_beyond_any_radius_of_fingerprints(spark):
                 want[doc_id, item] = min(found)
     assert {k: (-r.similarity, r.start) for k, r in got.items()} == want
     assert {(i, i) for i in range(62)} <= set(got) and max(r.distance for r in got.values()) > 11
+
+
+def test_items_without_their_last_words_are_found_in_short_texts(spark):
+    items = [(1, prose(5001, 50)), (2, prose(5002, 15)), (3, "w " * 30), (4, "four words are here"), (5, prose(5003, 6)), (6, prose(5004, 400))]
+    texts = {(item, n): " ".join(text.split()[:n]) for item, text in items for n in range(1, len(text.split()) + 1)
+             if n < 50 or n % 20 < 2}
+    rows = [(k, text, "aa") for k, text in enumerate(texts.values())] + [(None, "", "aa"), (5000, None, "aa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words)
+           for r in simhash_windows.contamination_report(table(spark, rows), bench).collect()}
+    want = {}
+    for doc_id, text, *_ in rows:
+        words = simhash_windows.plain_words(text)
+        for item, of in items:
+            held = simhash_windows.plain_words(of)
+            size = min(len(held), len(words))
+            found = [(-simhash_windows.weighted_similarity(words[i:i + size], held), i, size) for i in range(len(words) - size + 1)]
+            if words and -min(found)[0] >= 0.8:
+                want[doc_id, item] = -min(found)[0], *min(found)[1:]
+    assert got == want
+    places = {key: k for k, key in enumerate(texts)}
+    assert got[places[1, 46], 1] == (42 / 46, 0, 46) and (places[4, 3], 4) not in got
