@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamjobs.llm.words import mix
+from streamjobs.llm.words import drawn, mix
 from streamjobs.session import written
 
 #: At most about so many labelled texts of each language are used to fit; all rows are predicted.
@@ -131,8 +131,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    share = (F.lit(float(1 << 20)) * sample / F.col("n")).cast("long")
-    drawn = known.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    sampled = known.join(counts, "lang").filter(drawn(F.col("doc_id"), F.col("n"), sample))
 
     @F.pandas_udf("array<binary>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,7 +141,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                               if (v := vector(t, letters)) is not None] for text in texts])
 
     rows = sorted((r["lang"], r["doc_id"], [bytes(v) for v in r["vectors"]])
-                  for r in drawn.select("lang", "doc_id", vectors("text").alias("vectors")).collect())
+                  for r in sampled.select("lang", "doc_id", vectors("text").alias("vectors")).collect())
     languages = sorted({lang for lang, _, held in rows if held})
     codes = codewords(len(languages))
     if len(languages) < 2:

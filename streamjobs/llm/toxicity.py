@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamjobs.llm.words import in_batches, rows_of
+from streamjobs.llm.words import drawn, in_batches, rows_of
 from streamjobs.session import written
 
 #: At most about so many labelled rows are used to fit; all rows are scored.
@@ -162,10 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     known = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna()
                    .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = written(known, "known")
-    n = known.count()
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n))))
+    sampled = known.filter(drawn(F.col("doc_id"), F.lit(max(1, known.count())), sample))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = written(texts.join(F.broadcast(drawn), "doc_id").withColumn(  # the draw is bounded by ``sample``
+    rows = written(texts.join(F.broadcast(sampled), "doc_id").withColumn(  # the draw is bounded by ``sample``
         "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))), "labelled")
     fitting, calibrating = rows.filter("part > 0"), rows.filter("part = 0")
     counts = [{r["toxic"]: r["count"] for r in part.groupBy("toxic").count().collect()} for part in (fitting, calibrating)]

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _LIMIT = 200_000  # cached words per task; the cache starts anew beyond it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,6 +67,14 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64)
 
 
+def drawn(key: Column, n: Column, sample: int) -> Column:
+    """Whether a row is among about ``sample`` of ``n`` rows, by the hash of its key; all are if there are no more."""
+    h = F.xxhash64(key)
+    # The low 20 bits and the high 32 as a fraction: 52 bits, exact as a double.
+    place = F.pmod(h, F.lit(1 << 20)) + F.shiftrightunsigned(h, 32) / F.lit(float(1 << 32))
+    return place < F.lit(float(1 << 20)) * sample / n
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples of Python values, some hundred rows at a time."""
     for batch in batches:

@@ -11,6 +11,7 @@ from helpers import awkward_rows, prose, table
 from pyspark.sql import functions as F
 
 from streamjobs.llm import (byte_bpe, histogram_shards, language_codes, licenses, metric_tree, token_files, toxicity)
+from streamjobs.llm.words import drawn
 from streamjobs.session import fresh_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -244,3 +245,20 @@ def test_dense_features():
     held = dict(zip(names, toxicity.dense_features("YOU are an 1d10t, idiot!", {"clown": 3.0}), strict=True))
     assert held["insult_any"] == 1 and held["disguised_hits"] == 1 and held["second_person_near"] > 0 and held["capitals"] > 0
     assert toxicity.dense_features(None, {}) == toxicity.dense_features(" ", {}) == [0.0] * len(names)
+
+
+def test_samples_of_very_large_tables_are_drawn(spark):
+    """Of 2e9 rows that are not there but counted, 400 are a share of 2e-7: some 8 of 40 million keys."""
+    keys = spark.range(40_000_000)
+    found = [r.id for r in keys.filter(drawn(F.col("id"), F.lit(2_000_000_000), 400)).collect()]
+    assert 1 <= len(found) <= 25
+    known = spark.range(20_000).filter(drawn(F.col("id"), F.lit(20_000), 400)).count()
+    assert 300 <= known <= 500
+    assert spark.range(5000).filter(drawn(F.col("id"), F.lit(300), 400)).count() == 5000
+
+
+def test_languages_with_more_rows_than_hash_steps_are_learned(spark):
+    """A sample of about one in 1.3 million: the share must not become 0 below 2^-20."""
+    rows = spark.range(24_000_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"),
+                                          F.when(F.col("id") % 2 == 0, "kan lon min").otherwise("the quick fox").alias("text"))
+    assert set(language_codes.fit(rows, sample=7).languages) == {"aa", "bb"}
