@@ -10,8 +10,10 @@ Exact copies (equal shingle sets) are one class from the start. Classes that
 agree in a band of the sketch are compared with their neighbour in the sorted
 band bucket; neighbours of similarity 0.5 or more form groups, and inside a
 group all classes are compared on their full shingle sets, block against
-block, as far as links have not joined them before. Only links that join
-something leave a task.
+block, as far as links have not joined them before. A bucket in which some
+neighbours are less similar is such a group of its own, so that all classes
+that share a bucket are compared or joined. Only links that join something
+leave a task.
 """
 
 from __future__ import annotations
@@ -215,23 +217,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     buckets = classes.select(F.explode("bands").alias("key"), "node").distinct()
     chained = previous_values(buckets, ["key"], ["node"], "node", "before").filter("before is not null")
-    pairs = written(chained.select(F.col("before").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    chained = written(chained.select("key", F.col("before").alias("a"), F.col("node").alias("b")), "chained")
+    pairs = written(chained.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = classes.select("node", "digest").join(nodes, "node")
     sets = written(_sets(docs, wanted, words), "sets")
 
     compared = written(_similarities(pairs, sets), "similarities")
     near = compared.filter(F.col("shared") * 100 >= F.col("joint") * percent).select("a", "b")
-    alike = compared.filter(F.col("shared") >= F.col("joint") * min(GROUP, percent / 100)).select("a", "b")
-    groups = components(alike)
+    is_alike = F.col("shared") >= F.col("joint") * min(GROUP, percent / 100)
+    groups = components(compared.filter(is_alike).select("a", "b"))
     labels = components(near)
-    named = groups.join(labels.withColumnRenamed("component", "label"), "node", "left").select(
+    apart = chained.join(compared.filter(~is_alike).select("a", "b"), ["a", "b"]).select("key").distinct()
+    of_buckets = (chained.join(written(apart, "apart"), "key")
+                         .select(F.col("key").alias("component"), F.explode(F.array("a", "b")).alias("node")).distinct())
+    # Should a bucket's key be the number of a group, both are compared as one.
+    named = groups.select("component", "node").union(of_buckets).join(
+        labels.withColumnRenamed("component", "label"), "node", "left").select(
         F.col("component").alias("group"), "node", F.coalesce("label", "node").alias("label"))
     # Written, so that a large group meets its one row in a join that Spark can broadcast or split.
     named = written(named, "named")
+    member = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_members{k}") for k in (0, 1)]
     open_groups = (named.groupBy("group").agg(F.min("label").alias("_least"), F.max("label").alias("_most"),
-                                              F.count(F.lit(1)).alias("_n"))
-                        .filter("_least < _most")
+                                              F.count(F.lit(1)).alias("_n"), *member)
+                        .filter("_least < _most and _n > 2")  # two are compared already
+                        .groupBy("_n", "_members0", "_members1").agg(F.min("group").alias("group"))  # equal ones once
                         .select("group", F.ceil(F.col("_n") / BLOCK).cast("int").alias("n_blocks")))
     members = (named.join(written(open_groups, "open-groups"), "group")
                     .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))

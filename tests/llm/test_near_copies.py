@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pytest
 from helpers import EXTRA, awkward_rows, changed, prose, shingle_set, table
+from pyspark.sql import functions as F
 
 from streamjobs.llm import fast_sketch, relative_lz, simhash_windows
 from streamjobs.llm.components import components
@@ -199,3 +200,16 @@ def test_items_without_their_last_words_are_found_in_short_texts(spark):
     assert got == want
     places = {key: k for k, key in enumerate(texts)}
     assert got[places[1, 46], 1] == (42 / 46, 0, 46) and (places[4, 3], 4) not in got
+
+
+def test_links_across_other_classes_of_a_bucket_are_found(spark, monkeypatch):
+    """All classes in one bucket, and between two linked ones others that are not even alike."""
+    signatures = fast_sketch.signatures
+    monkeypatch.setattr(fast_sketch, "signatures", lambda *a: signatures(*a).withColumn(
+        "bands", F.when(F.size("bands") > 0, F.array(F.lit(7).cast("long"))).otherwise(F.col("bands"))))
+    rows = [(i, changed(prose(70 + i % 7, 60), i, i % 4), "aa") for i in range(60)]
+    known, _ = brute_components(rows, 2, 80)
+    for block in (1024, 16):
+        monkeypatch.setattr(fast_sketch, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in fast_sketch.near_duplicates(table(spark, rows), 2, 80).collect()}
+        assert got == known and len(set(got.values())) < 30
