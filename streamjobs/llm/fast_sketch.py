@@ -72,7 +72,7 @@ def _digest(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
                      ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -84,15 +84,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         hashes = WordHashes()
 
         def each():
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
+            for doc_id, text_hash, text in rows_of(batches, "doc_id", "text_hash", "text"):
                 found = _set_of(text, words, hashes)
                 bands = signed(band_keys(sketch(found))) if len(found) and doc_id is not None else []
-                yield doc_id, len(found), _digest(found), bands
+                yield doc_id, text_hash, len(found), _digest(found), bands
 
         return in_batches(each(), _SIGNED)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -211,6 +212,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Rows that repeat a doc_id come back once each, judged by their own text; texts whose
     smallest doc_id is the same count as one document. An empty table gives an empty result.
     """
+    return _judged(docs, words, percent).drop("text_hash")
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """:func:`near_duplicates` with the hash of each row's text."""
     signed_docs = written(signatures(docs, words), "sketches")
     full = signed_docs.filter("doc_id is not null and n_shingles > 0")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "classes")
@@ -262,20 +268,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     of_class = classes.select("digest", F.col("node")).join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("_component"))
-    joined = signed_docs.select("doc_id", "n_shingles", "digest").join(written(of_class, "class-labels"), "digest", "left")
+    joined = signed_docs.select("doc_id", "text_hash", "n_shingles", "digest").join(written(of_class, "class-labels"), "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.cast("long").alias("component_id"),
+    return joined.select("doc_id", "text_hash", "n_shingles", component.cast("long").alias("component_id"),
                          F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, unchanged, that :func:`near_duplicates` keeps.
 
-    Rows that repeat a doc_id stay or go together; rows without doc_id stay.
+    Rows that repeat a doc_id are judged by their own texts; of rows with equal doc_id and text
+    one stays. Rows without doc_id and texts without words stay.
     """
-    found = near_duplicates(docs, words, percent)
-    gone = written(found.groupBy("doc_id").agg(F.max("kept").alias("_kept")).filter("not _kept")
-                        .select(F.col("doc_id").alias("_gone")), "gone")
+    found = _judged(docs, words, percent).filter("doc_id is not null and n_shingles > 0")
+    marked = written(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+                          .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("not _kept or _n > 1"), "gone")
     names, places = docs.columns, [f"_{i}" for i in range(len(docs.columns))]
-    doc_id = F.col(places[names.index("doc_id")]).cast("long")
-    return docs.toDF(*places).join(gone, doc_id == F.col("_gone"), "left_anti").toDF(*names)
+    placed, doc_id, text = docs.toDF(*places), places[names.index("doc_id")], places[names.index("text")]
+    same = (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash"))
+    kept, repeated = placed.join(marked, same, "left_anti"), marked.filter("_kept")
+    if not repeated.isEmpty():
+        kept = kept.union(placed.join(repeated, same, "left_semi").dropDuplicates([doc_id, text]))
+    return kept.toDF(*names)

@@ -213,3 +213,13 @@ def test_links_across_other_classes_of_a_bucket_are_found(spark, monkeypatch):
         monkeypatch.setattr(fast_sketch, "BLOCK", block)
         got = {r.doc_id: r.component_id for r in fast_sketch.near_duplicates(table(spark, rows), 2, 80).collect()}
         assert got == known and len(set(got.values())) < 30
+
+
+def test_rows_that_repeat_a_doc_id_are_judged_by_their_texts(spark):
+    a, b, c = prose(90, 40), prose(91, 40), prose(92, 40)
+    rows = [(1, a, "aa"), (1, a, "bb"), (2, b, "aa"), (2, a, "aa"), (3, c, "aa"), (4, None, "aa"), (4, None, "aa"), (None, a, "aa"), (None, a, "aa")]
+    docs = table(spark, rows)
+    kept = fast_sketch.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (2, b), (3, c), (4, None), (4, None), (None, a), (None, a)], key=repr)
