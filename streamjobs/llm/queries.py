@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamjobs.llm import byte_bpe, fast_sketch, histogram_shards, language_codes, licenses, metric_tree, relative_lz, simhash_windows, token_files, toxicity
+from streamjobs.llm import (
+    byte_bpe,
+    conversation_repair,
+    fast_sketch,
+    histogram_shards,
+    language_codes,
+    licenses,
+    metric_tree,
+    periodic_runs,
+    quality_ledger,
+    relative_lz,
+    simhash_windows,
+    token_files,
+    toxicity,
+)
 from streamjobs.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +101,18 @@ def op2_license_scan(spark, sf_dir):
 @query()
 def op5_benchmark_decontamination(spark, sf_dir):
     return simhash_windows.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_report(read(spark, sf_dir, "documents"))
+
+
+@query(quality_ledger.QUALITY_SQL)
+def op12_quality_rules(spark, sf_dir):
+    return quality_ledger.quality_report(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_report(read(spark, sf_dir, "conversations"))
