@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamjobs.llm.words import in_batches, rows_of
@@ -121,8 +121,14 @@ class TokenFile:
         return np.frombuffer(self.source.read((end - start) * self.width), f"<u{self.width}").astype("<u4"), end
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark takes it for, so that tasks do not look for it on their own disks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
 _TAIL = ".,;:!?#$%&*|"
@@ -143,14 +149,39 @@ class _Words(dict):
     def __init__(self, tokenizer, kind: str):
         self.model, self.kind, self.signs = tokenizer.model, kind, _byte_signs()
 
-    def __missing__(self, word: str) -> bytes:
+    def merged(self, word: str) -> list[int]:
         folded = word.lower()
         if not folded.isascii():
             folded = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.signs)
-        value = self[word] = array(self.kind, [t.id for t in self.model.tokenize(folded)]).tobytes()
+        return [t.id for t in self.model.tokenize(folded)]
+
+    def __missing__(self, word: str) -> bytes:
+        value = self[word] = array(self.kind, self.merged(word)).tobytes()
         return value
 
 
+class _Letters(dict):
+    """Whether a letter stays inside its word: some are taken apart by the tokenizer, or are no letters to it.
+
+    A letter is asked for once: alone and between others it must be encoded as the one word that it is part of.
+    """
+
+    def __init__(self, tokenizer, words: _Words):
+        self.tokenizer, self.words = tokenizer, words
+
+    def __missing__(self, letter: str) -> bool:
+        value = self[letter] = letter.isalpha() and not _ODD.search(letter) and all(
+            self.tokenizer.encode(word, add_special_tokens=False).ids == self.words.merged(word)
+            for word in (letter, f"a{letter}b", f"{letter}{letter}"))
+        return value
+
+    def all_in(self, word: str) -> bool:
+        """Whether the word, as normalisation leaves it, is one word of the model."""
+        if word.isascii():
+            return word.isalpha()
+        return word.isalpha() and all(map(self.__getitem__, set(word) | set(unicodedata.normalize("NFC", word))))
+
+
 class _Pieces(dict):
     """Ids of pieces of text between white space, as bytes; each is encoded once while it is held.
 
@@ -163,10 +194,11 @@ class _Pieces(dict):
     def __init__(self, tokenizer, width: int, plain: bool):
         self.tokenizer, self.kind, self.plain = tokenizer, {2: "H", 4: "I"}[width], plain
         self.words = _Words(tokenizer, self.kind)
+        self.letters = _Letters(tokenizer, self.words)
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_TAIL)
-        if self.plain and word.isalpha() and not _ODD.search(word):
+        if self.plain and self.letters.all_in(word):
             value = self.words[word]
             if len(word) < len(piece):
                 value += self.words[piece[len(word):]]
@@ -218,6 +250,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         raise ValueError("the tokenizer keeps white space")
     width = 2 if max(loaded.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
     plain = is_plain(definition)
+    folder = qualified(docs.sparkSession, folder)
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # as large as the vocabulary
 
     def run(batches):
@@ -256,6 +289,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 def _from_files(files: DataFrame, folder: str, ddl: str, schema: pa.Schema, row: Callable[..., tuple], weight=None) -> DataFrame:
     """``row(doc_id, start, ids)`` of every document; one task reads one file at a time."""
     spark = files.sparkSession
+    folder = qualified(spark, folder)
     listed = sorted(files.select("part", "path", "n_ids").collect())
     starts, total = [], 0
     for _, path, n_ids in listed:

@@ -1,6 +1,7 @@
 """Search, sharding, licences, token files, encoding and the two classifiers on small tables."""
 
 import base64
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -157,6 +158,24 @@ def test_token_files_round_trip(spark):
     assert token_files.token_report(table(spark, []), WORDS).count() == 0
 
 
+def test_every_letter_is_encoded_as_by_the_library():
+    """All code points that are letters, marks or signs with a decomposition: alone, between letters, before a sign, doubled."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    pieces = token_files._Pieces(tokenizer, 2, token_files.is_plain(open(WORDS).read()))
+    chars = [chr(c) for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LM"]
+    few = [c for c in chars if unicodedata.normalize("NFC", c) != c or not (0x3400 <= ord(c) < 0xA000 or ord(c) >= 0xAC00)]
+    for kind in ("{}", "a{}b", "{}.", "ka{0}{0}"):
+        texts = [kind.format(c) for c in (chars if kind in ("{}", "a{}b") else few)]
+        for text, encoding in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(pieces.encode(text), "<u2").tolist() == encoding.ids, list(map(hex, map(ord, text)))
+
+
+def test_folders_are_qualified(spark, tmp_path):
+    assert token_files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+
+
 def test_other_tokenizers_are_refused(spark):
     with pytest.raises(ValueError):
         token_files.write_tokens(table(spark, []), public_tokenizers.path("byte_bpe_50k.json"), "/tmp/none")
