@@ -1,4 +1,4 @@
-"""Benchmark decontamination: windows as long as the items, found through shared shingles.
+"""Benchmark decontamination: windows as long as the items, found by SimHash in Hamming blocks.
 
 For every item length in the benchmark, the windows of that many words of every
 document are compared with the items of that length by the exact weighted Jaccard
@@ -6,17 +6,27 @@ similarity of their five-word shingles. A shorter text is one window as a whole.
 
 A window can only reach the similarity if most of its shingles are shingles of items of
 its length. A bitmap of fixed size over shingle hashes finds the windows for which that
-may be so; a full bitmap would let more windows pass, but never miss one. Of n shingles
-that have to share k, each numbered as often as it stands there and sorted by hash, one
-of the first n - k + 1 is shared among the first of the other side, too: windows and
-items meet by these, so that no pair is missed. Windows that follow each other travel as
-one row. SimHash fingerprints tell how far a found window lies from its item.
+may be so; a full bitmap would let more windows pass, but never miss one. Windows that
+follow each other travel as one row.
+
+These windows get SimHash fingerprints of 64 bits, cut into four blocks of 16 bits. Two
+fingerprints within a distance of 11 are within 2 in one block at least, so the items'
+blocks are listed with all values up to 2 bits away and meet the windows' own blocks:
+no pair within the radius is missed.
+
+Similar windows can lie beyond the radius (at a similarity of 0.8 the mean distance is 9 to
+10). The exact way for the rest: of n shingles that have to share k, each numbered as often as
+it stands there and sorted, one of the first n - k + 1 is shared among the first of the other
+side, too. The order puts shingles that few items have first (a second bitmap of fixed size
+tells), so that a preamble of many items brings none of them together. Pairs that met by
+fingerprint are not met again. All pairs are verified on their words.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +37,20 @@ from streamjobs.llm.words import WordHashes, grams, in_batches, mix, rows_of
 from streamjobs.session import written
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints up to this distance apart meet in one of the blocks.
+RADIUS = 11
+_BLOCKS, _BLOCK_BITS = 4, 16
+_REACH = RADIUS // _BLOCKS  # some block of two such fingerprints is no further apart
+#: Shingles of more items than this come last in the order of tokens.
+FREQUENT = 64
 #: Bits of the map of benchmark shingles, whatever the size of the benchmark.
 MAP_BITS = 1 << 26
 _PAGE = 32768  # bits of one row of the map, as Spark's bitmap functions have it
 _RUN = 64  # at least so many windows that follow each other are one row
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _WINDOW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()),
-                     ("need", pa.int32()), ("tokens", pa.list_(pa.int64())), ("words", pa.string())])
-_WINDOW_DDL = "doc_id long, text_hash long, start int, n_words int, need int, tokens array<long>, words string"
+                     ("need", pa.int32()), ("prints", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("words", pa.string())])
+_WINDOW_DDL = "doc_id long, text_hash long, start int, n_words int, need int, prints array<long>, tokens array<long>, words string"
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -73,19 +89,35 @@ def common(n: int, m: int, similarity: float) -> int:
     return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def first_tokens(shingle_hashes: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` smallest of the numbered shingles: equal ones differ by how many came before."""
+def first_tokens(shingle_hashes: np.ndarray, count: int, frequent: np.ndarray) -> np.ndarray:
+    """The first ``count`` of the numbered shingles, those of few items first: equal ones differ by how many came before."""
     held = np.sort(shingle_hashes)
     at = np.arange(len(held))
     new = np.concatenate([[True], held[1:] != held[:-1]])
     number = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return np.sort(mix(held + number * np.uint64(0x9E3779B97F4A7C15)))[:count]
+    tokens = mix(held + number * np.uint64(0x9E3779B97F4A7C15))
+    return tokens[np.lexsort((tokens, _has(frequent, held)))][:count]
 
 
-def _items(benchmark: DataFrame, similarity: float) -> DataFrame:
-    """Items with words: id, length, words, bits of the map and first tokens."""
+def _has(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set in a bitmap."""
+    at = hashes % np.uint64(MAP_BITS)
+    return held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+
+
+def near_blocks(fingerprint: int) -> np.ndarray:
+    """Block values up to ``_REACH`` bits away from those of a fingerprint, each with its block's number above them."""
+    size = (1 << _BLOCK_BITS) - 1
+    return np.concatenate([_MASKS ^ (fingerprint >> b * _BLOCK_BITS & size) | b << _BLOCK_BITS for b in range(_BLOCKS)])
+
+
+_MASKS = np.array([sum(1 << k for k in bits) for n in range(_REACH + 1) for bits in combinations(range(_BLOCK_BITS), n)], np.int64)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Items with words: id, length, words and bits of the two maps, the shingles' own and those of the length."""
     schema = pa.schema([("item_id", pa.int64()), ("n_words", pa.int32()), ("words", pa.string()),
-                        ("bits", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+                        ("bits", pa.list_(pa.int64())), ("own", pa.list_(pa.int64()))])
 
     def run(batches):
         cache = WordHashes()
@@ -95,23 +127,44 @@ def _items(benchmark: DataFrame, similarity: float) -> DataFrame:
                 words = plain_words(text)
                 if words:
                     found = window_shingles(_hashes(words, cache), len(words))
-                    both = np.concatenate([found, _of_length(found, len(words))]) % np.uint64(MAP_BITS)
-                    least = math.ceil(similarity * len(found) - 1e-9)  # in common with any window, however short
-                    yield (item_id, len(words), " ".join(words), np.unique(both).astype(np.int64),
-                           first_tokens(found, len(found) - least + 1).view(np.int64))
+                    own, of_length = (np.unique(h % np.uint64(MAP_BITS)).astype(np.int64) for h in (found, _of_length(found, len(words))))
+                    yield item_id, len(words), " ".join(words), np.union1d(own, of_length), own
 
         return in_batches(each(), schema, weight=lambda r: 8 * len(r[3]))
 
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "item_id long, n_words int, words string, bits array<long>, tokens array<long>")
+        run, "item_id long, n_words int, words string, bits array<long>, own array<long>")
+
+
+def _ready(items: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """``_item, n_words, tokens, print, blocks``: first tokens, fingerprint and near block values of the items."""
+    schema = pa.schema([("_item", pa.int64()), ("n_words", pa.int32()), ("tokens", pa.list_(pa.int64())), ("print", pa.int64()),
+                        ("blocks", pa.list_(pa.int64()))])
+    shared = items.sparkSession.sparkContext.broadcast(frequent)  # of fixed size
+
+    def run(batches):
+        cache = WordHashes()
+
+        def each():
+            for item, words in rows_of(batches, "_item", "words"):
+                words = words.split(" ")
+                found = window_shingles(_hashes(words, cache), len(words))
+                least = math.ceil(similarity * len(found) - 1e-9)  # in common with any window, however short
+                own = fingerprints(found, len(found))
+                yield (item, len(words), first_tokens(found, len(found) - least + 1, shared.value).view(np.int64),
+                       own.view(np.int64)[0], near_blocks(int(own[0])))
 
+        return in_batches(each(), schema, weight=lambda r: 8 * len(r[2]) + 8 * len(r[4]))
 
-def _map_of(items: DataFrame) -> np.ndarray:
-    """The bitmap of all items' shingles, put together by Spark page by page."""
+    return items.select("_item", "words").mapInArrow(
+        run, "_item long, n_words int, tokens array<long>, print long, blocks array<long>")
+
+
+def _map_of(bits: DataFrame) -> np.ndarray:
+    """A bitmap of the numbers in column ``bit``, put together by Spark page by page."""
     bit = F.col("bit") + 1  # Spark counts positions from one
-    pages = (items.select(F.explode("bits").alias("bit"))
-                  .groupBy(F.bitmap_bucket_number(bit).alias("page"))
-                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).collect())
+    pages = (bits.groupBy(F.bitmap_bucket_number(bit).alias("page"))
+                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).collect())
     full = np.zeros(MAP_BITS // 8, np.uint8)
     for row in pages:
         low = (row["page"] - 1) * _PAGE // 8
@@ -119,21 +172,17 @@ def _map_of(items: DataFrame) -> np.ndarray:
     return full
 
 
-def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity: float) -> DataFrame:
-    """Runs of windows that may be similar to an item: start of the first, least shared shingles, first tokens of all, words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
+def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, frequent: np.ndarray, similarity: float) -> DataFrame:
+    """Runs of windows that may be similar to an item: start of the first, least shared shingles, fingerprints, first tokens, words."""
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap, frequent))  # of fixed size
     needs = [(n, per_window(n), common(per_window(n), per_window(n), similarity)) for n in lengths]
 
-    def has(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = hashes % np.uint64(MAP_BITS)
-        return held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
-
     def enough(hits: np.ndarray, n: int, need: int) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(hits)])
         return np.flatnonzero(total[n:] - total[:-n] >= need)
 
     def run(batches):
-        held, cache = shared.value, WordHashes()
+        (held, often), cache = shared.value, WordHashes()
 
         def each():
             for doc_id, text_hash, text in rows_of(batches, "doc_id", "text_hash", "text"):
@@ -144,7 +193,7 @@ def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity
                     size = min(SHINGLE, n_words)
                     if size not in by_size:
                         found = grams(hashes, size)
-                        hits = has(held, found)
+                        hits = _has(held, found)
                         by_size[size] = found, hits, int(hits.sum())
                     found, hits, most = by_size[size]
                     if len(found) < n:  # a text shorter than the item
@@ -153,17 +202,19 @@ def _windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, similarity
                         continue
                     own = np.zeros(len(found), bool)
                     at = np.flatnonzero(hits)
-                    own[at] = has(held, _of_length(found[at], n_words))
+                    own[at] = _has(held, _of_length(found[at], n_words))
                     starts = enough(own, n, need)
                     breaks = np.flatnonzero(np.diff(starts) > 1) + 1
                     most_starts = max(_RUN, n_words)
                     for whole in np.split(starts, breaks):
                         for low in range(0, len(whole), most_starts):
                             a, b = int(whole[low]), int(whole[min(low + most_starts, len(whole)) - 1])
-                            tokens = np.unique(np.concatenate([first_tokens(found[k:k + n], n - need + 1) for k in range(a, b + 1)]))
-                            yield doc_id, text_hash, a, n_words, need, tokens.view(np.int64), " ".join(words[a:b + n_words])
+                            tokens = np.unique(np.concatenate([first_tokens(found[k:k + n], n - need + 1, often) for k in range(a, b + 1)]))
+                            prints = np.unique(fingerprints(found[a:b + n], n))
+                            yield (doc_id, text_hash, a, n_words, need, prints.view(np.int64), tokens.view(np.int64),
+                                   " ".join(words[a:b + n_words]))
 
-        return in_batches(each(), _WINDOW, weight=lambda r: 8 * len(r[5]) + len(r[6]))
+        return in_batches(each(), _WINDOW, weight=lambda r: 8 * len(r[5]) + 8 * len(r[6]) + len(r[7]))
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
     return texts.filter("text is not null").mapInArrow(run, _WINDOW_DDL)
@@ -193,28 +244,53 @@ def best_window(words: list[str], size: int, item: list[str]) -> tuple[float, in
     return best
 
 
+def _met_by_fingerprint(windows: DataFrame, ready: DataFrame) -> DataFrame:
+    """``_run, _item`` of all pairs of a window of the run and an item of its length within the radius."""
+    size = (1 << _BLOCK_BITS) - 1
+    own = F.transform(F.sequence(F.lit(0), F.lit(_BLOCKS - 1)), lambda b: F.call_function(
+        "shiftright", F.col("_print"), b * _BLOCK_BITS).bitwiseAND(F.lit(size)) + b * (size + 1))
+    cut = (windows.select("_run", "n_words", F.explode("prints").alias("_print"))
+                  .select("_run", "n_words", "_print", F.explode(own).alias("_block")))
+    near = ready.select("_item", "n_words", "print", F.explode("blocks").alias("_block"))
+    apart = F.bit_count(F.col("_print").bitwiseXOR(F.col("print")))
+    return cut.join(near, ["n_words", "_block"]).filter(apart <= RADIUS).select("_run", "_item")
+
+
+def _met_by_tokens(windows: DataFrame, ready: DataFrame) -> DataFrame:
+    """``_run, _item`` of all pairs that can be similar at any distance: the exact way for what lies beyond the radius."""
+    wanted = ready.select("_item", "n_words", F.posexplode("tokens").alias("_rank", "_token"))
+    # The item's own first tokens are fewer, the more the two have to share.
+    size = F.col("n_words") - F.least(F.lit(SHINGLE), "n_words") + 1
+    return (windows.select("_run", "n_words", "need", F.explode("tokens").alias("_token")).join(wanted, ["n_words", "_token"])
+                   .filter(F.col("_rank") <= size - F.col("need")).select("_run", "_item"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, text_hash, item_id, similarity, start, n_words, distance``: items found in documents, best window each.
+    """``doc_id, text_hash, item_id, similarity, start, n_words, distance, by_fingerprint``: items found in documents, best window each.
 
     ``benchmark`` has ``item_id`` and ``text``. A pair of window and item counts if their weighted
-    similarity is at least ``similarity``; ``distance`` is that of their fingerprints. A text shorter
-    than the item is its one window, with its own ``n_words``. Of equally good windows the first counts. Words are folded and lose signs at their ends;
-    texts and items without words match nothing. Rows of one doc_id and text are reported as one;
-    a row without doc_id is reported with null. Empty tables give no rows.
+    similarity is at least ``similarity``; ``distance`` is that of their fingerprints, and ``by_fingerprint``
+    says whether window and item met by their blocks or by the exact way for the rest. A text shorter
+    than the item is its one window, with its own ``n_words``. Of equally good windows the first
+    counts. Words are folded and lose signs at their ends; texts and items without words match
+    nothing. Rows of one doc_id and text are reported as one; a row without doc_id is reported with
+    null. Empty tables give no rows.
     """
-    items = written(_items(benchmark, similarity).withColumn("_item", F.monotonically_increasing_id()), "items")
+    items = written(_items(benchmark).withColumn("_item", F.monotonically_increasing_id()), "items")
     lengths = sorted(r["n_words"] for r in items.select("n_words").distinct().collect())
-    windows = written(_windows(docs, lengths, _map_of(items), similarity).withColumn("_run", F.monotonically_increasing_id()), "windows")
-
-    wanted = items.select("_item", "n_words", F.posexplode("tokens").alias("_rank", "_token"))
-    # The item's own first tokens are fewer, the more the two have to share.
-    size = F.col("n_words") - F.least(F.lit(SHINGLE), "n_words") + 1
-    met = (windows.select("_run", "n_words", "need", F.explode("tokens").alias("_token")).join(wanted, ["n_words", "_token"])
-                  .filter(F.col("_rank") <= size - F.col("need")).select("_run", "_item").distinct())
+    often = items.select(F.explode("own").alias("bit")).groupBy("bit").count().filter(F.col("count") > FREQUENT)
+    frequent = _map_of(often.select("bit"))
+    ready = written(_ready(items, frequent, similarity), "items-ready")
+    bitmap = _map_of(items.select(F.explode("bits").alias("bit")))
+    windows = written(_windows(docs, lengths, bitmap, frequent, similarity).withColumn("_run", F.monotonically_increasing_id()), "windows")
+
+    first = _met_by_fingerprint(windows, ready).withColumn("_way", F.lit(0))
+    rest = _met_by_tokens(windows, ready).withColumn("_way", F.lit(1))
+    met = first.union(rest).groupBy("_run", "_item").agg((F.min("_way") == 0).alias("by_fingerprint"))
     near = (met.join(windows.select("_run", "doc_id", "text_hash", "start", "n_words", "words"), "_run")
                .join(items.select("_item", "item_id", F.col("words").alias("_words")), "_item"))
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
-                        ("start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())])
+                        ("start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32()), ("by_fingerprint", pa.bool_())])
 
     def verify(batches):
         cache = WordHashes()
@@ -224,23 +300,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             return int(fingerprints(found, len(found))[0])
 
         def each():
-            for *key, start, n_words, left, right in rows_of(
-                    batches, "doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words"):
+            for *key, start, n_words, left, right, by_fingerprint in rows_of(
+                    batches, "doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words", "by_fingerprint"):
                 left, right = left.split(" "), right.split(" ")
                 n_words = min(n_words, len(left))
                 found, at = best_window(left, n_words, right)
                 if found >= similarity:
                     apart = fingerprint(left[at:at + n_words]) ^ fingerprint(right)
-                    yield *key, found, start + at, n_words, apart.bit_count()
+                    yield *key, found, start + at, n_words, apart.bit_count(), by_fingerprint
 
         return in_batches(each(), schema)
 
-    verified = near.select("doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words").mapInArrow(
-        verify, "doc_id long, text_hash long, item_id long, similarity double, start int, n_words int, distance int")
+    verified = near.select("doc_id", "text_hash", "item_id", "start", "n_words", "words", "_words", "by_fingerprint").mapInArrow(
+        verify, "doc_id long, text_hash long, item_id long, similarity double, start int, n_words int, distance int, by_fingerprint boolean")
     return (verified.groupBy("doc_id", "text_hash", "item_id")
-                    .agg(F.min(F.struct((-F.col("similarity")).alias("_far"), "start", "similarity", "n_words", "distance"))
+                    .agg(F.min(F.struct((-F.col("similarity")).alias("_far"), "start", "similarity", "n_words", "distance", "by_fingerprint"))
                           .alias("_best"))
-                    .select("doc_id", "text_hash", "item_id", "_best.similarity", "_best.start", "_best.n_words", "_best.distance"))
+                    .select("doc_id", "text_hash", "item_id", "_best.similarity", "_best.start", "_best.n_words", "_best.distance",
+                            "_best.by_fingerprint"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -178,6 +179,37 @@ def test_items_are_found_beyond_any_radius_of_fingerprints(spark):
                 want[doc_id, item] = min(found)
     assert {k: (-r.similarity, r.start) for k, r in got.items()} == want
     assert {(i, i) for i in range(62)} <= set(got) and max(r.distance for r in got.values()) > 11
+    ways = {(r.distance <= simhash_windows.RADIUS, r.by_fingerprint) for r in got.values()}
+    assert ways == {(True, True), (False, False)}  # every text here is one run with one window that is similar
+
+
+def test_blocks_hold_every_fingerprint_within_the_radius():
+    pick = random.Random(4)
+    for _ in range(300):
+        one = pick.getrandbits(64)
+        other = one ^ sum(1 << b for b in pick.sample(range(64), simhash_windows.RADIUS))
+        own = {other >> b * 16 & 0xFFFF | b << 16 for b in range(4)}
+        assert own & set(simhash_windows.near_blocks(one).tolist())
+
+
+def test_items_with_one_preamble(spark):
+    """Two hundred items of one length begin alike: what many items share is the last to bring a pair together."""
+    preamble = prose(6000, 20)
+    items = [(i, preamble + " " + prose(6100 + i, 30)) for i in range(200)]
+    rows = [(i, changed(items[i][1], i, 1), "aa") for i in range(0, 200, 3)] + [(1000 + i, preamble + " " + prose(7000 + i, 30), "aa") for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in simhash_windows.contamination_report(table(spark, rows), bench).collect()}
+    want = {(doc_id, item): found for doc_id, text, *_ in rows for item, of in items
+            if (found := simhash_windows.weighted_similarity(simhash_windows.plain_words(text), simhash_windows.plain_words(of))) >= 0.8}
+    assert got == want and len(want) > 60
+    often = np.zeros(simhash_windows.MAP_BITS // 8, np.uint8)
+    shared = simhash_windows.window_shingles(WordHashes().of([w.encode() for w in preamble.split()]), 20)
+    for at in (shared % np.uint64(simhash_windows.MAP_BITS)).tolist():
+        often[at >> 3] |= 1 << (at & 7)
+    for _, text in items:
+        whole = simhash_windows.window_shingles(WordHashes().of([w.encode() for w in text.split()]), 50)
+        first = set(simhash_windows.first_tokens(whole, 10, often).tolist())
+        assert not first & set(simhash_windows.first_tokens(shared, 99, often).tolist())
 
 
 def test_items_without_their_last_words_are_found_in_short_texts(spark):
