@@ -88,10 +88,10 @@ def min_max_scaling(spark, sf):
 
 
 def _runs(spark, sf):
-    """One run per part: its items' mean settings as knobs and two results."""
+    """One run per part: its items' mean settings as knobs and a result."""
     return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("run_index")).agg(
         F.avg("l_quantity").alias("k_quantity"), F.avg("l_discount").alias("k_discount"), F.avg("l_tax").alias("k_tax"),
-        F.avg("l_extendedprice").alias("throughput"), (F.sum(F.lit(0))).alias("idle"))
+        F.avg("l_extendedprice").alias("throughput"))
 
 
 _RUN_SQL = """WITH r AS (SELECT l_partkey AS run_index, avg(l_quantity) AS k_quantity, avg(l_discount) AS k_discount,
@@ -99,18 +99,32 @@ _RUN_SQL = """WITH r AS (SELECT l_partkey AS run_index, avg(l_quantity) AS k_qua
 _U = uniform_sql("1000", "run_index")
 
 
-@query(f"""{_RUN_SQL}, e AS (SELECT min(throughput) AS lo, max(throughput) AS hi FROM r WHERE {_U} < 0.8)
-          SELECT 'throughput' AS target, run_index AS run, round((throughput - lo) / (hi - lo), 9) AS observed, true AS predicted
+_CHARGE = "l_quantity * (1 - l_discount) * (1 + l_tax)"
+
+
+@query(f"""WITH r AS (SELECT l_partkey AS run_index, avg({_CHARGE}) AS charge FROM lineitem GROUP BY 1),
+           e AS (SELECT min(charge) AS lo, max(charge) AS hi FROM r WHERE {_U} < 0.8)
+          SELECT 'charge' AS target, run_index AS run, round((charge - lo) / (hi - lo), 9) AS observed, true AS predicted,
+            50 AS boosting_scores, 50 AS forest_scores, true AS better_chosen, true AS cv_r2_over_half, true AS test_r2_over_half
           FROM r, e WHERE {_U} >= 0.8""")
 def state_regression(spark, sf):
-    """The test runs of the models of the results on the knobs; the idle metric is skipped.
+    """The test runs of the model of the charge on the knobs; the idle metric is skipped.
 
-    Each candidate is cross-validated 10 times in 5 folds, the better one saved and loaded.
+    Each candidate is cross-validated 10 times in 5 folds; the better one is saved and loaded,
+    and its R², over the folds and on the test runs, is over one half.
     """
-    _, tested = ml.fit_state_models(_runs(spark, sf), "run_index", ["k_quantity", "k_discount", "k_tax"],
-                                    ["throughput", "idle"], save_to=fresh_path(spark, "state-models"))
-    return tested.select("target", "run", F.round("observed", 9).alias("observed"),
-                         (~F.isnan("predicted")).alias("predicted"))
+    runs = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("run_index")).agg(
+        F.avg("l_quantity").alias("k_quantity"), F.avg("l_discount").alias("k_discount"), F.avg("l_tax").alias("k_tax"),
+        F.avg(F.expr(_CHARGE)).alias("charge"), (F.sum(F.lit(0))).alias("idle"))
+    fitted = ml.fit_state_models(runs, "run_index", ["k_quantity", "k_discount", "k_tax"], ["charge", "idle"],
+                                 save_to=fresh_path(spark, "state-models"))
+    counted = fitted.scores.groupBy("target").pivot("model", ["boosting", "forest"]).agg(F.first("n_scores"))
+    best = fitted.scores.groupBy("target").agg((F.max_by("chosen", "cv_r2")).alias("better_chosen"))
+    r2 = ml.test_r2(fitted.tested).select("target", (F.col("test_r2") > 0.5).alias("test_r2_over_half"))
+    return (fitted.tested.join(counted, "target").join(best, "target").join(r2, "target")
+                  .select("target", "run", F.round("observed", 9).alias("observed"), (~F.isnan("predicted")).alias("predicted"),
+                          F.col("boosting").cast("int").alias("boosting_scores"), F.col("forest").cast("int").alias("forest_scores"),
+                          "better_chosen", (F.col("cv_r2") > 0.5).alias("cv_r2_over_half"), "test_r2_over_half"))
 
 
 @query(f"""{_RUN_SQL} SELECT 'throughput' AS target, 'fixed' AS model,

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +17,8 @@ from pyspark.sql import functions as F
 from streamjobs.functions.randoms import hash_uniform
 from streamjobs.operators.experiments import nonzero_columns
 from streamjobs.operators.sampling import split_by_key
-
-
-ROWS_PER_TASK = 5000
+from streamjobs.operators.tree_training import BOOSTING, FOREST, TREES_AT_ONCE, Fits, Sizes, Training, TreeModel
+from streamjobs.session import written
 
 
 def train_svm(df: DataFrame, features: Sequence[str], label: str, max_iter: int = 100) -> PipelineModel:
@@ -62,19 +60,6 @@ def min_max_scale(train: DataFrame, other: DataFrame, cols: Sequence[str]) -> tu
     return scaled(train), scaled(other)
 
 
-def state_regressors(seed: int, trees: int = 100, tree_depth: int = 10, rounds: int = 100, round_depth: int = 3):
-    """The two candidate models."""
-    return {"boosting": GBTRegressor(maxIter=rounds, maxDepth=round_depth, seed=seed),
-            "forest": RandomForestRegressor(numTrees=trees, maxDepth=tree_depth, seed=seed)}
-
-
-def _fold_score(model, train: DataFrame, index: str, fold: int, folds: int, seed: str) -> float:
-    """R² of one fold; the fold of a row is a function of its index."""
-    of = F.floor(hash_uniform(seed, F.col(index)) * folds)
-    fitted = model.fit(train.filter(of != fold))
-    return RegressionEvaluator(metricName="r2", labelCol="label").evaluate(fitted.transform(train.filter(of == fold)))
-
-
 def valid_mean(scores: Sequence[float]) -> tuple[float, float] | None:
     """Mean and deviation of the scores that are numbers; None without one."""
     valid = [s for s in scores if not math.isnan(s)]
@@ -84,63 +69,82 @@ def valid_mean(scores: Sequence[float]) -> tuple[float, float] | None:
     return mean, (sum((s - mean) ** 2 for s in valid) / len(valid)) ** 0.5
 
 
-def _cv_scores(candidates: dict, train: DataFrame, index: str, folds: int, repeats: int, seed: int, pool) -> dict:
-    """Per candidate the mean and deviation over all folds of all repetitions; those without a valid score are left out."""
-    jobs = {name: [pool.submit(_fold_score, model, train, index, k, folds, f"{seed}-{r}")
-                   for r in range(repeats) for k in range(folds)] for name, model in candidates.items()}
-    scored = {name: valid_mean([j.result() for j in of]) for name, of in jobs.items()}
-    return {name: s for name, s in scored.items() if s is not None}
+@dataclass
+class StateModels:
+    """What ``fit_state_models`` gives: models by target, the test runs, and the scores of both candidates.
+
+    ``tested``: ``target, model, run, observed, predicted, cv_r2, cv_std``; ``scores``: ``target, model,
+    n_scores, cv_r2, cv_std, chosen``.
+    """
+
+    models: dict[str, TreeModel]
+    tested: DataFrame
+    scores: DataFrame
+
+
+def _thresholds(train: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
+    """Cuts between the bins of each feature: its quantiles on the training runs."""
+    probs = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    row = train.agg(*[F.percentile_approx(c, probs, 100 * bins).alias(c) for c in features]).first()
+    return [np.unique(np.array(row[c] or [], float)) for c in features]
 
 
 def fit_state_models(df: DataFrame, index: str, features: Sequence[str], targets: Sequence[str], repeats: int = 10,
-                     folds: int = 5, seed: int = 1000, train_share: float = 0.8, parallelism: int = 8,
-                     save_to: str | None = None, **sizes: int):
+                     folds: int = 5, seed: int = 1000, train_share: float = 0.8, save_to: str | None = None,
+                     parallelism: int | None = None, **sizes: int) -> StateModels:
     """One regression per metric on the knobs.
 
-    Missing values count as 0, metrics that are 0 throughout are skipped,
-    features and target are scaled on the training part, and the candidate with
-    the better cross-validated R² is fitted again on the whole training part.
-    Folds without a score are left out, as is a metric for which no candidate has
-    one. ``parallelism`` folds are fitted at a time. With ``save_to`` each model is
-    saved there under the name of its metric and loaded again for the test runs.
-    Returns the models by metric, and a table of the test runs with columns
-    ``target, model, run, observed, predicted, cv_r2, cv_std``.
+    Missing values count as 0, metrics that are 0 throughout are skipped, features and
+    targets are scaled on the training part, and the candidate (boosting or forest, see
+    ``tree_training.Sizes``) with the better cross-validated R² is taken as fitted on the
+    whole training part. All folds of all repetitions, both candidates and all metrics are
+    trained together (``tree_training``); the fold of a run is a function of its index.
+    Folds without a score are left out, as is a metric for which no candidate has one. With
+    ``save_to`` each model is saved there under the name of its metric and loaded again for
+    the test runs.
     """
+    spark, size = df.sparkSession, Sizes(**sizes)
+    parallelism = parallelism or spark.sparkContext.defaultParallelism
     numbers = df.select(index, *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c)
                                  for c in [*features, *targets]])
-    models, tables = {}, []
-    for target in nonzero_columns(numbers, targets):
-        train, test = split_by_key(numbers.select(index, *features, target), train_share, seed, [index])
-        train, test = min_max_scale(train, test, [*features, target])
-        assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-        train, test = (assemble.transform(d).select(index, "features", F.col(target).alias("label"))
-                       for d in (train, test))
-        # Boosting runs hundreds of short jobs; tasks of a few thousand rows keep them short.
-        train = train.repartition(max(1, math.ceil(train.count() / ROWS_PER_TASK)), index).persist()
-        try:
-            candidates = state_regressors(seed, **sizes)
-            with ThreadPoolExecutor(parallelism) as pool:
-                scored = _cv_scores(candidates, train, index, folds, repeats, seed, pool)
+    held = nonzero_columns(numbers, targets)
+    train, test = split_by_key(numbers.select(index, *features, *held), train_share, seed, [index])
+    train, test = min_max_scale(train, test, [*features, *held])
+    fold = [F.floor(hash_uniform(f"{seed}-{r}", F.col(index)) * folds).cast("int") for r in range(repeats)]
+    train = written(train.select(*features, *held, F.array(*fold).alias("folds"), F.xxhash64(index).alias("key")), "training-runs")
+    test = written(test, "test-runs")
+    cuts = _thresholds(train, features, size.bins)
+    models, tables, scores = {}, [], []
+    at_once = max(1, TREES_AT_ONCE // (size.trees * (repeats * folds + 1)))
+    for low in range(0, len(held), at_once):
+        some = held[low:low + at_once]
+        fits = Fits(len(some), repeats, folds)
+        training = Training(train.select(*features, F.array(*some).alias("labels"), "folds", "key"), features, cuts, fits, size, parallelism)
+        training.grow()
+        found = training.scores()
+        for k, target in enumerate(some):
+            of = {name: [r2 for kind, fit, r2 in found if kind == name and fits.target(fit) == k] for name in (BOOSTING, FOREST)}
+            scored = {name: m for name, r2s in of.items() if (m := valid_mean(r2s)) is not None}
             if not scored:
                 continue
-            name = max(sorted(scored), key=lambda k: scored[k][0])
-            mean, std = scored[name]
-            models[target] = candidates[name].fit(train)
+            name = max(sorted(scored), key=lambda n: scored[n][0])
+            model = training.model(name, k, features)
             if save_to:
-                models[target].write().overwrite().save(f"{save_to}/{target}")
-                models[target] = type(models[target]).load(f"{save_to}/{target}")
-        finally:
-            train.unpersist()
-        tables.append(models[target].transform(test).select(
-            F.lit(target).alias("target"), F.lit(name).alias("model"), F.col(index).alias("run"),
-            F.col("label").alias("observed"), F.col("prediction").alias("predicted"),
-            F.lit(mean).alias("cv_r2"), F.lit(std).alias("cv_std")))
+                model.save(spark, f"{save_to}/{target}")
+                model = TreeModel.load(spark, f"{save_to}/{target}")
+            models[target] = model
+            scores += [(target, n, sum(not math.isnan(x) for x in of[n]), *scored[n], n == name) for n in scored]
+            tables.append(model.transform(test).select(
+                F.lit(target).alias("target"), F.lit(name).alias("model"), F.col(index).alias("run"),
+                F.col(target).alias("observed"), F.col("prediction").alias("predicted"),
+                *[F.lit(x).alias(c) for x, c in zip(scored[name], ("cv_r2", "cv_std"), strict=True)]))
     if not tables:
         raise ValueError("no target has a model: all are zero throughout or have no valid score")
     result = tables[0]
     for table in tables[1:]:
         result = result.unionByName(table)
-    return models, result
+    return StateModels(models, result, spark.createDataFrame(
+        scores, "target string, model string, n_scores long, cv_r2 double, cv_std double, chosen boolean"))
 
 
 def test_r2(table: DataFrame) -> DataFrame:

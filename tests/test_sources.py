@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
 from streamjobs.functions.scalar import format_log_time
+from streamjobs.operators import tree_training
 from streamjobs.operators.ml import fit_state_models, test_r2 as r2_table
 from streamjobs.plans import fraud, reports
 from streamjobs.plans import ride_tips as rides
@@ -211,8 +213,68 @@ def test_state_models(spark):
     rng = random.Random(2)
     data = [(i, x := rng.random(), rng.random(), 10 * x, 0.0, None if i % 50 == 0 else "5") for i in range(150)]
     df = spark.createDataFrame(data, "run_index int, a double, b double, load double, idle double, text string")
-    models, tested = fit_state_models(df, "run_index", ["a", "b"], ["load", "idle"], repeats=2, folds=2, trees=5, tree_depth=4, rounds=4)
-    assert list(models) == ["load"]
-    r2 = r2_table(tested).first()
-    assert r2["target"] == "load" and r2["test_r2"] > 0.8
-    assert 10 < tested.count() < 60 and tested.first()["cv_std"] >= 0
+    fitted = fit_state_models(df, "run_index", ["a", "b"], ["load", "idle", "text"], repeats=2, folds=2, trees=5, tree_depth=4, rounds=4)
+    assert list(fitted.models) == ["load", "text"]
+    r2 = {r["target"]: r["test_r2"] for r in r2_table(fitted.tested).collect()}
+    assert r2["load"] > 0.8
+    assert 20 < fitted.tested.count() < 120 and fitted.tested.first()["cv_std"] >= 0
+    scores = fitted.scores.collect()
+    assert {(r.target, r.model, r.n_scores) for r in scores if r.target == "load"} == {("load", "boosting", 4), ("load", "forest", 4)}
+    assert sorted(r.target for r in scores if r.chosen) == ["load", "text"]
+    assert all(r.cv_r2 == max(s.cv_r2 for s in scores if s.target == r.target) for r in scores if r.chosen)
+
+
+def test_best_cuts_against_all_cuts():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        bins, label = rng.integers(0, 5, (40, 3)).astype(np.uint8), rng.random(40)
+        weight = rng.integers(0, 3, (1, 40)).astype(float)
+        feature, cut, mean, left, right = tree_training.best_cuts(
+            *tree_training.histograms(bins, np.zeros((1, 40), int), 0, weight, label, 5))
+        w = weight[0]
+
+        def error(rows):
+            held = w[rows]
+            return (held * (label[rows] - np.average(label[rows], weights=held)) ** 2).sum() if held.sum() else None
+
+        options = {(j, c): error(bins[:, j] <= c) + error(bins[:, j] > c) for j in range(3) for c in range(4)
+                   if w[bins[:, j] <= c].sum() and w[bins[:, j] > c].sum()}
+        assert np.isclose(options[feature[0, 0], cut[0, 0]], min(options.values()))
+        side = bins[:, feature[0, 0]] <= cut[0, 0]
+        assert np.allclose([mean[0, 0], left[0, 0], right[0, 0]],
+                           [np.average(label, weights=w), np.average(label[side], weights=w[side]), np.average(label[~side], weights=w[~side])])
+
+
+def test_chunks_and_kept_rounds_do_not_change_the_trees(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(i, float(a), float(b), [float(a + (b > 0.5)), float(b)], [i % 3, i // 3 % 3]) for i, (a, b) in enumerate(rng.random((120, 2)))]
+    rows = spark.createDataFrame(data, "key long, a double, b double, labels array<double>, folds array<int>")
+    cuts, sizes = [np.linspace(0.1, 0.9, 7)] * 2, tree_training.Sizes(trees=6, tree_depth=3, rounds=5, round_depth=2, bins=8)
+
+    def trained():
+        training = tree_training.Training(rows, ["a", "b"], cuts, tree_training.Fits(2, 2, 3), sizes, 4)
+        training.grow()
+        return training
+
+    one = trained()
+    for name, value in (("CHUNK_ROWS", 25), ("ROUNDS_KEPT", 2), ("TREES_AT_A_TIME", 4), ("PAIRED_BINS", 0)):
+        monkeypatch.setattr(tree_training, name, value)
+    other = trained()
+    assert one.n_chunks == 1 and other.n_chunks > 3 and other.kept == 4
+    for a, b in ((one.boosting, other.boosting), (one.forest, other.forest)):
+        assert (a.feature == b.feature).all() and np.allclose(a.value, b.value)
+    monkeypatch.setattr(tree_training, "PAIRED_BINS", 160)
+    third = trained()
+    assert (one.boosting.feature == third.boosting.feature).all() and np.allclose(one.boosting.value, third.boosting.value)
+    mine, theirs = ({(k, f): r for k, f, r in t.scores()} for t in (one, other))
+    assert mine.keys() == theirs.keys() and len(mine) == 24 and all(np.isclose(mine[k], theirs[k]) for k in mine)
+    assert min(r for (kind, f), r in mine.items() if f < 6) > 0.5
+    model = one.model("forest", 0, ["a", "b"])
+    model.save(spark, str(tmp_path / "m"))
+    loaded = tree_training.TreeModel.load(spark, str(tmp_path / "m"))
+    values = np.array([[a, b] for _, a, b, *_ in data])
+    assert np.allclose(loaded.predict(values), model.predict(values))
+    bins = np.stack([np.searchsorted(cuts[0], values[:, j]) for j in range(2)], 1)
+    leaf = tree_training.descend(bins, one.forest.feature[6], one.forest.cut[6], 3)
+    assert np.allclose(model.predict(values), np.take_along_axis(one.forest.value[6], leaf, 1).mean(0), atol=1e-6)
+    assert np.allclose([r.prediction for r in loaded.transform(rows).orderBy("key").collect()], model.predict(values))
