@@ -127,6 +127,13 @@ def value_box(spark, sf):
     return rounded(statistics.box_stats(table(spark, sf, "events"), "value", ["event_type"]), 6, "q1", "median", "q3")
 
 
+@query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
+   SELECT event_type, value, count(*) AS n_rows FROM events JOIN q USING (event_type)
+   WHERE NOT value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""")
+def value_outliers(spark, sf):
+    return statistics.outliers(table(spark, sf, "events"), "value", ["event_type"])
+
+
 @query("""SELECT count(*) AS n_pairs, CAST(sum(700 + event_id % 700) AS DOUBLE) / count(*) AS mean_latency_ms FROM events""")
 def packet_latency(spark, sf):
     events = table(spark, sf, "events")

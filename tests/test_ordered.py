@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from streamjobs.operators import ordered, statistics
+from streamjobs.operators.ranks import values_at_ranks
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -134,6 +135,33 @@ def test_box_stats(spark):
     assert (b["q1"], b["q3"], b["n_outliers"]) == (7.0, 7.0, 0)
 
 
+def test_outliers(spark):
+    df = spark.createDataFrame([(None, v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 100.0, 100.0, None, float("nan"))], "s string, v double")
+    assert rows(statistics.outliers(df, "v", ["s"])) == []
+    df = spark.createDataFrame([(None, v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 100.0, 100.0, None)], "s string, v double")
+    assert rows(statistics.outliers(df, "v", ["s"])) == [(None, 100.0, 2)]
+
+
+@pytest.mark.parametrize("kind", ["crowded", "huge", "tiny", "equal", "infinite", "even"])
+def test_values_at_ranks(spark, kind):
+    rng = np.random.default_rng(7)
+    values = {"crowded": [1e300, -1e300, *rng.random(500)], "huge": [*(10.0 ** rng.integers(-300, 300, 400)), -1e308, 1.7e308],
+              "tiny": [5e-324, 1e-323, 0.0, -0.0, 1e-300, 1.0, *(rng.random(200) * 1e-310)], "equal": [3.5] * 900,
+              "infinite": [float("inf"), float("inf"), float("-inf"), 1.7976931348623157e308, 1.0, 2.0], "even": list(map(float, range(3000)))}[kind]
+    ranks = {f"r{k}": k for k in {0, 1, len(values) // 3, len(values) // 2, len(values) - 2, len(values) - 1}}
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [(None, 1.0), (None, None), ("e", None), ("n", float("nan"))], "k string, v double")
+    found = {r["k"]: r for r in values_at_ranks(df.repartition(5), "v", ["k"], {n: F.least(F.lit(k), F.col("n_rows") - 1) for n, k in ranks.items()}).collect()}
+    assert set(found) == {"g", None} and found[None]["r0"] == 1.0
+    assert [found["g"][n] for n in ranks] == [sorted(map(float, values))[k] for k in ranks.values()] and found["g"]["n_rows"] == len(values)
+
+
+def test_quantiles_sort_no_rows(spark, hot):
+    plan = statistics.quantiles(hot[1], "v", {"m": 0.5})._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+    assert statistics.quantiles(hot[1].limit(0), "v", {"m": 0.5}).count() == 0
+    assert statistics.quantiles(hot[1], "v", {"m": 0.5}).first()["m"] == pytest.approx(np.median([r[3] for r in hot[0]]))
+
+
 def test_cdf(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (3.0,), (4.0,), (None,)], "v double")
     assert rows(statistics.cdf(df, "v")) == [(1.0, 2, 0.5), (3.0, 1, 0.75), (4.0, 1, 1.0)]
