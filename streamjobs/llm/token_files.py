@@ -166,8 +166,12 @@ class _Letters(dict):
     A letter is asked for once: alone and between others it must be encoded as the one word that it is part of.
     """
 
+    #: Letters asked for at the start: Latin ones, which stay as they are in any word of them.
+    COMMON = [*map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), *map(chr, range(0xC0, 0x180))]
+
     def __init__(self, tokenizer, words: _Words):
         self.tokenizer, self.words = tokenizer, words
+        self.common = re.compile("[" + "".join(c for c in self.COMMON if self[c]) + "]+").fullmatch
 
     def __missing__(self, letter: str) -> bool:
         value = self[letter] = letter.isalpha() and not _ODD.search(letter) and all(
@@ -177,9 +181,7 @@ class _Letters(dict):
 
     def all_in(self, word: str) -> bool:
         """Whether the word, as normalisation leaves it, is one word of the model."""
-        if word.isascii():
-            return word.isalpha()
-        return word.isalpha() and all(map(self.__getitem__, set(word) | set(unicodedata.normalize("NFC", word))))
+        return bool(self.common(word)) or word.isalpha() and all(map(self.__getitem__, set(word) | set(unicodedata.normalize("NFC", word))))
 
 
 class _Pieces(dict):
