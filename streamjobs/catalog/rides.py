@@ -159,7 +159,7 @@ def point_in_polygon_by_cell(spark, sf):
         "event_id", (F.lit(-74.0625) + (F.col("user_id") % 97) / 256).alias("lon"),
         (F.lit(40.4375) + (F.col("event_id") % 150) / 256).alias("lat"))
     regions = neighbourhoods(table(spark, sf, "nation"))
-    return assign_region_by_cell(events, "lon", "lat", regions, 0.0625, salts=4).drop("lon", "lat")
+    return assign_region_by_cell(events, "lon", "lat", regions, salts=4).drop("lon", "lat")
 
 
 @query("""WITH s AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS cents,

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamjobs.functions.geo import point_in_polygon
+from streamjobs.session import written
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
@@ -56,8 +57,7 @@ def assign_region(points: DataFrame, lon: str, lat: str, regions: DataFrame, nam
     (west, east, south, north) limit, its east and north ends excluded as for a
     polygon. A set of regions within the checked limits
     becomes one array value, and the test is row-local: no shuffle, and it works
-    on a stream. A larger set goes to ``assign_region_by_cell``, with cells of the
-    regions' mean size.
+    on a stream. A larger set goes to ``assign_region_by_cell``.
     """
     return Regions(regions, max_regions, max_corners).assign(points, lon, lat, name, default, box)
 
@@ -68,9 +68,7 @@ class Regions:
     def __init__(self, regions: DataFrame, max_regions: int = 1000, max_corners: int = 200_000):
         self.regions = regions
         bounded = _with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL")
-        size = F.avg(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")))
-        self.rows, corners, self.cell = bounded.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.size("coord")), F.lit(0)), size).first()
+        self.rows, corners = bounded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("coord")), F.lit(0))).first()
         self.few = self.rows <= max_regions and corners <= max_corners
         self.listed = bounded.orderBy("ordinal").collect() if self.few else []
 
@@ -86,7 +84,7 @@ class Regions:
             inside = F.filter(grid.candidates(x, y), lambda i: point_in_polygon(x, y, F.get(shapes, i)["c"]))
             found = points.withColumn(name, F.coalesce(F.get(shapes, F.get(inside, F.lit(0)))["n"], F.lit(default)))
         else:
-            found = assign_region_by_cell(points, lon, lat, self.regions, float(self.cell) or 1.0, name, default)
+            found = assign_region_by_cell(points, lon, lat, self.regions, name, default)
         if box is None:
             return found
         west, east, south, north = box
@@ -125,33 +123,98 @@ class _Grid:
         return F.when(x.between(*self.x) & y.between(*self.y), F.get(cells, at))
 
 
-def assign_region_by_cell(points: DataFrame, lon: str, lat: str, regions: DataFrame, cell: float,
-                          name: str = "region", default: str = "Other", salts: int = 8,
-                          max_per_cell: int = 1000) -> DataFrame:
-    """The same assignment for any number of regions, as one equi-join on grid cells.
+#: Each level of cells is so many times wider than the one below.
+FAN = 16
 
-    Each region is listed in the cells its bounding box touches, and each cell
-    is one row with its regions in order, so a point meets one row and the first
-    match is found inside it. The number of regions per cell is checked: a
-    smaller ``cell`` makes it smaller. ``salts`` copies the cells so that a
-    crowded one is met by several tasks.
+
+def _width(level: Column) -> Column:
+    return F.pow(F.lit(float(FAN)), level.cast("double"))
+
+
+def _edge_in_box(polygon: Column, x: Column, y: Column, half: Column) -> Column:
+    """Whether an edge of the polygon meets the box around a point, or comes so near that rounding decides."""
+    n = F.size(polygon)
+    reach = half * (1 + 1e-9) + F.greatest(F.abs(x), F.abs(y)) * 1e-12
+
+    def meets(i: Column) -> Column:
+        here, there = F.get(polygon, i), F.get(polygon, F.pmod(i + n - 1, n))
+        hx, hy, tx, ty = F.get(here, F.lit(0)), F.get(here, F.lit(1)), F.get(there, F.lit(0)), F.get(there, F.lit(1))
+        dx, dy, mx, my = tx - hx, ty - hy, (hx + tx) / 2 - x, (hy + ty) / 2 - y
+        return ((F.abs(mx) <= F.abs(dx) / 2 + reach) & (F.abs(my) <= F.abs(dy) / 2 + reach)
+                & (F.abs(mx * dy - my * dx) <= reach * (F.abs(dx) + F.abs(dy))))
+
+    return F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(meets(i), F.lit(True)))
+
+
+def _touched_cells(regions: DataFrame, level: Column, xs: Column, ys: Column) -> DataFrame:
+    """The cells in ranges of columns and rows that a region covers (``inside``) or that hold a part of its edge."""
+    cells = (regions.withColumn("_level", level).withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+                    .withColumn("_half", _width(F.col("_level")) / 2))
+    x, y = (F.col("_cx") * 2 + 1) * F.col("_half"), (F.col("_cy") * 2 + 1) * F.col("_half")
+    # Without an edge in it, all of a cell lies on the side of its centre.
+    return (cells.withColumn("_edge", _edge_in_box(F.col("coord"), x, y, F.col("_half")))
+                 .withColumn("inside", ~F.col("_edge") & point_in_polygon(x, y, F.col("coord")))
+                 .filter("_edge OR inside").drop("_half", "_edge"))
+
+
+def region_cells(regions: DataFrame) -> DataFrame:
+    """Regions as cells of two sizes that go with their own: ``_level, _cx, _cy, ordinal, name, coord, inside``.
+
+    The wider cells are at most a quarter of the region's longer side, so at most 36 touch
+    it; those on its edge are listed as the narrower cells in them, 16 to a side. A region has
+    a bounded number of cells, whatever its size and that of the others. Regions without an
+    extent contain no point and have none.
+    """
+    bounded = _with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL AND (east > west OR north > south)")
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.floor(F.log(side / 4) / F.log(F.lit(float(FAN)))).cast("int")
+    sized = bounded.withColumn("_level", level)
+
+    def span(low: str, high: str, width: Column) -> Column:
+        return F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
+
+    wide = _touched_cells(sized, F.col("_level"), *(span(a, b, _width(F.col("_level"))) for a, b in (("west", "east"), ("south", "north"))))
+
+    def part(cell: str, low: str, high: str) -> Column:
+        """The narrower cells of a cell that the region's box reaches; none where rounding puts the box beside the cell."""
+        narrow = _width(F.col("_above") - 1)
+        first = F.greatest(F.col(cell) * FAN, F.floor(F.col(low) / narrow) - 1)
+        last = F.least(F.col(cell) * FAN + FAN - 1, F.floor(F.col(high) / narrow) + 1)
+        return F.when(first <= last, F.sequence(first, last))
+
+    edges = wide.filter(~F.col("inside")).withColumnsRenamed({"_level": "_above", "_cx": "_wx", "_cy": "_wy"}).drop("inside")
+    narrow = _touched_cells(edges, F.col("_above") - 1, part("_wx", "west", "east"), part("_wy", "south", "north"))
+    columns = ["_level", "_cx", "_cy", "ordinal", "name", "coord", "inside"]
+    return wide.filter("inside").select(*columns).unionByName(narrow.select(*columns))
+
+
+def assign_region_by_cell(points: DataFrame, lon: str, lat: str, regions: DataFrame, name: str = "region", default: str = "Other",
+                          salts: int = 8, per_row: int = 1000) -> DataFrame:
+    """The same assignment for any number of regions of any sizes, as equi-joins on cells (see ``region_cells``).
+
+    A point meets the cell it lies in, once per level in use: regions 16 times larger than
+    others add one. A cell's regions are listed in order, without those that come after one
+    that covers the whole cell; more than ``per_row`` of them are cut into several rows, met one
+    after the other. Only regions whose edge runs through the cell take the ray test. ``salts``
+    copies the cells so that a crowded one is met by several tasks.
     """
-    def cell_of(c: Column) -> Column:
-        return F.floor(c / F.lit(cell))
-
-    listed = (_with_bounds(regions).filter("west IS NOT NULL AND south IS NOT NULL")
-              .withColumn("_cx", F.explode(F.sequence(cell_of(F.col("west")), cell_of(F.col("east")))))
-              .withColumn("_cy", F.explode(F.sequence(cell_of(F.col("south")), cell_of(F.col("north"))))))
-    fullest = listed.groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] or 0
-    if fullest > max_per_cell:
-        raise ValueError(f"{fullest} regions in one cell; use a smaller cell than {cell}")
-    cells = (listed.groupBy("_cx", "_cy")
-                   .agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "coord"))).alias("_regions"))
-                   .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    of_cell = Window.partitionBy("_level", "_cx", "_cy")
+    first = F.min(F.when(F.col("inside"), F.col("ordinal"))).over(of_cell)
+    listed = (region_cells(regions).withColumn("_first", first).filter("_first IS NULL OR ordinal <= _first")
+              .withColumn("_piece", F.floor((F.row_number().over(of_cell.orderBy("ordinal")) - 1) / per_row).cast("int")))
+    region = F.struct("ordinal", "name", F.when(~F.col("inside"), F.col("coord")).alias("coord"))
+    cells = written(listed.groupBy("_level", "_cx", "_cy", "_piece").agg(F.sort_array(F.collect_list(region)).alias("_regions")), "region-cells")
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
     salt = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
-    located = points.withColumns({"_cx": cell_of(x), "_cy": cell_of(y), "_salt": salt})
-    inside = F.filter("_regions", lambda r: point_in_polygon(x, y, r["coord"]))
-    joined = located.join(cells, ["_cx", "_cy", "_salt"], "left")
-    return (joined.withColumn(name, F.coalesce(F.get(inside, F.lit(0))["name"], F.lit(default)))
-                  .select(*points.columns, name))
+    joined = points.withColumns({"_salt": salt, "_best": F.lit(None).cast("struct<ordinal: bigint, name: string>")})
+    inside = F.get(F.filter("_regions", lambda r: r["coord"].isNull() | point_in_polygon(x, y, r["coord"])), F.lit(0))
+    found = F.when(inside.isNotNull(), F.struct(inside["ordinal"].cast("long").alias("ordinal"), inside["name"].alias("name")))
+    # A few dozen levels at most, for sizes of any ratio; one piece unless more than per_row edges cross one cell.
+    for level, piece in sorted(map(tuple, cells.select("_level", "_piece").distinct().collect())):
+        width = float(FAN) ** level
+        here = (cells.filter((F.col("_level") == level) & (F.col("_piece") == piece)).select("_cx", "_cy", "_regions")
+                     .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+        located = joined.withColumns({"_cx": F.floor(x / width), "_cy": F.floor(y / width)})
+        joined = (located.join(here, ["_cx", "_cy", "_salt"], "left").withColumn("_best", F.least("_best", found))
+                         .select(*points.columns, "_salt", "_best"))
+    return joined.select(*points.columns, F.coalesce("_best.name", F.lit(default)).alias(name))

@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from streamjobs.operators.joins import assign_region, assign_region_by_cell, interval_join
+from streamjobs.operators.joins import assign_region, assign_region_by_cell, interval_join, region_cells
 from streamjobs.streaming.runs import collect_append
 
 START = 1_700_000_000
@@ -62,12 +63,46 @@ def test_assign_region_inside_box(points, regions):
     assert got == want
 
 
-def test_assign_region_by_cell(points, regions):
+@pytest.mark.parametrize("salts, per_row", [(1, 1000), (5, 1)])
+def test_assign_region_by_cell(points, regions, salts, per_row):
     data, df = points
-    for cell, salts in ((0.7, 1), (3.0, 5)):
-        got = {r["id"]: r["region"]
-               for r in assign_region_by_cell(df, "x", "y", regions, cell, salts=salts).collect()}
-        assert got == expected(data)
+    got = {r["id"]: r["region"] for r in assign_region_by_cell(df, "x", "y", regions, salts=salts, per_row=per_row).collect()}
+    assert got == expected(data)
+
+
+def ray_test(x, y, corners):
+    odd = False
+    for (hx, hy), (tx, ty) in zip(corners, corners[-1:] + corners[:-1]):
+        if (hy > y) != (ty > y) and x < hx + (tx - hx) * (y - hy) / (ty - hy):
+            odd = not odd
+    return odd
+
+
+def star(rng, cx, cy, size, n):
+    angles = sorted(rng.random() * 2 * math.pi for _ in range(n))
+    return [[cx + size * r * math.cos(a), cy + size * r * math.sin(a)] for a in angles for r in [0.3 + rng.random()]]
+
+
+def test_regions_of_very_different_sizes(spark):
+    """One polygon is ten thousand times as wide as the others, one a hundred times; all overlap."""
+    rng = random.Random(4)
+    shapes = [star(rng, rng.uniform(-2, 2), rng.uniform(-2, 2), 0.05, 7) for _ in range(150)]
+    shapes += [star(rng, 0, 0, 500, 11), star(rng, 1, 1, 5, 40), [[3.0, 3.0]], [], [[0.5, 0.5], [0.5, 0.5], [0.5, 0.5]], shapes[0],
+               [[-2, 0], [2, 0], [2, 0.25], [-2, 0.25]]]
+    order = rng.sample(range(150), 150) + list(range(150, len(shapes)))
+    regions = spark.createDataFrame([(o, f"r{o}", [list(map(float, c)) for c in s]) for o, s in zip(order, shapes)],
+                                    "ordinal int, name string, coord array<array<double>>")
+    data = [(i, rng.gauss(0, s), rng.gauss(0, s)) for i in range(1500) for s in [rng.choice([1, 2, 4, 300])]]
+    data += [(2000 + i, c[0], c[1]) for i, c in enumerate(sum(shapes[:30], []))] + [(5000, None, 1.0), (5001, 1e9, -1e9)]
+    df = spark.createDataFrame(data, "id int, x double, y double")
+    got = {r["id"]: r["region"] for r in assign_region_by_cell(df, "x", "y", regions, salts=2).collect()}
+    by_order = sorted(zip(order, shapes))
+    want = {i: next((f"r{o}" for o, s in by_order if x is not None and ray_test(x, y, s)), "Other") for i, x, y in data}
+    assert got == want and len(set(got.values())) > 50
+    cells = region_cells(regions)
+    sizes = {r["ordinal"]: r["count"] for r in cells.groupBy("ordinal").count().collect()}
+    assert max(sizes.values()) < 36 * 256 and sizes[order[150]] < 10 * max(sizes[o] for o in order[:150])
+    assert cells.filter("inside").count() > 0 and cells.select("_level").distinct().count() >= 4
 
 
 def test_no_regions_and_too_many(points, regions):
@@ -75,8 +110,7 @@ def test_no_regions_and_too_many(points, regions):
     assert {r["region"] for r in assign_region(df, "x", "y", regions.limit(0)).collect()} == {"Other"}
     many = assign_region(df, "x", "y", regions, max_regions=2).collect()
     assert {r["id"]: r["region"] for r in many} == {r["id"]: r["region"] for r in assign_region(df, "x", "y", regions).collect()}
-    with pytest.raises(ValueError):
-        assign_region_by_cell(df, "x", "y", regions, 5.0, max_per_cell=1)
+    assert {r["region"] for r in assign_region_by_cell(df, "x", "y", regions.limit(0)).collect()} == {"Other"}
 
 
 def sides(spark):
