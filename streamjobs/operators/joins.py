@@ -152,9 +152,11 @@ def _touched_cells(regions: DataFrame, level: Column, xs: Column, ys: Column) ->
                     .withColumn("_half", _width(F.col("_level")) / 2))
     x, y = (F.col("_cx") * 2 + 1) * F.col("_half"), (F.col("_cy") * 2 + 1) * F.col("_half")
     # Without an edge in it, all of a cell lies on the side of its centre.
-    return (cells.withColumn("_edge", _edge_in_box(F.col("coord"), x, y, F.col("_half")))
-                 .withColumn("inside", ~F.col("_edge") & point_in_polygon(x, y, F.col("coord")))
-                 .filter("_edge OR inside").drop("_half", "_edge"))
+    touched = (cells.withColumn("_edge", _edge_in_box(F.col("coord"), x, y, F.col("_half")))
+                    .withColumn("inside", ~F.col("_edge") & point_in_polygon(x, y, F.col("coord")))
+                    .filter("_edge OR inside").drop("_half", "_edge"))
+    # Written: each cell is tested once, and the optimizer does not carry the tests, which have lambdas, through the union.
+    return written(touched, "touched-cells")
 
 
 def region_cells(regions: DataFrame) -> DataFrame:
