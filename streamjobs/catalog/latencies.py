@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from streamjobs.catalog.facts import CONSUMERS, FACTS, consumer_lines, producer_lines
+from streamjobs.catalog.facts import FACTS, consumer_lines, producer_lines
 from streamjobs.catalog.logs import aggregate_lines, packet_lines
 from streamjobs.catalog.registry import plain, query, rounded, table
 from streamjobs.operators import delivery, latency, statistics
@@ -32,8 +32,8 @@ def _latency(spark, sf):
 def _states(spark, sf, confirmed: bool = True):
     events = table(spark, sf, "events")
     prod, cons = _parts(spark, sf)
-    return delivery.delivery_states(prod, cons, CONSUMERS,
-                                    reports.confirmation_entries(producer_lines(events)) if confirmed else None)
+    return delivery.delivery_words(prod, cons, cons.select("consumer_id"),
+                                   reports.confirmation_entries(producer_lines(events)) if confirmed else None)
 
 
 @query(f"""WITH {FACTS} SELECT prod_id, msg_id, topic_id, consumer_id, produced_ts, consumed_ts, CAST(1 AS BIGINT) AS copies,
@@ -199,7 +199,14 @@ _CELLS = f"""WITH {FACTS}, cell AS (SELECT prod.*, CAST(c AS INTEGER) AS consume
 @query(f"""{_CELLS} SELECT prod_id, msg_id, topic_id, consumer_id,
              CAST(CASE WHEN got OR unconfirmed THEN 255 ELSE 51 * topic_id::INTEGER END AS INTEGER) AS cell FROM cell""")
 def delivery_matrix(spark, sf):
-    return delivery.delivery_matrix(_states(spark, sf), CONSUMERS, 5)
+    return delivery.delivery_matrix(_states(spark, sf), 5)
+
+
+@query(f"""{_CELLS} SELECT topic_id, consumer_id, count(*) AS n_sent, count(*) FILTER (got) AS n_received,
+             count(*) FILTER (NOT got AND NOT unconfirmed) AS n_missing, count(*) FILTER (unconfirmed) AS n_unconfirmed
+           FROM cell GROUP BY 1, 2""")
+def delivery_counts(spark, sf):
+    return delivery.delivery_counts(_states(spark, sf))
 
 
 @query(f"{_CELLS} SELECT prod_id, msg_id, topic_id, consumer_id FROM cell WHERE NOT got AND NOT unconfirmed")

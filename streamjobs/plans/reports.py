@@ -56,10 +56,10 @@ def packet_latency(produced: DataFrame, consumed: DataFrame, aggregated: bool =
     return latency.mean_packet_latency(sent, got)
 
 
-def delivery_report(producer_lines: DataFrame, consumer_lines: DataFrame, consumers: list):
-    """Per-message delivery states from the two kinds of log."""
-    return delivery.delivery_states(producer_entries(producer_lines), consumer_entries(consumer_lines), consumers,
-                                    confirmation_entries(producer_lines))
+def delivery_report(producer_lines: DataFrame, consumer_lines: DataFrame, consumers: DataFrame) -> DataFrame:
+    """Words of delivered messages from the two kinds of log; ``consumers`` has ``consumer_id``."""
+    return delivery.delivery_words(producer_entries(producer_lines), consumer_entries(consumer_lines), consumers,
+                                   confirmation_entries(producer_lines))
 
 
 def bandwidth(counters: DataFrame, counter: str, order: Sequence[str] = ("sample",),

@@ -1,3 +1,5 @@
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -74,18 +76,38 @@ def test_delivery_with_many_consumers(spark):
     got = [("01", "000000", c) for c in consumers if c % 3] + [("01", "000000", 1)] * 4 + [("01", "000002", 150), ("09", "000000", 3)]
     cons = spark.createDataFrame(got, "prod_id string, msg_id string, consumer_id int")
     conf = spark.createDataFrame([("01", "000002", 0), ("01", "000000", 1)], "prod_id string, msg_id string, confirmed int")
-    assert delivery.consumer_list(cons) == sorted({c for *_, c in got})
-    states = delivery.delivery_states(prod, cons, consumers, conf)
-    by_id = {r["msg_id"]: r for r in states.collect()}
-    assert by_id["000000"]["missing"] == [c for c in consumers if c % 3 == 0]
-    assert by_id["000001"]["received"] == [] and by_id["000001"]["missing"] == consumers
-    assert rows(delivery.inconsistent(states)) == [("01", "000002", "0", 150)]
-    assert delivery.undelivered(states).count() == 50 + 150
-    assert delivery.undelivered(states, max_index=1).count() == 50
-    matrix = delivery.delivery_matrix(states, consumers, 3)
+    everyone = spark.createDataFrame([(c,) for c in consumers] + [(7,), (None,)], "consumer_id int")
+    words = delivery.delivery_words(prod, cons, everyone, conf)
+    missing = rows(delivery.undelivered(words))
+    assert missing == sorted([("01", "000000", "1", c) for c in consumers if c % 3 == 0] + [("01", "000001", "2", c) for c in consumers], key=repr)
+    assert rows(delivery.inconsistent(words)) == [("01", "000002", "0", 150)]
+    assert delivery.undelivered(words, max_index=1).count() == 50
+    matrix = delivery.delivery_matrix(words, 3)
     assert matrix.count() == 450
     cells = {(r["msg_id"], r["consumer_id"]): r["cell"] for r in matrix.collect()}
     assert (cells["000000", 1], cells["000000", 3], cells["000001", 9], cells["000002", 9]) == (255, 85, 170, 255)
+    counts = {(r["topic_id"], r["consumer_id"]): tuple(r)[2:] for r in delivery.delivery_counts(words).collect()}
+    assert (counts["1", 3], counts["1", 4], counts["0", 150], counts["0", 149]) == ((1, 0, 1, 0), (1, 1, 0, 0), (1, 1, 0, 1), (1, 0, 0, 1))
+
+
+def test_delivery_of_ids_of_every_form(spark):
+    """Words of 64 keep first and last bit, zeros in front, letters and ids without digits apart; a message counts for one topic."""
+    rng = random.Random(6)
+    ids = [*map(str, range(130)), *(f"{i:04d}" for i in range(0, 300, 7)), "a1", "a63", "a64", "b", "", "9" * 15, "x" + "1" * 20]
+    sent = [(p, m, t) for p in ("p", "q") for m in ids for t in rng.sample(["3", "1", "x"], rng.randint(1, 2))] + [(None, "1", "1"), ("p", None, "1")]
+    got = [(p, m, c) for p in ("p", "q") for m in ids for c in (1, 2, 3) if rng.random() < 0.6]
+    prod = spark.createDataFrame(sent, "prod_id string, msg_id string, topic_id string")
+    cons = spark.createDataFrame(got * 2, "prod_id string, msg_id string, consumer_id int")
+    topics = {}
+    for p, m, t in sent:
+        if p and m is not None:
+            topics.setdefault((p, m), []).append(t)
+    topic = {k: min((t for t in v if t != "x"), default=None) for k, v in topics.items()}
+    want = [(*k, t, c) for k, t in topic.items() for c in (1, 2, 3) if (*k, c) not in set(got)]
+    words = delivery.delivery_words(prod, cons, cons)
+    assert rows(delivery.undelivered(words)) == sorted(want, key=repr)
+    assert delivery.delivery_matrix(words, 5).count() == 3 * len(topic)
+    assert delivery.delivery_words(prod.limit(0), cons, cons).count() == 0 and delivery.inconsistent(words).count() == 0
 
 
 def test_message_lookup_takes_the_first(spark):
