@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from streamjobs.catalog.ports import packet_messages
@@ -12,7 +13,9 @@ from streamjobs.sources.files import read_csv, read_json_lines
 from streamjobs.sources.topics import file_source
 from streamjobs.plans.word_count import topic_copy as copy
 from streamjobs.streaming.dedup import distinct_messages
-from streamjobs.streaming.runs import collect_append
+from streamjobs.streaming.ledger import BatchLedger
+from streamjobs.streaming.progress import ProgressRecorder, observed, progress_table
+from streamjobs.streaming.runs import arrivals, collect_append
 from streamjobs.streaming.sinks import enveloped, file_sink, run_for, single_file, start, start_foreach_batch
 
 _IDS = """SELECT DISTINCT user_id % 10 AS prod_id, day(ts) * 10 + user_id % 7 AS msg_id, event_type AS topic FROM events"""
@@ -96,6 +99,53 @@ def json_lines_scan(spark, sf):
     return read_json_lines(spark, path)
 
 
+@query("""SELECT event_id, event_type FROM events""")
+def ledger_sink_stream(spark, sf):
+    """Three batches into a ledger; one fails before its entry is there, one after it, and the query is started again."""
+    rows = table(spark, sf, "events").select("event_id", "event_type")
+    arriving, checkpoint = arrivals(rows, F.col("event_id") % 3, 3), fresh_path(spark, "progress")
+    ledger, failures = BatchLedger(spark, fresh_path(spark, "ledger")), []
+
+    def handle(batch, batch_id):
+        first = batch_id not in failures
+        if first and batch_id == 1:
+            failures.append(batch_id)
+            batch.limit(3).write.parquet(fresh_path(spark, "ledger-left-over"))
+            raise RuntimeError("before the entry")
+        ledger.write(batch, "events", batch_id)
+        if first and batch_id == 2:
+            failures.append(batch_id)
+            raise RuntimeError("after the entry")
+
+    for _ in range(3):
+        query_ = start_foreach_batch(arriving, handle, "append", checkpoint, available_now=True)
+        try:
+            query_.awaitTermination()
+        except StreamingQueryException:
+            continue
+    return ledger.rows(rows.schema)
+
+
+@query("""WITH p AS (SELECT *, (day(ts) - 1) // 6 AS own FROM events),
+    d AS (SELECT *, CASE WHEN event_id % 50 = 0 AND own + 3 <= 4 THEN own + 3 ELSE own END AS part FROM p)
+  SELECT part AS batch_id, count(*) AS n_produced, count(*) FILTER (event_type <> 'error') AS n_kept,
+    count(*) FILTER (event_type <> 'error' AND part <> own) AS n_late FROM d GROUP BY 1""")
+def observed_stream(spark, sf):
+    """Rows produced, kept and too late per trigger, as the running query reports them; every 50th event comes 18 days late,
+    as rows are judged by the watermark of the trigger before."""
+    own = F.floor((F.dayofmonth("ts") - 1) / 6)
+    part = F.when((F.col("event_id") % 50 == 0) & (own + 3 <= 4), own + 3).otherwise(own)
+    arriving = observed(arrivals(table(spark, sf, "events").select("event_id", "event_type", "ts"), part, 5), "events",
+                        produced=F.lit(True), kept=F.col("event_type") != "error")
+    kept = distinct_messages(arriving.filter("event_type <> 'error'"), ["event_id"], "ts", "1 day")
+    with ProgressRecorder.on(spark) as recorder:
+        query_ = start(kept, file_sink(fresh_path(spark, "observed")), "append", available_now=True)
+        query_.awaitTermination()
+        records = progress_table(recorder, query_).filter("input_rows > 0")
+    return records.select("batch_id", F.col("observed")["events.produced"].alias("n_produced"),
+                          F.col("observed")["events.kept"].alias("n_kept"), F.col("late_rows").alias("n_late"))
+
+
 @query("""SELECT event_id, event_type FROM events""")
 def timed_trigger_stream(spark, sf):
     """A query with a processing-time trigger, stopped when it has taken all its input."""

@@ -108,6 +108,12 @@ def doc_avg_chained_streams(spark, sf):
     return _close(spark, sf, collect_complete(docs.running_mean_terms(read_topic(spark, source))))
 
 
+@query(_MEAN)
+def doc_avg_one_stream(spark, sf):
+    """Both stages in one query, exact, without files between them."""
+    return collect_complete(docs.running_mean(messages(stream(spark, sf, "documents"))))
+
+
 @query(f"""WITH m AS ({_MEAN}) SELECT topic, 'Topic: ' || topic || ' Avg number of words for this topic: ' AS head,
              round(avg_words, 9) AS avg_words FROM m""")
 def doc_avg_text(spark, sf):

@@ -74,6 +74,19 @@ def running_items(df: DataFrame, ts: str, size: str, by: Sequence[str], item: st
     return found.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, item)
 
 
+def running_distinct_counts(df: DataFrame, ts: str, size: str, by: Sequence[str], item: str, late: str) -> DataFrame:
+    """Exact number of distinct items per tumbling window and group on a stream, in one append query.
+
+    Two stateful steps follow each other: repeats of an item in a window are dropped, then the
+    window's items are counted. Both forget a window once the watermark, ``late`` behind the
+    latest row, has passed its end; that is when its counts are sent on.
+    """
+    seen = (df.withWatermark(ts, late).filter(F.col(item).isNotNull())
+              .select(F.window(ts, size).alias("window"), *by, item).dropDuplicates(["window", *by, item]))
+    counted = seen.groupBy("window", *by).agg(F.count(F.lit(1)).alias("n_items"))
+    return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n_items")
+
+
 def sliding_avg(df: DataFrame, ts: str | Column, value: str, by: Sequence[str], size: str = "30 minutes",
                 slide: str = "10 minutes", name: str = "avg_value") -> DataFrame:
     """Mean of ``value`` per sliding window and group."""

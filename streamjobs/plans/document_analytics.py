@@ -33,6 +33,18 @@ def running_mean_terms(tagged: DataFrame) -> DataFrame:
     return avg_distinct_terms(parse_terms(tagged), approx=True)
 
 
+def running_mean(messages: DataFrame) -> DataFrame:
+    """Exact mean number of distinct words per document and topic of a stream, both stages in one query.
+
+    Every document adds a row without a word beside its words. Once repeats are dropped, the
+    words of a topic are its distinct words per document, and the rows without a word its documents.
+    """
+    tagged = split_tags(messages, FIRST_STAGE)
+    every = F.concat(F.split("value", " "), F.array(F.lit(None).cast("string")))
+    seen = tagged.select("topic", "file", F.explode(every).alias("word")).dropDuplicates(["topic", "file", "word"])
+    return seen.groupBy("topic").agg((F.count("word") / F.count_if(F.col("word").isNull())).alias("avg_words"))
+
+
 def tagged_terms(terms: DataFrame) -> DataFrame:
     """The text form in which the first stage hands its rows to the second; null is empty text."""
     def text(c: str) -> Column:

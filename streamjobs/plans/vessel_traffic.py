@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.functions.parsing import extract_json
-from streamjobs.operators.aggregates import items_per_window, running_items, windowed_distinct_approx, windowed_items
+from streamjobs.operators.aggregates import (items_per_window, running_distinct_counts, running_items, windowed_distinct_approx,
+                                             windowed_items)
 
 # The fields of a report.
 FIELDS = [
@@ -52,6 +53,11 @@ def ships_approx(reports: DataFrame, size: str = "1 minute") -> DataFrame:
     return windowed_distinct_approx(reports, "timestamp", size, GROUP, "mmsi")
 
 
+def running_ships(reports: DataFrame, size: str = "1 minute", late: str = "1 minute") -> DataFrame:
+    """``ships`` of a stream in one append query, with state that is forgotten (see ``running_distinct_counts``)."""
+    return running_distinct_counts(reports, "timestamp", size, GROUP, "mmsi", late).withColumnRenamed("n_items", "numberOfShips")
+
+
 def running_ship_ids(reports: DataFrame, size: str = "1 minute", late: str | None = None) -> DataFrame:
     """``ship_ids`` of a stream; ``late`` bounds the state (see ``running_items``)."""
     return running_items(reports, "timestamp", size, GROUP, "mmsi", late)

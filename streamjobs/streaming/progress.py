@@ -8,7 +8,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -18,6 +18,7 @@ from streamjobs.sources.logs import PHASES
 
 SCHEMA = T.StructType([T.StructField("query", T.StringType()), T.StructField("batch_id", T.LongType()),
                        T.StructField("input_rows", T.LongType()), T.StructField("late_rows", T.LongType()), T.StructField("state_rows", T.LongType()),
+                       T.StructField("observed", T.MapType(T.StringType(), T.LongType())),
                        *[T.StructField(n, T.LongType()) for n in PHASES]])
 
 
@@ -25,10 +26,19 @@ def _row(progress: dict) -> tuple:
     durations = progress.get("durationMs", {})
     late = sum(s.get("numRowsDroppedByWatermark", 0) for s in progress.get("stateOperators", []))
     state = sum(s.get("numRowsTotal", 0) for s in progress.get("stateOperators", []))
-    return (progress.get("name") or progress["id"], progress["batchId"], progress.get("numInputRows"), late, state,
+    observed = {f"{name}.{metric}": value for name, metrics in (progress.get("observedMetrics") or {}).items() for metric, value in metrics.items()}
+    return (progress.get("name") or progress["id"], progress["batchId"], progress.get("numInputRows"), late, state, observed,
             *[durations.get(key) for key in PHASES.values()])
 
 
+def observed(df: DataFrame, name: str, **conditions: Column) -> DataFrame:
+    """``df``, with the number of rows that meet each condition reported per trigger, under ``name.condition``.
+
+    The counts are taken while the rows pass; the recorder has them in the map ``observed``.
+    """
+    return df.observe(name, *[F.count_if(condition).alias(c) for c, condition in conditions.items()])
+
+
 class ProgressRecorder(StreamingQueryListener):
     """Appends the progress records of all queries to a table in the shared folder, ``every`` so many at once."""
 

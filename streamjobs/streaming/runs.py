@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamjobs.operators.ordered import row_numbers
 from streamjobs.operators.sets import keep_last
 from streamjobs.session import fresh_path
+from streamjobs.streaming.ledger import BatchLedger
 from streamjobs.streaming.sinks import file_sink, start, start_foreach_batch
 
 
@@ -42,24 +43,31 @@ def collect_update(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def collect_complete(df: DataFrame) -> DataFrame:
-    """Result of a complete-mode query: what its last batch emitted. Only that is kept."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, "complete")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)  # each batch holds the whole result
-
-    start_foreach_batch(df, handle, "complete", available_now=True).awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    """Result of a complete-mode query: what its last batch emitted, as the ledger names it."""
+    ledger = BatchLedger(df.sparkSession, fresh_path(df.sparkSession, "complete"))
+    start_foreach_batch(df, ledger.writer("complete"), "complete", available_now=True).awaitTermination()
+    return ledger.last(df.schema, "complete")
 
 
 def collect_ordered(df: DataFrame, place: str) -> DataFrame:
     """The last batch of a sorted complete-mode query, with every row's place in it, from 1."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, "ordered")
+    ledger = BatchLedger(df.sparkSession, fresh_path(df.sparkSession, "ordered"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Sorted output comes in range partitions: the id rises with the order.
-        batch.withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+        ledger.write(batch.withColumn("_at", F.monotonically_increasing_id()), "ordered", batch_id)
 
     start_foreach_batch(df, handle, "complete", available_now=True).awaitTermination()
     schema = df.withColumn("_at", F.lit(0).cast("long")).schema
-    return row_numbers(spark.read.schema(schema).parquet(path), [], ["_at"], place, 1).drop("_at")
+    return row_numbers(ledger.last(schema, "ordered"), [], ["_at"], place, 1).drop("_at")
+
+
+def arrivals(df: DataFrame, number: Column, count: int, files: int = 2) -> DataFrame:
+    """``df`` as a stream whose triggers get the rows numbered 0, 1, ... up to ``count``, one number after the other.
+
+    Each part is written as ``files`` files after the one before it; the file source takes files by age.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "arrivals")
+    for k in range(count):
+        df.filter(number == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -7,13 +7,14 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from streamjobs.operators.aggregates import sliding_avg, word_count
+from streamjobs.operators.aggregates import running_distinct_counts, sliding_avg, word_count
 from streamjobs.operators.progress import trigger_stats
 from streamjobs.plans import port_statistics as ports
 from streamjobs.plans import vessel_traffic as vessels
 from streamjobs.sources.topics import file_source, kafka_source, read_source, read_topic
 from streamjobs.streaming import progress, runs, sinks
 from streamjobs.streaming.dedup import distinct_messages
+from streamjobs.streaming.ledger import BatchLedger
 
 
 @pytest.fixture()
@@ -175,3 +176,41 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
         session.shared_dir(Session())
     monkeypatch.setattr(Session.conf, "get", staticmethod(lambda key, default: "s3://bucket/check/"))
     assert session.shared_dir(Session()) == "s3://bucket/check"
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    ledger = BatchLedger(spark, str(tmp_path / "l"))
+    one, two = spark.createDataFrame([(1,)], "i int"), spark.createDataFrame([(2,)], "i int")
+    assert ledger.rows(one.schema).count() == 0 and ledger.last(one.schema, "a").count() == 0
+    ledger.write(one, "a", 0)
+    ledger.write(two, "a", 0)  # run again with other rows
+    ledger.write(two, "a", 10)
+    ledger.write(one, "b", 2)
+    two.write.parquet(str(tmp_path / "l/rows/a/11-left"))  # a failed attempt without an entry
+    assert rows(ledger.rows(one.schema)) == [(1,), (1,), (2,)] and rows(ledger.last(one.schema, "a")) == [(2,)]
+    assert not ledger.commit("a", 10, "rows/elsewhere") and [e[:2] for e in ledger.entries()] == [("a", 0), ("a", 10), ("b", 2)]
+
+
+def test_state_of_two_steps_falls(spark):
+    """Distinct items per window in one append query: each closed window leaves both states."""
+    data = [(f"2024-01-{d:02d} {h:02d}:00:00", "g", f"s{h % 5}") for d in range(1, 9) for h in range(24) for _ in range(2)]
+    df = spark.createDataFrame(data, "t string, g string, ship string").withColumn("ts", F.to_timestamp("t"))
+    stream = runs.arrivals(df, F.dayofmonth("ts") - 1, 8)
+    counts = running_distinct_counts(stream, "ts", "6 hours", ["g"], "ship", "1 hour")
+    with progress.ProgressRecorder.on(spark) as recorder:
+        query = sinks.start(counts, sinks.Sink("noop"), available_now=True)
+        query.awaitTermination()
+        state = [r.state_rows for r in progress.progress_table(recorder, query).orderBy("batch_id").collect()]
+    assert len(state) >= 8 and max(state) <= 4 * 6 * 2 and state[-1] < max(state)
+    got = runs.collect_append(counts).collect()
+    assert {r.n_items for r in got} == {5} and len(got) >= 30
+
+
+def test_counts_are_observed_while_rows_pass(spark, topic):
+    lines = progress.observed(read_topic(spark, one_by_one(topic)), "lines", all=F.lit(True), with_b=F.col("value").contains("b"))
+    with progress.ProgressRecorder.on(spark, every=1) as recorder:
+        query = sinks.start(lines, sinks.Sink("noop"), available_now=True)
+        query.awaitTermination()
+        found = [(r.observed["lines.all"], r.observed["lines.with_b"]) for r in
+                 progress.progress_table(recorder, query).filter("input_rows > 0").orderBy("batch_id").collect()]
+    assert sorted(found) == [(1, 0), (1, 1), (2, 1)]
