@@ -196,6 +196,18 @@ def resource_series(spark, sf):
     return logs.parse_series(numbered, ["user_id", "time_s"])
 
 
+@query("""SELECT user_id % 20 AS series, (row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id)) * CAST(0.5 AS DOUBLE) AS time_s,
+             value AS reading FROM events""")
+def resource_series_files(spark, sf):
+    """A file of readings per series, numbered by the splits of the files."""
+    path = fresh_path(spark, "series")
+    lines = table(spark, sf, "events").select((F.col("user_id") % 20).alias("series"), "event_id", F.concat("value", F.lit(" us")).alias("value"))
+    in_order = lines.repartition("series").sortWithinPartitions("series", "event_id").drop("event_id")
+    in_order.write.partitionBy("series").text(path)
+    found = reports.resource_series(spark, path)
+    return found.select(F.regexp_extract("file", r"series=(\d+)", 1).cast("long").alias("series"), "time_s", "reading")
+
+
 @query(f"""WITH {FACTS} SELECT prod_id, msg_id, topic_id, CAST(consumer_id AS VARCHAR) AS consumer_id, produced_ts,
                   consumed_ts, latency_s FROM lat""")
 def log_latency(spark, sf):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from streamjobs.catalog.registry import K, plain, prop_k, query, stream, table
 from streamjobs.functions.envelope import schema_envelope
 from streamjobs.functions.parsing import extract_json
+from streamjobs.operators.aggregates import merged_counts, windowed_sketches
 from streamjobs.plans import vessel_traffic as vessels
-from streamjobs.session import fresh_path
+from streamjobs.session import fresh_path, written
 from streamjobs.streaming.runs import arrivals, collect_append, collect_complete, collect_update
 from streamjobs.streaming.sinks import enveloped, file_sink, start, start_foreach_batch
 
@@ -86,6 +87,25 @@ def traffic_tumbling_approx_stream(spark, sf):
     return _approximate(collect_complete(running), spark, sf)
 
 
+@query(f"""WITH v AS (SELECT ts, upper(event_type) AS destination, user_id FROM events WHERE {K} % 3 + 3 = 5),
+    h AS (SELECT 'hour' AS level, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, * FROM v
+          UNION ALL SELECT 'day', time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01'), * FROM v)
+  SELECT level, window_start, destination, count(DISTINCT user_id) AS n_ships FROM h GROUP BY ALL
+  UNION ALL SELECT 'day, all destinations', window_start, NULL, count(DISTINCT user_id) FROM h WHERE level = 'day' GROUP BY ALL""")
+def traffic_merged(spark, sf):
+    """Ships per hour, per day, and per day over all destinations, from sketches per minute that were stored once."""
+    voyages = _voyages(table(spark, sf, "events"))
+    stored = written(windowed_sketches(voyages, "timestamp", "1 minute", ["destination"], "mmsi"), "sketches")
+
+    def level(name, size, by):
+        counts = merged_counts(stored, size, by)
+        destination = F.col("destination") if by else F.lit(None).cast("string").alias("destination")
+        return counts.select(F.lit(name).alias("level"), "window_start", destination, F.col("n_items").alias("n_ships"))
+
+    return plain(level("hour", "1 hour", ["destination"]).unionByName(level("day", "1 day", ["destination"]))
+                 .unionByName(level("day, all destinations", "1 day", [])))
+
+
 def _running_ids(spark, sf):
     """The stream's ships as files, from which a second stream counts."""
     path = fresh_path(spark, "ships")

@@ -61,6 +61,24 @@ def windowed_distinct_approx(df: DataFrame, ts: str | Column, size: str, by: Seq
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by, "n_items")
 
 
+def windowed_sketches(df: DataFrame, ts: str, size: str, by: Sequence[str], item: str, bits: int = 14) -> DataFrame:
+    """Tumbling windows: a mergeable sketch of the distinct items of each group, of at most ``2^bits`` bytes and a few.
+
+    Stored once, it answers for longer windows and for fewer columns (``merged_counts``) without
+    the rows. With 14 bits, up to some 1 500 items are counted all but exactly; beyond, the
+    standard error is 1.04 / 2^(bits / 2), 0.8 %.
+    """
+    return with_window(df.filter(F.col(item).isNotNull()), ts, size).groupBy("window_start", "window_end", *by).agg(
+        F.hll_sketch_agg(item, F.lit(bits)).alias("sketch"))
+
+
+def merged_counts(sketches: DataFrame, size: str, by: Sequence[str]) -> DataFrame:
+    """Number of distinct items per longer window and group, from the sketches of shorter windows inside it."""
+    longer = with_window(sketches.select(F.col("window_start").alias("_start"), *by, "sketch"), "_start", size)
+    merged = longer.groupBy("window_start", "window_end", *by).agg(F.hll_union_agg("sketch").alias("_merged"))
+    return merged.select("window_start", "window_end", *by, F.hll_sketch_estimate("_merged").alias("n_items"))
+
+
 def running_items(df: DataFrame, ts: str, size: str, by: Sequence[str], item: str, late: str | None = None) -> DataFrame:
     """The rows of ``windowed_items`` on a stream, each sent on when its item is first met.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamjobs.operators.ordered import previous_values, row_numbers
+from streamjobs.operators.ordered import numbers_by_split, previous_values, row_numbers
 
 # Fixed value: seconds between two samples of a port's counters.
 SAMPLE_SECONDS = 5
@@ -15,8 +15,14 @@ SAMPLE_SECONDS = 5
 
 def sample_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: float = SAMPLE_SECONDS,
                    start: int = 0) -> DataFrame:
-    """Add ``sample``, the ordinal within the series, and ``time_s``, its time from the start."""
-    numbered = row_numbers(df, keys, order, "sample", start)
+    """Add ``sample``, the ordinal within the series, and ``time_s``, its time from the start.
+
+    Rows of files that are ordered by their ``line_key`` are numbered by their splits, without a sort of all rows.
+    """
+    if list(order) == ["line_key"]:
+        numbered = numbers_by_split(df, keys, "sample", start=start)
+    else:
+        numbered = row_numbers(df, keys, order, "sample", start)
     return numbered.withColumn("time_s", F.col("sample") * F.lit(float(seconds)))
 
 

@@ -75,6 +75,27 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return numbered.select(*df.columns, number.cast("long").alias(name))
 
 
+def numbers_by_split(df: DataFrame, keys: Sequence[str], name: str, line_key: str = "line_key", start: int = 0) -> DataFrame:
+    """Position of each row within its key, for rows of files that carry ``line_key`` (start of the split, row in the task).
+
+    A row's number is its place among the key's rows of the same split, plus the rows of the
+    key's splits before it, which come from a count per split. Splits are bounded, so no task
+    gets more than one split's rows of a key; nothing is sorted as a whole, and nothing is
+    written. A key's rows have to be those of one file (or ``keys`` has to name the file).
+    """
+    block, order = F.col(f"{line_key}.block"), F.col(f"{line_key}.row")
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    local = df.withColumn("_block", block).withColumn("_rn", F.row_number().over(inside))
+    counts = df.select(*[F.col(k).alias(f"_of_{k}") for k in keys], block.alias("_at")).groupBy(*[f"_of_{k}" for k in keys], "_at").agg(
+        F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*[f"_of_{k}" for k in keys]).orderBy("_at")
+    offsets = counts.withColumn("_offset", F.sum("_rows").over(before) - F.col("_rows"))
+    on = local["_block"] == offsets["_at"]
+    for k in keys:
+        on = on & local[k].eqNullSafe(offsets[f"_of_{k}"])
+    return local.join(offsets, on).select(*df.columns, (F.col("_offset") + F.col("_rn") - 1 + start).cast("long").alias(name))
+
+
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
                     n_parts: int | None = None) -> DataFrame:
     """The value of the row before within the key; null on a key's first row."""
