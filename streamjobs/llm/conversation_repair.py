@@ -450,3 +450,69 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 digest.update(spoken.encode("utf-8", "surrogatepass"))
                 begun = True
         yield conv, *sums, "".join(audits), digest.hexdigest()
+
+
+def _repair_sql() -> str:
+    """The same in SQL: the best (cost, edits, text) of every conversation and role, row by row."""
+    def way(state: str, cost: str, edits: str, *lines: str) -> str:
+        said = "".join(f" || chr(10) || {line}" for line in lines)
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edits}', 't': {state}.t{said}}} END"
+
+    def when(condition: str, text: str) -> str:
+        return f"CASE WHEN {condition} THEN {text} END"
+
+    def best(*ways: str) -> str:
+        return f"list_sort([x FOR x IN [{', '.join(ways)}] IF x IS NOT NULL])[1]"
+
+    own, new = "role || ':' || text", {USER: "'user:'", ASSISTANT: "'assistant:'"}
+
+    def into(target: int) -> str:
+        """All ways to end at user or assistant: directly from the roles before it, after an inserted row from the others."""
+        letter, other = ("u", ASSISTANT) if target == USER else ("a", USER)
+        before = {USER: (NONE, SYSTEM, ASSISTANT), ASSISTANT: (USER,)}[target]
+        ways, kept, named = [way(f"s{target}", "3", "D")], f"NOT gone AND initial = '{letter}'", f"{new[target]} || text"
+        for s in _STATES:
+            if s in before:
+                ways += [when(kept, way(f"s{s}", "late", "K", own)), when("NOT gone", way(f"s{s}", "2 + late", "R", named))]
+            else:
+                ways += [when(kept, way(f"s{s}", "2 + late", "IK", new[other], own)),
+                         when("NOT gone", way(f"s{s}", "4 + late", "IR", new[other], named))]
+        return best(*ways)
+
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+    system = best(way("s1", "3", "D"), when("NOT gone AND initial = 's'", way("s0", "late", "K", own)))
+    ends = best("s0", way("s1", "4", "II", new[USER], new[ASSISTANT]), way("s2", "2", "I", new[ASSISTANT]), "s3")
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+              lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+h AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'),
+            lambda x: CAST('0x' || x AS BIGINT))), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) % 20 AS how
+      FROM conversations, tab),
+d AS (SELECT g, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+        CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+        row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS seen,
+        regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+        lead(substr(role, 1, 1)) OVER (PARTITION BY g ORDER BY i) AS following FROM n),
+r AS (SELECT g, i, role, text, initial, blank OR seen AS gone, CAST(NOT blank AND NOT seen AND cut AS BIGINT) AS late FROM f),
+dp AS (SELECT g, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3
+       FROM (SELECT DISTINCT g FROM h)
+       UNION ALL
+       SELECT dp.g, r.i, {way("s0", "3", "D")}, {system}, {into(USER)}, {into(ASSISTANT)}
+       FROM dp JOIN r ON r.g = dp.g AND r.i = dp.i + 1),
+done AS (SELECT g, {ends} AS e FROM dp WHERE i = (SELECT coalesce(max(r.i), 0) FROM r WHERE r.g = dp.g)),
+c AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (NOT blank AND seen) AS duplicate, count(*) FILTER (NOT blank AND NOT seen AND cut) AS truncated,
+        count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.c AS cost, e.a AS audit, sha256(substr(e.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM h) JOIN done USING (g) LEFT JOIN c USING (g)"""
+
+
+REPAIR_SQL = _repair_sql()

@@ -113,6 +113,6 @@ def op12_quality_rules(spark, sf_dir):
     return quality_ledger.quality_report(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(conversation_repair.REPAIR_SQL)
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_report(read(spark, sf_dir, "conversations"))

@@ -62,6 +62,43 @@ def test_top_k_of_few_and_large_numbers(spark):
     assert metric_tree.top_inner_products(vectors(spark, [(0, [1.0])])).count() == 0
 
 
+def test_queries_at_one_home_go_to_many_tasks(spark, monkeypatch):
+    """All vectors lie close together, so that nearly all queries share a home; a slice has some seven of them."""
+    random = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in 5 + random.normal(size=5) * 0.3]) for i in range(4000)] + [(4000 + i, [-50.0 * i] * 5) for i in range(3)]
+    monkeypatch.setattr(metric_tree, "QUERIES", 7)
+    monkeypatch.setattr(metric_tree, "FANOUT", 2)
+    searched, seen = metric_tree._searched, []
+
+    def watched(points, visits, *rest):
+        most = visits.groupBy("ball", "piece").count().agg(F.max("count")).first()[0]
+        found = searched(points, visits, *rest)
+        seen.append((most, sum(n > 0 for n in found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())))
+        return found
+
+    monkeypatch.setattr(metric_tree, "_searched", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in metric_tree.top_inner_products(vectors(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute_top(rows)
+    assert seen[0][0] > 100 and seen[0][1] > 12
+
+
+def test_the_tree_grows_with_the_table(spark, monkeypatch):
+    """Entries of many vectors get inner routing objects; copies of one vector are dealt into pieces."""
+    monkeypatch.setattr(metric_tree, "SUBTREE", 32)
+    made, init = [], metric_tree.Balls.__init__
+    monkeypatch.setattr(metric_tree.Balls, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    rows = vector_rows(900)
+    got = {tuple(r) for r in metric_tree.top_inner_products(vectors(spark, rows)).collect()}
+    assert got == brute_top(rows)
+    assert len(made[-1].routing) > len(made[-1].root) and made[-1].pieces.max() > 4
+
+
 def test_pages_prune():
     """With well separated groups, a search looks at few pages."""
     random = np.random.default_rng(1)
