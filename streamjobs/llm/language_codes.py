@@ -22,6 +22,8 @@ from streamjobs.session import written
 
 #: At most about so many labelled texts of each language are used to fit; all rows are predicted.
 SAMPLE = 400
+#: Values of lang that are learned, and documents in the sample, at most about so many in all.
+VALUES, DOCUMENTS = 100, 8000
 DIMENSIONS = 1 << 12
 #: Besides a whole sample text, so many runs of its words are training texts, of so many words.
 RUNS, RUN = 2, 12
@@ -121,17 +123,23 @@ def _training_texts(text: str) -> list[str]:
     return [text, *(" ".join(words[i:i + RUN]) for i in range(0, step * RUNS, step) if words[i:i + RUN])]
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+def fit(docs: DataFrame, sample: int = SAMPLE, values: int = VALUES) -> LanguageModel:
     """Fit on about ``sample`` documents of each language, drawn by the hash of doc_id.
 
+    At most ``values`` values of ``lang`` are learned, the most frequent ones (ties by name), and
+    about ``DOCUMENTS`` documents in all: with more than 20 languages each gets fewer, so that a
+    column full of odd values does not fill the driver.
+
     Held-out documents, null languages and texts without letters are left out. The sample's
     vectors are made by the tasks, ``RUNS`` + 1 per document, and are all that comes to the driver:
-    about 10 MB for each language.
+    about 10 MB for each language, 200 MB at most.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    sampled = known.join(counts, "lang").filter(drawn(F.col("doc_id"), F.col("n"), sample))
+    learned = counts.orderBy(F.desc("n"), "lang").limit(values)
+    each = min(sample, max(1, DOCUMENTS // max(1, min(counts.count(), values))))
+    sampled = known.join(learned, "lang").filter(drawn(F.col("doc_id"), F.col("n"), each))
 
     @F.pandas_udf("array<binary>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -192,6 +192,34 @@ def test_blocks_hold_every_fingerprint_within_the_radius():
         assert own & set(simhash_windows.near_blocks(one).tolist())
 
 
+def test_every_link_of_given_documents_is_found(spark):
+    """All pairs of the given documents that share a shingle, from an inverted index: recall of links and of components is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text, 2) for r in docs.select("doc_id", "text").collect()}
+    holders = {}
+    for doc_id, held in sets.items():
+        for shingle in held:
+            holders.setdefault(shingle, []).append(doc_id)
+    # A pair at 0.8 shares one of the rarest shingles of the smaller set, as many as it may lack and one more.
+    parent, links = {d: d for d in sets}, []
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for doc_id, held in sets.items():
+        rare = sorted(held, key=lambda s: (len(holders[s]), s))[:len(held) - -(-4 * len(held) // 5) + 1]
+        for other in {o for s in rare for o in holders[s]} - {doc_id}:
+            both = len(held & sets[other])
+            if 100 * both >= 80 * (len(held) + len(sets[other]) - both):
+                links.append((doc_id, other))
+                p, q = root(doc_id), root(other)
+                parent[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.component_id for r in fast_sketch.near_duplicates(docs, 2, 80).collect()}
+    assert got == {d: root(d) for d in sets} and len(links) > 200
+
+
 def test_items_with_one_preamble(spark):
     """Two hundred items of one length begin alike: what many items share is the last to bring a pair together."""
     preamble = prose(6000, 20)

@@ -99,6 +99,15 @@ def test_the_tree_grows_with_the_table(spark, monkeypatch):
     assert len(made[-1].routing) > len(made[-1].root) and made[-1].pieces.max() > 4
 
 
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    rows = [(i * 100 + k, prose(i * 100 + k, 30), f"l{i:02d}") for i in range(12) for k in range(12 - i)]
+    docs = table(spark, rows)
+    seen = Counter(lang for doc_id, _, lang in rows if zlib.crc32(str(doc_id).encode()) % 3 != 1)
+    assert language_codes.fit(docs, values=5).languages == sorted(sorted(seen, key=lambda lang: (-seen[lang], lang))[:5])
+    monkeypatch.setattr(language_codes, "DOCUMENTS", 6)
+    assert len(language_codes.fit(docs, values=3).languages) <= 3
+
+
 def test_pages_prune():
     """With well separated groups, a search looks at few pages."""
     random = np.random.default_rng(1)
