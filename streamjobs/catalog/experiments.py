@@ -10,8 +10,9 @@ from streamjobs.functions.rules import config_violations
 from streamjobs.functions.scalar import after_last, option_code, option_name, rescale_knob, topic_colour
 from streamjobs.operators import experiments as exp
 from streamjobs.operators import sets, statistics
+from streamjobs.operators.ordered import row_numbers
 from streamjobs.plans import runs
-from streamjobs.session import fresh_path
+from streamjobs.session import fresh_path, written
 from streamjobs.sources.files import explode_catalogue, read_box_settings, read_experiments
 from streamjobs.streaming.sinks import append_result, write_csv
 
@@ -313,6 +314,17 @@ def experiment_audit(spark, sf):
     return sets.union_by_name([t.select(F.lit(k).alias("kind"), "run_index") for k, t in tables.items()])
 
 
+@query("""SELECT c_custkey AS run_index, row_number() OVER (ORDER BY c_custkey) AS place FROM customer
+          WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def missing_runs_ordered(spark, sf):
+    """Runs without a result by index, each with its place in the written output."""
+    results = _done(spark, sf).groupBy("run_index").agg(F.count(F.lit(1)).alias("n"))
+    missing = runs.audit(_schedule(spark, sf), results)["missing"].select("run_index")
+    # Sorted output comes in range partitions, so the id rises with the order.
+    out = written(missing.withColumn("_at", F.monotonically_increasing_id()), "missing")
+    return row_numbers(out, [], ["_at"], "place", 1).drop("_at")
+
+
 @query("""SELECT p_partkey, CAST(1 AS BIGINT) AS in_range FROM part""")
 def knob_schedule(spark, sf):
     """Settings per part, with one knob per line status and its range from the items; all lie in the range."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from streamjobs.catalog.registry import K, plain, prop_k, query, stream, table
@@ -172,6 +174,17 @@ def traffic_envelope_stream(spark, sf):
     return spark.read.schema("value string").text(f"{path}/*")
 
 
+@query(_VOYAGES + """ SELECT destination, shiptype, count(DISTINCT mmsi) AS "numberOfShips", true AS one_minute, true AS now FROM v GROUP BY ALL""")
+def traffic_on_arrival_stream(spark, sf):
+    """One-minute windows on the time of arrival: a stream's ships, whether all windows last a minute and are those of the run."""
+    begun = datetime.now(timezone.utc)
+    ids = collect_append(vessels.running_ship_ids(vessels.voyage_reports(reports(stream(spark, sf, "events"))), "1 minute"))
+    minute = F.unix_seconds("window_end") - F.unix_seconds("window_start") == 60
+    now = (F.col("window_end") > F.lit(begun)) & (F.col("window_start") <= F.current_timestamp())
+    return ids.groupBy("destination", "shiptype").agg(F.countDistinct("mmsi").alias("numberOfShips"),
+                                                      F.every(minute).alias("one_minute"), F.every(now).alias("now"))
+
+
 @query(_VOYAGES + """ SELECT destination, shiptype, count(DISTINCT mmsi) AS "numberOfShips" FROM v GROUP BY ALL""")
 def traffic_on_arrival(spark, sf):
     """Windows on the time of arrival, so long that all reports arrive in one."""

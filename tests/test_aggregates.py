@@ -110,6 +110,19 @@ def test_delivery_of_ids_of_every_form(spark):
     assert delivery.delivery_words(prod.limit(0), cons, cons).count() == 0 and delivery.inconsistent(words).count() == 0
 
 
+def test_sketches_merge(spark):
+    """Hours and all groups from the sketches of minutes; few items exactly, many within four standard errors."""
+    few = [(t, g, f"{g}{t % 97}") for g in "ab" for t in range(0, 7200, 9)]
+    many = spark.range(40_000).select((F.col("id") % 3600).alias("t"), F.lit("m").alias("g"), (F.col("id") % 30_000).cast("string").alias("i"))
+    df = spark.createDataFrame(few, "t long, g string, i string").union(many).withColumn("ts", F.timestamp_seconds("t"))
+    sketches = aggregates.windowed_sketches(df, "ts", "1 minute", ["g"], "i")
+    hours = {(r["window_start"].hour, r["g"]): r["n_items"] for r in aggregates.merged_counts(sketches, "1 hour", ["g"]).collect()}
+    assert {k: v for k, v in hours.items() if k[1] != "m"} == {
+        (h, g): len({i for t, k, i in few if k == g and t // 3600 == h}) for g in "ab" for h in (0, 1)}
+    assert abs(hours[0, "m"] / 30_000 - 1) < 4 * 1.04 / 2 ** 7
+    assert {r["n_items"] for r in aggregates.merged_counts(sketches.filter("g <> 'm'"), "1 day", []).collect()} == {194}
+
+
 def test_message_lookup_takes_the_first(spark):
     prod = spark.createDataFrame([("01", "000001", "5", 2.0), ("01", "000001", "4", 1.0)],
                                  "prod_id string, msg_id string, topic_id string, s double").select(

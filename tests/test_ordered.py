@@ -135,6 +135,24 @@ def test_box_stats(spark):
     assert (b["q1"], b["q3"], b["n_outliers"]) == (7.0, 7.0, 0)
 
 
+def test_numbers_by_split(spark, tmp_path):
+    """Lines of split files, of which some are dropped, are numbered in the order of the file."""
+    from streamjobs.sources import logs
+
+    for f in (1, 2):
+        (tmp_path / f"s{f}.log").write_text("".join(f"{i} {'x' * (i % 70)}\n" for i in range(2000 * f)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "15000")
+    try:
+        lines = logs.read_lines(spark, str(tmp_path)).withColumn("i", F.split("value", " ")[0].cast("long")).filter("i % 3 <> 1")
+        numbered = ordered.numbers_by_split(lines, ["file"], "n", start=1)
+        assert "rangepartitioning" not in numbered._jdf.queryExecution().toString()
+        got = {(r["file"][-6:-4], r["i"]): r["n"] for r in numbered.collect()}
+        assert lines.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(f"s{f}", i): n for f in (1, 2) for n, i in enumerate((i for i in range(2000 * f) if i % 3 != 1), 1)}
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([(None, v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 100.0, 100.0, None, float("nan"))], "s string, v double")
     assert rows(statistics.outliers(df, "v", ["s"])) == []
