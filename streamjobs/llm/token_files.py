@@ -169,9 +169,10 @@ class _Letters(dict):
     #: Letters asked for at the start: Latin ones, which stay as they are in any word of them.
     COMMON = [*map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), *map(chr, range(0xC0, 0x180))]
 
-    def __init__(self, tokenizer, words: _Words):
+    def __init__(self, tokenizer, words: _Words, common: str | None = None):
         self.tokenizer, self.words = tokenizer, words
-        self.common = re.compile("[" + "".join(c for c in self.COMMON if self[c]) + "]+").fullmatch
+        self.plain = "".join(c for c in self.COMMON if self[c]) if common is None else common
+        self.common = re.compile(f"[{self.plain}]+" if self.plain else "(?!)").fullmatch
 
     def __missing__(self, letter: str) -> bool:
         value = self[letter] = letter.isalpha() and not _ODD.search(letter) and all(
@@ -193,10 +194,10 @@ class _Pieces(dict):
 
     LIMIT = 350_000
 
-    def __init__(self, tokenizer, width: int, plain: bool):
+    def __init__(self, tokenizer, width: int, plain: bool, common: str | None = None):
         self.tokenizer, self.kind, self.plain = tokenizer, {2: "H", 4: "I"}[width], plain
         self.words = _Words(tokenizer, self.kind)
-        self.letters = _Letters(tokenizer, self.words)
+        self.letters = _Letters(tokenizer, self.words, common)
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_TAIL)
@@ -253,13 +254,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     width = 2 if max(loaded.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
     plain = is_plain(definition)
     folder = qualified(docs.sparkSession, folder)
+    common = _Pieces(loaded, width, plain).letters.plain  # asked for once, not by every task
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # as large as the vocabulary
 
     def run(batches):
         store, root = _folder(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        pieces = _Pieces(Tokenizer.from_str(shared.value), width, plain)
+        pieces = _Pieces(Tokenizer.from_str(shared.value), width, plain, common)
         last = np.array([end_id], f"<u{width}").tobytes()
         name, path = f"{root}/.{uuid.uuid4().hex}", f"{root}/part-{part:06d}.tok"
         doc_ids, ends, total, out = [], [], 0, None
