@@ -162,8 +162,8 @@ def _touched_cells(regions: DataFrame, level: Column, xs: Column, ys: Column) ->
 def region_cells(regions: DataFrame) -> DataFrame:
     """Regions as cells of two sizes that go with their own: ``_level, _cx, _cy, ordinal, name, coord, inside``.
 
-    The wider cells are at most a quarter of the region's longer side, so at most 36 touch
-    it; those on its edge are listed as the narrower cells in them, 16 to a side. A region has
+    The wider cells are between a 64th and a quarter of the region's longer side, so at most
+    66 x 66 touch it; those on its edge are listed as the narrower cells in them, 16 to a side. A region has
     a bounded number of cells, whatever its size and that of the others. Regions without an
     extent contain no point and have none.
     """

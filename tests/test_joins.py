@@ -101,7 +101,7 @@ def test_regions_of_very_different_sizes(spark):
     assert got == want and len(set(got.values())) > 40
     cells = region_cells(regions)
     sizes = {r["ordinal"]: r["count"] for r in cells.groupBy("ordinal").count().collect()}
-    assert max(sizes.values()) < 36 * 256 and sizes[order[150]] < 10 * max(sizes[o] for o in order[:150])
+    assert max(sizes.values()) < 66 * 66 * 256 and sizes[order[150]] < 10 * max(sizes[o] for o in order[:150])
     assert cells.filter("inside").count() > 0 and cells.select("_level").distinct().count() >= 4
 
 
