@@ -61,9 +61,14 @@ def random_topic(df: DataFrame, key: str, n_topics: int, seed: int) -> DataFrame
 
 def packet_flows(flows: DataFrame, seed: int, node: str = "node_id", instance: str = "instance_id",
                  flow: str = "flow_id") -> DataFrame:
-    """0..200 packets for each flow, as columns and as the CSV message ``value``."""
+    """0..200 packets for each flow, as columns and as the CSV message ``value``.
+
+    A flow of a few bytes makes up to 300 kB, so the flows are dealt to tasks by key and by a
+    fixed number: one file of flows is one task's input, and small parts would be joined again.
+    """
     who = [F.col(node), F.col(instance), F.col(flow)]
-    counted = flows.withColumn("_n", hash_int(0, MAX_PACKETS, f"{seed}n", *who))
+    n_parts = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = flows.repartition(n_parts, *who).withColumn("_n", hash_int(0, MAX_PACKETS, f"{seed}n", *who))
     packets = counted.filter("_n > 0").withColumn("pkt_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     keys = [*who, F.col("pkt_id")]
     port = F.get(F.lit(TARGET_PORTS), hash_int(0, len(TARGET_PORTS) - 1, f"{seed}d", *keys).cast("int"))

@@ -1,9 +1,11 @@
 import random
+from hashlib import sha256
 
 import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
+from streamjobs.functions.randoms import hash_text
 from streamjobs.functions.scalar import format_log_time
 from streamjobs.operators import tree_training
 from streamjobs.operators.ml import fit_state_models, test_r2 as r2_table
@@ -173,6 +175,22 @@ def test_generators(spark):
     assert starts[0]["start_s"] == 0 and all(b["start_s"] == a["start_s"] + a["gap_s"] for a, b in zip(starts, starts[1:]))
 
 
+def test_packets_of_one_file_of_flows_are_made_by_many_tasks(spark):
+    flows = spark.range(64).select((F.col("id") % 5).alias("node_id"), F.lit(1).alias("instance_id"), F.col("id").alias("flow_id"))
+    packets = generators.packet_flows(flows.coalesce(1), 5)
+    per_task = packets.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(per_task) > 4 and max(r["n"] for r in per_task) < sum(r["n"] for r in per_task) / 2
+    letters = generators.ALPHABET
+    for r in packets.filter("pkt_id <= 3").collect():
+        text = ""
+        for block in range((r["payload_length"] - 1) // 12 + 1):
+            digest = sha256(f"5p|{r['node_id']}|1|{r['flow_id']}|{r['pkt_id']}|{block}".encode()).hexdigest()
+            text += "".join(letters[int(digest[i * 5:i * 5 + 5], 16) * len(letters) >> 20] for i in range(12))
+        assert r["payload"] == text[:r["payload_length"]] and r["value"].endswith(f",{r['payload_length']},{r['payload']}")
+    lengths = spark.createDataFrame([(None,), (-1,), (0,), (1,), (13,)], "n int")
+    assert [len(r[0]) for r in lengths.select(hash_text(F.col("n"), "äb", 1, F.col("n"))).collect()] == [0, 0, 0, 1, 13]
+
+
 def test_rides(spark):
     fare = lines(spark, "1,5,6,2020-01-01 00:00:00,CSH,2.5,0,10", "2,5,6,2020-01-01 00:00:00,CSH,x,0,10")
     ride = lines(spark, "1,END,2020-01-01 01:59:59,2020-01-01 00:00:00,-73.9,40.7,-73.9,40.7,1,5,6",
