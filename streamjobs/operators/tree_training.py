@@ -9,6 +9,9 @@ of bins, where the features are few); the number of folds, repetitions, targets
 and trees does not add any. What the driver holds and sends is the trees, whose size follows
 from the parameters and not from the rows.
 
+A table of up to ``CHUNK_ROWS`` rows is one chunk, and every fit is grown to its end by the one
+task that has it, all fits in one job. The steps are those of larger tables.
+
 Rows are kept in chunks of bounded size with their bins, written once to the shared folder.
 A chunk is listed once per group of fits, so that a small table still gives work to all
 tasks. After every few rounds the boosted predictions are written beside the chunks.
@@ -31,7 +34,10 @@ from pyspark.sql.types import StructType
 from streamjobs.functions.randoms import poisson_law
 from streamjobs.session import written
 
-CHUNK_ROWS = 5000
+#: Up to so many rows, some ten MB, are one chunk.
+CHUNK_ROWS = 250_000
+#: Rows of a chunk where there are several, and of a slice of scored rows.
+STEP_ROWS = 5000
 #: Trees of a forest whose histograms a task holds at a time.
 TREES_AT_A_TIME = 25
 #: Rounds after which boosted predictions are written.
@@ -82,14 +88,18 @@ class Fits:
         return folds[:, repeat] == fold if repeat < self.repeats else np.zeros(len(folds), bool)
 
 
+def below(values: np.ndarray, feature: np.ndarray, cut: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The next node of every row in every tree: heap order, right where the value exceeds the cut; a node without feature ends."""
+    by = np.take_along_axis(feature, node, 1)
+    right = values[np.arange(len(values)), np.maximum(by, 0)] > np.take_along_axis(cut, node, 1)
+    return np.where(by >= 0, 2 * node + 1 + right, node)
+
+
 def descend(values: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """Node of every row in every tree: heap order, right where the value exceeds the cut; a node without feature ends."""
+    """Node of every row in every tree after so many levels."""
     node = np.zeros((len(feature), len(values)), np.int64)
-    rows = np.arange(len(values))
     for _ in range(levels):
-        by = np.take_along_axis(feature, node, 1)
-        right = values[rows, np.maximum(by, 0)] > np.take_along_axis(cut, node, 1)
-        node = np.where(by >= 0, 2 * node + 1 + right, node)
+        node = below(values, feature, cut, node)
     return node
 
 
@@ -180,6 +190,28 @@ def bootstrap(keys: np.ndarray, fit: int, trees: range) -> np.ndarray:
     return np.searchsorted(_LAW, (x >> np.uint64(11)) / float(1 << 53), "right").astype(np.float64)
 
 
+def grown_whole(bins: np.ndarray, label: np.ndarray, keys: np.ndarray, fit: int, base: float, sizes: Sizes) -> tuple[Trees, Trees]:
+    """Boosting and forest of one fit, grown to the end from all its rows."""
+    boosting, forest = Trees(1, sizes.rounds, sizes.round_depth), Trees(1, sizes.trees, sizes.tree_depth, np.float32)
+
+    def grow(trees: Trees, some: slice, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+        node = np.zeros(weight.shape, np.int64)
+        for level in range(trees.depth):
+            trees.grow(0, some, level, best_cuts(*histograms(bins, node, level, weight, label, sizes.bins)))
+            node = below(bins, trees.feature[0, some], trees.cut[0, some], node)
+        return node
+
+    rest, once = label - base, np.ones((1, len(label)))
+    for done in range(sizes.rounds):
+        leaf = grow(boosting, slice(done, done + 1), once, rest)
+        rest = rest - sizes.rate * boosting.value[0, done][leaf[0]]
+    at_a_time = max(1, min(TREES_AT_A_TIME, TREES_AT_A_TIME * STEP_ROWS // max(1, len(label))))
+    for low in range(0, sizes.trees, at_a_time):
+        some = range(low, min(low + at_a_time, sizes.trees))
+        grow(forest, slice(some.start, some.stop), bootstrap(keys, fit, some), label)
+    return boosting, forest
+
+
 @dataclass
 class Chunk:
     """Rows of a task: bins, labels (row, target), folds (row, repetition), keys, and boosted predictions of its fits."""
@@ -226,7 +258,8 @@ class Training:
         self.kept = 0  # rounds whose predictions are in the chunks
 
     def _chunks(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-        thresholds = self.thresholds
+        thresholds, n_rows = self.thresholds, rows.count()
+        most = CHUNK_ROWS if n_rows <= CHUNK_ROWS else min(CHUNK_ROWS, STEP_ROWS)
         schema = pa.schema([("n", pa.int32()), *((c, pa.binary()) for c in ("bins", "labels", "folds", "keys", "boosted"))])
 
         def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -240,9 +273,9 @@ class Training:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
             for batch in batches:
-                for low in range(0, batch.num_rows, CHUNK_ROWS):
-                    piece = batch.slice(low, CHUNK_ROWS)
-                    if size and size + piece.num_rows > CHUNK_ROWS:
+                for low in range(0, batch.num_rows, most):
+                    piece = batch.slice(low, most)
+                    if size and size + piece.num_rows > most:
                         yield pack(held)
                         held, size = [], 0
                     held.append(piece)
@@ -250,7 +283,7 @@ class Training:
             if size:
                 yield pack(held)
 
-        n_parts = max(1, math.ceil(rows.count() / CHUNK_ROWS))
+        n_parts = 1 if n_rows <= CHUNK_ROWS else math.ceil(n_rows / most)
         return rows.repartition(n_parts, "key").mapInArrow(
             work, "n int, bins binary, labels binary, folds binary, keys binary, boosted binary")
 
@@ -283,6 +316,8 @@ class Training:
     def grow(self) -> None:
         """All steps of all fits."""
         self.means()
+        if self.n_chunks == 1:
+            return self._whole()
         depth = self.sizes.round_depth
         paired = depth > 1 and self.n_features * self.sizes.bins <= PAIRED_BINS
         levels = [level for level in range(depth) if not (paired and level == 1)]
@@ -293,6 +328,30 @@ class Training:
             if at == len(levels) - 1 and (done + 1) % ROUNDS_KEPT == 0 and done + 1 < self.sizes.rounds:
                 self._keep(done + 1)
 
+    def _whole(self) -> None:
+        """Grow every fit in the task that has it; the trees come to the driver by way of the shared folder."""
+        fits, sizes, n_features, groups = self.fits, self.sizes, self.n_features, self.groups
+        sent, columns = self.spark.sparkContext.broadcast(self.base), "fit int, trees array<binary>"
+        schema = _arrow(columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    chunk = Chunk.of(row, fits, n_features, groups)
+                    for fit in chunk.fits:
+                        seen = np.flatnonzero(~fits.held_out(fit, chunk.folds))
+                        both = grown_whole(chunk.bins[seen], chunk.labels[seen, fits.target(fit)], chunk.keys[seen], fit,
+                                           sent.value[fit], sizes)
+                        arrays = [a[0].tobytes() for trees in both for a in (trees.feature, trees.cut, trees.value)]
+                        yield pa.RecordBatch.from_pylist([{"fit": fit, "trees": arrays}], schema=schema)
+
+        dealt = self.work.repartitionByRange(groups, "group")  # a task per group: small files would be read together
+        for fit, blobs in written(dealt.mapInArrow(run, columns), "trees").toLocalIterator():
+            arrays = [a for trees in (self.boosting, self.forest) for a in (trees.feature, trees.cut, trees.value)]
+            for held, blob in zip(arrays, blobs, strict=True):
+                held[fit] = np.frombuffer(blob, held.dtype).reshape(held.shape[1:])
+        sent.destroy()
+
     def _recent(self, upto: int):
         """Boosted trees that are not yet in the chunks' predictions."""
         now = slice(self.kept, upto)
@@ -398,22 +457,24 @@ class Training:
                                                   (self.forest.feature, self.forest.cut, self.forest.value)))
 
         def tested(chunk: Chunk, _):
-            base, boosted, forest = sent.value
             for place, fit in enumerate(chunk.fits):
-                out = np.flatnonzero(fits.held_out(fit, chunk.folds))
-                if not len(out):
-                    continue
-                bins, label = chunk.bins[out], chunk.labels[out, fits.target(fit)]
-
-                def leaves(trees, depth: int) -> np.ndarray:
-                    feature, cut, value = (a[fit] for a in trees)
-                    return np.take_along_axis(value, descend(bins, feature, cut, depth), 1).astype(np.float64)
-
-                guesses = {BOOSTING: base[fit] + chunk.boosted[place][out] + sizes.rate * leaves(boosted, sizes.round_depth).sum(0),
-                           FOREST: leaves(forest, sizes.tree_depth).mean(0)}
-                for kind, guess in guesses.items():
-                    yield {"kind": kind, "fit": fit, "n": float(len(out)), "s": float(label.sum()), "ss": float((label * label).sum()),
-                           "error": float(((label - guess) ** 2).sum())}
+                held = np.flatnonzero(fits.held_out(fit, chunk.folds))
+                for low in range(0, len(held), STEP_ROWS):
+                    yield from scored(chunk, place, fit, held[low:low + STEP_ROWS])
+
+        def scored(chunk: Chunk, place: int, fit: int, out: np.ndarray):
+            base, boosted, forest = sent.value
+            bins, label = chunk.bins[out], chunk.labels[out, fits.target(fit)]
+
+            def leaves(trees, depth: int) -> np.ndarray:
+                feature, cut, value = (a[fit] for a in trees)
+                return np.take_along_axis(value, descend(bins, feature, cut, depth), 1).astype(np.float64)
+
+            guesses = {BOOSTING: base[fit] + chunk.boosted[place][out] + sizes.rate * leaves(boosted, sizes.round_depth).sum(0),
+                       FOREST: leaves(forest, sizes.tree_depth).mean(0)}
+            for kind, guess in guesses.items():
+                yield {"kind": kind, "fit": fit, "n": float(len(out)), "s": float(label.sum()), "ss": float((label * label).sum()),
+                       "error": float(((label - guess) ** 2).sum())}
 
         sums = [F.sum(c).alias(c) for c in ("n", "s", "ss", "error")]
         rows = self._each(tested, "kind string, fit int, n double, s double, ss double, error double").groupBy("kind", "fit").agg(*sums).collect()

@@ -296,3 +296,18 @@ def test_chunks_and_kept_rounds_do_not_change_the_trees(spark, tmp_path, monkeyp
     leaf = tree_training.descend(bins, one.forest.feature[6], one.forest.cut[6], 3)
     assert np.allclose(model.predict(values), np.take_along_axis(one.forest.value[6], leaf, 1).mean(0), atol=1e-6)
     assert np.allclose([r.prediction for r in loaded.transform(rows).orderBy("key").collect()], model.predict(values))
+
+
+def test_whole_tables_are_trained_in_as_many_jobs_whatever_the_rounds(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, float(a), [float(2 * a)], [i % 2]) for i, a in enumerate(rng.random(60))]
+    rows = spark.createDataFrame(data, "key long, a double, labels array<double>, folds array<int>")
+    context, jobs = spark.sparkContext, []
+    for rounds in (2, 30):
+        training = tree_training.Training(rows, ["a"], [np.linspace(0.1, 0.9, 7)], tree_training.Fits(1, 1, 2),
+                                          tree_training.Sizes(trees=3, tree_depth=3, rounds=rounds, round_depth=2, bins=8), 4)
+        context.setJobGroup(f"rounds-{rounds}", "training")
+        training.grow()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] and (training.boosting.feature[:, :, 0] == 0).all()
