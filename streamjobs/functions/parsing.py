@@ -14,6 +14,15 @@ def _split(text: Column, separator: str) -> Column:
     return F.split(text, re.escape(separator))
 
 
+def _cut(text: Column, separator: str) -> Column:
+    """The first two parts of ``_split`` by searching bytes from both ends: no pattern, and no copy of the other parts."""
+    before, last = F.substring_index(text, separator, 1), F.substring_index(text, separator, -1)
+    rest = F.octet_length(text) - F.octet_length(before)
+    after = F.substr(text, F.char_length(before) + len(separator) + 1)
+    only = rest == F.octet_length(last) + len(separator.encode())
+    return F.array(before, F.when(only, last).when(rest > 0, F.substring_index(after, separator, 1)))
+
+
 _MARK = "\u0001"
 
 
@@ -63,7 +72,7 @@ def split_tags(df: DataFrame, tags: Sequence[tuple[str, str]], col: str = "value
             return [F.get(parts, F.lit(0)).alias(body), (F.trim(content) if strip else content).alias(name)]
 
         kept = [c for c in peeled.columns if c != body]
-        peeled = unpack(peeled, _split(F.col(body), separator), pair, kept)
+        peeled = unpack(peeled, _cut(F.col(body), separator), pair, kept)
     return peeled.select(*others, body, *[name for _, name in tags])
 
 

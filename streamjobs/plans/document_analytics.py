@@ -65,9 +65,11 @@ def mean_terms(tagged: DataFrame, approx: bool = False) -> DataFrame:
 
     The first stage emits a word again whenever its count changes; the last
     value of each (topic, file, word) counts once. On a stream the repeated rows
-    carry the same frequency, so dropping duplicates does it.
+    carry the same frequency, so dropping duplicates does it. The frequency is a number
+    before that: as text it would have all words sorted, and not hashed.
     """
-    latest = parse_terms(tagged).dropDuplicates(["topic", "file", "word"])
+    found = parse_terms(tagged).withColumn("frequency", F.col("frequency").try_cast("double"))
+    latest = found.dropDuplicates(["topic", "file", "word"])
     return avg_distinct_terms(latest, approx=approx)
 
 

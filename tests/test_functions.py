@@ -164,3 +164,15 @@ def test_random_values_depend_on_the_key_only(spark):
     assert abs(mean - 120) < 1 and abs(sum((x - mean) ** 2 for x in p) / len(p) - 120) < 15
     assert all(len(r[5]) == 5 and set(r[5]) <= set("abc") for r in first)
     assert one(spark, randoms.hash_text(F.lit(0), "abc", 1)) == ""
+
+
+def test_tagged_words_are_cut_as_by_split_and_hashed(spark):
+    texts = ["", " File: ", "a File: b", " File: File: ", "a File: b File: c", "ä File: ö File: ü File: ", "aFile: ", None,
+             "x File:  File: y", " File: File: File: z", "€ File: \U0001f600 File: "]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    for r in df.select(parsing._cut(F.col("value"), " File: ").alias("cut"), parsing._split(F.col("value"), " File: ").alias("parts")).collect():
+        assert tuple(r["cut"]) == ((None, None) if r["parts"] is None else tuple([*r["parts"], None][:2]))
+    lines = spark.createDataFrame([(f"Topic: t File: {f}  Word: {w}  Frequency: 1",) for f, w in ("1a", "1a", "1b", "2a")], "value string")
+    mean = docs.mean_terms(lines)
+    assert [tuple(r) for r in mean.collect()] == [("t", 1.5)]
+    assert "SortAggregate" not in mean._jdf.queryExecution().executedPlan().toString()
