@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from streamjobs.functions.envelope import schema_envelope
-from streamjobs.session import fresh_path
+from streamjobs.session import fresh_path, written
 
 
 @dataclass(frozen=True)
@@ -83,13 +84,26 @@ def append_result(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file: int = 5_000_000) -> None:
-    """One folder per value of ``by``; a group of more than ``rows_per_file`` rows goes to as many tasks and files as that makes."""
-    files = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
-    same = reduce(and_, [df[c].eqNullSafe(files[f"_by_{c}"]) for c in by])
-    dealt = df.join(files, same).withColumn("_file", F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_files")))
-    dealt = dealt.repartition(*[df[c] for c in by], "_file").select(*[df[c] for c in df.columns])
-    dealt.write.partitionBy(*by).parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], rows_per_file: int = 1_000_000) -> None:
+    """One folder per value of ``by``; every task gets about ``rows_per_file`` rows, of one folder or of several small ones.
+
+    The folders lie one behind the other on a line with a place per row. A row goes to a place of
+    its folder by its hash, and each stretch of ``rows_per_file`` places is a task: no two large
+    files meet in one task, as they would if they were dealt by a hash. The rows are written once
+    before, so that they are not computed for the counts and again for the files.
+    """
+    df = written(df, "undealt")
+    counts = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy(*[f"_by_{c}" for c in by])  # a row per folder
+    folders = written(counts.withColumn("_end", F.sum("_rows").over(before)), "folders")
+    total = folders.agg(F.max("_end")).first()[0] or 0
+    n_tasks = max(1, math.ceil(total / rows_per_file))
+    same = reduce(and_, [df[c].eqNullSafe(folders[f"_by_{c}"]) for c in by])
+    share = F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.lit(1 << 20)) / (1 << 20)
+    place = F.col("_end") - F.col("_rows") + share * F.col("_rows")
+    task = F.floor(place * n_tasks / max(1, total)).cast("int")
+    dealt = df.join(F.broadcast(folders), same).withColumn("_task", task).repartitionById(n_tasks, "_task")
+    dealt.select(*[df[c] for c in df.columns]).write.partitionBy(*by).parquet(path)
 
 
 def single_file(df: DataFrame) -> DataFrame:

@@ -311,3 +311,17 @@ def test_whole_tables_are_trained_in_as_many_jobs_whatever_the_rounds(spark):
         jobs.append(len(context.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
         context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] and (training.boosting.feature[:, :, 0] == 0).all()
+
+
+def test_folders_of_many_rows_are_written_by_as_many_tasks(spark, tmp_path):
+    from collections import Counter
+
+    rows_of = [*[("a", i) for i in range(600)], *[("b", i) for i in range(590)], *[(f"s{k}", k) for k in range(5)], (None, 7), (None, 7)]
+    df = spark.createDataFrame(rows_of, "kind string, n int")
+    write_partitioned(df, str(tmp_path / "p"), ["kind"], rows_per_file=200)
+    back = spark.read.schema("n int, kind string").parquet(str(tmp_path / "p"))
+    assert Counter((r["kind"], r["n"]) for r in back.collect()) == Counter(rows_of)
+    per_task = back.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(per_task) == 6 and max(r["n"] for r in per_task) < 300
+    write_partitioned(df.limit(0), str(tmp_path / "e"), ["kind"])
+    assert spark.read.schema("n int, kind string").parquet(str(tmp_path / "e")).count() == 0
