@@ -136,28 +136,24 @@ _TAIL = ".,;:!?#$%&*|"
 _ODD = re.compile("[\u0130\u03a3]")
 
 
-def _byte_signs() -> dict[int, int]:
+def _byte_signs() -> list[str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for signs from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + k for k, b in enumerate(others)}
+    others = (chr(256 + k) for k in range(256))
+    return [chr(b) if b in printable else next(others) for b in range(256)]
 
 
-class _Words(dict):
-    """Ids of runs of letters, and of runs of signs, as the model merges them; each is encoded once while it is held."""
+class _Words:
+    """Ids of runs of letters as the model merges them."""
 
-    def __init__(self, tokenizer, kind: str):
-        self.model, self.kind, self.signs = tokenizer.model, kind, _byte_signs()
+    def __init__(self, tokenizer):
+        self.tokenize, self.sign = tokenizer.model.tokenize, _byte_signs().__getitem__
 
     def merged(self, word: str) -> list[int]:
         folded = word.lower()
         if not folded.isascii():
-            folded = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.signs)
-        return [t.id for t in self.model.tokenize(folded)]
-
-    def __missing__(self, word: str) -> bytes:
-        value = self[word] = array(self.kind, self.merged(word)).tobytes()
-        return value
+            folded = "".join(map(self.sign, unicodedata.normalize("NFC", word).lower().encode()))
+        return [t.id for t in self.tokenize(folded)]
 
 
 class _Letters(dict):
@@ -189,22 +185,23 @@ class _Pieces(dict):
     """Ids of pieces of text between white space, as bytes; each is encoded once while it is held.
 
     Letters with signs after them, if any, are merged by the library's model as the two words
-    they are; the library encodes all other pieces in full.
+    they are; the library encodes all other pieces in full. The letters and the signs are held
+    as the pieces that they are when alone, so that no word is held twice.
     """
 
-    LIMIT = 350_000
+    LIMIT = 500_000
 
     def __init__(self, tokenizer, width: int, plain: bool, common: str | None = None):
         self.tokenizer, self.kind, self.plain = tokenizer, {2: "H", 4: "I"}[width], plain
-        self.words = _Words(tokenizer, self.kind)
-        self.letters = _Letters(tokenizer, self.words, common)
+        words = _Words(tokenizer)
+        self.merged, self.letters = words.merged, _Letters(tokenizer, words, common)
+        self.common = self.letters.common
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_TAIL)
-        if self.plain and self.letters.all_in(word):
-            value = self.words[word]
-            if len(word) < len(piece):
-                value += self.words[piece[len(word):]]
+        if self.plain and (self.common(word) or self.letters.all_in(word)):
+            value = (self[word] + self[piece[len(word):]] if len(word) < len(piece)
+                     else array(self.kind, self.merged(word)).tobytes())
         else:
             value = array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = value
@@ -213,9 +210,9 @@ class _Pieces(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > self.LIMIT:
             self.clear()
-            self.words.clear()
         # str.split also takes these four for white space, the tokenizer does not
-        pieces = re.split("[ \t\n\x0b\x0c\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        pieces = re.split("[ \t\n\x0b\x0c\r]+", text) if odd else text.split()
         return b"".join(map(self.__getitem__, pieces))
 
 

@@ -218,6 +218,18 @@ def test_every_letter_is_encoded_as_by_the_library():
             assert np.frombuffer(pieces.encode(text), "<u2").tolist() == encoding.ids, list(map(hex, map(ord, text)))
 
 
+def test_words_and_signs_are_held_once():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    pieces = token_files._Pieces(tokenizer, 2, token_files.is_plain(open(WORDS).read()))
+    texts = ["ab, Öl.", "ab Öl ab, ,.", "\x1dab\x1fÖl, ab"]
+    for text in texts:
+        assert np.frombuffer(pieces.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"ab", "ab,", "Öl", "Öl.", ",", "."} <= set(pieces) and not any(
+        isinstance(held, dict) and "ab" in held for held in vars(pieces).values())
+
+
 def test_folders_are_qualified(spark, tmp_path):
     assert token_files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
 
