@@ -105,8 +105,8 @@ def fit_state_models(df: DataFrame, index: str, features: Sequence[str], targets
     """
     spark, size = df.sparkSession, Sizes(**sizes)
     parallelism = parallelism or spark.sparkContext.defaultParallelism
-    numbers = df.select(index, *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c)
-                                 for c in [*features, *targets]])
+    numbers = written(df.select(index, *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c)
+                                         for c in [*features, *targets]]), "runs")
     held = nonzero_columns(numbers, targets)
     train, test = split_by_key(numbers.select(index, *features, *held), train_share, seed, [index])
     train, test = min_max_scale(train, test, [*features, *held])

@@ -9,12 +9,16 @@ of bins, where the features are few); the number of folds, repetitions, targets
 and trees does not add any. What the driver holds and sends is the trees, whose size follows
 from the parameters and not from the rows.
 
-A table of up to ``CHUNK_ROWS`` rows is one chunk, and every fit is grown to its end by the one
-task that has it, all fits in one job. The steps are those of larger tables.
+Steps are for tables of many features. Rows with the same bins, a cell, go the same way in every
+tree, so a tree needs no more of them than their weight and the sum of their labels. A
+table of up to ``CHUNK_ROWS`` rows is one chunk, and every fit is summed by cell, grown to its end
+and scored by the one task that has it, all fits in one job. A larger table of up to ``CHUNK_ROWS / 8``
+cells is summed by cell in each chunk, once for every tree, and each tree is grown to its end by the task
+that gets its sums. Only larger tables of more cells need the steps.
 
 Rows are kept in chunks of bounded size with their bins, written once to the shared folder.
 A chunk is listed once per group of fits, so that a small table still gives work to all
-tasks. After every few rounds the boosted predictions are written beside the chunks.
+tasks. Between steps, after every few rounds, the boosted predictions are written beside the chunks.
 """
 
 from __future__ import annotations
@@ -34,10 +38,16 @@ from pyspark.sql.types import StructType
 from streamjobs.functions.randoms import poisson_law
 from streamjobs.session import written
 
-#: Up to so many rows, some ten MB, are one chunk.
-CHUNK_ROWS = 250_000
-#: Rows of a chunk where there are several, and of a slice of scored rows.
-STEP_ROWS = 5000
+#: Up to so many rows, some 60 MB, are one chunk.
+CHUNK_ROWS = 2_000_000
+#: Rows of a chunk where trees grow by steps.
+STEP_ROWS = 100_000
+#: Cells of a slice that all trees of a fit score at a time.
+SCORED_CELLS = 5000
+#: Rows for which a tree's draws are made at a time.
+DRAWN_ROWS = 100_000
+#: Trees of a forest whose sums by cell go to one task.
+TREES_OF_CELLS = 5
 #: Trees of a forest whose histograms a task holds at a time.
 TREES_AT_A_TIME = 25
 #: Rounds after which boosted predictions are written.
@@ -143,6 +153,14 @@ class Trees:
             children[...] = np.where(cutting, means, children)
 
 
+def distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ``bins``, its cells, and the cell of every row."""
+    first, place = np.zeros(min(1, len(bins)), np.int64), np.zeros(len(bins), np.int64)
+    for column in bins.T:
+        _, first, place = np.unique(place * 256 + column, return_index=True, return_inverse=True)
+    return bins[first], place
+
+
 def histograms(bins: np.ndarray, node: np.ndarray, level: int, weight: np.ndarray, label: np.ndarray, n_bins: int):
     """Weights and weighted labels by (tree, node of the level, feature, bin)."""
     n_nodes, n_features = 2 ** level, bins.shape[1]
@@ -181,35 +199,90 @@ def best_two_levels(pairs: np.ndarray, n_bins: int) -> tuple[np.ndarray, ...]:
 _LAW = np.array(poisson_law(1.0))
 
 
+def _draws(random: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_LAW, (random >> np.uint64(11)) / float(1 << 53), "right").astype(np.uint8)
+
+
+# The draw by the first 16 bits of a random number, or _OPEN where the other bits decide.
+_OPEN = 255
+_FIRST = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+_DRAW = np.where(_draws(_FIRST) == _draws(_FIRST | np.uint64((1 << 48) - 1)), _draws(_FIRST), _OPEN).astype(np.uint8)
+
+
 def bootstrap(keys: np.ndarray, fit: int, trees: range) -> np.ndarray:
     """How often each tree draws each row: Poisson numbers that depend on the row's key, the fit and the tree only."""
     seeds = np.array([fit * 1_000_003 + t for t in trees], np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
     x = keys.view(np.uint64)[None, :] ^ seeds
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return np.searchsorted(_LAW, (x >> np.uint64(11)) / float(1 << 53), "right").astype(np.float64)
-
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(factor)
+    drawn = _DRAW[(x >> np.uint64(48)).view(np.int64)]
+    rest = drawn == _OPEN
+    drawn[rest] = _draws(x[rest])
+    return drawn.astype(np.float64)
+
+
+def drawn_sums(place: np.ndarray, n_cells: int, label: np.ndarray, keys: np.ndarray, fit: int, trees: range) -> np.ndarray:
+    """Weights and weighted labels by (tree, cell)."""
+    out, weight = np.zeros((2, len(trees), n_cells)), np.zeros(len(place))
+    for k, tree in enumerate(trees):
+        for low in range(0, len(place), DRAWN_ROWS):
+            some = slice(low, low + DRAWN_ROWS)
+            weight[some] = bootstrap(keys[some], fit, range(tree, tree + 1))[0]
+        out[0, k] = np.bincount(place, weight, n_cells)
+        out[1, k] = np.bincount(place, weight * label, n_cells)
+    return out
+
+
+def grow_tree(trees: Trees, tree: int, cells: np.ndarray, weight: np.ndarray, total: np.ndarray, n_bins: int) -> np.ndarray:
+    """Grow a tree of the first fit from weights and weighted labels by cell; gives the node where each cell ends."""
+    ends, at = np.zeros(len(cells), np.int64), np.flatnonzero(weight > 0)
+    columns, w, s, node = np.ascontiguousarray(cells[at].T), weight[at], total[at], np.zeros(len(at), np.int64)
+    for level in range(trees.depth):
+        n_nodes, first = 2 ** level, node * n_bins
+        sums = np.zeros((2, 1, n_nodes, len(columns), n_bins))
+        for j, column in enumerate(columns):
+            key = first + column
+            for k, x in enumerate((w, s)):
+                sums[k, 0, :, j] = np.bincount(key, x, n_nodes * n_bins).reshape(n_nodes, n_bins)
+        cuts = best_cuts(*sums)
+        trees.grow(0, slice(tree, tree + 1), level, cuts)
+        by, cut = cuts[0][0][node], cuts[1][0][node]
+        right, goes = columns[np.maximum(by, 0), np.arange(len(at))] > cut, by >= 0
+        if not goes.all():
+            ends[at[~goes]] = n_nodes - 1 + node[~goes]
+            at, columns, w, s, node, right = at[goes], columns[:, goes], w[goes], s[goes], node[goes], right[goes]
+        node = 2 * node + right
+        if not len(at):
+            break
+    ends[at] = 2 ** trees.depth - 1 + node
+    return ends
+
+
+def grown_from_cells(kind: str, cells: np.ndarray, weight: np.ndarray, total: np.ndarray, sizes: Sizes) -> tuple[float, Trees]:
+    """Boosting, with the mean label from which it starts, or some trees of a forest, from sums by (tree, cell)."""
+    if kind == FOREST:
+        trees = Trees(1, len(weight), sizes.tree_depth, np.float32)
+        for tree in range(len(weight)):
+            grow_tree(trees, tree, cells, weight[tree], total[tree], sizes.bins)
+        return 0.0, trees
+    trees, n = Trees(1, sizes.rounds, sizes.round_depth), weight[0].sum()
+    base = float(total[0].sum() / n) if n else 0.0
+    rest = total[0] - base * weight[0]
+    for done in range(sizes.rounds):
+        ends = grow_tree(trees, done, cells, weight[0], rest, sizes.bins)
+        rest = rest - sizes.rate * trees.value[0, done][ends] * weight[0]
+    return base, trees
 
-def grown_whole(bins: np.ndarray, label: np.ndarray, keys: np.ndarray, fit: int, base: float, sizes: Sizes) -> tuple[Trees, Trees]:
-    """Boosting and forest of one fit, grown to the end from all its rows."""
-    boosting, forest = Trees(1, sizes.rounds, sizes.round_depth), Trees(1, sizes.trees, sizes.tree_depth, np.float32)
 
-    def grow(trees: Trees, some: slice, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
-        node = np.zeros(weight.shape, np.int64)
-        for level in range(trees.depth):
-            trees.grow(0, some, level, best_cuts(*histograms(bins, node, level, weight, label, sizes.bins)))
-            node = below(bins, trees.feature[0, some], trees.cut[0, some], node)
-        return node
-
-    rest, once = label - base, np.ones((1, len(label)))
-    for done in range(sizes.rounds):
-        leaf = grow(boosting, slice(done, done + 1), once, rest)
-        rest = rest - sizes.rate * boosting.value[0, done][leaf[0]]
-    at_a_time = max(1, min(TREES_AT_A_TIME, TREES_AT_A_TIME * STEP_ROWS // max(1, len(label))))
-    for low in range(0, sizes.trees, at_a_time):
-        some = range(low, min(low + at_a_time, sizes.trees))
-        grow(forest, slice(some.start, some.stop), bootstrap(keys, fit, some), label)
-    return boosting, forest
+def merged(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Cells, and weights and weighted labels by (tree, cell), of two parts of the rows together."""
+    cells, place = distinct(np.concatenate([one[0], other[0]]))
+    out = [np.zeros((len(one[1]), len(cells))) for _ in range(2)]
+    for part, at in ((one, place[:len(one[0])]), (other, place[len(one[0]):])):
+        for total, sums in zip(out, part[1:], strict=True):
+            total[:, at] += sums
+    return cells, *out
 
 
 @dataclass
@@ -221,17 +294,45 @@ class Chunk:
     labels: np.ndarray
     folds: np.ndarray
     keys: np.ndarray
-    boosted: np.ndarray
+    boosted: np.ndarray | None
 
     @classmethod
     def of(cls, row: dict, fits: Fits, n_features: int, groups: int) -> Chunk:
         n = row["n"]
         of_group = range(row["group"], len(fits), groups)
-        boosted = np.frombuffer(row["boosted"]).reshape(-1, n) if row["boosted"] else np.zeros((len(of_group), n))
+        boosted = np.frombuffer(row["boosted"]).reshape(-1, n) if row["boosted"] else None
         return cls(of_group, np.frombuffer(row["bins"], np.uint8).reshape(n, n_features),
                    np.frombuffer(row["labels"]).reshape(n, fits.targets), np.frombuffer(row["folds"], np.uint8).reshape(n, fits.repeats),
                    np.frombuffer(row["keys"], np.int64), boosted)
 
+    def boosted_so_far(self, place: int, rows: np.ndarray) -> np.ndarray | float:
+        """Kept predictions of the fit at a place of the group."""
+        return 0.0 if self.boosted is None else self.boosted[place][rows]
+
+    def errors(self, fits: Fits, place: int, base: float, boosting: tuple, forest: tuple, sizes: Sizes) -> Iterator[tuple[str, list[float]]]:
+        """Of both kinds, over the rows that a fit did not see: their number, sums of labels and of squares, and squared error."""
+        fit = self.fits[place]
+        out = np.flatnonzero(fits.held_out(fit, self.folds))
+        if not len(out):
+            return
+        label, (cells, cell) = self.labels[out, fits.target(fit)], distinct(self.bins[out])
+
+        def leaves(trees: tuple, depth: int) -> np.ndarray:
+            feature, cut, value = trees
+            slices = [cells[low:low + SCORED_CELLS] for low in range(0, len(cells), SCORED_CELLS)]
+            return np.concatenate([np.take_along_axis(value, descend(some, feature, cut, depth), 1).astype(np.float64).sum(0)
+                                   for some in slices])[cell]
+
+        guesses = {BOOSTING: base + self.boosted_so_far(place, out) + sizes.rate * leaves(boosting, sizes.round_depth),
+                   FOREST: leaves(forest, sizes.tree_depth) / sizes.trees}
+        for kind, guess in guesses.items():
+            yield kind, [float(x) for x in (len(out), label.sum(), (label * label).sum(), ((label - guess) ** 2).sum())]
+
+
+def binned(table: pa.Table | pa.RecordBatch, features: Sequence[str], thresholds: Sequence[np.ndarray]) -> np.ndarray:
+    """Bins by (row, feature)."""
+    return np.stack([np.searchsorted(t, np.asarray(table.column(c)), "left") for c, t in zip(features, thresholds, strict=True)], 1).astype(np.uint8)
+
 
 def _arrow(columns: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(columns))
@@ -245,30 +346,47 @@ class Training:
         """``rows`` has the feature columns, ``labels`` and ``folds`` (arrays) and ``key`` (long)."""
         self.spark, self.fits, self.sizes = rows.sparkSession, fits, sizes
         self.thresholds, self.n_features = thresholds, len(features)
-        chunks = written(self._chunks(rows, features), "training-rows")
+        n_rows = rows.count()
+        self.by_cells = n_rows <= CHUNK_ROWS or self._n_cells(rows, features) <= CHUNK_ROWS // 8
+        chunks = written(self._chunks(rows, features, n_rows), "training-rows")
         self.n_chunks = max(1, chunks.count())
         self.groups = min(len(fits), max(1, math.ceil(2 * parallelism / self.n_chunks)))
         self.parallelism = parallelism
         listed = chunks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))))
-        spread = listed.repartition(min(self.n_chunks * self.groups, 2 * parallelism)) if self.groups > 1 else listed
-        self.work = written(spread, "training")
+        if self.by_cells:  # a task per chunk and group: small files would be read together
+            self.work = listed.repartitionByRange(self.n_chunks * self.groups, "group", "part")
+        else:
+            spread = listed.repartition(min(self.n_chunks * self.groups, 2 * parallelism)) if self.groups > 1 else listed
+            self.work = written(spread, "training")
         self.base = np.zeros(len(fits))
         self.boosting = Trees(len(fits), sizes.rounds, sizes.round_depth)
         self.forest = Trees(len(fits), sizes.trees, sizes.tree_depth, np.float32)
         self.kept = 0  # rounds whose predictions are in the chunks
+        self.tested: dict[tuple[str, int], list[float]] | None = None  # errors by (kind, fit), once the fits are scored
+
+    def _n_cells(self, rows: DataFrame, features: Sequence[str]) -> int:
+        """Number of different bins of a row."""
+        thresholds = self.thresholds
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells, _ = distinct(binned(batch, features, thresholds))
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cells], pa.binary())], ["cell"])
+
+        return rows.select(*features).mapInArrow(work, "cell binary").distinct().count()
 
-    def _chunks(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-        thresholds, n_rows = self.thresholds, rows.count()
-        most = CHUNK_ROWS if n_rows <= CHUNK_ROWS else min(CHUNK_ROWS, STEP_ROWS)
-        schema = pa.schema([("n", pa.int32()), *((c, pa.binary()) for c in ("bins", "labels", "folds", "keys", "boosted"))])
+    def _chunks(self, rows: DataFrame, features: Sequence[str], n_rows: int) -> DataFrame:
+        thresholds, most = self.thresholds, CHUNK_ROWS if self.by_cells else min(CHUNK_ROWS, STEP_ROWS)
+        schema = pa.schema([("n", pa.int32()), *((c, pa.binary()) for c in ("bins", "labels", "folds", "keys", "boosted")), ("part", pa.int64())])
 
         def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts)
             n = table.num_rows
-            bins = np.stack([np.searchsorted(t, table.column(c).to_numpy(), "left") for c, t in zip(features, thresholds, strict=True)], 1)
             held = [np.array(table.column(c).combine_chunks().flatten()) for c in ("labels", "folds")]
-            blobs = (bins.astype(np.uint8), held[0].astype(np.float64), held[1].astype(np.uint8), table.column("key").to_numpy())
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (n, *(b.tobytes() for b in blobs), None), strict=True))], schema=schema)
+            keys = table.column("key").to_numpy()
+            blobs = (binned(table, features, thresholds), held[0].astype(np.float64), held[1].astype(np.uint8), keys)
+            row = (n, *(b.tobytes() for b in blobs), None, int(keys.min()))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
@@ -283,9 +401,9 @@ class Training:
             if size:
                 yield pack(held)
 
-        n_parts = 1 if n_rows <= CHUNK_ROWS else math.ceil(n_rows / most)
+        n_parts = 1 if n_rows <= CHUNK_ROWS else math.ceil(1.02 * n_rows / most)  # none is a little over a chunk
         return rows.repartition(n_parts, "key").mapInArrow(
-            work, "n int, bins binary, labels binary, folds binary, keys binary, boosted binary")
+            work, "n int, bins binary, labels binary, folds binary, keys binary, boosted binary, part long")
 
     def _each(self, work, columns: str) -> DataFrame:
         """``work(chunk)`` for every chunk and group of fits, as rows of ``columns``."""
@@ -315,9 +433,9 @@ class Training:
 
     def grow(self) -> None:
         """All steps of all fits."""
+        if self.by_cells:
+            return self._grow_by_cells()
         self.means()
-        if self.n_chunks == 1:
-            return self._whole()
         depth = self.sizes.round_depth
         paired = depth > 1 and self.n_features * self.sizes.bins <= PAIRED_BINS
         levels = [level for level in range(depth) if not (paired and level == 1)]
@@ -328,29 +446,81 @@ class Training:
             if at == len(levels) - 1 and (done + 1) % ROUNDS_KEPT == 0 and done + 1 < self.sizes.rounds:
                 self._keep(done + 1)
 
-    def _whole(self) -> None:
-        """Grow every fit in the task that has it; the trees come to the driver by way of the shared folder."""
-        fits, sizes, n_features, groups = self.fits, self.sizes, self.n_features, self.groups
-        sent, columns = self.spark.sparkContext.broadcast(self.base), "fit int, trees array<binary>"
+    def _grow_by_cells(self) -> None:
+        """Sum by cell and grow every tree in one job; the trees come to the driver by way of the shared folder."""
+        fits, sizes = self.fits, self.sizes
+        columns = "kind string, fit int, tree int, figures array<double>, trees array<binary>"
         schema = _arrow(columns)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(chunk: Chunk, fit: int) -> Iterator[tuple[str, int, tuple[np.ndarray, ...]]]:
+            """(kind, first tree, sums by cell) of a chunk's rows that the fit sees."""
+            seen = np.flatnonzero(~fits.held_out(fit, chunk.folds))
+            label, keys = chunk.labels[seen, fits.target(fit)], chunk.keys[seen]
+            cells, place = distinct(chunk.bins[seen])
+            yield BOOSTING, 0, (cells, *(np.bincount(place, x, len(cells))[None] for x in (np.ones(len(seen)), label)))
+            for low in range(0, sizes.trees, TREES_OF_CELLS):
+                some = range(low, min(low + TREES_OF_CELLS, sizes.trees))
+                yield FOREST, low, (cells, *drawn_sums(place, len(cells), label, keys, fit, some))
+
+        def grown(kind: str, fit: int, tree: int, sums: tuple[np.ndarray, ...]) -> tuple[dict, float, Trees]:
+            base, trees = grown_from_cells(kind, *sums, sizes)
+            arrays = [a[0].tobytes() for a in (trees.feature, trees.cut, trees.value)]
+            return {"kind": kind, "fit": fit, "tree": tree, "figures": [base], "trees": arrays}, base, trees
+
+        def whole(chunk: Chunk, _) -> Iterator[dict]:
+            """Trees, and errors as trees of number -1."""
+            for place, fit in enumerate(chunk.fits):
+                bases, kinds = {}, {BOOSTING: [], FOREST: []}
+                for kind, tree, sums in summed(chunk, fit):
+                    row, base, trees = grown(kind, fit, tree, sums)
+                    bases[kind] = base
+                    kinds[kind].append(trees)
+                    yield row
+                joined = {kind: tuple(np.concatenate([getattr(t, a)[0] for t in trees]) for a in ("feature", "cut", "value"))
+                          for kind, trees in kinds.items()}
+                for kind, sums in chunk.errors(fits, place, bases[BOOSTING], joined[BOOSTING], joined[FOREST], sizes):
+                    yield {"kind": kind, "fit": fit, "tree": -1, "figures": sums, "trees": []}
+
+        def parts(chunk: Chunk, row: dict) -> Iterator[dict]:
+            for fit in chunk.fits:
+                for kind, tree, (cells, weight, total) in summed(chunk, fit):
+                    yield {"kind": kind, "fit": fit, "tree": tree, "part": row["part"], "n": len(cells),
+                           "sums": [cells.tobytes(), weight.astype(np.uint32).tobytes(), total.tobytes()]}
+
+        n_features = self.n_features
+
+        def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, held = None, None
             for batch in batches:
-                for row in batch.to_pylist():
-                    chunk = Chunk.of(row, fits, n_features, groups)
-                    for fit in chunk.fits:
-                        seen = np.flatnonzero(~fits.held_out(fit, chunk.folds))
-                        both = grown_whole(chunk.bins[seen], chunk.labels[seen, fits.target(fit)], chunk.keys[seen], fit,
-                                           sent.value[fit], sizes)
-                        arrays = [a[0].tobytes() for trees in both for a in (trees.feature, trees.cut, trees.value)]
-                        yield pa.RecordBatch.from_pylist([{"fit": fit, "trees": arrays}], schema=schema)
-
-        dealt = self.work.repartitionByRange(groups, "group")  # a task per group: small files would be read together
-        for fit, blobs in written(dealt.mapInArrow(run, columns), "trees").toLocalIterator():
-            arrays = [a for trees in (self.boosting, self.forest) for a in (trees.feature, trees.cut, trees.value)]
-            for held, blob in zip(arrays, blobs, strict=True):
-                held[fit] = np.frombuffer(blob, held.dtype).reshape(held.shape[1:])
-        sent.destroy()
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    n, (cells, weight, total), key = row["n"], row["sums"], (row["kind"], row["fit"], row["tree"])
+                    sums = (np.frombuffer(cells, np.uint8).reshape(n, n_features),
+                            np.frombuffer(weight, np.uint32).reshape(-1, n).astype(np.float64), np.frombuffer(total).reshape(-1, n))
+                    if current and key != current:
+                        yield pa.RecordBatch.from_pylist([grown(*current, held)[0]], schema=schema)
+                    current, held = key, merged(held, sums) if key == current else sums
+            if current:
+                yield pa.RecordBatch.from_pylist([grown(*current, held)[0]], schema=schema)
+
+        if self.n_chunks == 1:
+            found = self._each(whole, columns)
+            self.tested = {}
+        else:
+            keys = "kind", "fit", "tree"
+            sums = self._each(parts, "kind string, fit int, tree int, part long, n int, sums array<binary>")
+            dealt = sums.repartition(max(2 * self.parallelism, len(fits) * self.n_chunks), *keys)
+            found = dealt.sortWithinPartitions(*keys, "part").mapInArrow(together, columns)
+        for kind, fit, tree, figures, blobs in written(found, "trees").toLocalIterator():
+            if tree < 0:
+                self.tested[kind, fit] = figures
+                continue
+            trees = self.boosting if kind == BOOSTING else self.forest
+            for held, blob in zip((trees.feature, trees.cut, trees.value), blobs, strict=True):
+                got = np.frombuffer(blob, held.dtype).reshape(-1, held.shape[2])
+                held[fit, tree:tree + len(got)] = got
+            if kind == BOOSTING:
+                self.base[fit], = figures
 
     def _recent(self, upto: int):
         """Boosted trees that are not yet in the chunks' predictions."""
@@ -358,7 +528,7 @@ class Training:
         return self.boosting.feature[:, now], self.boosting.cut[:, now], self.boosting.value[:, now]
 
     def _step(self, done: int | None, level: int, paired: bool, forest_level: int | None) -> None:
-        fits, sizes, n_features, alone = self.fits, self.sizes, self.n_features, self.n_chunks == 1
+        fits, sizes, n_features = self.fits, self.sizes, self.n_features
         known = 2 ** (forest_level or 0) - 1
         sent = self.spark.sparkContext.broadcast((
             self.base, self._recent((done or 0) + 1) if done is not None else None,
@@ -374,7 +544,7 @@ class Training:
                 bins, label = chunk.bins[seen], chunk.labels[seen, fits.target(fit)]
                 if boosted is not None:
                     feature, cut, value = (a[fit] for a in boosted)
-                    rest = label - base[fit] - chunk.boosted[place][seen]
+                    rest = label - base[fit] - chunk.boosted_so_far(place, seen)
                     if len(feature) > 1:
                         leaf = descend(bins, feature[:-1], cut[:-1], sizes.round_depth)
                         rest = rest - sizes.rate * np.take_along_axis(value[:-1], leaf, 1).sum(0)
@@ -390,8 +560,6 @@ class Training:
                     yield found(FOREST, fit, low, histograms(bins, node, forest_level, drawn, label, sizes.bins))
 
         def found(kind: str, fit: int, tree: int, sums: np.ndarray) -> dict:
-            if alone:
-                return cuts(kind, fit, tree, sums)
             flat = sums.reshape(2, -1)
             keys = np.flatnonzero(flat[0])
             return {"kind": kind, "fit": fit, "tree": tree, "parts": [keys.tobytes(), flat[0][keys].tobytes(), flat[1][keys].tobytes()]}
@@ -420,10 +588,8 @@ class Training:
             if current:
                 yield pa.RecordBatch.from_pylist([cuts(*current, total)], schema=schema)
 
-        parts = self._each(grown, columns)
-        if not alone:
-            keys = ("kind", "fit", "tree")
-            parts = parts.repartition(2 * self.parallelism, *keys).sortWithinPartitions(*keys).mapInArrow(summed, columns)
+        keys = ("kind", "fit", "tree")
+        parts = self._each(grown, columns).repartition(2 * self.parallelism, *keys).sortWithinPartitions(*keys).mapInArrow(summed, columns)
         for kind, fit, tree, blobs in parts.collect():
             some = 1 if kind == BOOSTING else min(TREES_AT_A_TIME, sizes.trees - tree)
             arrays = [np.frombuffer(b, t).reshape(some, -1) for b, t in
@@ -444,7 +610,8 @@ class Training:
             feature, cut, value = sent.value
             more = np.stack([np.take_along_axis(value[fit], descend(chunk.bins, feature[fit], cut[fit], sizes.round_depth), 1).sum(0)
                              for fit in chunk.fits])
-            yield row | {"boosted": (chunk.boosted + sizes.rate * more).tobytes()}
+            before = 0.0 if chunk.boosted is None else chunk.boosted
+            yield row | {"boosted": (before + sizes.rate * more).tobytes()}
 
         self.work = written(self._each(added, ", ".join(f"{c} {t}" for c, t in self.work.dtypes)), "training")
         self.kept = upto
@@ -452,35 +619,27 @@ class Training:
 
     def scores(self) -> list[tuple[str, int, float]]:
         """(kind, fit, R²) of every fold, on the rows that its fit did not see; NaN where there is no score."""
+        found = self._errors() if self.tested is None else self.tested
+        spread = {key: ss - s ** 2 / n for key, (n, s, ss, _) in found.items()}
+        return [(*key, 1 - sums[3] / v if (v := spread[key]) > 1e-12 else math.nan) for key, sums in found.items()]
+
+    def _errors(self) -> dict[tuple[str, int], list[float]]:
         fits, sizes = self.fits, self.sizes
         sent = self.spark.sparkContext.broadcast((self.base, self._recent(sizes.rounds),
                                                   (self.forest.feature, self.forest.cut, self.forest.value)))
+        names = "n", "s", "ss", "error"
 
         def tested(chunk: Chunk, _):
+            base, *both = sent.value
             for place, fit in enumerate(chunk.fits):
-                held = np.flatnonzero(fits.held_out(fit, chunk.folds))
-                for low in range(0, len(held), STEP_ROWS):
-                    yield from scored(chunk, place, fit, held[low:low + STEP_ROWS])
-
-        def scored(chunk: Chunk, place: int, fit: int, out: np.ndarray):
-            base, boosted, forest = sent.value
-            bins, label = chunk.bins[out], chunk.labels[out, fits.target(fit)]
-
-            def leaves(trees, depth: int) -> np.ndarray:
-                feature, cut, value = (a[fit] for a in trees)
-                return np.take_along_axis(value, descend(bins, feature, cut, depth), 1).astype(np.float64)
-
-            guesses = {BOOSTING: base[fit] + chunk.boosted[place][out] + sizes.rate * leaves(boosted, sizes.round_depth).sum(0),
-                       FOREST: leaves(forest, sizes.tree_depth).mean(0)}
-            for kind, guess in guesses.items():
-                yield {"kind": kind, "fit": fit, "n": float(len(out)), "s": float(label.sum()), "ss": float((label * label).sum()),
-                       "error": float(((label - guess) ** 2).sum())}
+                boosting, forest = (tuple(a[fit] for a in trees) for trees in both)
+                for kind, sums in chunk.errors(fits, place, base[fit], boosting, forest, sizes):
+                    yield {"kind": kind, "fit": fit} | dict(zip(names, sums, strict=True))
 
-        sums = [F.sum(c).alias(c) for c in ("n", "s", "ss", "error")]
+        sums = [F.sum(c).alias(c) for c in names]
         rows = self._each(tested, "kind string, fit int, n double, s double, ss double, error double").groupBy("kind", "fit").agg(*sums).collect()
         sent.destroy()
-        spread = {(r["kind"], r["fit"]): r["ss"] - r["s"] ** 2 / r["n"] for r in rows}
-        return [(r["kind"], r["fit"], 1 - r["error"] / v if (v := spread[r["kind"], r["fit"]]) > 1e-12 else math.nan) for r in rows]
+        return {(r["kind"], r["fit"]): [r[c] for c in names] for r in rows}
 
     def model(self, kind: str, target: int, features: Sequence[str]) -> TreeModel:
         """The model of all rows."""

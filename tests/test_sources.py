@@ -313,6 +313,74 @@ def test_whole_tables_are_trained_in_as_many_jobs_whatever_the_rounds(spark):
     assert jobs[0] == jobs[1] and (training.boosting.feature[:, :, 0] == 0).all()
 
 
+def test_chunks_of_few_cells_are_trained_in_as_many_jobs_whatever_the_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, float(a), float(b), [float(a + (b > 0.5)), float(b)], [i % 3, i // 3 % 3]) for i, (a, b) in enumerate(rng.random((1500, 2)))]
+    rows = spark.createDataFrame(data, "key long, a double, b double, labels array<double>, folds array<int>")
+    context, cuts = spark.sparkContext, [np.linspace(0.1, 0.9, 7)] * 2
+
+    def trained(rounds):
+        sizes = tree_training.Sizes(trees=7, tree_depth=3, rounds=rounds, round_depth=2, bins=8)
+        training = tree_training.Training(rows, ["a", "b"], cuts, tree_training.Fits(2, 2, 3), sizes, 4)
+        context.setJobGroup(f"cells-{training.n_chunks}-{rounds}", "training")
+        training.grow()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return training, len(context.statusTracker().getJobIdsForGroup(f"cells-{training.n_chunks}-{rounds}"))
+
+    (one, _), _ = trained(20), monkeypatch.setattr(tree_training, "CHUNK_ROWS", 600)
+    (other, jobs), (_, few) = trained(20), trained(2)
+    assert one.n_chunks == 1 and other.n_chunks >= 3 and jobs == few
+    for a, b in ((one.boosting, other.boosting), (one.forest, other.forest)):
+        assert (a.feature == b.feature).all() and np.allclose(a.value, b.value)
+    assert np.allclose(one.base, other.base) and (one.forest.feature[:, :, 0] >= 0).all()
+    mine, theirs = ({(k, f): r for k, f, r in t.scores()} for t in (one, other))
+    assert mine.keys() == theirs.keys() and len(mine) == 24 and all(np.isclose(mine[k], theirs[k]) for k in mine)
+
+
+def test_trees_of_cells_are_the_trees_of_their_rows():
+    rng = np.random.default_rng(6)
+    bins, label, keys = rng.integers(0, 5, (3000, 3)).astype(np.uint8), rng.random(3000), rng.integers(-2 ** 63, 2 ** 63, 3000)
+    cells, place = tree_training.distinct(bins)
+    assert len(cells) == len({tuple(b) for b in bins}) == 125 and (cells[place] == bins).all()
+    drawn = tree_training.bootstrap(keys, 4, range(3))
+    seeds = np.array([4 * 1_000_003 + t for t in range(3)], np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    x = keys.view(np.uint64) ^ seeds
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    assert (drawn == np.searchsorted(tree_training._LAW, (x >> np.uint64(11)) / 2.0 ** 53, "right")).all()
+    sums = tree_training.drawn_sums(place, len(cells), label, keys, 4, range(3))
+    for tree in range(3):
+        by_rows, by_cells = tree_training.Trees(1, 1, 4), tree_training.Trees(1, 1, 4)
+        ends = tree_training.grow_tree(by_rows, 0, bins, drawn[tree], drawn[tree] * label, 5)
+        of_cells = tree_training.grow_tree(by_cells, 0, cells, sums[0, tree], sums[1, tree], 5)
+        assert (by_rows.feature == by_cells.feature).all() and np.allclose(by_rows.value, by_cells.value)
+        met = drawn[tree] > 0
+        assert (ends[met] == of_cells[place][met]).all() and (by_rows.feature[0, 0] >= 0).sum() > 8
+        assert (ends[met] == tree_training.descend(bins[met], by_rows.feature[0], by_rows.cut[0], 4)[0]).all()
+    low, high = slice(0, 1000), slice(1000, 3000)
+    parts = []
+    for some in (low, high):
+        its, at = tree_training.distinct(bins[some])
+        parts.append((its, *tree_training.drawn_sums(at, len(its), label[some], keys[some], 4, range(3))))
+    both = tree_training.merged(*parts)
+    assert (both[0] == cells).all() and np.allclose(both[1], sums[0]) and np.allclose(both[2], sums[1])
+
+
+def test_state_models_make_their_runs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, x := rng.random(), 3 * x) for i in range(90)], "run_index int, a double, load double")
+    fitted = fit_state_models(df.mapInArrow(counted, df.schema), "run_index", ["a"], ["load"], repeats=1, folds=2, trees=2,
+                              tree_depth=2, rounds=2)
+    assert made.value == 90 and 0 < fitted.tested.count() < 90 and made.value == 90
+
+
 def test_folders_of_many_rows_are_written_by_as_many_tasks(spark, tmp_path):
     from collections import Counter
 
