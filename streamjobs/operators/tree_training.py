@@ -48,6 +48,8 @@ SCORED_CELLS = 5000
 DRAWN_ROWS = 100_000
 #: Trees of a forest whose sums by cell go to one task.
 TREES_OF_CELLS = 5
+#: Cells of parts, at least, that are merged at a time.
+MERGED_CELLS = 50_000
 #: Trees of a forest whose histograms a task holds at a time.
 TREES_AT_A_TIME = 25
 #: Rounds after which boosted predictions are written.
@@ -275,12 +277,13 @@ def grown_from_cells(kind: str, cells: np.ndarray, weight: np.ndarray, total: np
     return base, trees
 
 
-def merged(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Cells, and weights and weighted labels by (tree, cell), of two parts of the rows together."""
-    cells, place = distinct(np.concatenate([one[0], other[0]]))
-    out = [np.zeros((len(one[1]), len(cells))) for _ in range(2)]
-    for part, at in ((one, place[:len(one[0])]), (other, place[len(one[0]):])):
-        for total, sums in zip(out, part[1:], strict=True):
+def merged(parts: Sequence[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Cells, and weights and weighted labels by (tree, cell), of some parts of the rows together."""
+    cells, place = distinct(np.concatenate([part[0] for part in parts]))
+    out, low = [np.zeros((len(parts[0][1]), len(cells))) for _ in range(2)], 0
+    for its, *both in parts:
+        at, low = place[low:low + len(its)], low + len(its)
+        for total, sums in zip(out, both, strict=True):
             total[:, at] += sums
     return cells, *out
 
@@ -346,9 +349,9 @@ class Training:
         """``rows`` has the feature columns, ``labels`` and ``folds`` (arrays) and ``key`` (long)."""
         self.spark, self.fits, self.sizes = rows.sparkSession, fits, sizes
         self.thresholds, self.n_features = thresholds, len(features)
-        n_rows = rows.count()
-        self.by_cells = n_rows <= CHUNK_ROWS or self._n_cells(rows, features) <= CHUNK_ROWS // 8
-        chunks = written(self._chunks(rows, features, n_rows), "training-rows")
+        self.n_rows = rows.count()
+        self.by_cells = self.n_rows <= CHUNK_ROWS or self._n_cells(rows, features) <= CHUNK_ROWS // 8
+        chunks = written(self._chunks(rows, features), "training-rows")
         self.n_chunks = max(1, chunks.count())
         self.groups = min(len(fits), max(1, math.ceil(2 * parallelism / self.n_chunks)))
         self.parallelism = parallelism
@@ -375,7 +378,7 @@ class Training:
 
         return rows.select(*features).mapInArrow(work, "cell binary").distinct().count()
 
-    def _chunks(self, rows: DataFrame, features: Sequence[str], n_rows: int) -> DataFrame:
+    def _chunks(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
         thresholds, most = self.thresholds, CHUNK_ROWS if self.by_cells else min(CHUNK_ROWS, STEP_ROWS)
         schema = pa.schema([("n", pa.int32()), *((c, pa.binary()) for c in ("bins", "labels", "folds", "keys", "boosted")), ("part", pa.int64())])
 
@@ -401,9 +404,9 @@ class Training:
             if size:
                 yield pack(held)
 
-        n_parts = 1 if n_rows <= CHUNK_ROWS else math.ceil(1.02 * n_rows / most)  # none is a little over a chunk
-        return rows.repartition(n_parts, "key").mapInArrow(
-            work, "n int, bins binary, labels binary, folds binary, keys binary, boosted binary, part long")
+        n_parts = math.ceil(1.02 * self.n_rows / most)  # none is a little over a chunk
+        dealt = rows.repartition(1) if self.n_rows <= CHUNK_ROWS else rows.repartition(n_parts, "key")
+        return dealt.mapInArrow(work, "n int, bins binary, labels binary, folds binary, keys binary, boosted binary, part long")
 
     def _each(self, work, columns: str) -> DataFrame:
         """``work(chunk)`` for every chunk and group of fits, as rows of ``columns``."""
@@ -490,18 +493,21 @@ class Training:
         n_features = self.n_features
 
         def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            current, held = None, None
+            current, held = None, []
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
                     n, (cells, weight, total), key = row["n"], row["sums"], (row["kind"], row["fit"], row["tree"])
-                    sums = (np.frombuffer(cells, np.uint8).reshape(n, n_features),
-                            np.frombuffer(weight, np.uint32).reshape(-1, n).astype(np.float64), np.frombuffer(total).reshape(-1, n))
-                    if current and key != current:
-                        yield pa.RecordBatch.from_pylist([grown(*current, held)[0]], schema=schema)
-                    current, held = key, merged(held, sums) if key == current else sums
-            if current:
-                yield pa.RecordBatch.from_pylist([grown(*current, held)[0]], schema=schema)
+                    if held and key != current:
+                        yield pa.RecordBatch.from_pylist([grown(*current, merged(held))[0]], schema=schema)
+                        held = []
+                    current = key
+                    held.append((np.frombuffer(cells, np.uint8).reshape(n, n_features),
+                                 np.frombuffer(weight, np.uint32).reshape(-1, n), np.frombuffer(total).reshape(-1, n)))
+                    if sum(len(part[0]) for part in held[1:]) > max(MERGED_CELLS, len(held[0][0])):
+                        held = [merged(held)]
+            if held:
+                yield pa.RecordBatch.from_pylist([grown(*current, merged(held))[0]], schema=schema)
 
         if self.n_chunks == 1:
             found = self._each(whole, columns)
@@ -509,7 +515,7 @@ class Training:
         else:
             keys = "kind", "fit", "tree"
             sums = self._each(parts, "kind string, fit int, tree int, part long, n int, sums array<binary>")
-            dealt = sums.repartition(max(2 * self.parallelism, len(fits) * self.n_chunks), *keys)
+            dealt = sums.repartition(max(2 * self.parallelism, len(fits) * math.ceil(self.n_rows / CHUNK_ROWS)), *keys)
             found = dealt.sortWithinPartitions(*keys, "part").mapInArrow(together, columns)
         for kind, fit, tree, figures, blobs in written(found, "trees").toLocalIterator():
             if tree < 0:

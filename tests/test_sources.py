@@ -328,6 +328,7 @@ def test_chunks_of_few_cells_are_trained_in_as_many_jobs_whatever_the_rounds(spa
         return training, len(context.statusTracker().getJobIdsForGroup(f"cells-{training.n_chunks}-{rounds}"))
 
     (one, _), _ = trained(20), monkeypatch.setattr(tree_training, "CHUNK_ROWS", 600)
+    monkeypatch.setattr(tree_training, "MERGED_CELLS", 20)
     (other, jobs), (_, few) = trained(20), trained(2)
     assert one.n_chunks == 1 and other.n_chunks >= 3 and jobs == few
     for a, b in ((one.boosting, other.boosting), (one.forest, other.forest)):
@@ -362,7 +363,7 @@ def test_trees_of_cells_are_the_trees_of_their_rows():
     for some in (low, high):
         its, at = tree_training.distinct(bins[some])
         parts.append((its, *tree_training.drawn_sums(at, len(its), label[some], keys[some], 4, range(3))))
-    both = tree_training.merged(*parts)
+    both = tree_training.merged(parts)
     assert (both[0] == cells).all() and np.allclose(both[1], sums[0]) and np.allclose(both[2], sums[1])
 
 
